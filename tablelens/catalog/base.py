@@ -31,3 +31,9 @@ def sql_melt(table_name: str, cols, cast: str = "DOUBLE", where: str | None = No
     w = f" WHERE {where}" if where else ""
     return "\n  UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", TRY_CAST({c} AS {cast}) AS value FROM {table_name}{w}" for c in cols)
+
+
+def sround(expr: str, digits: int = 4) -> str:
+    """Spark's ``round`` on a double: HALF_UP on its shortest decimal form.
+    DuckDB's ``round`` works on the binary value; this makes exact ties agree."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"

@@ -176,3 +176,25 @@ def pop_skewness(x) -> Column:
 
 def pop_kurtosis(x) -> Column:
     return F.kurtosis(_c(x))
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row of ``df``.
+
+    Broadcast equi-join on a constant key: the build side is a global aggregate,
+    so its size (one row) is bounded by construction."""
+    return (df.withColumn("_one", F.lit(1))
+              .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
+              .drop("_one"))
+
+
+def exact_sum(x) -> Column:
+    """Order-independent sum: values are summed as DECIMAL(38,6), so the result
+    does not depend on partitioning or task order (plain double sums do), then
+    returned as double."""
+    return F.sum(F.expr("try_cast(0 as decimal(38,6))") + _c(x).cast("decimal(38,6)")).cast("double")
+
+
+def exact_mean(x) -> Column:
+    """Mean from :func:`exact_sum` (reproducible bit for bit across runs)."""
+    return F.try_divide(exact_sum(x), F.count(_c(x)).cast("double"))
