@@ -125,7 +125,7 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
     s = s.withColumn("score", score)
     grade = (F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B")
              .when(F.col("score") >= 60, "C").when(F.col("score") >= 45, "D").otherwise("F"))
-    pct1 = lambda x: F.format_number(x * 100, 1)
+    pct1 = lambda x: F.format_string("%.1f", x * 100)
     issues = F.concat_ws("; ", F.array_compact(F.array(
         F.when(F.col("_mr") > 0.05, F.concat(F.lit("missing: "), pct1(F.col("_mr")), F.lit("% of cells are missing"))),
         F.when(F.col("_dr") > 0.02, F.concat(F.lit("duplicates: "), pct1(F.col("_dr")), F.lit("% duplicate rows"))),
