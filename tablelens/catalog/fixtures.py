@@ -60,3 +60,16 @@ def dirty_orders(spark, d):
         F.when(k % 25 == 0, F.lit("bad"))
          .otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("order_day"),
         F.col("o_orderstatus").alias("status"), "o_totalprice")
+
+
+SPIKY_EVENTS_SQL = """(
+  SELECT event_id, ts, user_id, event_type,
+         CASE WHEN event_id % 500 = 0 THEN value * 50 ELSE value END AS value
+  FROM events)"""
+
+
+def spiky_events(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", "ts", "user_id", "event_type",
+                    F.when(F.col("event_id") % 500 == 0, F.col("value") * 50)
+                     .otherwise(F.col("value")).alias("value"))
