@@ -73,3 +73,21 @@ def spiky_events(spark, d):
     return e.select("event_id", "ts", "user_id", "event_type",
                     F.when(F.col("event_id") % 500 == 0, F.col("value") * 50)
                      .otherwise(F.col("value")).alias("value"))
+
+
+# The eight short reviews of the reference's text fixture.
+REVIEWS = [
+    "excellent product great value", "terrible quality very bad",
+    "it is okay", "love it highly recommend", "worst experience ever",
+    "good but slow", "average", "amazing fast delivery",
+]
+
+REVIEW_EVENTS_SQL = ("(SELECT event_id, ts, event_type, "
+                     f"[{', '.join(repr(r) for r in REVIEWS)}][event_id % 8 + 1] AS review FROM events)")
+
+
+def review_events(spark, d):
+    e = table(spark, d, "events")
+    arr = F.array(*[F.lit(r) for r in REVIEWS])
+    return e.select("event_id", "ts", "event_type",
+                    F.element_at(arr, (F.col("event_id") % 8 + 1).cast("int")).alias("review"))
