@@ -1,4 +1,6 @@
 """All registered queries; importing the submodules fills the registry."""
 
 from tablelens.catalog.base import ORACLE, QUERIES  # noqa: F401
-from tablelens.catalog import analysis, charts, clean, describe, groups, profile, retrieval, text, timeseries  # noqa: F401,E402
+from tablelens.catalog import (  # noqa: F401,E402
+    analysis, charts, clean, describe, groups, plans, profile, retrieval, text, timeseries,
+)
