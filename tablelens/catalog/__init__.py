@@ -2,5 +2,5 @@
 
 from tablelens.catalog.base import ORACLE, QUERIES  # noqa: F401
 from tablelens.catalog import (  # noqa: F401,E402
-    analysis, charts, clean, describe, groups, plans, profile, retrieval, text, timeseries,
+    analysis, charts, clean, describe, groups, plans, profile, retrieval, sources, text, timeseries,
 )
