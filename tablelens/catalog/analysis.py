@@ -184,3 +184,13 @@ UNION ALL
 SELECT 'ALL_ROWS', CAST(count_if(is_anomaly) AS BIGINT), round(100.0 * count_if(is_anomaly) / greatest(count(*), 1), 2),
        'zscore' FROM fl
 """)(lambda s, d: N.anomaly_report(spiky_events(s, d), _AC, "zscore"))
+
+
+def _iforest(s, d):
+    from tablelens.operators.iforest import isolation_forest_flags
+    return isolation_forest_flags(spiky_events(s, d), ["value", "user_id"]).select(
+        "event_id", "value", "user_id", "is_anomaly", "if_score")
+
+
+register("isolation_forest")(_iforest)
+register("anomaly_forest")(lambda s, d: N.anomaly_table(spiky_events(s, d), _AC, "isolation_forest"))
