@@ -36,6 +36,10 @@ register("chunk_documents", f"""WITH {chunks_sql('documents', 'doc_id', 'text')}
 SELECT doc_id, chunk_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM ch
 """)(lambda s, d: V.chunk_documents(table(s, d, "documents"), "doc_id", "text"))
 
+register("chunk_documents_native", f"""WITH {chunks_sql('documents', 'doc_id', 'text')}
+SELECT doc_id, chunk_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM ch
+""")(lambda s, d: V.chunk_documents(table(s, d, "documents"), "doc_id", "text", engine="native"))
+
 
 def tfidf_sql(src, id_col, text_col, prefix, idf_from=None, max_features=5000):
     """CTEs {prefix}tf, {prefix}w (id, term, weight normalised); vocabulary/idf

@@ -9,6 +9,9 @@ oversize sentences cut with overlap). The TF-IDF index is a sparse long table
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,11 @@ def chunk_array(text, size: int = 900, overlap: int = 120) -> Column:
         cur, done = acc["cur"], acc["done"]
         ln = F.length(sent)
         joinable = F.length(cur) + ln <= size
-        joined = pytrim(F.concat(cur, F.lit(" "), sent))
+        raw = F.concat(cur, F.lit(" "), sent)
+        # strip only when an end is whitespace: no regex over the long string otherwise
+        ws = [" ", "\t", "\n", "\r", "\f", "\u000b"]
+        edge = F.substring(raw, 1, 1).isin(*ws) | F.substring(raw, -1, 1).isin(*ws)
+        joined = F.when(edge, pytrim(raw)).otherwise(raw)
         k = F.when(ln > size, F.ceil((ln - size) / F.lit(float(s)))).otherwise(F.lit(0)).cast("int")
         pieces = F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
                                            lambda j: sent.substr(j * s + 1, F.lit(size)))) \
@@ -48,9 +55,46 @@ def chunk_array(text, size: int = 900, overlap: int = 120) -> Column:
     return F.when(t.isNull() | (F.length(pytrim(t)) == 0), F.array().cast("array<string>")).otherwise(out)
 
 
-def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120) -> DataFrame:
-    """(id, chunk_id, text, n_chars) for every chunk of every document."""
-    c = df.select(id_col, F.posexplode(chunk_array(text_col, size, overlap)).alias("chunk_id", "text"))
+_SENTENCE_RE = re.compile(SENTENCE_SPLIT, re.ASCII)
+_WS = " \t\n\r\f\v"
+
+
+def _pack(text, size: int, overlap: int) -> list:
+    """Greedy sentence packing of one text (same rules as :func:`chunk_array`)."""
+    if text is None or not text.strip(_WS):
+        return []
+    stride = size - overlap
+    done, cur = [], ""
+    for sent in _SENTENCE_RE.split(text):
+        if len(cur) + len(sent) <= size:
+            cur = (cur + " " + sent).strip(_WS)
+            continue
+        if cur:
+            done.append(cur)
+        cuts = max(0, -(-(len(sent) - size) // stride))
+        done.extend(sent[j * stride:j * stride + size] for j in range(cuts))
+        cur = sent[cuts * stride:]
+    if cur:
+        done.append(cur)
+    return done
+
+
+def chunk_udf(size: int = 900, overlap: int = 120):
+    """Arrow-batched per-document packing: the loop over a document's sentences
+    is sequential, and a Python loop beats interpreted higher-order lambdas
+    (about 3.6x on sf0.1 documents); Spark still partitions the documents."""
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _pack(t, size, overlap))
+    return chunks
+
+
+def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120,
+                    engine: str = "arrow") -> DataFrame:
+    """(id, chunk_id, text, n_chars) for every chunk of every document.
+    ``engine="native"`` runs the same packing as a Catalyst ``aggregate``."""
+    arr = chunk_array(text_col, size, overlap) if engine == "native" else chunk_udf(size, overlap)(F.col(text_col))
+    c = df.select(id_col, F.posexplode(arr).alias("chunk_id", "text"))
     return c.select(id_col, F.col("chunk_id").cast("long"), "text", F.length("text").cast("long").alias("n_chars"))
 
 
