@@ -1,6 +1,6 @@
 """Outlier, relationship and anomaly queries."""
 
-from tablelens.catalog.base import register, table
+from tablelens.catalog.base import qcont, register, sround, table
 from tablelens.catalog.fixtures import SPIKY_EVENTS_SQL, spiky_events
 from tablelens.operators import anomaly as N
 from tablelens.operators import outliers as O
@@ -11,15 +11,16 @@ LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _bounds_cte(src, cols, name="bnd"):
-    parts = [f"SELECT '{c}' AS \"column\", count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std_pop, "
-             f"quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM "
-             f"(SELECT TRY_CAST({c} AS DOUBLE) AS v FROM {src}) WHERE v IS NOT NULL AND NOT isnan(v)" for c in cols]
+    parts = [f"SELECT '{c}' AS \"column\", n, mean, std_pop, {qcont('l', 'n', 0.25)} AS q1, "
+             f"{qcont('l', 'n', 0.75)} AS q3 FROM (SELECT count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std_pop, "
+             f"list_sort(list(v)) AS l FROM (SELECT TRY_CAST({c} AS DOUBLE) AS v FROM {src}) "
+             f"WHERE v IS NOT NULL AND NOT isnan(v))" for c in cols]
     return f"{name} AS ({' UNION ALL '.join(parts)})"
 
 
 register("iqr_bounds", f"""WITH {_bounds_cte(SE, ['value', 'user_id'])}
-SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
-       round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM bnd
+SELECT "column", {sround('q1')} AS q1, {sround('q3')} AS q3, {sround('q3 - q1')} AS iqr,
+       {sround('q1 - 1.5 * (q3 - q1)')} AS lower, {sround('q3 + 1.5 * (q3 - q1)')} AS upper FROM bnd
 """)(lambda s, d: O.iqr_bounds(spiky_events(s, d), ["value", "user_id"]))
 
 
@@ -37,7 +38,7 @@ def _classify_sql(method):
         score = "CASE WHEN (q3 + 1.5 * (q3 - q1)) - (q1 - 1.5 * (q3 - q1)) <> 0 THEN value - (q1 - 1.5 * (q3 - q1)) ELSE 0.0 END"
     return f"""WITH {_bounds_cte(SE, ['value'])}
 SELECT event_id, ts, user_id, event_type, value, {cls} AS outlier_class,
-       round(CASE WHEN n < 4 THEN 0.0 ELSE {score} END, 4) AS outlier_score
+       {sround(f"CASE WHEN n < 4 THEN 0.0 ELSE {score} END")} AS outlier_score
 FROM {SE}, bnd"""
 
 

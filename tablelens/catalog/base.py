@@ -36,4 +36,14 @@ def sql_melt(table_name: str, cols, cast: str = "DOUBLE", where: str | None = No
 def sround(expr: str, digits: int = 4) -> str:
     """Spark's ``round`` on a double: HALF_UP on its shortest decimal form.
     DuckDB's ``round`` works on the binary value; this makes exact ties agree."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE)"
+
+
+def qcont(sorted_list: str, n: str, p: float) -> str:
+    """Linear-interpolated quantile of a sorted DuckDB list: position p*(n-1),
+    ``(hi - pos) * x[lo] + (pos - lo) * x[hi]`` (Spark ``percentile``'s form)."""
+    pos = f"(({n} - 1) * {p})"
+    lo, hi = f"floor({pos})", f"ceil({pos})"
+    return (f"(CASE WHEN {lo} = {hi} THEN {sorted_list}[CAST({lo} AS BIGINT) + 1] "
+            f"ELSE ({hi} - {pos}) * {sorted_list}[CAST({lo} AS BIGINT) + 1] "
+            f"+ ({pos} - {lo}) * {sorted_list}[CAST({hi} AS BIGINT) + 1] END)")

@@ -1,6 +1,6 @@
 """Chart-data queries."""
 
-from tablelens.catalog.base import register, table
+from tablelens.catalog.base import register, sround, table
 from tablelens.catalog.timeseries import M, orders_series
 from tablelens.operators import chartdata as H
 
@@ -41,8 +41,9 @@ s AS (SELECT "column", count(v) AS n, min(v) AS mn, max(v) AS mx, avg(v) AS mean
 o AS (SELECT m."column", count_if(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_out
       FROM m JOIN s ON m."column" = s."column" GROUP BY 1)
 SELECT s."column", CAST(n AS BIGINT) AS n, round(mn, 4) AS min, round(q1, 4) AS q1, round(med, 4) AS median,
-       round(mean, 4) AS mean, round(q3, 4) AS q3, round(mx, 4) AS max, round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence,
-       round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence, CAST(n_out AS BIGINT) AS n_outside
+       round(mean, 4) AS mean, round(q3, 4) AS q3, round(mx, 4) AS max,
+       {sround('q1 - 1.5 * (q3 - q1)')} AS lower_fence,
+       {sround('q3 + 1.5 * (q3 - q1)')} AS upper_fence, CAST(n_out AS BIGINT) AS n_outside
 FROM s JOIN o ON s."column" = o."column"
 """)(lambda s, d: H.box_stats(table(s, d, "lineitem"), LI))
 

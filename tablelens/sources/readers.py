@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Accepted file types and the delimiter per type.
 ALLOWED_EXTENSIONS = (".csv", ".tsv", ".parquet")
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
-REPLACEMENT_CHAR = "�"
 BOM = "﻿"
 
 
@@ -27,11 +26,9 @@ def validate_extension(path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8`` unless some line fails to decode as UTF-8 (Spark then yields
-    U+FFFD), in which case ``ISO-8859-1``. Distributed, and it stops at the
-    first bad line found."""
-    bad = (spark.read.option("encoding", "UTF-8").text(path)
-                .filter(F.col("value").contains(REPLACEMENT_CHAR)).limit(1).count())
+    """``UTF-8`` unless some line is not valid UTF-8, then ``ISO-8859-1``.
+    Distributed; the existence check stops at the first bad line."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
@@ -71,7 +68,7 @@ def read_documents(spark: SparkSession, folder: str, extensions=(".md", ".txt"))
     parts = []
     for i, ext in enumerate(extensions):
         try:
-            d = (spark.read.option("wholetext", True).option("pathGlobFilter", f"*{ext}").text(folder)
+            d = (spark.read.option("pathGlobFilter", f"*{ext}").text(folder, wholetext=True)
                       .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content")))
         except Exception:  # noqa: BLE001 - no file of this type
             continue

@@ -31,7 +31,8 @@ def stream_time_series(stream: DataFrame, ts: str, value: str | None = None, fre
     """Bucketed series of a stream: (bucket, value, n_records). Day and week
     buckets are event-time windows, so ``append`` output emits each bucket once
     the watermark passes it; month/quarter/year buckets use ``update`` mode."""
-    s = stream.withWatermark(ts, watermark)
+    # watermarks need TIMESTAMP; NTZ times are read as session-zone (UTC) instants
+    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     v = F.col(value).try_cast("double") if value else None
     aggs = ([exact_sum(v).alias("value"), F.count(v).alias("n_records")] if value
             else [F.count(F.lit(1)).cast("double").alias("value"), F.count(F.lit(1)).alias("n_records")])
