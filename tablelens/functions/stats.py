@@ -198,3 +198,32 @@ def exact_sum(x) -> Column:
 def exact_mean(x) -> Column:
     """Mean from :func:`exact_sum` (reproducible bit for bit across runs)."""
     return F.try_divide(exact_sum(x), F.count(_c(x)).cast("double"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: later
+    branches reuse it instead of rescanning the source (and lineage is cut)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def weighted_moments(vc: DataFrame, keys: Sequence[str], value: str = "value", cnt: str = "cnt") -> DataFrame:
+    """Moments per key from a (keys, value, cnt) distinct-value table, two-pass:
+    n, mean, var_samp, var_pop, std (n-1), std_pop, skewness (population),
+    kurtosis (excess, population), min, max. Skewness/kurtosis are null for a
+    constant column, the sample variance for a single value."""
+    keys = list(keys)
+    v, c = F.col(value), F.col(cnt)
+    first = vc.groupBy(*keys).agg(F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+                                  F.min(v).alias("min"), F.max(v).alias("max"))
+    d = v - F.col("mean")
+    second = vc.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(
+        F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3"), F.sum(c * d * d * d * d).alias("m4"))
+    m = first.join(second, keys)
+    n, m2, m3, m4 = F.col("n"), F.col("m2"), F.col("m3"), F.col("m4")
+    return m.select(
+        *keys, n.cast("long").alias("n"), "mean", "min", "max",
+        F.when(n > 1, m2 / (n - 1)).alias("var_samp"), (m2 / n).alias("var_pop"),
+        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"), F.sqrt(m2 / n).alias("std_pop"),
+        F.when(m2 != 0, F.sqrt(n) * m3 / F.pow(m2, 1.5)).alias("skewness"),
+        F.when(m2 != 0, n * m4 / (m2 * m2) - 3).alias("kurtosis"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import (
-    exact_quantiles, melt, modes, pick_order_statistics, quantile_wide, ranked_values,
-    rnd, top_k, value_counts,
+    exact_quantiles, materialize, melt, modes, pick_order_statistics, quantile_wide, ranked_values,
+    rnd, top_k, value_counts, weighted_moments,
 )
 
 
@@ -24,26 +24,29 @@ def numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _moments(long: DataFrame) -> DataFrame:
-    v = F.col("value")
-    return long.groupBy("column").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
+def numeric_value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, cnt): the only pass over the source rows. Materialised, so
+    moments, quantiles, modes and outlier counts all read this (usually far
+    smaller) table instead of rescanning the data."""
+    return materialize(value_counts(numeric_long(df, cols), ["column"]))
+
+
+def numeric_summary(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> tuple:
+    """(distinct-value table, per-column stats with the named quantiles)."""
+    vc = numeric_value_table(df, cols)
+    q = quantile_wide(vc, ["column"], "value", probs, vc)
+    return vc, weighted_moments(vc, ["column"]).join(q, "column")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, median, mode, std, variance, min, max, q25/q50/q75, skewness
     (population), kurtosis (excess, population) and iqr per column; 4 dp."""
-    long = numeric_long(df, cols)
-    vc = value_counts(long, ["column"])
-    q = quantile_wide(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, vc)
-    m = modes(long, ["column"], vc=vc)
-    out = _moments(long).join(q, "column").join(m, "column")
+    vc, st = numeric_summary(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = st.join(modes(vc, ["column"], vc=vc), "column")
     return out.select(
-        "column", F.col("count").cast("long").alias("count"), rnd("mean").alias("mean"),
+        "column", F.col("n").alias("count"), rnd("mean").alias("mean"),
         rnd("q50").alias("median"), rnd("mode").alias("mode"), rnd("std").alias("std"),
-        rnd("variance").alias("variance"), rnd("min").alias("min"), rnd("max").alias("max"),
+        rnd("var_samp").alias("variance"), rnd("min").alias("min"), rnd("max").alias("max"),
         rnd("q25").alias("q25"), rnd("q50").alias("q50"), rnd("q75").alias("q75"),
         rnd("skewness").alias("skewness"), rnd("kurtosis").alias("kurtosis"),
         rnd(F.col("q75") - F.col("q25")).alias("iqr"))
@@ -51,21 +54,18 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distribution table: percentiles, range, 1.5*IQR outlier count, shape, tails."""
-    long = numeric_long(df, cols)
-    vc = value_counts(long, ["column"])
-    q = quantile_wide(long, ["column"], "value",
-                      {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, vc)
-    fences = q.select("column", (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("_lo"),
-                      (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("_hi"))
-    # outliers counted on the distinct-value table: cnt-weighted, no second raw scan
+    vc, st = numeric_summary(df, cols, {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    fences = st.select("column", (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("_lo"),
+                       (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("_hi"))
+    # outliers counted on the distinct-value table (cnt-weighted)
     outl = (vc.join(F.broadcast(fences), "column")
               .groupBy("column")
               .agg(F.sum(F.when((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")),
                                 F.col("cnt")).otherwise(0)).alias("outlier_count")))
-    t = _moments(long).join(q, "column").join(outl, "column")
+    t = st.join(outl, "column")
     skew, kurt = F.col("skewness"), F.col("kurtosis")
     return t.select(
-        "column", F.col("count").cast("long").alias("count"), rnd("mean").alias("mean"),
+        "column", F.col("n").alias("count"), rnd("mean").alias("mean"),
         rnd("p50").alias("median"), rnd("std").alias("std"), rnd("min").alias("min"),
         rnd("p5").alias("p5"), rnd("p25").alias("p25"), rnd("p50").alias("p50"),
         rnd("p75").alias("p75"), rnd("p95").alias("p95"), rnd("max").alias("max"),
@@ -73,7 +73,7 @@ def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         rnd(F.col("p75") - F.col("p25")).alias("iqr"),
         rnd(skew).alias("skewness"), rnd(kurt).alias("kurtosis"),
         F.col("outlier_count").cast("long").alias("outlier_count"),
-        rnd(100.0 * F.col("outlier_count") / F.col("count"), 2).alias("outlier_pct"),
+        rnd(100.0 * F.col("outlier_count") / F.col("n"), 2).alias("outlier_pct"),
         F.when(skew > 0.5, "right-skewed").when(skew < -0.5, "left-skewed")
          .otherwise("symmetric").alias("shape"),
         F.when(F.abs(kurt) > 1.5, "heavy").when(F.abs(kurt) < 0.5, "light")
