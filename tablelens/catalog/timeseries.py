@@ -27,9 +27,11 @@ register("ts_count", _series_sql("day", "events", "ts", None))(
 
 M = f"({_series_sql('month')})"
 register("ts_stats", f"""
-SELECT round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median,
+SELECT {sround('CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value)')} AS mean,
+       round(quantile_cont(value, 0.5), 4) AS median,
        round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max,
-       round(sum(value), 4) AS total, CAST(count(value) AS BIGINT) AS count FROM {M}
+       {sround('CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE)')} AS total,
+       CAST(count(value) AS BIGINT) AS count FROM {M}
 """)(lambda s, d: TS.ts_stats(orders_series(s, d, "M")))
 
 register("growth", f"""

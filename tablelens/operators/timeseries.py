@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.dates import parse_timestamp
-from tablelens.functions.stats import attach, exact_sum, quantile_wide, rnd, row_numbers
+from tablelens.functions.stats import attach, exact_mean, exact_sum, quantile_wide, rnd, row_numbers
 
 FREQ_UNIT = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
@@ -66,9 +66,9 @@ def indexed(series: DataFrame) -> DataFrame:
 def ts_stats(series: DataFrame) -> DataFrame:
     """TS4: mean, median, std (n-1), min, max, total, count of bucket values."""
     med = quantile_wide(series.withColumn("_k", F.lit(0)), ["_k"], "value", {"median": 0.5}).drop("_k")
-    st = series.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    st = series.agg(exact_mean(F.col("value")).alias("mean"), F.stddev_samp("value").alias("std"),
                     F.min("value").alias("min"), F.max("value").alias("max"),
-                    F.sum("value").alias("total"), F.count("value").alias("count"))
+                    exact_sum(F.col("value")).alias("total"), F.count("value").alias("count"))
     return attach(st, med).select(
         rnd("mean").alias("mean"), rnd("median").alias("median"), rnd("std").alias("std"), rnd("min").alias("min"),
         rnd("max").alias("max"), rnd("total").alias("total"), F.col("count").cast("long"))
