@@ -64,13 +64,9 @@ def kde(df: DataFrame, col: str, points: int = 200) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """H4: (column, n, min, q1, median, mean, q3, max, lower_fence, upper_fence, n_outside)."""
-    from tablelens.functions.stats import quantile_wide
-    long = melt(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    vc = value_counts(long, ["column"])
-    q = quantile_wide(long, ["column"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc)
-    m = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
-                                   F.max("value").alias("max"), F.avg("value").alias("mean"))
-    t = m.join(q, "column").withColumn("lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
+    from tablelens.operators.describe import numeric_summary
+    vc, t = numeric_summary(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    t = t.withColumn("lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("uf", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     out = (vc.join(F.broadcast(t.select("column", "lf", "uf")), "column")
              .groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lf")) | (F.col("value") > F.col("uf")),

@@ -94,23 +94,20 @@ def describe_categorical(df: DataFrame, cols: Sequence[str], top_n: int = 10) ->
 
 
 def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Character and whitespace-word lengths of text columns, plus missingness."""
-    parts = []
-    for c in cols:
-        s = F.col(c).cast("string")
-        words = F.size(F.split(s, r"\s+"))
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(s).cast("long").alias("count"),
-            rnd(F.avg(F.length(s))).alias("avg_length"),
-            F.max(F.length(s)).cast("long").alias("max_length"),
-            rnd(F.avg(F.when(s.isNotNull(), words))).alias("avg_word_count"),
-            F.max(F.when(s.isNotNull(), words)).cast("long").alias("max_word_count"),
-            F.count_if(s.isNull()).cast("long").alias("missing"),
-            rnd(100.0 * F.count_if(s.isNull()) / F.count(F.lit(1)), 2).alias("missing_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Character and whitespace-word lengths of text columns, plus missingness
+    (one aggregate over all columns, one row per column)."""
+    aggs, rows = [F.count(F.lit(1)).alias("_n")], []
+    for i, c in enumerate(cols):
+        s_ = F.col(c).cast("string")
+        words = F.when(s_.isNotNull(), F.size(F.split(s_, r"\s+")))
+        aggs += [F.count(s_).alias(f"c{i}"), F.avg(F.length(s_)).alias(f"al{i}"), F.max(F.length(s_)).alias(f"ml{i}"),
+                 F.avg(words).alias(f"aw{i}"), F.max(words).alias(f"mw{i}")]
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").cast("long").alias("count"),
+                             rnd(f"al{i}").alias("avg_length"), F.col(f"ml{i}").cast("long").alias("max_length"),
+                             rnd(f"aw{i}").alias("avg_word_count"), F.col(f"mw{i}").cast("long").alias("max_word_count"),
+                             (F.col("_n") - F.col(f"c{i}")).cast("long").alias("missing"),
+                             rnd(100.0 * (F.col("_n") - F.col(f"c{i}")) / F.col("_n"), 2).alias("missing_pct")))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def ecdf_values(df: DataFrame, cols: Sequence[str], n: int = 500) -> DataFrame:

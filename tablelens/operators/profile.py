@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import attach, melt, quantile_wide, rnd
+from tablelens.functions.stats import attach, rnd
 from tablelens.functions.text import pytrim, title_case
 from tablelens.functions.types import CATEGORICAL, NUMERIC_GROUP
 from tablelens.operators.schema import detect_schema, is_missing, physical_kind, schema_types
@@ -57,11 +57,8 @@ def profile_columns(df: DataFrame) -> DataFrame:
     nums = [f.name for f in df.schema.fields if physical_kind(f.dataType) in ("int", "float")]
     if not nums:
         return sch.select("*", *[F.lit(None).cast("double").alias(k) for k in ("min", "max", "mean", "median", "std")])
-    long = melt(df, nums).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    mom = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"),
-                                     F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    med = quantile_wide(long, ["column"], "value", {"median": 0.5})
-    st = mom.join(med, "column")
+    from tablelens.operators.describe import numeric_summary
+    _, st = numeric_summary(df, nums, {"median": 0.5})
     return sch.join(st, "column", "left").select(
         "column", "dtype", "semantic_type", "cardinality", "missing", "missing_pct", "unique",
         rnd("min").alias("min"), rnd("max").alias("max"), rnd("mean").alias("mean"),
