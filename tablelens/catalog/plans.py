@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tablelens.catalog.base import register, table
-from tablelens.catalog.fixtures import dirty_events
-from tablelens.catalog.profile import ORDERS_F, schema_sql
+from tablelens.catalog.clean import _quality_sql
+from tablelens.catalog.fixtures import DIRTY_EVENTS_SQL, dirty_events
+from tablelens.catalog.profile import DIRTY_EVENTS_F, ORDERS_F, profile_sql, schema_sql
 from tablelens.operators import profile as P
 from tablelens.operators import schema as S
 from tablelens.plans import auto, charts, planner, report
@@ -81,8 +82,32 @@ def _summary(s, d):
     return report.summary_metrics(P.dataset_profile(df), P.assess_quality(df), S.schema_summary(S.detect_schema(df)))
 
 
-register("kpis")(_kpis)
-register("summary_metrics")(_summary)
+_DE_PARTS = f"""WITH {schema_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F)},
+p AS ({profile_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F)}),
+q AS ({_quality_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F)}),
+c AS (SELECT count_if(semantic_type IN {_NUM}) AS n, count_if(semantic_type = 'CATEGORICAL') AS k,
+             count_if(semantic_type = 'DATETIME') AS d FROM sch)"""
+
+register("kpis", _DE_PARTS + """
+SELECT CAST(1 AS BIGINT) AS pos, 'Records' AS label, format('{:,}', rows) AS value FROM p
+UNION ALL SELECT 2, 'Columns', CAST(columns AS VARCHAR) FROM p
+UNION ALL SELECT 3, 'Data Quality', CAST(score AS VARCHAR) || ' (Grade ' || grade || ')' FROM q
+UNION ALL SELECT 4, 'Missing', CAST(missing_total_pct AS VARCHAR) || '%' FROM p
+UNION ALL SELECT 5, 'Duplicates', format('{:,}', duplicates) FROM p
+UNION ALL SELECT 6, 'Numeric', CAST(n AS VARCHAR) FROM c
+UNION ALL SELECT 7, 'Categorical', CAST(k AS VARCHAR) FROM c
+UNION ALL SELECT 8, 'Date cols', CAST(d AS VARCHAR) FROM c
+""")(_kpis)
+
+register("summary_metrics", _DE_PARTS + """
+SELECT 'dataset' AS section, 'records' AS metric, CAST(rows AS VARCHAR) AS value FROM p
+UNION ALL SELECT 'dataset', 'columns', CAST(columns AS VARCHAR) FROM p
+UNION ALL SELECT 'dataset', 'missing_pct', CAST(missing_total_pct AS VARCHAR) FROM p
+UNION ALL SELECT 'dataset', 'duplicate_rows', CAST(duplicates AS VARCHAR) FROM p
+UNION ALL SELECT 'quality', 'score', CAST(score AS VARCHAR) FROM q
+UNION ALL SELECT 'quality', 'grade', grade FROM q
+UNION ALL SELECT 'schema', semantic_type, CAST(count(*) AS VARCHAR) FROM sch GROUP BY semantic_type
+""")(_summary)
 
 
 def _auto(s, d):

@@ -147,10 +147,15 @@ register("duplicate_count", f"""
 SELECT rows, distinct_rows, rows - distinct_rows AS duplicates FROM {_dup_sql}
 """)(lambda s, d: P.duplicate_rows(dirty_events(s, d)))
 
-register("dataset_profile", f"""WITH m AS ({_missing_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F)}),
-d AS {_dup_sql}
-SELECT rows, CAST({len(DIRTY_EVENTS_F)} AS BIGINT) AS columns, rows - distinct_rows AS duplicates,
+def profile_sql(src, fields):
+    dup = f"""(SELECT CAST(count(*) AS BIGINT) AS rows, CAST((SELECT count(*) FROM (SELECT DISTINCT * FROM
+  {src})) AS BIGINT) AS distinct_rows FROM {src})"""
+    return f"""WITH m AS ({_missing_sql(src, fields)}),
+d AS {dup}
+SELECT rows, CAST({len(fields)} AS BIGINT) AS columns, rows - distinct_rows AS duplicates,
        CAST((SELECT sum(missing) FROM m) AS BIGINT) AS missing_total,
        round(100.0 * (SELECT avg(missing / n_rows) FROM m), 2) AS missing_total_pct
-FROM d
-""")(lambda s, d: P.dataset_profile(dirty_events(s, d)))
+FROM d"""
+
+
+register("dataset_profile", profile_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F))(lambda s, d: P.dataset_profile(dirty_events(s, d)))
