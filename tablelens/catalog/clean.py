@@ -96,7 +96,6 @@ def _pipeline_summary(s, d):
     return C.clean_dataset(dirty_events(s, d), order_by="event_id").summary()
 
 
-register("cleaning_log")(_pipeline_log)
 register("clean_summary")(_pipeline_summary)
 
 
@@ -150,3 +149,63 @@ register("data_quality", _quality_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F))(
 register("data_quality_orders", _quality_sql(DIRTY_ORDERS_SQL, DIRTY_ORDERS_F))(
     lambda s, d: P.assess_quality(dirty_orders(s, d)))
 _ = F
+
+
+def _cleaning_log_sql(src, fields):
+    """The clean_dataset audit log computed in SQL; each step's applicability
+    comes from the semantic types of the ``sch`` CTE."""
+    def typ(c):
+        return f"(SELECT semantic_type FROM sch WHERE \"column\" = '{c}')"
+    num_types = "('NUMERIC', 'CURRENCY', 'PERCENTAGE')"
+    strings = [(i, c) for i, (c, _, k) in enumerate(fields) if k == "string"]
+    tr = {c: PYTRIM.format(x=c) for _, c in strings}
+    parts = []
+    for i, c in strings:
+        parts.append(f"SELECT 1 AS st, {i} AS pos, '{c}' AS col, 'trim_whitespace' AS op, count_if({c} <> {tr[c]}) AS n, "
+                     f"'trimmed surrounding whitespace' AS reason FROM {src}")
+        parts.append(f"SELECT 2, {i}, '{c}', 'normalize_category_case', "
+                     f"CASE WHEN {typ(c)} = 'CATEGORICAL' THEN count_if({tr[c]} <> {TITLE.format(x=tr[c])}) ELSE 0 END, "
+                     f"'normalised inconsistent capitalisation' FROM {src}")
+        parsed = f"count(TRY_CAST(trim({tr[c]}) AS TIMESTAMP))"
+        parts.append(f"SELECT 3, {i}, '{c}', 'parse_datetime', CASE WHEN {typ(c)} = 'DATETIME' THEN {parsed} ELSE 0 END, "
+                     f"'parsed ' || {parsed} || ' values to datetime' FROM {src}")
+        coerced = f"count(TRY_CAST(replace(replace({tr[c]}, ',', ''), '$', '') AS DOUBLE))"
+        parts.append(f"SELECT 4, {i}, '{c}', 'coerce_numeric', CASE WHEN {typ(c)} IN {num_types} THEN {coerced} ELSE 0 END, "
+                     f"'converted numeric strings to numbers' FROM {src}")
+    # the cleaned values of every column (strings: trimmed, title-cased, parsed or coerced by type)
+    vals = []
+    for c, _, k in fields:
+        if k != "string":
+            vals.append(f"{c}")
+            continue
+        vals.append(f"""CASE {typ(c)} WHEN 'CATEGORICAL' THEN {TITLE.format(x=tr[c])}
+            WHEN 'DATETIME' THEN CAST(TRY_CAST(trim({tr[c]}) AS TIMESTAMP) AS VARCHAR)
+            ELSE CASE WHEN {typ(c)} IN {num_types}
+                      THEN CAST(TRY_CAST(replace(replace({tr[c]}, ',', ''), '$', '') AS DOUBLE) AS VARCHAR)
+                      ELSE {tr[c]} END END AS {c}""")
+    cleaned = f"(SELECT {', '.join(vals)} FROM {src})"
+    parts.append(f"SELECT 5, 0, 'ALL_ROWS', 'remove_exact_duplicates', "
+                 f"(SELECT count(*) FROM {cleaned}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {cleaned})), "
+                 f"'removed ' || ((SELECT count(*) FROM {cleaned}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM "
+                 f"{cleaned}))) || ' exact duplicate row(s)'")
+    dedup = f"(SELECT DISTINCT * FROM {cleaned})"
+    for i, (c, _, k) in enumerate(fields):
+        miss = f"count_if({c} IS NULL{' OR isnan(' + c + ')' if k == 'float' else ''})"
+        parts.append(f"SELECT 6, {i}, '{c}', CASE WHEN {typ(c)} = 'DATETIME' THEN 'datetime_none' ELSE 'fill_mode' END, "
+                     f"CASE WHEN {typ(c)} = 'DATETIME' OR {typ(c)} NOT IN {num_types} THEN {miss} ELSE 0 END, "
+                     f"CASE WHEN {typ(c)} = 'DATETIME' THEN 'datetime not imputed blindly' "
+                     f"ELSE 'imputed with mode ''' || coalesce((SELECT CAST({c} AS VARCHAR) FROM {dedup} "
+                     f"WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), '') || '''' END FROM {dedup}")
+    consts = " + ".join(f"(SELECT CASE WHEN count(DISTINCT {c}) <= 1 THEN 1 ELSE 0 END FROM {dedup})"
+                        for c, _, _ in fields)
+    parts.append(f"SELECT 7, 0, 'ALL_COLUMNS', 'drop_empty_or_constant', {consts}, "
+                 f"'dropped ' || ({consts}) || ' empty/constant column(s)'")
+    u = "\n  UNION ALL ".join(parts)
+    return f"""WITH {schema_sql(src, fields)},
+lg AS ({u})
+SELECT CAST(row_number() OVER (ORDER BY st, pos) AS INTEGER) AS seq, col AS "column", op AS operation,
+       CAST(n AS BIGINT) AS rows_affected, reason
+FROM lg WHERE n > 0"""
+
+
+register("cleaning_log", _cleaning_log_sql(DIRTY_ORDERS_SQL, DIRTY_ORDERS_F))(_pipeline_log)
