@@ -130,3 +130,12 @@ def _sections(s, d):
 register("findings")(_findings)
 register("sections")(_sections)
 register("auto_eda")(lambda s, d: _auto(s, d)["status"])
+
+
+def _bundle(s, d):
+    r = _auto(s, d)
+    keep = ["profile", "quality", "plan", "findings", "composition_insights", "trend"]
+    return report.report_bundle({k: r[k] for k in keep if k in r})
+
+
+register("report_bundle")(_bundle)

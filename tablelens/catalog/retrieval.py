@@ -124,3 +124,11 @@ def _rag(s, d):
 
 
 _ = F
+
+
+def _svd(s, d):
+    from tablelens.operators.svd import svd_embed
+    return svd_embed(V.tfidf(table(s, d, "documents"), "doc_id", "text"), "doc_id", k=200)
+
+
+register("svd_embed")(_svd)

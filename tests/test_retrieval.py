@@ -58,3 +58,18 @@ def test_dense_topk_matches_numpy(spark):
         s = m @ qv / (np.linalg.norm(m, axis=1) * np.linalg.norm(qv))
         exp = [i for i in np.argsort(-s) if s[i] > 0][:5]
         assert got[got.qid == qid].sort_values("rank")["vid"].tolist() == exp
+
+
+def test_randomized_svd_matches_numpy(spark):
+    from tablelens.operators.svd import singular_values, svd_embed
+    rng = np.random.default_rng(11)
+    a = rng.random((60, 5)) @ rng.random((5, 30))  # rank 5
+    a[a < np.quantile(a, 0.3)] = 0
+    rows = [(i, f"t{j:02d}", float(a[i, j])) for i in range(60) for j in range(30) if a[i, j] != 0]
+    w = spark.createDataFrame(rows, "id long, term string, weight double")
+    got = singular_values(w, "id", 5)
+    exp = np.linalg.svd(a, compute_uv=False)[:5]
+    assert np.allclose(got, exp, rtol=1e-6)
+    emb = svd_embed(w, "id", k=5).toPandas()
+    assert len(emb) == int((a != 0).any(axis=1).sum())
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in emb["vector"])
