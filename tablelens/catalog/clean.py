@@ -1,7 +1,5 @@
 """Cleaning and quality queries (C1-C13, A4) over the dirt fixtures."""
 
-from pyspark.sql import functions as F
-
 from tablelens.catalog.base import register, sround
 from tablelens.catalog.fixtures import DIRTY_EVENTS_SQL, DIRTY_ORDERS_SQL, dirty_events, dirty_orders
 from tablelens.catalog.profile import DIRTY_EVENTS_F, DIRTY_ORDERS_F, schema_sql
@@ -148,7 +146,6 @@ register("data_quality", _quality_sql(DIRTY_EVENTS_SQL, DIRTY_EVENTS_F))(
     lambda s, d: P.assess_quality(dirty_events(s, d)))
 register("data_quality_orders", _quality_sql(DIRTY_ORDERS_SQL, DIRTY_ORDERS_F))(
     lambda s, d: P.assess_quality(dirty_orders(s, d)))
-_ = F
 
 
 def _cleaning_log_sql(src, fields):

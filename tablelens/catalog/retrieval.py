@@ -1,7 +1,5 @@
 """Chunking, TF-IDF and retrieval queries (V1-V7)."""
 
-from pyspark.sql import functions as F
-
 from tablelens.catalog.base import register, table
 from tablelens.functions import lexicon as L
 from tablelens.functions.stats import rnd
@@ -82,8 +80,9 @@ SELECT * FROM hits
 
 def _tfidf_topk(s, d):
     docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
-    idf = V.fit_idf(docs, "doc_id", "text")
-    return V.search(V.transform_tfidf(docs, "doc_id", "text", idf), "doc_id",
+    tf = V.term_counts(docs, "doc_id", "text")
+    idf = V.fit_idf(docs, "doc_id", "text", tf=tf)
+    return V.search(V.transform_tfidf(docs, "doc_id", "text", idf, tf), "doc_id",
                     V.transform_tfidf(bench, "item_id", "text", idf), "item_id", 5)
 
 
@@ -123,8 +122,6 @@ def _rag(s, d):
     return V.build_context(hits, "item_id", ch.select("chunk_key", "doc_id", "text"), ["chunk_key"], "doc_id")
 
 
-_ = F
-
 
 def _svd(s, d):
     from tablelens.operators.svd import svd_embed

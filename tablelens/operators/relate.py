@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import melt, ranked_values, rnd, safe_corr, value_counts
+from tablelens.functions.stats import ranked_values, rnd, safe_corr, value_counts
 from tablelens.operators.groups import label
 
 
@@ -119,5 +119,3 @@ def relationship_report(df: DataFrame, types: dict) -> dict:
         out["categorical"] = categorical_associations(df, cat)
     return out
 
-
-_ = melt

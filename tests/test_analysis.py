@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tablelens.operators import anomaly as N
 from tablelens.operators import groups as G
@@ -83,4 +82,3 @@ def test_valence_hand_computed(spark):
 def test_sentiment_summary_sums_to_100(text_df):
     r = X.sentiment_summary(text_df, ["review"]).first()
     assert abs(r["positive_pct"] + r["neutral_pct"] + r["negative_pct"] - 100) <= 0.01
-    _ = F

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from tablelens.operators import profile as P
 from tablelens.operators import schema as S
 
@@ -46,4 +44,3 @@ def test_missing_report_order(spark):
     df = spark.createDataFrame([(None, 1.0), (None, float("nan")), (3, 2.0)], "a long, b double")
     rows = P.missing_report(df).orderBy("rank").collect()
     assert [(r["column"], r["missing"]) for r in rows] == [("a", 2), ("b", 1)]
-    _ = F

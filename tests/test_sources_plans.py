@@ -1,7 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
-from tablelens.operators import schema as S
 from tablelens.plans import charts, planner, report
 from tablelens.sources import readers, sampling
 
@@ -77,4 +74,3 @@ def test_parse_sections(spark):
     df = spark.createDataFrame([("d", md)], "doc string, text string")
     s = {r["section"]: r["body"] for r in report.parse_sections(df, "doc", "text").collect()}
     assert s == {"One": "a\nb\n", "Two": "c\n"}
-    _ = (F, S)
