@@ -45,14 +45,21 @@ def melt(df: DataFrame, cols: Sequence[str], cast: str = "double",
     return projected.unpivot(list(ids), list(cols), key, value)
 
 
+# Offsets tables up to this many rows are broadcast; larger ones (very many keys)
+# are joined by a shuffle on (partition id, keys), which spreads a hot key.
+MAX_BROADCAST_OFFSETS = 2_000_000
+
+
 def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, weight=None,
-               out: str = "_cum", partitions: int | None = None) -> DataFrame:
+               out: str = "_cum", partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` (default 1) per ``keys`` along ``order``.
 
     Exact and skew-safe: a range exchange on ``(keys, order)`` bounds every task
     by one range partition, no matter how large a key is. ``order`` must be a
     total order within a key for row-number semantics; ties are kept together
     by the range partitioner, so cumulative *counts* over tied values are exact.
+    With ``total`` set, the key's grand total is added under that name (from the
+    same small offsets table, so callers need no join back to a per-key count).
     """
     keys = list(keys)
     order_cols = [_c(o) for o in order]
@@ -61,7 +68,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, weight=None,
     ranged = (df.withColumn("_w", w)
                 .repartitionByRange(p, *[F.col(k) for k in keys], *order_cols)
                 .withColumn("_pid", F.spark_partition_id()))
-    # Both branches below must see the same partition ids. Two independent range
+    # Both uses below must see the same partition ids. Two independent range
     # exchanges would sample their bounds separately, so the ranged table is
     # materialised once in the shared checkpoint folder (also cuts lineage).
     checkpoint_dir(df.sparkSession)
@@ -70,16 +77,27 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence, weight=None,
         "_lcum",
         F.sum("_w").over(Window.partitionBy("_pid", *keys).orderBy(*order_cols)
                          .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # partial aggregation: only (#partitions x #keys) rows are exchanged
     totals = ranged.groupBy("_pid", *keys).agg(F.sum("_w").alias("_ptot"))
     offsets = totals.withColumn(
         "_off",
         F.coalesce(F.sum("_ptot").over(Window.partitionBy(*keys).orderBy("_pid")
                                        .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0))).drop("_ptot")
-    offsets = offsets.select(*[F.col(c).alias("_o_" + c) for c in ["_pid", *keys]], "_off")
+                   F.lit(0)))
+    if total:
+        offsets = offsets.withColumn("_tot", F.sum("_ptot").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("_ptot")
+    offsets = offsets.select(*[F.col(c).alias("_o_" + c) for c in ["_pid", *keys]], "_off",
+                             *(["_tot"] if total else []))
+    # a key's rows are contiguous in range order, so this table has at most
+    # #keys + #partitions rows; its size is checked before it is broadcast
+    offsets = offsets.checkpoint(eager=True)
+    if offsets.count() <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     cond = [local[c].eqNullSafe(offsets["_o_" + c]) for c in ["_pid", *keys]]
     res = local.join(offsets, cond, "inner").drop(*["_o_" + c for c in ["_pid", *keys]])
-    return res.withColumn(out, F.col("_off") + F.col("_lcum")).drop("_pid", "_lcum", "_off", "_w")
+    res = res.withColumn(out, F.col("_off") + F.col("_lcum")).drop("_pid", "_lcum", "_off", "_w")
+    return res.withColumnRenamed("_tot", total) if total else res
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn") -> DataFrame:
@@ -105,43 +123,38 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
     Same definition as Spark ``percentile`` / numpy / DuckDB ``quantile_cont``:
     position ``p*(n-1)``, interpolate between the order statistics around it.
     Works on the distinct-value table (map-side combined) and the skew-safe
-    :func:`cumulative`, so no task holds a whole column.
+    :func:`cumulative`. Every ranked value carries its key's total ``n``, so it
+    decides by itself whether its span holds a wanted order statistic: no join
+    on the key (which would send a whole column to one task), and only the hits
+    (at most 2 x #probs per key) reach the final aggregate.
     """
     keys = list(keys)
     vc = vc if vc is not None else value_counts(long, keys, value)
-    cum = ranked_values(vc, keys, value)
-    n = vc.groupBy(*keys).agg(F.sum("cnt").alias("_n"))
-    # one row per (key, prob, side): #keys x #probs x 2 rows, built by explode (no join)
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (n.withColumn("prob", F.explode(prob_arr))
-                .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-                .withColumn("_lo", F.floor("_pos"))
-                .withColumn("_hi", F.ceil("_pos")))
-    sides = targets.select(*keys, "prob", "_pos", "_lo", "_hi",
-                           F.explode(F.array_distinct(F.array(F.col("_lo"), F.col("_hi")))).alias("_idx"))
-    hit = pick_order_statistics(cum, sides, keys, value)
-    picked = hit.groupBy(*keys, "prob", "_pos", "_lo", "_hi").agg(
-        F.max(F.when(F.col("_idx") == F.col("_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_idx") == F.col("_hi"), F.col(value))).alias("_vhi"))
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
+    cum = ranked_values(vc, keys, value, total="_n")
+    sides = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"))
+                      for p in probs for side in (0, 1)])
+    pos = F.col("_s.prob") * (F.col("_n") - 1)
+    idx = F.when(F.col("_s.side") == 0, F.floor(pos)).otherwise(F.ceil(pos))
+    hit = (cum.select(*keys, value, "_start", "_end", "_n", F.explode(sides).alias("_s"))
+              .filter((F.col("_start") <= idx) & (idx < F.col("_end")))
+              .select(*keys, value, "_n", "_s.*"))
+    picked = hit.groupBy(*keys, "prob").agg(
+        F.max(F.when(F.col("side") == 0, F.col(value))).alias("_vlo"),
+        F.max(F.when(F.col("side") == 1, F.col(value))).alias("_vhi"),
+        F.max("_n").alias("_n"))
+    p_ = F.col("prob") * (F.col("_n") - 1)
+    lo, hi = F.floor(p_), F.ceil(p_)
+    q = F.when(lo == hi, F.col("_vlo")).otherwise((hi - p_) * F.col("_vlo") + (p_ - lo) * F.col("_vhi"))
     return picked.select(*keys, "prob", q.alias("q"))
 
 
-def ranked_values(vc: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their 0-based order-statistic span ``[_start, _end)``."""
-    cum = cumulative(vc, keys, [F.col(value)], "cnt", "_end")
+def ranked_values(vc: DataFrame, keys: Sequence[str], value: str, total: str | None = None) -> DataFrame:
+    """Distinct values with their 0-based order-statistic span ``[_start, _end)``
+    (and the key's total count under ``total`` when asked)."""
+    cum = cumulative(vc, keys, [F.col(value)], "cnt", "_end", total=total)
     return cum.withColumn("_start", F.col("_end") - F.col("cnt"))
 
 
-def pick_order_statistics(cum: DataFrame, targets: DataFrame, keys: Sequence[str],
-                          value: str, idx: str = "_idx") -> DataFrame:
-    """Attach to each target row (keys, idx, ...) the value whose span holds idx."""
-    cond = [cum[k].eqNullSafe(targets[k]) for k in keys] + [
-        cum["_start"] <= targets[idx], targets[idx] < cum["_end"]]
-    return cum.join(targets, cond, "inner").select(targets["*"], cum[value])
-
-
 def quantile_wide(long: DataFrame, keys: Sequence[str], value: str,
                   probs: dict[str, float], vc: DataFrame | None = None) -> DataFrame:
     """:func:`exact_quantiles` pivoted to one column per name in ``probs``."""

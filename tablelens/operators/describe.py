@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import (
-    exact_quantiles, materialize, melt, modes, pick_order_statistics, quantile_wide, ranked_values,
+    exact_quantiles, materialize, melt, modes, quantile_wide, ranked_values,
     rnd, top_k, value_counts, weighted_moments,
 )
 
@@ -117,14 +117,21 @@ def ecdf_values(df: DataFrame, cols: Sequence[str], n: int = 500) -> DataFrame:
     ``linspace`` then truncation, last index N-1), y = (i+1)/min(N, n)."""
     long = numeric_long(df, cols)
     vc = value_counts(long, ["column"])
-    cum = ranked_values(vc, ["column"], "value")
-    sizes = vc.groupBy("column").agg(F.sum("cnt").alias("_n"))
-    m = F.least(F.col("_n"), F.lit(n))
-    targets = (sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)))
-                    .withColumn("_idx", F.when(F.col("_n") <= n, F.col("i"))
-                                .when(F.col("i") == n - 1, F.col("_n") - 1)
-                                .otherwise(F.floor(F.col("i") * ((F.col("_n") - 1) / F.lit(float(n - 1)))))))
-    picked = pick_order_statistics(cum, targets, ["column"], "value")
+    cum = ranked_values(vc, ["column"], "value", total="_n")
+    # each distinct value finds the points i whose index falls in its span
+    # [_start, _end) from a short candidate range (no join on the column key)
+    big = F.col("_n") > n
+    ratio = F.lit(float(n - 1)) / (F.col("_n") - 1)
+    first = F.when(big, F.greatest(F.lit(0).cast("long"), F.floor(F.col("_start") * ratio) - 1)) \
+             .otherwise(F.col("_start"))
+    last = F.when(big, F.least(F.lit(n - 1).cast("long"), F.ceil(F.col("_end") * ratio) + 1)) \
+            .otherwise(F.col("_end") - 1)
+    c = cum.select("column", "value", "_start", "_end", "_n",
+                   F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("i"))
+    idx = (F.when(F.col("_n") <= n, F.col("i"))
+            .when(F.col("i") == n - 1, F.col("_n") - 1)
+            .otherwise(F.floor(F.col("i") * ((F.col("_n") - 1) / F.lit(float(n - 1))))))
+    picked = c.filter((F.col("_start") <= idx) & (idx < F.col("_end")))
     return picked.select("column", F.col("i").cast("long").alias("i"), F.col("value").alias("x"),
                          ((F.col("i") + 1) / F.least(F.col("_n"), F.lit(n))).alias("y"))
 
