@@ -23,7 +23,8 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from tablelens.sources.readers import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sql_melt(table_name: str, cols, cast: str = "DOUBLE", where: str | None = None) -> str:

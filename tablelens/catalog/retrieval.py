@@ -82,8 +82,9 @@ def _tfidf_topk(s, d):
     docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
     tf = V.term_counts(docs, "doc_id", "text")
     idf = V.fit_idf(docs, "doc_id", "text", tf=tf)
+    qtf = V.term_counts(bench, "item_id", "text")
     return V.search(V.transform_tfidf(docs, "doc_id", "text", idf, tf), "doc_id",
-                    V.transform_tfidf(bench, "item_id", "text", idf), "item_id", 5)
+                    V.transform_tfidf(bench, "item_id", "text", idf, qtf), "item_id", 5, query_rows=qtf.count())
 
 
 register("cosine_topk", """
@@ -117,8 +118,9 @@ FROM hits JOIN chk USING (chunk_key) GROUP BY item_id
 
 def _rag(s, d):
     ch, idf, index = V.build_index(table(s, d, "documents"), "doc_id", "text")
-    q = V.transform_tfidf(table(s, d, "benchmark"), "item_id", "text", idf)
-    hits = V.search(index, "chunk_key", q, "item_id", 3)
+    qtf = V.term_counts(table(s, d, "benchmark"), "item_id", "text")
+    q = V.transform_tfidf(table(s, d, "benchmark"), "item_id", "text", idf, qtf)
+    hits = V.search(index, "chunk_key", q, "item_id", 3, query_rows=qtf.count())
     return V.build_context(hits, "item_id", ch.select("chunk_key", "doc_id", "text"), ["chunk_key"], "doc_id")
 
 

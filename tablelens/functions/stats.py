@@ -106,7 +106,18 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, out: str =
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: str = "rank") -> DataFrame:
-    """First ``k`` rows per key along ``order`` (exact, bounded tasks)."""
+    """First ``k`` rows per key along ``order`` (exact, bounded tasks).
+
+    Up to Spark's window-group-limit threshold, ``row_number() <= k`` is planned
+    with a partial ``WindowGroupLimit`` before the exchange: every map task sends
+    at most ``k`` rows per key, so a key holding a third of all rows still
+    reaches its reducer as (#map tasks x k) rows. Larger ``k`` uses the
+    range-partitioned :func:`row_numbers`."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    order_cols = [_c(o) for o in order]
+    if 0 < k <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.withColumn(out, F.row_number().over(w).cast("long")).filter(F.col(out) <= k)
     return row_numbers(df, keys, order, out).filter(F.col(out) <= k)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import attach, exact_mean, exact_quantiles, melt, rnd, row_numbers
+from tablelens.functions.stats import attach, exact_mean, exact_quantiles, melt, rnd, row_numbers, top_k
 
 NULL_LABEL = "(null)"
 
@@ -91,7 +91,7 @@ def composition_insights(df: DataFrame, cats: Sequence[str], top_n: int = 5) ->
     long = melt(df.select(*cats), cats, "string", "column", "category")
     g = long.groupBy("column", label("category").alias("category")).agg(F.count(F.lit(1)).alias("cnt"))
     n = g.groupBy("column").agg(F.sum("cnt").alias("_n"))
-    top = row_numbers(g, ["column"], [F.col("cnt").desc(), F.col("category")], "rank").filter(F.col("rank") <= top_n)
+    top = top_k(g, ["column"], [F.col("cnt").desc(), F.col("category")], top_n, "rank")
     return top.join(n, "column").select(
         "column", "category", rnd(100.0 * F.col("cnt") / F.col("_n"), 2).alias("pct"),
         F.col("rank").cast("long").alias("rank"))

@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import lexicon as L
-from tablelens.functions.stats import attach, rnd, row_numbers
+from tablelens.functions.stats import attach, materialize, rnd, top_k
 from tablelens.functions.text import pytrim
 
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
@@ -123,7 +123,10 @@ def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000,
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     vocab = dfreq.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-    return attach(vocab, n).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = attach(vocab, n).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # at most max_features rows: written once so every later use (document and
+    # query weights, their norms) reads it instead of re-tokenising the corpus
+    return materialize(idf)
 
 
 def transform_tfidf(df: DataFrame, id_col: str, text_col: str, idf: DataFrame,
@@ -132,8 +135,9 @@ def transform_tfidf(df: DataFrame, id_col: str, text_col: str, idf: DataFrame,
     (id, term, weight). ``idf`` has at most ``max_features`` rows (broadcast)."""
     tf = tf if tf is not None else _term_counts(df, id_col, text_col)
     w = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    # one window per item (at most max_features terms each) instead of a join back
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000) -> DataFrame:
@@ -142,16 +146,31 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000) -
     return transform_tfidf(df, id_col, text_col, fit_idf(df, id_col, text_col, max_features, tf), tf)
 
 
-def search(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, k: int = 5) -> DataFrame:
+# Query-side term rows up to this count are broadcast to the index partitions.
+MAX_BROADCAST_QUERY_TERMS = 2_000_000
+
+
+def search(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, k: int = 5,
+           query_rows: int | None = None) -> DataFrame:
     """V4/V5 sparse: cosine scores (both sides L2-normalised) of every query
     against every indexed item sharing a term; scores <= 0 dropped; top ``k``
-    per query (exact, skew-safe ranking): (query_id, index_id, score, rank)."""
+    per query (exact, skew-safe ranking): (query_id, index_id, score, rank).
+
+    The query side is broadcast when its row count is within
+    ``MAX_BROADCAST_QUERY_TERMS``: the index is then never shuffled by term (a
+    term found in a third of the items cannot load one task), and the scores
+    are summed on the index's own id partitioning. Beyond the limit the join
+    shuffles on term and AQE's skew handling splits hot terms. ``query_rows``
+    is an upper bound of the query side's rows when the caller has a cheap one
+    (e.g. the query texts' own term counts, before the vocabulary join)."""
     q = queries.select(F.col(query_id), F.col("term"), F.col("weight").alias("qw"))
     d = index.select(F.col(index_id), F.col("term"), F.col("weight").alias("dw"))
-    s = q.join(d, "term").groupBy(query_id, index_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
+    if (query_rows if query_rows is not None else q.count()) <= MAX_BROADCAST_QUERY_TERMS:
+        q = F.broadcast(q)
+    s = d.join(q, "term").groupBy(query_id, index_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
     # scores are ranked at 1e-6 resolution so exact copies tie and break by id
     s = s.filter(F.col("score") > 0).withColumn("score", rnd("score", 6))
-    r = row_numbers(s, [query_id], [F.col("score").desc(), F.col(index_id)], "rank").filter(F.col("rank") <= k)
+    r = top_k(s, [query_id], [F.col("score").desc(), F.col(index_id)], k, "rank")
     return r.select(query_id, index_id, "score", F.col("rank").cast("long"))
 
 
@@ -169,26 +188,28 @@ MAX_DENSE_QUERIES = 4096
 
 def dense_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid: str, qvec: str,
                k: int = 5) -> DataFrame:
-    """V5 dense: top ``k`` vectors by cosine for each query vector. Query vectors
-    are shipped inside the plan as one array literal per batch of at most
-    ``MAX_DENSE_QUERIES`` (their count is checked), so the vector table is
-    scanned once per batch and never joined with itself."""
-    qs = queries.select(qid, qvec).collect()
+    """V5 dense: top ``k`` vectors by cosine for each query vector.
+
+    Query vectors are packed into one-row batches of about ``MAX_DENSE_QUERIES``
+    (hash-assigned; only their count reaches the driver) and each batch row is
+    broadcast to the vector partitions, so the vector table is scanned once per
+    batch, never shuffled and never joined with itself."""
+    n = queries.count()
+    nb = max(1, -(-n // MAX_DENSE_QUERIES))
+    packed = (queries.select(F.pmod(F.xxhash64(qid), F.lit(nb)).alias("_b"),
+                             F.struct(F.col(qid).alias("q"), F.col(qvec).cast("array<double>").alias("v")).alias("s"))
+                     .groupBy("_b").agg(F.collect_list("s").alias("_qs")))
     parts = []
-    for start in range(0, len(qs), MAX_DENSE_QUERIES):
-        batch = qs[start:start + MAX_DENSE_QUERIES]
-        arr = F.array(*[F.struct(F.lit(r[qid]).alias("q"),
-                                 F.array(*[F.lit(float(x)) for x in r[qvec]]).alias("v")) for r in batch])
-        scored = vectors.select(id_col, F.explode(F.transform(
-            arr, lambda s: F.struct(s["q"].alias(qid), cosine(s["v"], F.col(vec_col)).alias("score")))).alias("x"))
+    for b in range(nb):
+        batch = packed.filter(F.col("_b") == b).drop("_b")
+        scored = attach(vectors.select(id_col, vec_col), batch).select(id_col, F.explode(F.transform(
+            "_qs", lambda s: F.struct(s["q"].alias(qid), cosine(s["v"], F.col(vec_col)).alias("score")))).alias("x"))
         parts.append(scored.select(id_col, "x.*"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"{qid} long, {id_col} long, score double, rank long")
     s = parts[0]
     for p in parts[1:]:
         s = s.unionByName(p)
     s = s.filter(F.col("score") > 0).withColumn("score", rnd("score", 6))
-    r = row_numbers(s, [qid], [F.col("score").desc(), F.col(id_col)], "rank").filter(F.col("rank") <= k)
+    r = top_k(s, [qid], [F.col("score").desc(), F.col(id_col)], k, "rank")
     return r.select(qid, id_col, "score", F.col("rank").cast("long"))
 
 

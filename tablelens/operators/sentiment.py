@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import lexicon as L
-from tablelens.functions.stats import melt, rnd, row_numbers
+from tablelens.functions.stats import melt, rnd, top_k
 from tablelens.operators.groups import label
 
 
@@ -92,8 +92,8 @@ def sentiment_words(df: DataFrame, cols: Sequence[str], k: int = 12) -> DataFram
     long = _long(df, cols).withColumn("label", sentiment_label(valence("text")))
     long = long.filter(F.col("label") != "neutral")
     c = _words(long, ["column", "label"]).groupBy("column", "label", "word").agg(F.count(F.lit(1)).alias("count"))
-    r = row_numbers(c, ["column", "label"], [F.col("count").desc(), F.col("word")], "rank")
-    return r.filter(F.col("rank") <= k).select("column", "label", "word", F.col("count").cast("long"),
+    r = top_k(c, ["column", "label"], [F.col("count").desc(), F.col("word")], k, "rank")
+    return r.select("column", "label", "word", F.col("count").cast("long"),
                                                F.col("rank").cast("long"))
 
 

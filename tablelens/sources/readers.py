@@ -32,6 +32,17 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if bad else "UTF-8"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's default parallelism when the scan
+    has fewer partitions than that (e.g. one file with one row group, which
+    Spark reads in a single task). A large input already scans in many tasks
+    and is returned unchanged, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def clean_names(df: DataFrame) -> DataFrame:
     """Strip surrounding whitespace (and a UTF-8 byte-order mark) from column names."""
     names = [c.replace(BOM, "").strip() for c in df.columns]
