@@ -22,9 +22,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry long texts: tokenising, sentence splitting and lexicon
+# scoring are per-row CPU work, so an under-partitioned scan of them is spread.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from tablelens.sources.readers import spread
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from tablelens.sources.readers import spread
+        return spread(df)
+    return df
 
 
 def sql_melt(table_name: str, cols, cast: str = "DOUBLE", where: str | None = None) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.stats import attach, rnd
 from tablelens.functions.text import pytrim, title_case
 from tablelens.functions.types import CATEGORICAL, NUMERIC_GROUP
-from tablelens.operators.schema import detect_schema, is_missing, physical_kind, schema_types
+from tablelens.operators.schema import detect_schema, is_missing, physical_kind, schema_types, single_valued
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -88,8 +88,8 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
         aggs.append(F.count_if(miss).alias(f"m{i}"))
         nonnull_total.append(F.col(f"nn{i}"))
         aggs.append(F.count_if(~miss).alias(f"nn{i}"))
-        aggs.append(F.count_distinct(F.when(~miss, F.col(c))).alias(f"d{i}"))
-        empties.append(F.when(F.col(f"d{i}") <= 1, 1).otherwise(0))
+        aggs.append(single_valued(df, c).alias(f"e{i}"))
+        empties.append(F.when(F.col(f"e{i}"), 1).otherwise(0))
         if types.get(c) in NUMERIC_GROUP and kinds[c] not in ("int", "float"):
             aggs.append(F.count_if(F.expr(f"try_cast(`{c}` as double)").isNull()).alias(f"iv{i}"))
             invalid.append(F.col(f"iv{i}"))

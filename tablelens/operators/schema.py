@@ -54,6 +54,17 @@ def is_missing(df: DataFrame, c: str):
     return F.col(c).isNull()
 
 
+def single_valued(df: DataFrame, c: str):
+    """Aggregate expression: true when ``c`` holds at most one distinct
+    non-missing value. For orderable types this is ``min = max`` (a plain
+    partial aggregate); ``count_distinct`` would copy every row once per
+    distinct column."""
+    present = F.when(~is_missing(df, c), F.col(c))
+    if physical_kind(df.schema[c].dataType) in ("int", "float", "string", "bool", "datetime"):
+        return F.min(present).isNull() | (F.min(present) == F.max(present))
+    return F.count_distinct(present) <= 1
+
+
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, dtype, kind, n_rows, missing, distinct, vmin, vmax, date_ok,
     num_err, bool_bad) - one aggregate over ``df``, exploded per column."""

@@ -51,3 +51,44 @@ def test_modes_smallest_on_ties(spark):
 def test_safe_corr_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 4.0)], "a double, b double")
     assert df.agg(safe_corr("a", "b").alias("c")).first()["c"] is None
+
+
+def test_top_k_matches_pandas_with_hot_key(spark):
+    from tablelens.functions.stats import top_k
+    pdf, df = _skewed(spark, seed=3)
+    got = top_k(df, ["k"], [F.col("v").desc(), F.col("id")], 7, "rank").toPandas()
+    exp = pdf.sort_values(["k", "v", "id"], ascending=[True, False, True])
+    exp["rank"] = exp.groupby("k").cumcount() + 1
+    exp = exp[exp["rank"] <= 7]
+    key = ["k", "id", "rank"]
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, exp[key].values.tolist()))
+
+
+def test_top_k_plans_a_partial_group_limit(spark):
+    from tablelens.functions.stats import top_k
+    _, df = _skewed(spark, seed=4)
+    plan = top_k(df, ["k"], [F.col("v").desc(), F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_ecdf_points_with_hot_value(spark):
+    from tablelens.operators.describe import ecdf_values
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(4000) < 0.34, 7.0, rng.normal(0, 10, 4000).round(3))
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for n in (50, 5000):
+        got = ecdf_values(df, ["x"], n).orderBy("i").toPandas()
+        s = np.sort(x)
+        m = min(len(s), n)
+        idx = [i if len(s) <= n else (len(s) - 1 if i == n - 1 else int(np.floor(i * ((len(s) - 1) / (n - 1)))))
+               for i in range(m)]
+        assert got["i"].tolist() == list(range(m))
+        assert np.array_equal(got["x"].to_numpy(), s[idx])
+
+
+def test_single_valued(spark):
+    from tablelens.operators.schema import single_valued
+    df = spark.createDataFrame([(1, None, "a", float("nan")), (1, None, "b", 2.0), (1, None, None, 2.0)],
+                               "a long, b string, c string, d double")
+    row = df.agg(*[single_valued(df, c).alias(c) for c in df.columns]).first()
+    assert (row["a"], row["b"], row["c"], row["d"]) == (True, True, False, True)
