@@ -154,9 +154,8 @@ def isolation_forest_flags(df: DataFrame, cols, contamination: float = 0.02, n_t
         from tablelens.operators.anomaly import flag_anomalies
         return flag_anomalies(df, cols, "zscore").select(*df.columns, "is_anomaly",
                                                         F.lit(None).cast("double").alias("if_score"))
-    from tablelens.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)  # scores are used twice: threshold and flags
+    from tablelens.functions.stats import materialize
+    s = materialize(s)  # scores are used twice: threshold and flags
     q = exact_quantiles(s.select(F.lit(0).alias("_k"), F.col("if_score").alias("v")), ["_k"], "v",
                         [1.0 - contamination]).select(F.col("q").alias("_thr"))
     from tablelens.functions.stats import attach
