@@ -157,13 +157,25 @@ def parse_sections(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
                         F.array_join(F.transform(body_lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("body"))
 
 
+# A bundled table is folded into one JSON value in one task, so its size is
+# bounded explicitly; larger tables belong in the distributed JSON sink.
+MAX_BUNDLE_ROWS = 100_000
+
+
 def report_bundle(results: dict) -> DataFrame:
     """K6: one row per result table: (name, json) with the table's rows as a
-    JSON array (result tables are small by construction)."""
+    JSON array. Result tables are small by construction (one row per column,
+    step or finding). At most ``MAX_BUNDLE_ROWS + 1`` rows reach the aggregate,
+    and a larger table fails the query instead of being truncated."""
     parts = []
     for name, t in results.items():
-        parts.append(t.agg(F.to_json(F.collect_list(F.struct(*t.columns))).alias("json"))
-                      .select(F.lit(name).alias("name"), "json"))
+        capped = t.limit(MAX_BUNDLE_ROWS + 1)
+        agg = capped.agg(F.count(F.lit(1)).alias("_n"),
+                         F.to_json(F.collect_list(F.struct(*t.columns))).alias("json"))
+        too_big = F.raise_error(F.lit(f"result table '{name}' has more than {MAX_BUNDLE_ROWS} rows; "
+                                      "write it with sources.sinks.export_results instead"))
+        parts.append(agg.select(F.lit(name).alias("name"),
+                                F.when(F.col("_n") > MAX_BUNDLE_ROWS, too_big).otherwise(F.col("json")).alias("json")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -74,3 +74,14 @@ def test_parse_sections(spark):
     df = spark.createDataFrame([("d", md)], "doc string, text string")
     s = {r["section"]: r["body"] for r in report.parse_sections(df, "doc", "text").collect()}
     assert s == {"One": "a\nb\n", "Two": "c\n"}
+
+
+def test_report_bundle_refuses_an_oversized_table(spark, monkeypatch):
+    import pytest
+    from tablelens.plans import report
+    monkeypatch.setattr(report, "MAX_BUNDLE_ROWS", 5)
+    small = spark.range(3).withColumnRenamed("id", "x")
+    row = report.report_bundle({"small": small}).first()
+    assert row["name"] == "small" and row["json"] == '[{"x":0},{"x":1},{"x":2}]'
+    with pytest.raises(Exception, match="more than 5 rows"):
+        report.report_bundle({"big": spark.range(6)}).collect()
