@@ -68,15 +68,17 @@ def single_valued(df: DataFrame, c: str):
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, dtype, kind, n_rows, missing, distinct, vmin, vmax, date_ok,
     num_err, bool_bad) - one aggregate over ``df``, exploded per column."""
-    aggs, structs = [F.count(F.lit(1)).alias("_n")], []
+    aggs, daggs, structs = [F.count(F.lit(1)).alias("_n")], [], []
     for i, f in enumerate(df.schema.fields):
         c, kind = f.name, physical_kind(f.dataType)
         col = F.col(c)
         miss = is_missing(df, c)
         present = col.isNotNull() & ~miss
-        distinct = (F.approx_count_distinct(F.when(present, col)) if approx
-                    else F.count_distinct(F.when(present, col)))
-        aggs += [F.count_if(miss).alias(f"m{i}"), distinct.alias(f"d{i}")]
+        if approx:
+            aggs.append(F.approx_count_distinct(F.when(present, col)).alias(f"d{i}"))
+        else:
+            daggs.append(F.count_distinct(F.when(present, col)).alias(f"d{i}"))
+        aggs.append(F.count_if(miss).alias(f"m{i}"))
         if kind in ("int", "float"):
             aggs += [F.min(F.when(present, col)).cast("double").alias(f"lo{i}"),
                      F.max(F.when(present, col)).cast("double").alias(f"hi{i}")]
@@ -100,6 +102,11 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
             F.col(f"hi{i}").alias("vmax"), F.col(f"dt{i}").cast("long").alias("date_ok"),
             F.col(f"ne{i}").cast("long").alias("num_err"), F.col(f"bb{i}").cast("long").alias("bool_bad")))
     one = df.agg(*aggs)
+    if daggs:
+        # exact distinct counts in their own aggregate: mixed with the others,
+        # Spark's distinct rewrite would evaluate the parses on expanded rows
+        from tablelens.functions.stats import attach
+        one = attach(one, df.agg(*daggs))
     return one.select(F.col("_n").alias("n_rows"), F.explode(F.array(*structs)).alias("s")).select(
         "n_rows", "s.*")
 
