@@ -81,7 +81,7 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
     cols = df.columns
     n_cols = len(cols)
     kinds = {f.name: physical_kind(f.dataType) for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs, daggs = [F.count(F.lit(1)).alias("_n")], []
     nonnull_total, invalid, empties, cons = [], [], [], []
     for i, c in enumerate(cols):
         miss = is_missing(df, c)
@@ -95,10 +95,12 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
             invalid.append(F.col(f"iv{i}"))
         if types.get(c) == CATEGORICAL:
             norm = title_case(F.lower(pytrim(F.col(c).cast("string"))))
-            aggs.append(F.count_distinct(norm).alias(f"cd{i}"))
+            daggs.append(F.count_distinct(norm).alias(f"cd{i}"))
             cons.append(F.when(F.col(f"nn{i}") > 0,
                                (F.col(f"nn{i}") - F.col(f"cd{i}")) / F.col(f"nn{i}")))
     one = df.agg(*aggs)
+    if daggs:  # distinct counts apart, so the other aggregates are not expanded
+        one = attach(one, df.agg(*daggs))
     n = F.col("_n")
     miss_rate = sum((F.col(f"m{i}") / n for i in range(n_cols)), F.lit(0.0)) / n_cols
     dup = duplicate_rows(df).select(F.col("duplicates").alias("_dups"))
