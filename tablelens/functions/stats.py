@@ -237,7 +237,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def weighted_moments(vc: DataFrame, keys: Sequence[str], value: str = "value", cnt: str = "cnt") -> DataFrame:
-    """Moments per key from a (keys, value, cnt) distinct-value table, two-pass:
+    """Moments per key (a column name) from a (keys, value, cnt) distinct-value table, two-pass:
     n, mean, var_samp, var_pop, std (n-1), std_pop, skewness (population),
     kurtosis (excess, population), min, max. Skewness/kurtosis are null for a
     constant column, the sample variance for a single value."""
@@ -246,7 +246,10 @@ def weighted_moments(vc: DataFrame, keys: Sequence[str], value: str = "value", c
     first = vc.groupBy(*keys).agg(F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
                                   F.min(v).alias("min"), F.max(v).alias("max"))
     d = v - F.col("mean")
-    second = vc.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(
+    # one mean per key; keys here are column names (bounded by the schema
+    # width), so the means are broadcast and the value table is not shuffled
+    # on a few keys (which would put a whole column in one task)
+    second = vc.join(F.broadcast(first.select(*keys, "mean")), keys).groupBy(*keys).agg(
         F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3"), F.sum(c * d * d * d * d).alias("m4"))
     m = first.join(second, keys)
     n, m2, m3, m4 = F.col("n"), F.col("m2"), F.col("m3"), F.col("m4")
