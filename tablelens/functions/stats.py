@@ -12,13 +12,12 @@ rows, is spread over many tasks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.session import checkpoint_dir
+from tablelens.session import scratch_path
 
 
 def _c(x) -> Column:
@@ -231,9 +230,9 @@ def materialize(df: DataFrame) -> DataFrame:
     compressed, and reads back vectorised, unlike an RDD checkpoint of
     serialised rows; a lost executor just re-reads the shared files."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def weighted_moments(vc: DataFrame, keys: Sequence[str], value: str = "value", cnt: str = "cnt") -> DataFrame:

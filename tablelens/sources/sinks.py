@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,5 +55,5 @@ def load_index(spark: SparkSession, base: str):
 
 def scratch_dir(spark: SparkSession, prefix: str = "export") -> str:
     """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""
-    from tablelens.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/tablelens-{prefix}-{uuid.uuid4().hex}"
+    from tablelens.session import scratch_path
+    return scratch_path(spark, f"tablelens-{prefix}")
