@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     """Re-cut record batches so that ``column`` holds at most ``limit`` bytes per piece
     (a single longer value stays whole); bounds a Python worker's memory."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         start = taken = 0
         for i, n in enumerate(sizes.tolist()):
             if taken and taken + n > limit:

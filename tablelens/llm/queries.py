@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelens.llm.common import table
+from tablelens.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +28,134 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 1024 tokens."""
     from tablelens.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _decided(scores: DataFrame, by: int, held: int, *more: str) -> DataFrame:
+    return scores.select("doc_id", (remainder(F.col("doc_id"), by) == held).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), *more)
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression score of every document; labels from rows with crc32 mod 5 not 0."""
+    from tablelens.llm.quality import score_quality
+    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                           remainder(F.col("doc_id"), 5) != 0)
+    return _decided(scores, 5, 0, "difference")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counterfactually regularised score of every document; labels from rows with crc32 mod 4 not 2."""
+    from tablelens.llm.toxicity import score_toxicity
+    scores = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                            remainder(F.col("doc_id"), 4) != 2)
+    return _decided(scores, 4, 2)
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    from tablelens.llm.licenses import scan
+    found = scan(table(spark, sf_dir, "documents"))
+    base, more = F.col("places.label"), F.col("matches.label")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.share"), F.lit(0.0))).alias("score"))
+
+
+def _license_sql() -> str:
+    from tablelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    fold = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in PHRASES)
+    templates = ", ".join(f"('{label}', list_distinct({phrase.split()!r}))" for phrase, label in TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all({fold.format('text')}, '{word}') AS w FROM documents),
+p(label, words) AS (VALUES {phrases}),
+t(label, words) AS (VALUES {templates}),
+place AS (SELECT r, label, i - 1 AS pos FROM d, p, generate_series(1, len(w) - len(words) + 1) AS g(i)
+          WHERE w[i:i + len(words) - 1] = words),
+paragraph AS (SELECT r, unnest(regexp_split_to_array({fold.format('text')}, '\\n[\\x09-\\x0D\\x20]*\\n')) AS x FROM d),
+block AS (SELECT r, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM
+          (SELECT r, x FROM paragraph UNION ALL SELECT r, unnest(string_split(x, chr(10))) FROM paragraph)),
+hit AS (SELECT r, label, len(list_intersect(b, words)) / len(words) AS share FROM block, t
+        WHERE len(list_intersect(b, words)) / len(words) >= {THRESHOLD}),
+base AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY r),
+both_ AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM
+          (SELECT r, label, 1.0::DOUBLE AS share FROM place UNION ALL SELECT r, label, share FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(both_.labels, '') AS labels, coalesce(share, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN both_ USING (r)"""
+
+
+ORACLE["op5_license_scan"] = _license_sql()
+
+#: The mixture of the registered query: long documents before short ones, English before the other languages.
+MIX_WEIGHTS = {("short",): 1, ("medium",): 3, ("long",): 4} | {(d, "en"): 4 for d in ("short", "medium", "long")}
+MIX_SHARE, MIX_PASSES, MIX_SEED = (3, 5), 3, "7"
+
+
+def mix_levels() -> dict:
+    """Domain by length in characters, language, source."""
+    n = F.length("text")
+    return {"domain": F.when(n < 500, "short").when(n < 5000, "medium").otherwise("long"),
+            "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fifths of all tokens, shared out by domain, language and source."""
+    from tablelens.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_PASSES, MIX_SEED)
+
+
+def mixing_sql(docs: str, share: tuple[int, int], passes: int) -> str:
+    """DuckDB SQL of :func:`op6_source_mixing` over the table ``docs``."""
+    own = " ".join(f"WHEN domain = '{k[0]}' THEN {v}" for k, v in MIX_WEIGHTS.items() if len(k) == 1)
+    langs = " ".join(f"WHEN domain = '{k[0]}' AND lang = '{k[1]}' THEN {v}" for k, v in MIX_WEIGHTS.items() if len(k) == 2)
+    sql = f"""
+counted AS (SELECT * FROM (SELECT doc_id, CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 5000 THEN 'medium' ELSE 'long' END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM {docs}) WHERE tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS available, (sum(tokens) * {passes})::BIGINT AS capacity FROM counted GROUP BY ALL),
+b0 AS (SELECT least(sum(capacity), (sum(available) * {share[0]}) // {share[1]})::HUGEINT AS budget FROM leaves)"""
+    levels = [("domain", f"CASE {own} ELSE 1 END"), ("lang", f"CASE {langs} ELSE 1 END"), ("source", "1")]
+    path: list[str] = []
+    for k, (name, weight) in enumerate(levels, 1):
+        above, path = ", ".join(path), [*path, name]
+        cols, by = ", ".join(path), f"PARTITION BY {above}" if above else ""
+        order = f"{by} ORDER BY capacity / weight, {name}"
+        sql += f""",
+n{k} AS (SELECT l.*, budget FROM (SELECT {cols}, sum(capacity)::HUGEINT AS capacity, sum(available)::HUGEINT AS available, {weight} AS weight FROM leaves GROUP BY {cols}) l
+    JOIN b{k - 1} ON {' AND '.join(f'l.{c} = b{k - 1}.{c}' for c in path[:-1]) or 'true'}),
+f{k} AS (SELECT *, capacity * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (budget - sum(capacity) OVER ({order} ROWS UNBOUNDED PRECEDING) + capacity) * weight AS fits FROM n{k}),
+u{k} AS (SELECT *, bool_and(fits) OVER ({order} ROWS UNBOUNDED PRECEDING) AS used_up FROM f{k}),
+r{k} AS (SELECT *, budget - sum(CASE WHEN used_up THEN capacity ELSE 0 END) OVER ({by}) AS rest,
+    sum(CASE WHEN used_up THEN 0 ELSE weight END) OVER ({by}) AS free,
+    sum(CASE WHEN used_up THEN 0 ELSE weight END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS upto FROM u{k}),
+b{k} AS (SELECT {cols}, available, CASE WHEN used_up THEN capacity ELSE (rest * upto) // free - (rest * (upto - weight)) // free END AS budget FROM r{k})"""
+    return sql + f""",
+ranked AS (SELECT c.*, budget, budget // available AS whole, budget % available AS rest,
+    md5('{MIX_SEED}:' || (budget // available)::VARCHAR || ':' || coalesce(c.doc_id::VARCHAR, '')) AS ord
+    FROM counted c JOIN b3 ON c.domain = b3.domain AND c.lang = b3.lang AND c.source = b3.source),
+cut AS (SELECT *, greatest(0, least(tokens, rest - (sum(tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY ('0x' || ord[1:4])::INT % {1024}, ord, doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens))) AS cut FROM ranked),
+mixed AS (SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, (whole + CASE WHEN cut > 0 THEN 1 ELSE 0 END)::BIGINT AS copies,
+    (whole * tokens + cut)::BIGINT AS tokens_taken, budget::BIGINT AS budget FROM cut)"""
+
+
+ORACLE["op6_source_mixing"] = f"WITH {mixing_sql('documents', MIX_SHARE, MIX_PASSES)} SELECT * FROM mixed WHERE copies > 0"
+
+
+@query
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document; learned from rows with crc32 mod 7 not 2."""
+    from tablelens.llm.ctw import score
+    out = score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+    return out.withColumn("bits_per_byte", -F.col("score") * 3.321928094887362 / F.col("n_bytes"))
+
