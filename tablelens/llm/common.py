@@ -61,6 +61,34 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def grouped(df: DataFrame, run, schema: str, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of equal ``keys`` in one stream each, one after another: run(key, rows) -> rows, without holding a group."""
+    fields = df.columns
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*[b.column(f).to_pylist() for f in fields]))
+        width, row = len(keys), next(rows, None)
+        at = [fields.index(k) for k in keys]
+        while row is not None:
+            key, ended = tuple(row[i] for i in at), False
+
+            def group(first=row):
+                nonlocal row, ended
+                yield first
+                for row in rows:
+                    if tuple(row[i] for i in at) != key:
+                        return
+                    yield row
+                row, ended = None, True
+
+            own = group()
+            yield from run(key if width > 1 else key[0], own)
+            for _ in own:  # what run left over
+                pass
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for at most ``limit`` words."""
 
