@@ -178,3 +178,19 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d
 LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id"""
+
+
+@query
+def op3_cover_tree_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings of one label with a cosine of at least 0.98."""
+    from tablelens.llm.covertree import threshold_components
+    return threshold_components(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_cover_tree_near_duplicates"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT d.vec_id, (SELECT count(*) FROM l WHERE l.x = d.vec_id) AS n_links, c.component_id, d.vec_id = c.component_id AS kept
+FROM embeddings d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.vec_id"""
