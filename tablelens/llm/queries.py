@@ -194,3 +194,18 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label
 reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
 SELECT d.vec_id, (SELECT count(*) FROM l WHERE l.x = d.vec_id) AS n_links, c.component_id, d.vec_id = c.component_id AS kept
 FROM embeddings d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.vec_id"""
+
+
+@query
+def op7_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products of every 50th embedding with all others."""
+    from tablelens.llm.kdtree import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op7_kd_tree_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE a.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM
+  (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
