@@ -209,3 +209,10 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGIN
       WHERE a.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM
   (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
+
+
+@query
+def op10_html_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tablelens.llm.blocklabeller import main_text
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
