@@ -1,21 +1,60 @@
-"""Training-data pipeline over `documents`: each stage's rows are written as Parquet and reread by the next."""
+"""Training-data pipeline over `documents`: each stage's rows are written as Parquet and reread by the next.
+
+Quality classifier, toxicity classifier, near-duplicates, mixing to target weights, packing. All stages but the last
+return the columns of the documents that stay. Rows without a doc_id cannot be decided on and go at the first
+stage; rows that repeat a doc_id are one document and one of them stays at the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelens.llm.common import table
+from tablelens.llm.common import remainder, table
+from tablelens.llm.minhash import near_duplicates
+from tablelens.llm.mixing import mix
 from tablelens.llm.packing import pack
-from tablelens.llm.queries import tokenizer_path
+from tablelens.llm.quality import score_quality
+from tablelens.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_path
+from tablelens.llm.toxicity import score_toxicity
 from tablelens.session import scratch_path
 
+QUALITY, TOXICITY = 0.3, 0.3
+SHARE = (4, 5)  # of the tokens that reach the mixing stage
+
+
+def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``decided``."""
+    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = score_quality(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return staying(docs, scores.where(F.col("score") >= QUALITY))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = score_toxicity(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
+    return staying(docs, scores.where(F.col("score") < TOXICITY))
+
+
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # the join leaves the rows sorted by doc_id, so that repeated ids cost no further shuffle
+    return staying(docs, near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One pass at most, so that no document repeats."""
+    return staying(docs, mix(docs, mix_levels(), MIX_WEIGHTS, SHARE, 1, MIX_SEED))
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens: one row per piece."""
     return pack(docs, tokenizer_path())
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [("quality classifier", quality), ("toxicity", toxicity), ("MinHash near-dedup", deduplication),
+          ("mixing sources", mixture), ("best-fit packing", packing)]
 
 ORACLE_SQL = None  # trained models and byte-pair token ids are not SQL
 
