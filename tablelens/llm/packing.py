@@ -9,8 +9,10 @@ then numbers the pieces of each length and joins them to the combinations.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,48 +23,63 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import parts, stored
 
+# Fixed value: the byte-level pre-tokenizer's published pattern.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class PieceIds(dict):
-    """Space-led word -> its token ids as little-endian uint32 bytes."""
+    """Space-led word -> its token ids as little-endian uint32 bytes; at most ``limit`` words."""
 
-    def __init__(self, encode, limit: int = 200_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def load(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.limit:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
             self.clear()
-            missing = list(words)
-        self.update(zip(missing, self.encode([" " + w for w in missing])))
+        value = self[word] = self.encode(" " + word)
+        return value
 
 
+def byte_of_symbol() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes,
+    in order, for the characters from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=1)
 def encoder(tokenizer_path: str):
-    """texts -> token ids of each as uint32 bytes, as the tokenizer gives for the whole text.
+    """text -> token ids as uint32 bytes, those that the tokenizer gives for the whole text.
 
     The byte-level pre-tokenizer starts a new piece at every single space that stands
     between two other characters, so such a text is encoded word by word through a
-    bounded cache; a text with doubled spaces or the text of a special token is encoded whole.
+    bounded cache, by the tokenizer's own vocabulary (a token's id is the order of its merge).
+    A text with doubled spaces or with the text of a special token goes to the tokenizer whole.
+    Kept for the tasks that follow in the same worker.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    byte = byte_of_symbol()
+    ranks = {bytes(byte[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items()
+             if token not in specials}
+    merges = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def words(text: str) -> bytes:
+        return array("I", merges.encode_ordinary(text)).tobytes()
 
-    cache = PieceIds(whole)
+    cache = PieceIds(words)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        plain = ["  " not in t and not any(s in t for s in specials) for t in texts]
-        split = [t.split(" ") if p else [t] for t, p in zip(texts, plain)]
-        cache.load({w for s in split for w in s[1:]})
-        heads = whole([s[0] for s in split])
-        return [h + b"".join(map(cache.__getitem__, s[1:])) for h, s in zip(heads, split)]
+    def encode(text: str) -> bytes:
+        if "  " in text or any(s in text for s in specials):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        head, *rest = text.split(" ")
+        return words(head) + b"".join(map(cache.__getitem__, rest))
 
     return encode
 
@@ -78,9 +95,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 out: list[tuple] = []
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for doc, ids in zip(rows.column(0).to_pylist(), encode(texts)):
-                    ids += end
+                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    ids = encode(text or "") + end
                     n, first = len(ids) // 4, (len(ids) // 4) % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)]
                     out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a:4 * b]))

@@ -40,7 +40,7 @@ def test_plan_finds_exact_complements():
 @settings(max_examples=200, deadline=None)
 def test_word_by_word_ids_are_the_whole_texts_ids(texts):
     texts = [*texts, "x <|endoftext|> y", "a  b", "a \n b c", "it's 12 3"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in ENCODE(texts)] == \
+    assert [np.frombuffer(ENCODE(x), "<u4").tolist() for x in texts] == \
         [TOKENIZER.encode(x, add_special_tokens=False).ids for x in texts]
 
 
