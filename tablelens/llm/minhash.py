@@ -8,11 +8,12 @@ whole shingle sets.
 
 No bucket is expanded into all its pairs: first each member meets its bucket's smallest node. Verified links
 give components, and only pairs of different components are compared further, in chunks of bounded
-size, first the most similar one per node and foreign component, at last all that survive.
+size, first in a pass that is linear in the bucket, at last all that are still of different ones.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from tablelens.llm.common import WordHashes, chunks, components, digest, grouped
 BANDS, ROWS = 40, 5  # a pair of similarity 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5
 MISS = 1e-5
 CHUNK = 256  # members of a bucket compared with each other in one group
+LEADERS, BEST = 24, 3
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _random = np.random.default_rng(20240229)
 FACTOR = (_random.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -124,50 +126,70 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[int], best: bool) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[int], whole: bool) -> DataFrame:
     """Surviving pairs of different components within a bucket (its leader has met all members already).
 
-    A bucket is cut into chunks by a hash; every two chunks meet in a group of their own. A pair is
-    compared only in the first band that it shares."""
+    A first pass is linear in the bucket: it is cut into chunks by a hash, about LEADERS of its members visit
+    every chunk, and each node keeps its BEST most similar partners. The ``whole`` pass then compares every pair
+    of different components that is left: the chunks of all but the largest component meet each other and
+    those of the largest one; a pair is compared only in the first band that it shares."""
     rest = members.where("node <> leader").select("key", "band", "node") \
         .join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rest.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("key", "band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("node", "band"), F.col("chunks")).cast("int")
-    dealt = (rest.join(mixed, ["key", "band"]).withColumn("mine", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-             .join(nodes.select("node", "signature"), "node"))
+    mixed = rest.groupBy("key", "band", "component").agg(F.count("*").alias("n")).groupBy("key", "band") \
+        .agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds")) \
+        .where("kinds > 1").drop("kinds")
+    here = rest.join(mixed, ["key", "band"])
+    columns = ["key", "band", "kind", "i", "j", "side", "node", "component"]
+    pick = lambda n, seed: F.pmod(F.xxhash64("node", "band", F.lit(seed)), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if whole:
+        others, majors = (F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int") for n in (F.col("n") - F.col("top"), F.col("top")))
+        small = here.where("component <> major").withColumn("mine", pick(others, 1))
+        alike = small.withColumn("other", upto(others)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
+            .withColumn("kind", F.when(F.col("i") == F.col("j"), 0).otherwise(1)).withColumn("side", (F.col("mine") == F.col("j")).cast("int"))
+        large = here.where("component = major").withColumn("i", pick(majors, 1)).withColumn("j", upto(others)) \
+            .withColumn("kind", F.lit(2)).withColumn("side", F.lit(0))
+        visits = small.withColumn("i", upto(majors)).withColumn("j", F.col("mine")).withColumn("kind", F.lit(2)).withColumn("side", F.lit(1))
+        dealt = alike.select(*columns).unionByName(large.select(*columns)).unionByName(visits.select(*columns))
+    else:
+        cut = F.ceil(F.col("n") / CHUNK).cast("int")
+        own = here.withColumn("i", pick(cut, 1)).withColumn("side", F.lit(0))
+        visits = own.where(pick(F.col("n"), 2) < LEADERS).withColumn("home", F.col("i")).withColumn("i", upto(cut)) \
+            .where("i <> home").withColumn("side", F.lit(1))
+        dealt = own.withColumn("j", F.lit(0)).withColumn("kind", F.lit(0)).select(*columns) \
+            .unionByName(visits.withColumn("j", F.lit(0)).withColumn("kind", F.lit(0)).select(*columns))
 
     def run(key, rows) -> Iterator[pa.RecordBatch]:
         own = list(rows)
-        band, i, j = key[1:]
-        node, component, chunk = (np.array([r[c] for r in own], np.int64) for c in (4, 5, 6))
-        bytes_ = np.frombuffer(b"".join(r[7] for r in own), np.uint8).reshape(-1, BANDS * ROWS)
-        whole = bytes_.reshape(len(own), BANDS, ROWS)
+        _, band, kind, _, _ = key
+        side, node, component = (np.array([r[c] for r in own], np.int64) for c in (5, 6, 7))
+        signatures = np.frombuffer(b"".join(r[8] for r in own), np.uint8).reshape(-1, BANDS * ROWS)
+        bands = signatures.reshape(len(own), BANDS, ROWS)
         found = []
         for at in range(len(own)):
             ok = (component != component[at]) & (node > node[at])
-            if i != j:
-                ok &= chunk != chunk[at]
+            if kind:
+                ok &= side != side[at]
+            elif not whole and side[at]:
+                ok &= side == 0
             other = np.flatnonzero(ok)
-            if not len(other):
-                continue
-            equal = (whole[other] == whole[at]).all(axis=2)
-            other = other[equal[:, band] & ~equal[:, :band].any(axis=1)]
-            rows_, n = survivors(np.broadcast_to(bytes_[at], (len(other), BANDS * ROWS)), bytes_[other], least)
+            if whole and len(other):
+                equal = (bands[other] == bands[at]).all(axis=2)
+                other = other[equal[:, band] & ~equal[:, :band].any(axis=1)]
+            rows_, n = survivors(np.broadcast_to(signatures[at], (len(other), BANDS * ROWS)), signatures[other], least)
             found += [(int(m), at, int(o)) for m, o in zip(n, other[rows_])]
-        if best:  # the most similar one for each node and foreign component
-            tops: dict = {}
+        if not whole:
+            met, kept = Counter(), []
             for m, x, y in sorted(found, reverse=True):
-                tops.setdefault((x, int(component[y])), (m, x, y))
-                tops.setdefault((y, int(component[x])), (m, x, y))
-            found = sorted(set(tops.values()))
+                if met[x] < BEST or met[y] < BEST:
+                    kept.append((m, x, y))
+                    met.update((x, y))
+            found = kept
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(node[[x for _, x, _ in found]]), pa.array(node[[y for *_, y in found]])], schema=PAIRS)
 
-    columns = ["key", "band", "i", "j", "node", "component", "mine", "signature"]
-    return grouped(dealt.select(*columns), run, "a long, b long", "key", "band", "i", "j")
+    dealt = dealt.join(nodes.select("node", "signature"), "node").select(*columns, "signature")
+    return grouped(dealt, run, "a long, b long", "key", "band", "kind", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +214,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
 
     links = stored(verify(prune(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(),
                                 nodes, least), docs, width, percent), "links")
-    for best in (True, False):
+    for whole in (False, True):
         found = stored(components(links), "components")
-        links = stored(links.unionByName(verify(across(members, nodes, found, least, best), docs, width, percent)), "links")
+        links = stored(links.unionByName(verify(across(members, nodes, found, least, whole), docs, width, percent)), "links")
     found = components(links)
     classes = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
