@@ -337,8 +337,10 @@ def main_text(pages: DataFrame, sample: int = 250, max_chars: int = 20_000, id_c
     repeated rows are labelled each; null ids and urls stay null; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    drawn = rows.where("html is not null").select("page_id", F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, max_chars).alias("html")) \
-        .orderBy("h", "page_id", "html").limit(sample).collect()
+    # ids are drawn first, so that only the drawn pages' html moves; at most ``sample`` ids
+    ids = rows.where("html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    drawn = rows.join(F.broadcast(ids.withColumnRenamed("page_id", "drawn")), F.col("page_id").eqNullSafe(F.col("drawn")), "left_semi") \
+        .groupBy("page_id").agg(F.min(F.substring("html", 1, max_chars)).alias("html")).orderBy("page_id").collect()
     model = fit([r.html for r in drawn])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
