@@ -212,10 +212,16 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def exact_sum(x) -> Column:
-    """Order-independent sum: values are summed as DECIMAL(38,6), so the result
-    does not depend on partitioning or task order (plain double sums do), then
-    returned as double."""
-    return F.sum(F.expr("try_cast(0 as decimal(38,6))") + _c(x).cast("decimal(38,6)")).cast("double")
+    """Sum that depends little on the order of the rows and keeps tiny, huge and infinite values.
+
+    Values of ordinary size (below 1e20 in magnitude, with no digits beyond the sixth decimal) are summed
+    as DECIMAL(38,6), bit for bit the same however the rows are partitioned. What such a value leaves
+    over, and all other values (infinities and NaN included), go through an ordinary double sum."""
+    v = _c(x).cast("double")
+    fits = F.abs(v) < 1e20
+    fixed = F.when(fits, v).cast("decimal(38,6)")
+    rest = F.when(fits, v - fixed.cast("double")).otherwise(v)
+    return F.coalesce(F.sum(fixed).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
 def exact_mean(x) -> Column:

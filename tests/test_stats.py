@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import cumulative, exact_quantiles, modes, row_numbers, safe_corr
@@ -92,3 +93,14 @@ def test_single_valued(spark):
                                "a long, b string, c string, d double")
     row = df.agg(*[single_valued(df, c).alias(c) for c in df.columns]).first()
     assert (row["a"], row["b"], row["c"], row["d"]) == (True, True, False, True)
+
+
+def test_exact_sum_keeps_tiny_huge_and_infinite_values(spark):
+    from pyspark.sql import functions as F
+    from tablelens.functions.stats import exact_sum
+    total = lambda *v: spark.createDataFrame([(x,) for x in v], "x double").agg(exact_sum(F.col("x")).alias("s")).first().s
+    assert total(*[4e-7] * 5) == pytest.approx(2e-6, rel=1e-9)
+    assert total(float("inf"), 1.0) == float("inf")
+    assert total(1e33, 1.0) == 1e33
+    assert total(0.1, 0.2, 0.3, None) == 0.6
+    assert total(None, None) is None
