@@ -14,6 +14,8 @@ DATE_FORMATS = NUMERIC_FORMATS + NAMED_FORMATS
 # cheap anchored shape tests: a formatted parse is only attempted when the
 # string can match that family (a failed formatted parse is expensive)
 NUMERIC_SHAPE = r"^\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}"
+# ISO dates, or a year alone: bare numbers of other lengths and times of day are not dates
+ISO_SHAPE = r"^\d{4}(-\d{1,2}|$)"
 NAMED_SHAPE = r"^(\d{1,2}\s+)?[A-Za-z]{3,9}\.?\s+(\d{1,2},?\s+)?\d{4}"
 
 
@@ -22,4 +24,5 @@ def parse_timestamp(c) -> Column:
     s = F.trim(F.col(c) if isinstance(c, str) else c)
     numeric = F.when(s.rlike(NUMERIC_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in NUMERIC_FORMATS]))
     named = F.when(s.rlike(NAMED_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in NAMED_FORMATS]))
-    return F.coalesce(F.try_to_timestamp(s), numeric, named)
+    iso = F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s))
+    return F.coalesce(iso, numeric, named)

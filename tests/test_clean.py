@@ -75,3 +75,11 @@ def test_distributed_ffill_bfill_match_pandas(spark):
 def test_duplicate_mask(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, "y")], "a long, b string")
     assert C.duplicate_mask(df).filter("is_duplicate").count() == 2
+
+
+def test_bare_numbers_and_times_are_not_dates(spark):
+    from pyspark.sql import functions as F
+    from tablelens.functions.dates import parse_timestamp
+    rows = [("12000",), ("94107",), ("10:30",), ("123456",), ("2021",), ("2021-03-04",), ("2021-03-04 05:06:07",), ("03/04/2021",)]
+    got = [r.t is not None for r in spark.createDataFrame(rows, "s string").select(parse_timestamp(F.col("s")).alias("t")).collect()]
+    assert got == [False] * 4 + [True] * 4
