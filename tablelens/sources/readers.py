@@ -58,9 +58,11 @@ def validate_frame(df: DataFrame) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, infer_schema: bool = True,
-                 encoding: str | None = None, validate: bool = True) -> DataFrame:
+                 encoding: str | None = None, validate: bool = True, multi_line: bool = True) -> DataFrame:
     """Csv / tsv (header row, delimiter by extension unless given, encoding
-    detected) or parquet; column names trimmed; empty input refused."""
+    detected) or parquet; column names trimmed; empty input refused. Quotes inside a
+    quoted field are doubled. Fields may hold line breaks; where none does,
+    ``multi_line=False`` lets Spark split large files."""
     ext = validate_extension(path)
     if ext == ".parquet":
         df = spark.read.parquet(path)
@@ -68,6 +70,7 @@ def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, i
         enc = encoding or detect_encoding(spark, path)
         df = (spark.read.option("header", True).option("inferSchema", infer_schema)
                    .option("sep", delimiter or DELIMITERS[ext]).option("encoding", enc)
+                   .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
                    .option("mode", "PERMISSIVE").csv(path))
     df = clean_names(df)
     return validate_frame(df) if validate else df

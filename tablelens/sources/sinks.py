@@ -16,7 +16,7 @@ def export_cleaned(df: DataFrame, out_dir: str, name: str, fmt: str = "csv") ->
     path = f"{out_dir.rstrip('/')}/cleaned_{sanitize_name(name)}.{fmt}"
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.parquet(path)
     return path

@@ -85,3 +85,11 @@ def test_report_bundle_refuses_an_oversized_table(spark, monkeypatch):
     assert row["name"] == "small" and row["json"] == '[{"x":0},{"x":1},{"x":2}]'
     with pytest.raises(Exception, match="more than 5 rows"):
         report.report_bundle({"big": spark.range(6)}).collect()
+
+
+def test_quoted_fields_round_trip(spark, tmp_path):
+    from tablelens.sources.readers import load_dataset
+    from tablelens.sources.sinks import export_cleaned
+    rows = [(1, 'he said "hi", ok', 5), (2, "two\nlines", 6), (3, "plain", 7)]
+    path = export_cleaned(spark.createDataFrame(rows, "a int, b string, c int"), str(tmp_path), "quoted")
+    assert sorted(tuple(r) for r in load_dataset(spark, path).collect()) == rows
