@@ -119,12 +119,34 @@ register("covariance", f"SELECT a, b, round(v, 4) + 0.0 AS value FROM ({_pairs_s
 
 _pos = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(LI))
 register("strongest_pairs", f"""
-WITH m AS (SELECT a, b, round(v, 4) AS value, CASE a {_pos} END AS pa, CASE b {_pos} END AS pb
+WITH m AS (SELECT a, b, v AS value, CASE a {_pos} END AS pa, CASE b {_pos} END AS pb
            FROM ({_pairs_sql('lineitem', LI, _corr)})),
 u AS (SELECT * FROM m WHERE pa < pb AND value IS NOT NULL AND NOT isnan(value)),
 r AS (SELECT *, row_number() OVER (ORDER BY abs(value) DESC, pa, pb) AS rank FROM u)
-SELECT a, b, value AS corr, abs(value) AS strength, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
-""")(lambda s, d: R.strongest_pairs(R.correlation_matrix(table(s, d, "lineitem"), LI), LI))
+SELECT a, b, round(value, 4) AS corr, round(abs(value), 4) AS strength, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
+""")(lambda s, d: R.strongest_pairs(R.correlation_matrix(table(s, d, "lineitem"), LI, digits=None), LI))
+
+# columns with gaps: each pair is ranked over the rows where both have a value
+_GAPS = {"l_quantity": "l_linenumber = 3", "l_extendedprice": "l_returnflag = 'R'"}
+
+
+def _gapped(s, d):
+    from pyspark.sql import functions as F
+    return table(s, d, "lineitem").withColumns({c: F.expr(f"IF({when}, NULL, {c})") for c, when in _GAPS.items()})
+
+
+def _gap_ranks(a, b):
+    both = f"(SELECT {a} AS a, {b} AS b FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS {0}"
+    return f"(SELECT {_corr('a', 'b')} FROM (SELECT {rank.format('a')}, {rank.format('b')} FROM {both}))"
+
+
+_gap_cols = ", ".join(f"CASE WHEN {when} THEN NULL ELSE {c} END AS {c}" for c, when in _GAPS.items())
+_gap_pairs = "\n  UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_gap_ranks(a, b)} AS v" for a in LI for b in LI)
+register("spearman_nulls", f"""
+WITH g AS (SELECT * REPLACE ({_gap_cols}) FROM lineitem)
+SELECT a, b, round(v, 4) AS value FROM ({_gap_pairs})
+""")(lambda s, d: R.correlation_matrix(_gapped(s, d), LI, "spearman"))
 
 CATS = ["l_returnflag", "l_linestatus", "l_tax"]
 

@@ -113,8 +113,8 @@ register("comparison_report_lineitem", _report_sql("lineitem", _LI_G, _LI_V, 15,
     lambda s, d: G.comparison_report(table(s, d, "lineitem"), _LI_G, _LI_V))
 
 _ins = _report_sql("part", _PART_CATS, ["p_retailprice"], 5, 5, 1)
-_ins = ("SELECT group_col, \"group\", value, rank, CASE WHEN rank = n_groups THEN 'bottom' ELSE 'top' END AS kind "
-        f"FROM ({_ins})")
+_ins = (f"WITH rep AS ({_ins}) SELECT group_col, \"group\", value, rank, 'top' AS kind FROM rep WHERE is_top "
+        "UNION ALL SELECT group_col, \"group\", value, rank, 'bottom' AS kind FROM rep WHERE is_bottom")
 register("comparison_insights", _ins)(
     lambda s, d: G.comparison_insights(table(s, d, "part"), _PART_CATS, "p_retailprice"))
 

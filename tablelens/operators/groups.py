@@ -85,9 +85,9 @@ def composition_report(df: DataFrame, cats: Sequence[str], value_col: str | None
 
 
 def composition_insights(df: DataFrame, cats: Sequence[str], top_n: int = 5) -> DataFrame:
-    """Top categories (share of all rows, null as a category) of the first four
-    categorical columns: (column, category, pct, rank)."""
-    cats = list(cats)[:4]
+    """Top categories (share of all rows, null as a category) of each
+    categorical column: (column, category, pct, rank)."""
+    cats = list(cats)
     long = melt(df.select(*cats), cats, "string", "column", "category")
     g = long.groupBy("column", label("category").alias("category")).agg(F.count(F.lit(1)).alias("cnt"))
     n = g.groupBy("column").agg(F.sum("cnt").alias("_n"))
@@ -137,7 +137,7 @@ def comparison_report(df: DataFrame, groups: Sequence[str], values: Sequence[str
     with GROUPING SETS: (group_col, value_col, group, value, summary, rank,
     n_groups, is_top, is_bottom); rows limited to the top ``top_n`` plus the true
     bottom ``bottom`` (SURVEY D10)."""
-    groups, values = list(groups)[:8], list(values)[:4]
+    groups, values = list(groups), list(values)
     cols = [label(g).alias(g) for g in groups] + [_num(v).alias(v) for v in values]
     sub = df.select(*cols)
     gs = sub.groupingSets([[g] for g in groups], *groups).agg(
@@ -165,12 +165,11 @@ def comparison_report(df: DataFrame, groups: Sequence[str], values: Sequence[str
 
 
 def comparison_insights(df: DataFrame, groups: Sequence[str], value: str, top_n: int = 5) -> DataFrame:
-    """For the first three categorical columns: top ``top_n`` groups by mean of
-    ``value`` and the lowest group: (group_col, group, value, rank, kind)."""
-    rep = comparison_report(df, list(groups)[:3], [value], top_n=top_n, top=top_n, bottom=1)
-    return rep.select("group_col", "group", "value", "rank",
-                      F.when(F.col("rank") == F.col("n_groups"), F.lit("bottom"))
-                       .otherwise(F.lit("top")).alias("kind"))
+    """For each categorical column: top ``top_n`` groups by mean of ``value`` and the lowest group:
+    (group_col, group, value, rank, kind). A group that is both has a row of either kind."""
+    rep = comparison_report(df, groups, [value], top_n=top_n, top=top_n, bottom=1)
+    kinds = F.array_compact(F.array(F.when(F.col("is_top"), F.lit("top")), F.when(F.col("is_bottom"), F.lit("bottom"))))
+    return rep.select("group_col", "group", "value", "rank", F.explode(kinds).alias("kind"))
 
 
 def daily_mean(df: DataFrame, ts: str, value: str) -> DataFrame:

@@ -21,25 +21,57 @@ def _pairs(cols):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
 
-def _matrix(df: DataFrame, cols, fn, digits=4) -> DataFrame:
-    sub = df.select(*[F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c)
-                      for c in cols])
+def _numbers(df: DataFrame, cols) -> DataFrame:
+    """The columns as doubles, null where they hold no number."""
+    return df.select(*[F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c)
+                       for c in cols])
+
+
+def _matrix(df: DataFrame, cols, fn, digits=4, sides=None) -> DataFrame:
+    """``sides`` names the two columns of ``df`` that stand for a pair, where they are not the pair's own."""
     pairs = _pairs(list(cols))
-    one = sub.agg(*[fn(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    sides = [(sides or {}).get(p, p) for p in pairs]
+    sub = _numbers(df, list(dict.fromkeys(c for side in sides for c in side)))
+    one = sub.agg(*[fn(F.col(x), F.col(y)).alias(f"p{i}") for i, (x, y) in enumerate(sides)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("v")))
         if a != b:
             cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"p{i}").alias("v")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", rnd("c.v", digits).alias("value"))
+    value = F.col("c.v") if digits is None else rnd("c.v", digits)
+    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", value.alias("value"))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
+                       digits: int | None = 4) -> DataFrame:
     """Long (a, b, value) incl. the diagonal; pairwise-complete rows;
-    null where a side is constant."""
+    null where a side is constant; ``digits=None`` leaves the values unrounded."""
+    cols = list(cols)
     if method == "spearman":
-        return _matrix(rank_columns(df, cols), cols, safe_corr)
-    return _matrix(df, cols, safe_corr)
+        wide, sides = complete_sides(df, cols)
+        return _matrix(rank_columns(wide, wide.columns), cols, safe_corr, digits, sides)
+    return _matrix(df, cols, safe_corr, digits)
+
+
+def complete_sides(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
+    """The columns that a rank correlation ranks, and the two that stand for each pair.
+
+    A column is ranked once for all partners without gaps. Beside a partner that has nulls, it is ranked over
+    the rows where the partner has a value, as a column of its own: at most two more per pair with a gap."""
+    num = _numbers(df, cols)
+    gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    ranked, sides = {c: F.col(c) for c in cols}, {}
+
+    def beside(c, partner):
+        if c == partner or not gaps[partner]:
+            return c
+        name = f"{c} | {partner}"
+        ranked[name] = F.when(F.col(partner).isNotNull(), F.col(c))
+        return name
+
+    for a, b in _pairs(list(cols)):
+        sides[a, b] = beside(a, b), beside(b, a)
+    return num.select(*[x.alias(name) for name, x in ranked.items()]), sides
 
 
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -65,14 +97,15 @@ def rank_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def strongest_pairs(matrix: DataFrame, cols: Sequence[str], top_n: int = 10) -> DataFrame:
-    """Upper-triangle pairs by |value| desc: (a, b, corr, strength, rank)."""
+    """Upper-triangle pairs by |value| desc: (a, b, corr, strength, rank). Ranks follow the values given
+    (an unrounded matrix: ``digits=None``); the output is rounded."""
     order = {c: i for i, c in enumerate(cols)}
     pos = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
     up = matrix.filter((pos[F.col("a")] < pos[F.col("b")]) & F.col("value").isNotNull() & ~F.isnan("value"))
     top = up.orderBy(F.abs("value").desc(), pos[F.col("a")], pos[F.col("b")]).limit(top_n)
     from pyspark.sql import Window
     w = Window.orderBy(F.abs("value").desc(), pos[F.col("a")], pos[F.col("b")])  # <= top_n rows
-    return top.select("a", "b", F.col("value").alias("corr"), F.abs("value").alias("strength"),
+    return top.select("a", "b", rnd("value").alias("corr"), rnd(F.abs("value")).alias("strength"),
                       F.row_number().over(w).cast("long").alias("rank"))
 
 
@@ -114,7 +147,7 @@ def relationship_report(df: DataFrame, types: dict) -> dict:
         out["pearson"] = correlation_matrix(df, num)
         out["spearman"] = correlation_matrix(df, num, "spearman")
         out["covariance"] = covariance_matrix(df, num)
-        out["strongest"] = strongest_pairs(out["pearson"], num)
+        out["strongest"] = strongest_pairs(correlation_matrix(df, num, digits=None), num)
     if len(cat) >= 2:
         out["categorical"] = categorical_associations(df, cat)
     return out

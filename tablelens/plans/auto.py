@@ -74,7 +74,7 @@ def auto_eda(df: DataFrame, numeric_strategy: str = "median", categorical_strate
         step("spearman", lambda: relate.correlation_matrix(cdf, num, "spearman"))
         step("covariance", lambda: relate.covariance_matrix(cdf, num))
         if "pearson" in out:
-            step("strongest", lambda: relate.strongest_pairs(out["pearson"], num))
+            step("strongest", lambda: relate.strongest_pairs(relate.correlation_matrix(cdf, num, digits=None), num))
             parts.append(report.finding_relationship(out["strongest"]))
     if len(cat) >= 2:
         step("associations", lambda: relate.categorical_associations(cdf, cat))

@@ -10,7 +10,7 @@ from tablelens.operators import sentiment as X
 
 
 def test_composition_shares(small_df):
-    rows = G.composition(small_df, "region").collect()
+    rows = G.composition(small_df, "district").collect()
     assert abs(sum(r["share_pct"] for r in rows) - 100) <= 1.5
 
 
@@ -22,32 +22,32 @@ def test_composition_other_row(spark):
 
 
 def test_compare_groups_median(small_df):
-    got = {r["group"]: r["value"] for r in G.compare_groups(small_df, "region", "revenue", "median").collect()}
+    got = {r["group"]: r["value"] for r in G.compare_groups(small_df, "district", "amount", "median").collect()}
     pdf = small_df.toPandas()
-    for k, v in pdf.groupby("region")["revenue"].median().items():
+    for k, v in pdf.groupby("district")["amount"].median().items():
         assert abs(got[k] - round(v, 4)) < 1e-6
 
 
 def test_comparison_report_shape(small_df):
-    rep = G.comparison_report(small_df, ["region", "product"], ["revenue", "quantity"])
+    rep = G.comparison_report(small_df, ["district", "article"], ["amount", "pieces"])
     assert rep.select("group_col", "value_col").distinct().count() == 4
 
 
 def test_corr_symmetric_unit_diagonal(small_df):
-    m = {(r["a"], r["b"]): r["value"] for r in R.correlation_matrix(small_df, ["revenue", "quantity"]).collect()}
-    assert m[("revenue", "revenue")] == 1.0 and m[("revenue", "quantity")] == m[("quantity", "revenue")]
+    m = {(r["a"], r["b"]): r["value"] for r in R.correlation_matrix(small_df, ["amount", "pieces"]).collect()}
+    assert m[("amount", "amount")] == 1.0 and m[("amount", "pieces")] == m[("pieces", "amount")]
 
 
 def test_spearman_matches_pandas(small_df):
     got = {(r["a"], r["b"]): r["value"]
-           for r in R.correlation_matrix(small_df, ["revenue", "quantity"], "spearman").collect()}
-    exp = small_df.toPandas()[["revenue", "quantity"]].corr(method="spearman").loc["revenue", "quantity"]
-    assert abs(got[("revenue", "quantity")] - round(exp, 4)) < 1e-9
+           for r in R.correlation_matrix(small_df, ["amount", "pieces"], "spearman").collect()}
+    exp = small_df.toPandas()[["amount", "pieces"]].corr(method="spearman").loc["amount", "pieces"]
+    assert abs(got[("amount", "pieces")] - round(exp, 4)) < 1e-9
 
 
 def test_cramers_v_matches_numpy(small_df):
-    got = R.categorical_associations(small_df, ["region", "product"]).first()["cramers_v"]
-    t = pd.crosstab(small_df.toPandas()["region"], small_df.toPandas()["product"]).to_numpy(float)
+    got = R.categorical_associations(small_df, ["district", "article"]).first()["cramers_v"]
+    t = pd.crosstab(small_df.toPandas()["district"], small_df.toPandas()["article"]).to_numpy(float)
     exp = t.sum(1, keepdims=True) @ t.sum(0, keepdims=True) / t.sum()
     chi2 = ((t - exp) ** 2 / exp).sum()
     assert abs(got - round(math.sqrt(chi2 / (t.sum() * (min(t.shape) - 1))), 4)) < 1e-9
@@ -82,3 +82,29 @@ def test_valence_hand_computed(spark):
 def test_sentiment_summary_sums_to_100(text_df):
     r = X.sentiment_summary(text_df, ["review"]).first()
     assert abs(r["positive_pct"] + r["neutral_pct"] + r["negative_pct"] - 100) <= 0.01
+
+
+def test_spearman_ranks_pairs_over_their_complete_rows(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"x": rng.normal(size=80), "y": rng.normal(size=80), "z": rng.integers(0, 6, 80).astype(float)})
+    pdf.loc[pdf.index % 3 == 0, "x"] = np.nan
+    pdf.loc[pdf.index % 4 == 1, "y"] = np.nan
+    df = spark.createDataFrame(pdf)
+    exp = pdf.corr(method="spearman")
+    for r in R.correlation_matrix(df, ["x", "y", "z"], "spearman", digits=None).collect():
+        assert abs(r["value"] - exp.loc[r["a"], r["b"]]) < 1e-9, (r["a"], r["b"])
+
+
+def test_strongest_pairs_rank_unrounded_values(spark):
+    m = spark.createDataFrame([("a", "b", 0.12341), ("a", "c", 0.12344), ("b", "c", -0.9)], "a string, b string, value double")
+    got = [(r["a"], r["b"], r["corr"]) for r in R.strongest_pairs(m, ["a", "b", "c"]).orderBy("rank").collect()]
+    assert got == [("b", "c", -0.9), ("a", "c", 0.1234), ("a", "b", 0.1234)]
+
+
+def test_comparison_takes_every_column_and_keeps_top_and_bottom(spark):
+    groups, values = [f"g{i}" for i in range(10)], [f"v{i}" for i in range(6)]
+    df = spark.range(30).selectExpr(*[f"concat('k', id % {i + 1}) as g{i}" for i in range(10)],
+                                    *[f"cast(id * {i + 1} as double) as v{i}" for i in range(6)])
+    assert G.comparison_report(df, groups, values).select("group_col", "value_col").distinct().count() == 60
+    kinds = [(r["group"], r["kind"]) for r in G.comparison_insights(df, ["g0"], "v0").collect()]
+    assert sorted(kinds) == [("k0", "bottom"), ("k0", "top")]

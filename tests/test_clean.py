@@ -83,3 +83,10 @@ def test_bare_numbers_and_times_are_not_dates(spark):
     rows = [("12000",), ("94107",), ("10:30",), ("123456",), ("2021",), ("2021-03-04",), ("2021-03-04 05:06:07",), ("03/04/2021",)]
     got = [r.t is not None for r in spark.createDataFrame(rows, "s string").select(parse_timestamp(F.col("s")).alias("t")).collect()]
     assert got == [False] * 4 + [True] * 4
+
+
+def test_mode_tie_goes_to_the_smallest_typed_value(spark):
+    df = spark.createDataFrame([(1, 10, True), (2, 9, False), (3, None, None)], "k int, code int, flag boolean")
+    out, log = C.fill_missing(df, {"k": "ID", "code": "CATEGORICAL", "flag": "BOOLEAN"})
+    assert out.orderBy("k").collect()[2][1:] == (9, False)
+    assert [e["reason"] for e in log] == ["imputed with mode '9'", "imputed with mode 'false'"]

@@ -4,11 +4,11 @@ from tablelens.operators import schema as S
 
 def test_small_df_types(small_df):
     t = S.schema_types(small_df)
-    assert t["revenue"] == "CURRENCY"
-    assert t["order_date"] == "DATETIME"
-    assert t["region"] == "CATEGORICAL"
-    assert t["order_id"] == "ID"
-    assert t["quantity"] == "NUMERIC"
+    assert t["amount"] == "CURRENCY"
+    assert t["sold_at"] == "DATETIME"
+    assert t["district"] == "CATEGORICAL"
+    assert t["ticket_id"] == "ID"
+    assert t["pieces"] == "NUMERIC"
 
 
 def test_string_rules(spark):
@@ -22,7 +22,7 @@ def test_string_rules(spark):
 
 def test_profile_shape(small_df):
     r = P.dataset_profile(small_df).first()
-    assert (r["rows"], r["columns"]) == (60, 6)
+    assert (r["rows"], r["columns"]) == (84, 6)
 
 
 def test_quality_bounds(small_df):

@@ -6,22 +6,22 @@ from tablelens.operators import timeseries as TS
 
 
 def test_series_and_trend(small_df):
-    s = TS.build_time_series(small_df, "order_date", "revenue", "D")
-    assert s.count() == 60
+    s = TS.build_time_series(small_df, "sold_at", "amount", "D")
+    assert s.count() == 84
     t = TS.trend(s).first()
     assert t["direction"] in ("increasing", "decreasing", "flat")
 
 
 def test_weekly_buckets_start_monday(small_df):
-    s = TS.build_time_series(small_df, "order_date", None, "W")
+    s = TS.build_time_series(small_df, "sold_at", None, "W")
     assert {r[0] for r in s.select(F.dayofweek("bucket")).collect()} == {2}
 
 
 def test_decompose_needs_two_periods(small_df):
-    s = TS.build_time_series(small_df, "order_date", "revenue", "D")
+    s = TS.build_time_series(small_df, "sold_at", "amount", "D")
     d = TS.decompose(s, freq="D").toPandas()
-    assert len(d) == 60 and d["trend"].isna().sum() == 6
-    assert abs(d.groupby(np.arange(60) % 7)["seasonal"].first().sum()) < 1e-3
+    assert len(d) == 84 and d["trend"].isna().sum() == 6
+    assert abs(d.groupby(np.arange(84) % 7)["seasonal"].first().sum()) < 1e-3
 
 
 def _holt_numpy(y):
@@ -78,6 +78,6 @@ def test_holt_and_arima_match_numpy(spark):
 
 
 def test_forecast_simple(small_df):
-    s = TS.build_time_series(small_df, "order_date", "revenue", "D")
+    s = TS.build_time_series(small_df, "sold_at", "amount", "D")
     f = FC.forecast_simple(s).collect()
     assert len(f) == 10 and {r["method"] for r in f} == {"naive", "moving_average"}
