@@ -36,7 +36,7 @@ SELECT doc_id, chunk_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM ch
 
 register("chunk_documents_native", f"""WITH {chunks_sql('documents', 'doc_id', 'text')}
 SELECT doc_id, chunk_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM ch
-""")(lambda s, d: V.chunk_documents(table(s, d, "documents"), "doc_id", "text", engine="native"))
+""")(lambda s, d: V.chunk_documents(table(s, d, "documents"), "doc_id", "text"))
 
 
 def tfidf_sql(src, id_col, text_col, prefix, idf_from=None, max_features=5000):
@@ -110,9 +110,11 @@ chk AS (SELECT doc_id || '_' || chunk_id AS chunk_key, doc_id, text FROM ch),
 {tfidf_sql('chk', 'chunk_key', 'text', 'd_')},
 {tfidf_sql('benchmark', 'item_id', 'text', 'q_', idf_from='d_idf')},
 {_search_sql('item_id', 'chunk_key', 'q_w', 'd_w', 3)}
+SELECT item_id, coalesce(context, 'No relevant context retrieved.') AS context
+FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN (
 SELECT item_id, string_agg('[' || rank || '] (' || doc_id || ') ' || {TRIM.format(x='text')}, chr(10) || chr(10)
                            ORDER BY rank) AS context
-FROM hits JOIN chk USING (chunk_key) GROUP BY item_id
+FROM hits JOIN chk USING (chunk_key) GROUP BY item_id) USING (item_id)
 """)(lambda s, d: _rag(s, d))
 
 
@@ -121,7 +123,8 @@ def _rag(s, d):
     qtf = V.term_counts(table(s, d, "benchmark"), "item_id", "text")
     q = V.transform_tfidf(table(s, d, "benchmark"), "item_id", "text", idf, qtf)
     hits = V.search(index, "chunk_key", q, "item_id", 3, query_rows=qtf.count())
-    return V.build_context(hits, "item_id", ch.select("chunk_key", "doc_id", "text"), ["chunk_key"], "doc_id")
+    return V.build_context(hits, "item_id", ch.select("chunk_key", "doc_id", "text"), ["chunk_key"], "doc_id",
+                           table(s, d, "benchmark"))
 
 
 

@@ -9,9 +9,6 @@ oversize sentences cut with overlap). The TF-IDF index is a sparse long table
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,46 +52,10 @@ def chunk_array(text, size: int = 900, overlap: int = 120) -> Column:
     return F.when(t.isNull() | (F.length(pytrim(t)) == 0), F.array().cast("array<string>")).otherwise(out)
 
 
-_SENTENCE_RE = re.compile(SENTENCE_SPLIT, re.ASCII)
-_WS = " \t\n\r\f\v"
-
-
-def _pack(text, size: int, overlap: int) -> list:
-    """Greedy sentence packing of one text (same rules as :func:`chunk_array`)."""
-    if text is None or not text.strip(_WS):
-        return []
-    stride = size - overlap
-    done, cur = [], ""
-    for sent in _SENTENCE_RE.split(text):
-        if len(cur) + len(sent) <= size:
-            cur = (cur + " " + sent).strip(_WS)
-            continue
-        if cur:
-            done.append(cur)
-        cuts = max(0, -(-(len(sent) - size) // stride))
-        done.extend(sent[j * stride:j * stride + size] for j in range(cuts))
-        cur = sent[cuts * stride:]
-    if cur:
-        done.append(cur)
-    return done
-
-
-def chunk_udf(size: int = 900, overlap: int = 120):
-    """Arrow-batched per-document packing: the loop over a document's sentences
-    is sequential, and a Python loop beats interpreted higher-order lambdas
-    (about 3.6x on sf0.1 documents); Spark still partitions the documents."""
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _pack(t, size, overlap))
-    return chunks
-
-
-def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120,
-                    engine: str = "arrow") -> DataFrame:
-    """(id, chunk_id, text, n_chars) for every chunk of every document.
-    ``engine="native"`` runs the same packing as a Catalyst ``aggregate``."""
-    arr = chunk_array(text_col, size, overlap) if engine == "native" else chunk_udf(size, overlap)(F.col(text_col))
-    c = df.select(id_col, F.posexplode(arr).alias("chunk_id", "text"))
+def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 900,
+                    overlap: int = 120) -> DataFrame:
+    """(id, chunk_id, text, n_chars) for every chunk of every document."""
+    c = df.select(id_col, F.posexplode(chunk_array(text_col, size, overlap)).alias("chunk_id", "text"))
     return c.select(id_col, F.col("chunk_id").cast("long"), "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -116,14 +77,14 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _term_counts(df, id_col, text_col)
 
 
-def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000,
+def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int | None = 5000,
             tf: DataFrame | None = None) -> DataFrame:
     """V2 vocabulary: the ``max_features`` most frequent terms (corpus count, ties
-    by term) with smooth idf ``ln((1+n)/(1+df)) + 1``: (term, idf)."""
+    by term; ``None``: every term) with smooth idf ``ln((1+n)/(1+df)) + 1``: (term, idf)."""
     tf = tf if tf is not None else _term_counts(df, id_col, text_col)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = dfreq.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
+    vocab = dfreq if max_features is None else dfreq.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
     idf = attach(vocab, n).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     # at most max_features rows: written once so every later use (document and
     # query weights, their norms) reads it instead of re-tokenising the corpus
@@ -133,9 +94,10 @@ def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000,
 def transform_tfidf(df: DataFrame, id_col: str, text_col: str, idf: DataFrame,
                     tf: DataFrame | None = None) -> DataFrame:
     """L2-normalised tf*idf rows of ``df`` over a fitted vocabulary:
-    (id, term, weight). ``idf`` has at most ``max_features`` rows (broadcast)."""
+    (id, term, weight). ``idf`` is a written table, so
+    Spark knows its size and broadcasts it where it is small."""
     tf = tf if tf is not None else _term_counts(df, id_col, text_col)
-    w = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     # one window per item (at most max_features terms each) instead of a join back
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
@@ -222,14 +184,23 @@ def centroids(vectors: DataFrame, key: str, vec_col: str) -> DataFrame:
                                           lambda s: s["x"]).alias("centroid"))
 
 
-def build_context(hits: DataFrame, query_id: str, chunks: DataFrame, chunk_key: list, source: str) -> DataFrame:
+NO_CONTEXT = "No relevant context retrieved."  # fixed value
+
+
+def build_context(hits: DataFrame, query_id: str, chunks: DataFrame, chunk_key: list, source: str,
+                  queries: DataFrame | None = None) -> DataFrame:
     """V6: per query, ``[i] (source) text`` of its hits in rank order joined by
-    blank lines (at most k pieces per query)."""
+    blank lines (at most k pieces per query). With ``queries`` given, each of
+    them has a row; one without hits carries ``NO_CONTEXT``."""
     j = hits.join(chunks, chunk_key)
     piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.col(source).cast("string"),
                      F.lit(") "), pytrim(F.col("text")))
     g = j.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", piece.alias("p")))).alias("_p"))
-    return g.select(query_id, F.array_join(F.transform("_p", lambda s: s["p"]), "\n\n").alias("context"))
+    found = g.select(query_id, F.array_join(F.transform("_p", lambda s: s["p"]), "\n\n").alias("context"))
+    if queries is None:
+        return found
+    return queries.select(query_id).distinct().join(found, query_id, "left").select(
+        query_id, F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120,

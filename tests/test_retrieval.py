@@ -31,13 +31,20 @@ TEXTS = ["  Hello there. How are you?  Fine!  ", "", "   ", "x" * 250 + ". short
          "One. Two! Three? " * 30, "no punctuation at all " * 12]
 
 
-def test_chunking_both_engines_match_brute_force(spark):
+def test_chunking_matches_brute_force(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
-    for engine in ("arrow", "native"):
-        got = V.chunk_documents(df, "id", "text", size=100, overlap=20, engine=engine).toPandas()
-        for i, t in enumerate(TEXTS):
-            g = got[got.id == i].sort_values("chunk_id")["text"].tolist()
-            assert g == _brute_chunks(t, 100, 20), (engine, i)
+    got = V.chunk_documents(df, "id", "text", size=100, overlap=20).toPandas()
+    for i, t in enumerate(TEXTS):
+        g = got[got.id == i].sort_values("chunk_id")["text"].tolist()
+        assert g == _brute_chunks(t, 100, 20), i
+
+
+def test_query_without_hits_keeps_its_row(spark):
+    hits = spark.createDataFrame([(1, 10, 1)], "q long, key long, rank long")
+    chunks = spark.createDataFrame([(10, "a.txt", " some text ")], "key long, source string, text string")
+    queries = spark.createDataFrame([(1,), (2,)], "q long")
+    got = dict(V.build_context(hits, "q", chunks, ["key"], "source", queries).collect())
+    assert got == {1: "[1] (a.txt) some text", 2: V.NO_CONTEXT}
 
 
 def test_tfidf_rows_are_unit_norm(spark):
