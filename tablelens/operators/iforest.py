@@ -2,10 +2,10 @@
 
 * features: numeric columns, missing values filled with the exact median,
   constant columns dropped;
-* sampling: tree ``t`` takes a row when ``xxhash64(row, t)`` falls under
-  2*sample_size/n, so every tree sees an independent hash sample of about
-  2*sample_size rows (bounded, whatever n is) and keeps the ``sample_size``
-  smallest hashes;
+* sampling: tree ``t`` takes a row when ``xxhash64(row number, t)`` falls under
+  2*sample_size/n, so equal rows are drawn apart and every tree sees an
+  independent hash sample of about 2*sample_size rows (whatever n is and however
+  often values repeat) and keeps the ``sample_size`` smallest hashes;
 * building: ``groupBy(tree).applyInPandas`` grows one tree per group;
 * scoring: the forest (n_trees x at most 2*sample_size nodes, bounded by the
   parameters) is broadcast and every partition is scored with numpy in
@@ -80,11 +80,17 @@ def _build(features, sample_size, seed):
     return build
 
 
-def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
-    feat = tree["feature"].to_numpy()
-    thr = tree["threshold"].to_numpy()
-    left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
-    leaf, size = tree["leaf"].to_numpy(), tree["size"].to_numpy()
+def _prepared(trees: pd.DataFrame) -> list:
+    """Per tree: its node columns in node order, and what each node's size adds to a path."""
+    out = []
+    for _, tree in trees.sort_values("node").groupby("tree"):
+        columns = [tree[c].to_numpy() for c in ("feature", "threshold", "left", "right", "leaf")]
+        out.append((*columns, np.array([c_factor(s) for s in tree["size"]])))
+    return out
+
+
+def _path_lengths(x: np.ndarray, tree: tuple) -> np.ndarray:
+    feat, thr, left, right, leaf, adj = tree
     node = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x), dtype=float)
     active = ~leaf[node]
@@ -95,7 +101,6 @@ def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
         node[i] = np.where(go_left, left[n], right[n])
         depth[i] += 1
         active = ~leaf[node]
-    adj = np.array([c_factor(s) for s in size])
     return depth + adj[node]
 
 
@@ -116,28 +121,30 @@ def isolation_forest_scores(df: DataFrame, cols, n_trees: int = 100, sample_size
     x = df.select(*df.columns, *[fx[c].alias(n) for c, n in zip(feats, names)])
     n = x.count()
     p = min(1.0, 2.0 * sample_size / max(n, 1))
-    key = [F.col(nm) for nm in names] + [F.col(c) for c in df.columns]
     picks = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), F.xxhash64(*key, t, F.lit(seed)).alias("_h"))),
+                    lambda t: F.struct(t.alias("tree"), F.xxhash64("_row", t, F.lit(seed)).alias("_h"))),
         lambda s: (s["_h"] / F.lit(2.0 ** 64) + 0.5) < p)
-    sample = x.select(*names, F.explode(picks).alias("s")).select(*names, "s.tree", "s._h")
+    # the forest is drawn and collected once: no other job has to see the same row numbers
+    numbered = x.select(*names, F.monotonically_increasing_id().alias("_row"))
+    sample = numbered.select(*names, F.explode(picks).alias("s")).select(*names, "s.tree", "s._h")
     forest = sample.groupBy("tree").applyInPandas(_build(names, sample_size, seed), TREE_SCHEMA)
     trees = forest.toPandas()
+    if trees["tree"].nunique() < n_trees:
+        raise RuntimeError(f"{trees['tree'].nunique()} of {n_trees} trees were drawn")
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(trees)
     c_n = c_factor(min(sample_size, n))
     out_schema = T.StructType(x.schema.fields + [T.StructField("if_score", T.DoubleType())])
 
     def score(batches):
-        tr = bc.value
-        groups = [g for _, g in tr.groupby("tree")]
+        grown = _prepared(bc.value)
         for b in batches:
             arr = b[names].to_numpy(dtype=float)
             depth = np.zeros(len(b))
-            for g in groups:
-                depth += _path_lengths(arr, g.sort_values("node"))
-            mean = depth / max(len(groups), 1)
+            for tree in grown:
+                depth += _path_lengths(arr, tree)
+            mean = depth / n_trees
             b["if_score"] = np.power(2.0, -mean / c_n) if c_n > 0 else 0.5
             yield b
 

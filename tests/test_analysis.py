@@ -108,3 +108,14 @@ def test_comparison_takes_every_column_and_keeps_top_and_bottom(spark):
     assert G.comparison_report(df, groups, values).select("group_col", "value_col").distinct().count() == 60
     kinds = [(r["group"], r["kind"]) for r in G.comparison_insights(df, ["g0"], "v0").collect()]
     assert sorted(kinds) == [("k0", "bottom"), ("k0", "top")]
+
+
+def test_forest_draws_repeated_rows_apart(spark):
+    """Few distinct values, many rows: every tree is grown, and the far value of every 50th row (so that a tree's
+    sample holds some of them) scores highest."""
+    from tablelens.operators.iforest import isolation_forest_scores
+    df = spark.range(200_000).selectExpr("cast(if(id % 50 = 7, 1000, id % 100) as double) as x", "cast(id % 10 as double) as y")
+    top = isolation_forest_scores(df, ["x", "y"]).groupBy("x").agg({"if_score": "max"}).collect()
+    scores = {r[0]: r[1] for r in top}
+    assert len(scores) == 99 and max(scores, key=scores.get) == 1000.0
+    assert min(scores.values()) < 0.6

@@ -89,4 +89,4 @@ def test_mode_tie_goes_to_the_smallest_typed_value(spark):
     df = spark.createDataFrame([(1, 10, True), (2, 9, False), (3, None, None)], "k int, code int, flag boolean")
     out, log = C.fill_missing(df, {"k": "ID", "code": "CATEGORICAL", "flag": "BOOLEAN"})
     assert out.orderBy("k").collect()[2][1:] == (9, False)
-    assert [e["reason"] for e in log] == ["imputed with mode '9'", "imputed with mode 'false'"]
+    assert [e[3] for e in log] == ["imputed with mode '9'", "imputed with mode 'false'"]
