@@ -3,8 +3,9 @@
 Every document becomes a set of word shingles and a signature of ``BANDS * ROWS`` min-hashes, of
 which the low bytes are kept. Documents with equal sets are one node from then on. Nodes that agree on
 a whole band are candidates. Candidates' signatures are compared in batches; a pair goes as soon as the
-posterior probability of the wanted similarity falls below ``MISS``. Survivors are verified on the
-whole shingle sets.
+posterior probability of the wanted similarity falls below ``MISS``. The last batch compares the sets' parity
+bits, which differ in no more places than the sets differ in shingles. Survivors are verified on the whole
+shingle sets.
 
 No bucket is expanded into all its pairs: first each member meets its bucket's smallest node. Verified links
 give components, and only pairs of different components are compared further, in chunks of bounded
@@ -25,8 +26,12 @@ from tablelens.llm.common import WordHashes, chunks, components, digest, grouped
 
 BANDS, ROWS = 40, 5  # a pair of similarity 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5
 MISS = 1e-5
-CHUNK = 256  # members of a bucket compared with each other in one group
+CHUNK = 256  # members of a bucket compared with each other in one group of the linear pass
+WHOLE_CHUNK = 1024  # members of each side compared in one group of the whole pass; larger chunks meet fewer others
 LEADERS, BEST = 24, 3
+PARITY = 1024  # bits: bit k is the parity of the number of shingles whose hash falls on k
+SIGMAS = 4.3  # a normal variable exceeds so many deviations with probability MISS
+HASHED, WIDTH = BANDS * ROWS, BANDS * ROWS + PARITY // 8 + 4  # a signature: min-hash bytes, parity bits, set size
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _random = np.random.default_rng(20240229)
 FACTOR = (_random.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -34,13 +39,25 @@ FLIP = _random.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)[:,
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Low bytes of the min-hashes of a non-empty set of 64-bit hashes."""
+    """Low bytes of the min-hashes of a non-empty set of 64-bit hashes, its parity bits and its size."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for at in range(0, len(h), 1024):
         np.minimum(least, ((h[None, at:at + 1024] ^ FLIP) * FACTOR).min(axis=1), out=least)
     # the product's low bits repeat those of the hash: mix before cutting to a byte
-    return ((least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(24)).astype(np.uint8)
+    low = ((least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(24)).astype(np.uint8)
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.concatenate([low, np.packbits(odd.astype(np.uint8)), np.array([len(hashes)], "<u4").view(np.uint8)])
+
+
+def most_odd(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Most parity bits in which two sets of ``sizes`` shingles together may differ at the wanted similarity.
+
+    At most d = sizes * (100 - percent) / (100 + percent) shingles are in one of them only, so never more than d bits
+    differ; of many shingles some meet in a bit, and more than the mean by SIGMAS deviations differ with probability MISS."""
+    d = sizes * (100 - percent) / (100 + percent)
+    p = (1 - (1 - 2 / PARITY) ** d) / 2
+    return np.minimum(d, PARITY * p + SIGMAS * np.sqrt(PARITY * p * (1 - p)))
 
 
 def keep_from(similarity: float, miss: float = MISS) -> list[int]:
@@ -59,7 +76,7 @@ def keep_from(similarity: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def survivors(x: np.ndarray, y: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def survivors(x: np.ndarray, y: np.ndarray, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the signature matrices that pass every batch, and their number of equal bytes."""
     rows, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
     for k, need in enumerate(least):
@@ -67,11 +84,15 @@ def survivors(x: np.ndarray, y: np.ndarray, least: list[int]) -> tuple[np.ndarra
         equal = equal + (x[rows, at] == y[rows, at]).sum(axis=1)
         stay = equal >= need
         rows, equal = rows[stay], equal[stay]
-    return rows, equal
+    u, v = x[rows], y[rows]
+    odd = np.bitwise_count(u[:, HASHED:-4] ^ v[:, HASHED:-4]).sum(axis=1, dtype=np.int64)
+    sizes = sum(np.ascontiguousarray(m[:, -4:]).view("<u4")[:, 0].astype(np.int64) for m in (u, v))
+    stay = odd <= most_odd(sizes, percent)
+    return rows[stay], equal[stay]
 
 
-def matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+def matrix(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, WIDTH)
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -91,11 +112,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def prune(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
+def prune(pairs: DataFrame, nodes: DataFrame, least: list[int], percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures pass the sequential test."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, _ = survivors(matrix(batch.column(2)), matrix(batch.column(3)), least)
+            rows, _ = survivors(matrix(batch.column(2).to_pylist()), matrix(batch.column(3).to_pylist()), least, percent)
             yield batch.select([0, 1]).take(pa.array(rows))
     sides = [nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -126,13 +147,14 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[int], whole: bool) -> DataFrame:
+def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[int], percent: int, whole: bool) -> DataFrame:
     """Surviving pairs of different components within a bucket (its leader has met all members already).
 
     A first pass is linear in the bucket: it is cut into chunks by a hash, about LEADERS of its members visit
     every chunk, and each node keeps its BEST most similar partners. The ``whole`` pass then compares every pair
-    of different components that is left: the chunks of all but the largest component meet each other and
-    those of the largest one; a pair is compared only in the first band that it shares."""
+    of different components that is left: a bucket of at most WHOLE_CHUNK members in one group; in a larger one the
+    chunks of all but the largest component meet each other and those of the largest one. A pair is compared only
+    in the first band that it shares."""
     rest = members.where("node <> leader").select("key", "band", "node") \
         .join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("key", "band", "component").agg(F.count("*").alias("n")).groupBy("key", "band") \
@@ -143,14 +165,17 @@ def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[i
     pick = lambda n, seed: F.pmod(F.xxhash64("node", "band", F.lit(seed)), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     if whole:
-        others, majors = (F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int") for n in (F.col("n") - F.col("top"), F.col("top")))
-        small = here.where("component <> major").withColumn("mine", pick(others, 1))
-        alike = small.withColumn("other", upto(others)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
+        others, majors = (F.greatest(F.lit(1), F.ceil(n / WHOLE_CHUNK)).cast("int") for n in (F.col("n") - F.col("top"), F.col("top")))
+        once = here.where(F.col("n") <= WHOLE_CHUNK).withColumn("i", F.lit(0)).withColumn("j", F.lit(0)) \
+            .withColumn("kind", F.lit(0)).withColumn("side", F.lit(0))
+        cut = here.where(F.col("n") > WHOLE_CHUNK)
+        small = cut.where("component <> major").withColumn("mine", pick(others, 1))
+        alike = small.where("n - top > 1").withColumn("other", upto(others)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
             .withColumn("kind", F.when(F.col("i") == F.col("j"), 0).otherwise(1)).withColumn("side", (F.col("mine") == F.col("j")).cast("int"))
-        large = here.where("component = major").withColumn("i", pick(majors, 1)).withColumn("j", upto(others)) \
+        large = cut.where("component = major").withColumn("i", pick(majors, 1)).withColumn("j", upto(others)) \
             .withColumn("kind", F.lit(2)).withColumn("side", F.lit(0))
         visits = small.withColumn("i", upto(majors)).withColumn("j", F.col("mine")).withColumn("kind", F.lit(2)).withColumn("side", F.lit(1))
-        dealt = alike.select(*columns).unionByName(large.select(*columns)).unionByName(visits.select(*columns))
+        dealt = once.select(*columns).unionByName(alike.select(*columns)).unionByName(large.select(*columns)).unionByName(visits.select(*columns))
     else:
         cut = F.ceil(F.col("n") / CHUNK).cast("int")
         own = here.withColumn("i", pick(cut, 1)).withColumn("side", F.lit(0))
@@ -163,8 +188,8 @@ def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[i
         own = list(rows)
         _, band, kind, _, _ = key
         side, node, component = (np.array([r[c] for r in own], np.int64) for c in (5, 6, 7))
-        signatures = np.frombuffer(b"".join(r[8] for r in own), np.uint8).reshape(-1, BANDS * ROWS)
-        bands = signatures.reshape(len(own), BANDS, ROWS)
+        signatures = matrix([r[8] for r in own])
+        bands = signatures[:, :HASHED].reshape(len(own), BANDS, ROWS)
         found = []
         for at in range(len(own)):
             ok = (component != component[at]) & (node > node[at])
@@ -176,7 +201,7 @@ def across(members: DataFrame, nodes: DataFrame, found: DataFrame, least: list[i
             if whole and len(other):
                 equal = (bands[other] == bands[at]).all(axis=2)
                 other = other[equal[:, band] & ~equal[:, :band].any(axis=1)]
-            rows_, n = survivors(np.broadcast_to(signatures[at], (len(other), BANDS * ROWS)), signatures[other], least)
+            rows_, n = survivors(np.broadcast_to(signatures[at], (len(other), WIDTH)), signatures[other], least, percent)
             found += [(int(m), at, int(o)) for m, o in zip(n, other[rows_])]
         if not whole:
             met, kept = Counter(), []
@@ -213,10 +238,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     members = stored(bands.join(shared.drop("n"), ["key", "band"]), "members")
 
     links = stored(verify(prune(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(),
-                                nodes, least), docs, width, percent), "links")
+                                nodes, least, percent), docs, width, percent), "links")
     for whole in (False, True):
         found = stored(components(links), "components")
-        links = stored(links.unionByName(verify(across(members, nodes, found, least, whole), docs, width, percent)), "links")
+        links = stored(links.unionByName(verify(across(members, nodes, found, least, percent, whole), docs, width, percent)), "links")
     found = components(links)
     classes = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
