@@ -2,9 +2,10 @@
 
 A page is cut into leaf blocks, each with its tag path (tags, classes, ids, roles). A bidirectional LSTM
 in numpy reads every page's whole sequence of block vectors (hashed path, hashed words, a few
-figures) and labels each block. It is trained on a bounded sample of the table's own pages: blocks
-are labelled by the semantic elements that pages carry, and their texts are also set anew into other
-layouts, so that the labeller meets notices, adverts, forms, sidebars and comments under many names.
+figures) and labels each block. It is trained on a bounded sample of the table's own pages, drawn among those
+that mark their main text and read whole: blocks are labelled by the semantic elements that pages carry, and their
+texts are also set anew into other layouts, so that the labeller meets notices, adverts, forms, sidebars and comments
+under many names. Where no page of the table marks its main text, only such layouts are learned from.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ WRAPPERS = [["article"], ["main"], ["main", "article"], ["div", "content"], ["di
             ["section", "entry", "content"], ["div", "article", "body"], ["div", "story"], ["div", "text"], ["div", "page", "article"], []]
 PATH, WORD, FIGURES, HIDDEN_SIZE = 512, 32, 6, 16
 INPUT = PATH + WORD + FIGURES
+WINDOW = 2_000  # blocks; longer training pages are learned from in consecutive windows of so many
 
 
 # -- pages to blocks -------------------------------------------------------------------------------
@@ -204,6 +206,20 @@ def lstm_back(grad: np.ndarray, mask: np.ndarray, u: np.ndarray, tape: list) ->
     return dz, du
 
 
+def windows(x: np.ndarray, own: list[int]) -> list[tuple[np.ndarray, list[int]]]:
+    """All blocks of a training page, in consecutive windows of at most WINDOW blocks."""
+    return [(x[k:k + WINDOW], own[k:k + WINDOW]) for k in range(0, len(own), WINDOW)]
+
+
+def packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block vectors with their path bits packed; a thirteenth to a tenth of the size."""
+    return np.packbits(x[:, :PATH] > 0, axis=1), x[:, PATH:].copy()
+
+
+def unpacked(bits: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.unpackbits(bits, axis=1).astype(np.float32), rest], axis=1)
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     time = max(map(len, pages))
     x, mask = np.zeros((len(pages), time, INPUT), np.float32), np.zeros((len(pages), time), np.float32)
@@ -226,15 +242,19 @@ def forward(p: dict, x: np.ndarray, mask: np.ndarray, tapes: list | None = None)
     return (both @ p["v"] + p["o"])[:, :, 0], both, xb
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], seed: int, epochs: int, batch: int = 32) -> dict[str, np.ndarray]:
-    """Adam on the mean log loss of the blocks."""
+def train(pages: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], seed: int, epochs: int, batch: int = 32,
+          limit: int = 30_000) -> dict[str, np.ndarray]:
+    """Adam on the mean log loss of the blocks; ``pages`` are packed, at most ``limit`` padded blocks are unpacked at once."""
     p, rng = initial(seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    by_length = np.argsort([len(x) for x in pages], kind="stable")
-    groups = [by_length[i:i + batch] for i in range(0, len(by_length), batch)]
+    groups: list[list[int]] = []
+    for k in np.argsort([len(y) for y in labels], kind="stable"):
+        if not groups or len(groups[-1]) == batch or (len(groups[-1]) + 1) * len(labels[k]) > limit:
+            groups.append([])
+        groups[-1].append(k)
     for epoch in range(epochs):
         for g in rng.permutation(len(groups)):
-            x, mask = padded([pages[k] for k in groups[g]])
+            x, mask = padded([unpacked(*pages[k]) for k in groups[g]])
             y = np.zeros(mask.shape, np.float32)
             for row, k in enumerate(groups[g]):
                 y[row, :len(labels[k])] = labels[k]
@@ -316,32 +336,89 @@ def laid_out(page: list, own: list[int], texts: list[str], rng: np.random.Genera
     return out, labels
 
 
+def presumed(page: list) -> list[int]:
+    """Labels for a page without an element for main text, to fill layouts with: its prose outside parts that are
+    named as something else, or all such blocks, or all blocks."""
+    other = {w for names in OTHER.values() for w in names}
+    outside = [int(not other & set(path)) for path, *_ in page]
+    prose = [int(y and len(text) >= 80 and linked < 0.3 and text[-1] in ".!?") for y, (_, text, linked) in zip(outside, page)]
+    return prose if any(prose) else outside if any(outside) else [1] * len(page)
+
+
 def fit(pages: list[str], seed: int = 7, layouts: int = 3, least: int = 400, epochs: int = 12) -> dict[str, np.ndarray] | None:
-    """The labeller trained on the pages with an element for main text, each also in ``layouts`` others
-    (more where that makes fewer than ``least`` training pages); None without any."""
+    """The labeller trained on whole pages; None where no page has a block."""
+    return fit_blocks([b for b in map(blocks, pages) if b], seed, layouts, least, epochs)
+
+
+def fit_blocks(pages: list[list], seed: int = 7, layouts: int = 3, least: int = 400, epochs: int = 12) -> dict[str, np.ndarray] | None:
+    """The labeller trained on the block sequences of pages with an element for main text, each also in ``layouts``
+    others (more where that makes fewer than ``least`` training pages). Without any, the main text is presumed and
+    only seen in other layouts. None without pages."""
     rng, vectors = np.random.default_rng(seed), Vectors()
-    cut = [(b, y) for b in map(blocks, pages) if b and (y := marked(b))]
+    cut = [(b, y) for b in pages if b and (y := marked(b))]
+    own = [(packed(x), k) for b, y in cut for x, k in windows(vectors(b), y)]
+    if not cut:
+        cut = [(b, presumed(b)) for b in pages if b]
     if not cut:
         return None
     texts = [text for b, _ in cut for _, text, _ in b]
-    own = [*cut, *[laid_out(b, y, texts, rng) for b, y in cut for _ in range(max(layouts, -(-least // len(cut))))]]
-    return train([vectors(b) for b, _ in own], [np.array(y, np.float32) for _, y in own], seed, epochs)
+    many = sum(-(-len(b) // WINDOW) for b, _ in cut)
+    for b, y in cut:
+        for _ in range(max(layouts, -(-least // many))):
+            page, labels = laid_out(b, y, texts, rng)
+            own += [(packed(x), k) for x, k in windows(vectors(page), labels)]
+    return train([x for x, _ in own], [np.array(y, np.float32) for _, y in own], seed, epochs)
+
 
+def drawn_pages(html: DataFrame, sample: int) -> list[list]:
+    """Block sequences of at most ``sample`` distinct pages of the one column ``html``, those that mark their main text first.
 
-def main_text(pages: DataFrame, sample: int = 250, max_chars: int = 20_000, id_col: str = "page_id", url_col: str = "url",
+    Pages are read whole inside tasks in the order of their hash: first those under a bound that holds about four times the
+    sample, then eight times as many, until enough marked ones are found or the whole table is read. Only hashes and flags, and
+    then the drawn pages' blocks, are collected.
+    """
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cut = [blocks(p) for p in part.column(1).to_pylist()]
+                found = pa.RecordBatch.from_arrays([part.column(0), pa.array([marked(b) is not None for b in cut], pa.bool_())], ["key", "marked"])
+                yield found.filter(pa.array([len(b) > 0 for b in cut], pa.bool_()))
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.string()), ("linked", pa.float64())]))
+        for batch in batches:
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cut = [{"path": list(path), "text": text, "linked": linked} for path, text, linked in blocks(page)]
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([cut], kind)], ["key", "blocks"])
+
+    n, share = html.count(), 0.0
+    keyed, drawn = html.where("html is not null").select(F.xxhash64("html").alias("key"), "html"), []
+    while n and share < 1:
+        share = min(1.0, share * 8 or 4 * sample / n)
+        under = keyed if share == 1 else keyed.where(F.col("key") < F.lit(int((share - 0.5) * 2.0 ** 64)))
+        # at most ``sample`` hashes and flags
+        drawn = under.mapInArrow(flags, "key long, marked boolean").distinct().orderBy(F.desc("marked"), "key").limit(sample).collect()
+        if sum(r.marked for r in drawn) >= sample:
+            break
+    keys = [r.key for r in drawn if r.marked] or [r.key for r in drawn]
+    if not keys:
+        return []
+    rows = keyed.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")) \
+        .mapInArrow(sequences, "key long, blocks array<struct<path: array<string>, text: string, linked: double>>").collect()
+    return [[(tuple(b.path), b.text, b.linked) for b in r.blocks] for r in sorted(rows, key=lambda r: r.key)]
+
+
+def main_text(pages: DataFrame, sample: int = 250, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_blocks, n_main) of every row; the text is empty where no block is main text.
 
-    Trained on at most ``sample`` pages (``max_chars`` of each) drawn by a hash of the page. In a table where none of
-    them marks its main text, every text is empty. Null and empty pages have an empty text;
-    repeated rows are labelled each; null ids and urls stay null; other columns are not read.
+    Trained on at most ``sample`` whole pages drawn by a hash of the page among all that mark their main text. In a table
+    where none does, it is trained on other layouts of the texts of at most ``sample`` pages. Null and empty pages have an
+    empty text; repeated rows are labelled each; null ids and urls stay null; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    # ids are drawn first, so that only the drawn pages' html moves; at most ``sample`` ids
-    ids = rows.where("html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    drawn = rows.join(F.broadcast(ids.withColumnRenamed("page_id", "drawn")), F.col("page_id").eqNullSafe(F.col("drawn")), "left_semi") \
-        .groupBy("page_id").agg(F.min(F.substring("html", 1, max_chars)).alias("html")).orderBy("page_id").collect()
-    model = fit([r.html for r in drawn])
+    model = fit_blocks(drawn_pages(rows.select("html"), sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors()

@@ -69,3 +69,28 @@ def test_odd_pages(spark):
     assert len(got) == 7 and [r.text for r in got if r.page_id in (1, 2)] == ["", ""]
     assert next(len(r.text) for r in got if r.page_id is None) == 99_999
     assert B.main_text(df.limit(0)).count() == 0
+
+
+def test_heavy_heads_and_rare_marks(spark):
+    """Marked pages whose scripts fill the first 20,000 characters, one in 600 pages."""
+    page = PAGE.format(open="<article>", close="</article>", long=LONG).replace("<style>x", "<style>" + "x {} " * 6_000)
+    bare = "<html><body><p>{}</p></body></html>"
+    rows = [(i, "u", page if i == 301 else bare.format(f"Short note {i}")) for i in range(600)]
+    got = {r.page_id: r.text for r in B.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=25).collect()}
+    assert len(got) == 600 and got[301] == f"Head & line {LONG}Onetwo three four. {LONG.strip()}"
+
+
+def test_training_reads_whole_pages(spark):
+    page = "<article>" + "<p>Words of the story, again.</p>" * 1_500 + "</article><footer>The very end</footer>"
+    (cut,) = B.drawn_pages(spark.createDataFrame([(page,), (page,), ("<p>none</p>",), (None,)], "html string"), 250)
+    assert cut == B.blocks(page) and cut[-1][1] == "The very end"
+    x = B.Vectors()(cut)
+    assert np.array_equal(B.unpacked(*B.packed(x)), x)
+    assert [len(y) for _, y in B.windows(np.zeros((4_500, 2)), [0] * 4_500)] == [2_000, 2_000, 500]
+
+
+def test_table_without_marks(spark):
+    page = PAGE.format(open='<div class="post-body">', close="</div>", long=LONG)
+    rows = [(i, "u", page.replace("Head", f"Head {i}")) for i in range(40)]
+    got = B.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 40 and all(r.text == f"Head {r.page_id} & line {LONG}Onetwo three four. {LONG.strip()}" for r in got)
