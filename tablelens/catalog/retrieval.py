@@ -130,7 +130,8 @@ def _rag(s, d):
 
 def _svd(s, d):
     from tablelens.operators.svd import svd_embed
-    return svd_embed(V.tfidf(table(s, d, "documents"), "doc_id", "text"), "doc_id", k=200)
+    docs = table(s, d, "documents")
+    return svd_embed(V.tfidf(docs, "doc_id", "text"), "doc_id", k=200, docs=docs)
 
 
 register("svd_embed")(_svd)

@@ -4,11 +4,12 @@ The right singular vectors live in term space, whose size is capped by the
 vocabulary (``max_features``). Each iteration computes Z = W^T (W M) for a
 small d x l matrix M: documents are scanned once, every partition multiplies
 its own rows with numpy (Arrow batches) and emits one partial row per term it
-touched, and the partials are summed per term (at most #partitions rows per
-term). Only d x l matrices reach the driver, where they are orthonormalised.
+touched, and the partials are summed by term and position in running sums.
+Only d x l matrices reach the driver, where they are orthonormalised.
 The embedding of a document is its row times the top-k right singular
 vectors (U*Sigma, as TruncatedSVD.transform), L2-normalised; a document
-without any vocabulary term has no row in the weights table and no embedding.
+without any vocabulary term has no row in the weights table: it has the zero
+vector where the documents are given, and no embedding otherwise.
 """
 
 from __future__ import annotations
@@ -54,10 +55,8 @@ def _gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
         yield pd.DataFrame({"t": nz.astype(np.int32), "v": list(acc[nz])})
 
     part = rows.select("idx", "w").mapInPandas(partial, "t int, v array<double>")
-    # element-wise sum of the partial vectors of each term (at most #partitions per term), JVM-side
-    zero = F.array_repeat(F.lit(0.0), l)
-    summed = part.groupBy("t").agg(F.aggregate(
-        F.collect_list("v"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("v")).toPandas()
+    # one running sum per term and position, JVM-side; no partial vectors are held
+    summed = part.groupBy("t").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(l)]).alias("v")).toPandas()
     z = np.zeros((d, l))  # d x l: bounded by the vocabulary and k
     if len(summed):
         z[summed["t"].to_numpy()] = np.stack(summed["v"].to_numpy())
@@ -66,9 +65,10 @@ def _gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
 
 
 def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 10, n_iter: int = 3,
-              seed: int = 42) -> DataFrame:
+              seed: int = 42, docs: DataFrame | None = None) -> DataFrame:
     """(id, vector array<double>): k-dimensional L2-normalised embeddings of a
-    sparse (id, term, weight) table."""
+    sparse (id, term, weight) table. With ``docs`` given, each of its ids has a
+    row; one without weights has the zero vector."""
     spark = weights.sparkSession
     terms = sorted(r["term"] for r in weights.select("term").distinct().collect())  # <= max_features
     d = len(terms)
@@ -76,13 +76,15 @@ def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 1
     l = min(k + oversample, d)
     vocab = spark.createDataFrame(list(zip(terms, range(d))), "term string, t int")
     rows = _rows(weights, id_col, vocab)
-    q = np.random.RandomState(seed).standard_normal((d, l))
-    for _ in range(n_iter):
-        q, _ = np.linalg.qr(_gram_times(rows, q))
-    z = _gram_times(rows, q)
-    evals, evecs = np.linalg.eigh(q.T @ z)  # W^T W restricted to span(q)
-    order = np.argsort(evals)[::-1][:k]
-    v = q @ evecs[:, order]  # d x k right singular vectors
+    v = np.zeros((d, k))
+    if d:
+        q = np.random.RandomState(seed).standard_normal((d, l))
+        for _ in range(n_iter):
+            q, _ = np.linalg.qr(_gram_times(rows, q))
+        z = _gram_times(rows, q)
+        evals, evecs = np.linalg.eigh(q.T @ z)  # W^T W restricted to span(q)
+        order = np.argsort(evals)[::-1][:k]
+        v = q @ evecs[:, order]  # d x k right singular vectors
     bc = spark.sparkContext.broadcast(v)
 
     def embed(batches):
@@ -96,7 +98,13 @@ def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 1
             yield pd.DataFrame({id_col: b[id_col], "vector": out})
 
     id_type = dict(rows.dtypes)[id_col]
-    return rows.mapInPandas(embed, f"{id_col} {id_type}, vector array<double>")
+    found = rows.mapInPandas(embed, f"{id_col} {id_type}, vector array<double>")
+    if docs is None:
+        return found
+    # only ids move; a null id is one like any other
+    other = docs.select(id_col).distinct().join(rows.select(F.col(id_col).alias("_found")),
+                                                F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+    return found.unionByName(other.select(id_col, F.array_repeat(F.lit(0.0), k).alias("vector")))
 
 
 def singular_values(weights: DataFrame, id_col: str, k: int, oversample: int = 10, n_iter: int = 3,

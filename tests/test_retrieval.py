@@ -80,3 +80,20 @@ def test_randomized_svd_matches_numpy(spark):
     emb = svd_embed(w, "id", k=5).toPandas()
     assert len(emb) == int((a != 0).any(axis=1).sum())
     assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in emb["vector"])
+
+
+def test_svd_keeps_documents_without_known_terms(spark):
+    from tablelens.operators.svd import svd_embed
+    rows = [(1, "apple banana apple"), (2, "banana apple"), (3, "rare words only"), (4, ""), (5, None), (None, "rare")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["vector"] for r in svd_embed(V.tfidf(df, "id", "text", max_features=2), "id", k=2, docs=df).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5, None} and len({len(v) for v in got.values()}) == 1
+    assert all(abs(np.linalg.norm(got[i]) - (i in (1, 2))) < 1e-6 for i in got)
+    empty = df.where("id in (4, 5)")
+    assert [set(r["vector"]) for r in svd_embed(V.tfidf(empty, "id", "text"), "id", k=2, docs=empty).collect()] == [{0.0}, {0.0}]
+
+
+def test_registered_svd_has_every_document(spark):
+    from tablelens.catalog import QUERIES
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["svd_embed"](spark, d).count() == spark.read.parquet(f"{d}/documents.parquet").count()
