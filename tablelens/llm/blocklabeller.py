@@ -24,12 +24,17 @@ from tablelens.llm.sample import sigmoid
 
 # HTML element names by their role in cutting a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template svg math iframe object canvas head title".split())
+#: Never rendered: iframe holds what browsers without frames showed, annotations hold a formula's source beside the formula.
+HIDDEN = set("script style template iframe head title annotation annotation-xml".split())
+#: Formulas and drawings stay within their line of text; their cells (mtd) and labels (text) are blocks.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
-             "strike strong sub sup time tt u var wbr".split())
+             "strike strong sub sup time tt u var wbr "
+             "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+             "msubsup munder mover munderover mmultiscripts mprescripts none "
+             "svg g defs symbol use path rect circle ellipse line polyline polygon tspan".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
-SCOPES = set("div article section main aside nav header footer form ul ol dl table blockquote body td th".split())
+SCOPES = set("div article section main aside nav header footer form ul ol dl table blockquote body td th object".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[^a-z0-9]+")

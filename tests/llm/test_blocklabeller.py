@@ -94,3 +94,12 @@ def test_table_without_marks(spark):
     rows = [(i, "u", page.replace("Head", f"Head {i}")) for i in range(40)]
     got = B.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 40 and all(r.text == f"Head {r.page_id} & line {LONG}Onetwo three four. {LONG.strip()}" for r in got)
+
+
+def test_text_in_formulas_and_fallbacks():
+    page = """<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="tex">\\x</annotation></math> hold<svg><title>no</title><path d="m"/>
+</svg>.</p><object data="f"><p>A chart of sales.</p></object><canvas>Sales by year.</canvas><noscript><p>Late text.</p></noscript>
+<svg><g><text>Label</text></g></svg><template><p>no</p></template><iframe>no</iframe><style>no</style><script>no</script><p>End.</p></article>"""
+    cut = B.blocks(page)
+    assert [t for _, t, _ in cut] == ["Let x=2 hold .", "A chart of sales.", "Sales by year.", "Late text.", "Label", "End."]
+    assert B.marked(cut) == [1] * 6 and "noscript" in cut[3][0]
