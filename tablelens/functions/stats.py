@@ -211,17 +211,18 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
               .drop("_one"))
 
 
-def exact_sum(x) -> Column:
+def exact_sum(x, over=None) -> Column:
     """Sum that depends little on the order of the rows and keeps tiny, huge and infinite values.
 
     Values of ordinary size (below 1e20 in magnitude, with no digits beyond the sixth decimal) are summed
     as DECIMAL(38,6), bit for bit the same however the rows are partitioned. What such a value leaves
-    over, and all other values (infinities and NaN included), go through an ordinary double sum."""
+    over, and all other values (infinities and NaN included), go through an ordinary double sum. ``over``: a window."""
     v = _c(x).cast("double")
     fits = F.abs(v) < 1e20
     fixed = F.when(fits, v).cast("decimal(38,6)")
     rest = F.when(fits, v - fixed.cast("double")).otherwise(v)
-    return F.coalesce(F.sum(fixed).cast("double"), F.lit(0.0)) + F.sum(rest)
+    total, left = (F.sum(c) if over is None else F.sum(c).over(over) for c in (fixed, rest))
+    return F.coalesce(total.cast("double"), F.lit(0.0)) + left
 
 
 def exact_mean(x) -> Column:

@@ -151,8 +151,8 @@ def decompose(series: DataFrame, period: int | None = None, freq: str = "D") ->
     ix = indexed(series)
     w = Window.orderBy("idx")  # series of buckets: bounded by the calendar span
     lag, lead = F.lag("value", h).over(w), F.lead("value", h).over(w)
-    # exact (decimal) window sum: the trend does not depend on summation order
-    box = F.sum(F.col("value").cast("decimal(38,6)")).over(w.rowsBetween(-h, h)).cast("double")
+    # exact (decimal) window sum: the trend of ordinary values does not depend on summation order
+    box = exact_sum("value", w.rowsBetween(-h, h))
     if p % 2 == 1:
         tr = F.when(lag.isNotNull() & lead.isNotNull(), box / p)
     else:

@@ -24,6 +24,25 @@ def test_decompose_needs_two_periods(small_df):
     assert abs(d.groupby(np.arange(84) % 7)["seasonal"].first().sum()) < 1e-3
 
 
+def test_decompose_of_huge_values(spark):
+    def trend(values):
+        s = spark.createDataFrame(list(enumerate(values)), "i int, value double").selectExpr(
+            "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(i) as bucket", "value", "1L as n_records")
+        return [r["trend"] for r in TS.decompose(s, freq="D").orderBy("bucket").collect()][3:-3]
+
+    assert np.allclose(trend([1e35] * 14), [1e35] * 8)
+    assert trend([1.0] * 7 + [float("inf")] + [1.0] * 8) == [1.0] + [float("inf")] * 7 + [1.0] * 2
+
+
+def test_moving_sum_keeps_small_digits(spark):
+    from pyspark.sql import Window
+
+    from tablelens.functions.stats import exact_sum
+    df = spark.createDataFrame([(i, 4e-7) for i in range(5)], "i int, v double")
+    got = df.select(exact_sum("v", Window.orderBy("i").rowsBetween(-1, 1)).alias("s")).collect()
+    assert np.allclose([r.s for r in got], [8e-7, 12e-7, 12e-7, 12e-7, 8e-7], rtol=1e-9)
+
+
 def _holt_numpy(y):
     best = None
     for a in FC.HOLT_ALPHA:
