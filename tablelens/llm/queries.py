@@ -216,3 +216,34 @@ def op10_html_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from tablelens.llm.blocklabeller import main_text
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all embeddings after five rounds."""
+    from tablelens.llm.bisector import cluster, inertia
+    return inertia(*cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    sql = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::BIGINT AS cluster, e AS c FROM v ORDER BY 1 LIMIT {k})"""
+    for n in range(rounds + 1):
+        # distance and number in one integer: the smallest distance, then the smallest number
+        sql += f""",
+a{n} AS MATERIALIZED (SELECT r, min(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT * 64 + cluster) AS best
+    FROM v, c{n} GROUP BY r)"""
+        if n < rounds:
+            sql += f""",
+s{n} AS (SELECT best % 64 AS cluster, i, sum(e[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (r), generate_series(1, 64) AS g(i) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.cluster, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN
+    (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY cluster) m USING (cluster))"""
+    return sql + f"""
+SELECT vec_id, (best % 64)::INTEGER AS cluster, best // 64 AS distance, (sum(best // 64) OVER (PARTITION BY best % 64))::BIGINT AS cluster_inertia,
+    (sum(best // 64) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.cluster = best % 64"""
+
+
+ORACLE["op11_bisector_clusters"] = _cluster_sql()
