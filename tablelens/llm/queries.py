@@ -247,3 +247,10 @@ FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.cluster = best % 64"
 
 
 ORACLE["op11_bisector_clusters"] = _cluster_sql()
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with repeated tails."""
+    from tablelens.llm.runs import longest, periodic_runs, periodic_tail
+    return longest(periodic_runs(table(spark, sf_dir, "documents"), periodic_tail))
