@@ -14,8 +14,8 @@ Documents are taken together in batches, each closed by words that occur nowhere
 
 from __future__ import annotations
 
-import hashlib
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -210,28 +210,26 @@ def periodic_tail(words: list[bytes], doc_id: int | None) -> list[bytes]:
     return words[:a] + [words[a + k % p] for k in range(n - a)]
 
 
-FIELDS = "doc_id long, runs array<struct<start: long, length: long, period: long>>, runs_sha256 string, collapsed_sha256 string"
+FIELDS = "doc_id long, runs array<struct<start: long, length: long, period: long>>, collapsed string"
 
 
 def _answer(ids: list, texts: list, change) -> pa.RecordBatch:
-    numbers: dict[bytes, int] = {}
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
     documents = [change(words_of(t), i) if change else words_of(t) for i, t in zip(ids, texts)]
-    runs = find([np.fromiter((numbers.setdefault(w, len(numbers)) for w in d), np.int64, len(d)) for d in documents])
-    listed = ["".join(f"{r.start},{r.length},{r.period}\n" for r in own) for own in runs]
-    kept = [hashlib.sha256(b" ".join(kept_words(d, own))).hexdigest() for d, own in zip(documents, runs)]
+    runs = find([np.fromiter(map(numbers.__getitem__, d), np.int64, len(d)) for d in documents])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array([[r._asdict() for r in own] for own in runs], kind),
-         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed]), pa.array(kept)],
-        ["doc_id", "runs", "runs_sha256", "collapsed_sha256"])
+         pa.array([b" ".join(kept_words(d, own)) for d, own in zip(documents, runs)], pa.binary()).cast(pa.string())],
+        ["doc_id", "runs", "collapsed"])
 
 
 def periodic_runs(docs: DataFrame, change=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, runs, runs_sha256, collapsed_sha256) of every row: all runs of at least 12 words and two periods.
+    """(doc_id, runs, collapsed) of every row: all runs of at least 12 words and two periods.
 
     Words are split at ASCII white space. ``change`` (words, id) may replace a document's words first. ``runs`` is sorted by start,
-    then period; ``runs_sha256`` digests its lines ``start,length,period``; ``collapsed_sha256`` digests the words joined by
-    one space that no run holds after its first period. Null and empty texts have no words and no runs; repeated
+    then period; ``collapsed`` are the words that no run holds after its first period, joined by one space. Null and empty texts have no words and no runs; repeated
     rows and null ids are rows like any other; an empty table gives no rows. Two runs may start at the same word with different periods: both count.
     Long texts are searched whole. Other columns are not read.
     """
@@ -243,9 +241,11 @@ def periodic_runs(docs: DataFrame, change=None, id_col: str = "doc_id", text_col
 
 
 def longest(found: DataFrame) -> DataFrame:
-    """One row per document: the number of runs and the longest one (the first of equal ones, then the smaller period)."""
+    """One row per document: the number of runs, the longest one (the first of equal ones, then the smaller period), and
+    digests of all runs' lines ``start,length,period`` and of the collapsed text."""
     best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("least"), r.start.alias("start"), r.period.alias("period"))))
-    length = -F.col("best.least")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
     return found.withColumn("best", best).select(
-        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
-        F.floor(F.expr("1000 * -best.least div best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.least")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * -best.least div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
