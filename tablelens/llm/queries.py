@@ -254,3 +254,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of them with repeated tails."""
     from tablelens.llm.runs import longest, periodic_runs, periodic_tail
     return longest(periodic_runs(table(spark, sf_dir, "documents"), periodic_tail))
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that a document of smaller id holds."""
+    from tablelens.llm.suffixes import remove_repeated
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.length)
+    return remove_repeated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
