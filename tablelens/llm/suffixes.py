@@ -63,43 +63,39 @@ class Anchors:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, usable: np.ndarray):
         """``ends``: where the documents end; ``usable``: whether a document takes part."""
-        n = len(data)
-        owner = np.full(max(n - WINDOW + 1, 0), -1, np.int32)
-        hashes = np.zeros(max(n - GRAM + 1, 0), U)
-        for p in range(0, len(owner), PIECE - SPAN):
-            stop = min(p + PIECE - SPAN, len(owner))
-            x = data[p:stop + WINDOW - 1].astype(U)
-            sums = np.zeros(len(x) + 1, U)
-            np.cumsum(x * UP[:len(x)], out=sums[1:])
-            h = (sums[GRAM:] - sums[:-GRAM]) * DOWN[:len(x) - GRAM + 1]
-            h ^= h >> U(32)
-            h *= U(MIX)
-            h ^= h >> U(29)
-            hashes[p:p + len(h)] = h >> U(16)
-            # the place in the low bits: the first of equal hashes wins
-            least, width = (h & U(0xFFFFFFFFFFFF0000)) | np.arange(len(h), dtype=U), 1
-            while 2 * width <= SPAN + 1:
-                least = np.minimum(least[:-width], least[width:])
-                width *= 2
-            rest = SPAN + 1 - width
-            least = np.minimum(least[:len(least) - rest], least[rest:])
-            owner[p:stop] = p + (least & U(0xFFFF)).astype(np.int32)
-        starts = np.concatenate([[0], ends[:-1]])
-        outside = np.zeros(n + 1, np.int32)  # starts whose string would leave its document
-        np.add.at(outside, np.where(usable, np.maximum(ends - WINDOW + 1, starts), starts), 1)
-        np.add.at(outside, ends, -1)
-        inside = np.cumsum(outside[:len(owner)]) == 0
-        at = np.flatnonzero(inside)
-        own = owner[at]
-        first = np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
-        self.lo, self.hi = at[first], at[np.r_[first[1:], True]] if len(at) else at
-        self.x = own[first].astype(np.int64)
-        self.hash = hashes[self.x]
+        inside = np.zeros(max(len(data) - WINDOW + 1, 0), bool)  # starts whose string stays in its document
+        for s, e in zip(np.concatenate([[0], ends[:-1]])[usable].tolist(), ends[usable].tolist()):
+            inside[s:max(s, e - WINDOW + 1)] = True
+        found = [self._piece(data, p, inside[p:p + PIECE - SPAN]) for p in range(0, len(inside), PIECE - SPAN)]
+        x, lo, hi, h = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
+        # an anchor whose starts go on in the next piece
+        new = np.r_[True, (x[1:] != x[:-1]) | (lo[1:] != hi[:-1] + 1)] if len(x) else np.zeros(0, bool)
+        self.x, self.lo, self.hash = x[new], lo[new], h[new]
+        self.hi = hi[np.r_[new[1:], True]] if len(x) else hi
         self.document = np.searchsorted(ends, self.x, "right")
 
-    def take(self, chosen: np.ndarray) -> None:
-        for name in ("lo", "hi", "x", "hash", "document"):
-            setattr(self, name, getattr(self, name)[chosen])
+    @staticmethod
+    def _piece(data: np.ndarray, p: int, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(anchors, first and last starts, gram hashes) of the strings that start at p and after, where ``inside``."""
+        x = data[p:p + len(inside) + WINDOW - 1].astype(U)
+        sums = np.zeros(len(x) + 1, U)
+        np.cumsum(x * UP[:len(x)], out=sums[1:])
+        h = (sums[GRAM:] - sums[:-GRAM]) * DOWN[:len(x) - GRAM + 1]
+        h ^= h >> U(32)
+        h *= U(MIX)
+        h ^= h >> U(29)
+        # the place in the low bits: the first of equal hashes wins
+        least, width = (h & U(0xFFFFFFFFFFFF0000)) | np.arange(len(h), dtype=U), 1
+        while 2 * width <= SPAN + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = SPAN + 1 - width
+        least = np.minimum(least[:len(least) - rest], least[rest:])
+        at = np.flatnonzero(inside)
+        own = (least[at] & U(0xFFFF)).astype(np.int64)
+        new = np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
+        last = np.r_[new[1:], True] if len(at) else new
+        return p + own[new], p + at[new], p + at[last], h[own[new]] >> U(16)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes ascending, the number of documents of each, and each anchor's place among them."""
@@ -447,17 +443,15 @@ def cut_out(key, rows) -> Iterator[pa.RecordBatch]:
     block = next(rows)
     ids, raw, ends = block[2], expand(block[4]), unpack(block[3]).astype(np.int64)
     starts = [covered_starts(r[-1]) for r in rows]
-    covered = np.zeros(len(raw) + WINDOW, np.int64)
-    if starts:
-        covered[np.concatenate(starts)] = 1
-    sums = np.concatenate([[0], np.cumsum(covered)])
-    to = np.arange(1, len(raw) + 1)
-    gone = sums[to] - sums[np.maximum(to - WINDOW, 0)] > 0
+    covered = np.zeros(len(raw), bool)
+    for own in starts:
+        covered[own] = True
     out = []
     data = np.frombuffer(raw, np.uint8)
     for i, s, e in zip(ids, [0, *ends[:-1].tolist()], ends.tolist()):
-        own = gone[s:e]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
+        sums = np.concatenate([np.zeros(WINDOW, np.int64), np.cumsum(covered[s:e])])
+        own = sums[WINDOW:] > sums[:e - s]
+        edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
         out.append({"doc_id": i, "kept": data[s:e][~own].tobytes() if len(edges) else raw[s:e], "n_bytes": e - s,
                     "removed": [{"start": a, "length": b - a} for a, b in edges.reshape(-1, 2).tolist()]})
         if len(out) == 1000:
