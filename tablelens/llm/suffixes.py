@@ -35,7 +35,7 @@ from tablelens.llm.ctw import expand, pack, squeeze, unpack
 
 WINDOW, GRAM = 50, 25  # bytes of a removed string and of a gram
 SPAN = WINDOW - GRAM  # places of a gram in a string, less one
-RUN = 16 << 20  # bytes of text sorted into one run
+RUN = 6 << 20  # bytes of text sorted into one run; a task needs some 20 times as much memory
 RANGE = 16 << 20  # bytes of text for each range of hashes or strings
 SAMPLED, SPLITTERS = 64, 200_000  # strings sampled from a run, and strings at most from which splitters are taken
 HOT = 4096  # documents from which on a gram's strings are sent whole
