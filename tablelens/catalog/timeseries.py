@@ -80,9 +80,12 @@ def _decomp_sql(src, p):
            f"AND {h} FOLLOWING) AS DOUBLE)")
     lag, lead = f"lag(value, {h}) OVER (ORDER BY idx)", f"lead(value, {h}) OVER (ORDER BY idx)"
     tr = f"{box} / {p}" if p % 2 else f"({box} - 0.5 * ({lag} + {lead})) / {p}"
+    front, back = f"trend, idx) FILTER (WHERE idx <= {h + p})", f"trend, idx) FILTER (WHERE idx >= n - 1 - {h + p})"
     return f"""
 WITH ix AS (SELECT bucket, value, row_number() OVER (ORDER BY bucket) - 1 AS idx, count(*) OVER () AS n FROM {src}),
-t AS (SELECT *, CASE WHEN {lag} IS NOT NULL AND {lead} IS NOT NULL THEN {tr} END AS trend, idx % {p} AS phase FROM ix),
+c AS (SELECT *, CASE WHEN {lag} IS NOT NULL AND {lead} IS NOT NULL THEN {tr} END AS trend, idx % {p} AS phase FROM ix),
+e AS (SELECT regr_slope({front} AS fk, regr_intercept({front} AS fb, regr_slope({back} AS bk, regr_intercept({back} AS bb FROM c),
+t AS (SELECT bucket, value, idx, n, phase, CASE WHEN idx < {h} THEN fk * idx + fb WHEN idx > n - 1 - {h} THEN bk * idx + bb ELSE trend END AS trend FROM c, e),
 ph AS (SELECT phase, avg(value - trend) AS pm FROM t GROUP BY phase),
 ph2 AS (SELECT phase, pm - (SELECT avg(pm) FROM ph) AS seasonal FROM ph)
 SELECT bucket, {sround('value')} AS value, {sround('trend')} AS trend, {sround('seasonal')} AS seasonal,
@@ -112,3 +115,44 @@ def _keyed(s, d):
 
 register("forecast_holt")(lambda s, d: FC.holt_fit(_keyed(s, d), ["o_orderpriority"]))
 register("forecast_arima")(lambda s, d: FC.arima_fit(_keyed(s, d), ["o_orderpriority"]))
+
+
+_SPIKE = "CASE WHEN month(bucket) = 3 THEN CAST('infinity' AS DOUBLE) ELSE value END"
+
+
+def _spiky(s, d):
+    return orders_series(s, d, "M").selectExpr("bucket", f"{_SPIKE} AS value", "n_records")
+
+
+register("rolling_mean_extreme", f"""
+WITH ix AS (SELECT bucket, {_SPIKE} AS value, row_number() OVER (ORDER BY bucket) - 1 AS idx FROM {M})
+SELECT a.bucket, a.value, round(avg(b.value), 4) AS rolling_mean
+FROM ix a JOIN ix b ON b.idx <= a.idx AND b.idx > a.idx - 3 GROUP BY a.bucket, a.value
+""")(lambda s, d: TS.rolling_mean(_spiky(s, d), 3))
+
+register("time_index", """
+SELECT 'o_orderdate' AS time_column, CAST(min(o_orderdate) AS TIMESTAMP) AS first, CAST(max(o_orderdate) AS TIMESTAMP) AS last FROM orders
+""")(lambda s, d: TS.time_index(table(s, d, "orders")))
+
+_PAIRS = "(" + " UNION ALL ".join(
+    f"SELECT 'o_orderdate' AS date_col, '{v}' AS metric, * FROM ({_series_sql('month', val=v)})" for v in ("o_totalprice", "o_custkey")) + ")"
+
+
+def _pairs(s, d):
+    return TS.all_series(table(s, d, "orders"), ["o_orderdate"], ["o_totalprice", "o_custkey"], "M")
+
+
+PAIR = ["date_col", "metric"]
+register("series_all_pairs", f"SELECT * FROM {_PAIRS}")(_pairs)
+register("growth_all_pairs", f"""
+WITH g AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY bucket) AS prev FROM {_PAIRS}),
+a AS (SELECT date_col, metric, min_by(value, bucket) AS first, max_by(value, bucket) AS last, count(*) AS n, max(bucket) AS lb FROM g GROUP BY ALL)
+SELECT a.date_col, a.metric, CASE WHEN n >= 2 AND first <> 0 THEN round((last - first) / abs(first) * 100, 4) END AS overall_growth_pct,
+       CASE WHEN n >= 2 AND prev <> 0 THEN round((last - prev) / abs(prev) * 100, 4) END AS last_period_growth_pct
+FROM a JOIN g ON g.metric = a.metric AND g.bucket = a.lb
+""")(lambda s, d: TS.growth(_pairs(s, d), PAIR))
+register("ts_stats_all_pairs", f"""
+SELECT date_col, metric, {sround('CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value)')} AS mean, round(quantile_cont(value, 0.5), 4) AS median,
+       round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max,
+       {sround('CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE)')} AS total, CAST(count(value) AS BIGINT) AS count FROM {_PAIRS} GROUP BY ALL
+""")(lambda s, d: TS.ts_stats(_pairs(s, d), PAIR))

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
 from tablelens.session import scratch_path
 
 
@@ -41,8 +42,8 @@ def melt(df: DataFrame, cols: Sequence[str], cast: str = "double",
     ``to_numeric(errors="coerce")``)."""
     if not cols:
         raise ValueError("melt needs at least one column")
-    projected = df.select(*ids, *[F.expr(f"try_cast(`{c}` as {cast})").alias(c) for c in cols])
-    return projected.unpivot(list(ids), list(cols), key, value)
+    projected = df.select(*[col(i) for i in ids], *[col(c).try_cast(cast).alias(c) for c in cols])
+    return projected.unpivot([col(i) for i in ids], [col(c) for c in cols], key, value)
 
 
 # Offsets tables up to this many rows are broadcast; larger ones (very many keys)

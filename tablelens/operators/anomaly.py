@@ -7,18 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
+from tablelens.functions.columns import cols as named
 from tablelens.functions.stats import rnd
+from tablelens.functions.summary import number
 from tablelens.operators.outliers import column_bounds
 
 
-def _x(c):
-    v = F.col(c).try_cast("double")
-    return F.when(~F.isnan(v), v)
-
-
-def _wide_bounds(df: DataFrame, cols) -> DataFrame:
+def _wide_bounds(df: DataFrame, cols, quartiles: bool = True) -> DataFrame:
     """One row: mean/std_pop/q1/q3 of every column (k x 4 values)."""
-    b = column_bounds(df, cols)
+    b = column_bounds(df, cols, quartiles)
     aggs = []
     for c in cols:
         for k in ("mean", "std_pop", "q1", "q3"):
@@ -27,16 +25,16 @@ def _wide_bounds(df: DataFrame, cols) -> DataFrame:
 
 
 def _z(c):
-    return F.abs((_x(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std_pop"))
+    return F.abs((number(c) - col(f"{c}__mean")) / col(f"{c}__std_pop"))
 
 
 def _usable_std(c):
-    return F.col(f"{c}__std_pop").isNotNull() & (F.col(f"{c}__std_pop") > 0)
+    return col(f"{c}__std_pop").isNotNull() & (col(f"{c}__std_pop") > 0)
 
 
-def _with_bounds(df, cols):
+def _with_bounds(df, cols, quartiles=True):
     from tablelens.functions.stats import attach
-    return attach(df, _wide_bounds(df, cols))
+    return attach(df, _wide_bounds(df, cols, quartiles))
 
 
 def zscore_mask(cols, threshold: float = 3.0):
@@ -49,9 +47,9 @@ def iqr_mask(cols, k: float = 1.5):
     """OR over columns of x outside the k*IQR fences; IQR 0 skipped."""
     conds = []
     for c in cols:
-        q1, q3 = F.col(f"{c}__q1"), F.col(f"{c}__q3")
+        q1, q3 = col(f"{c}__q1"), col(f"{c}__q3")
         iqr = q3 - q1
-        conds.append(F.coalesce((iqr != 0) & ((_x(c) < q1 - k * iqr) | (_x(c) > q3 + k * iqr)), F.lit(False)))
+        conds.append(F.coalesce((iqr != 0) & ((number(c) < q1 - k * iqr) | (number(c) > q3 + k * iqr)), F.lit(False)))
     return F.greatest(*conds) if len(conds) > 1 else conds[0]
 
 
@@ -63,17 +61,17 @@ def flag_anomalies(df: DataFrame, cols: Sequence[str], method: str = "zscore") -
     if method in ("isolation_forest", "auto"):
         from tablelens.operators.iforest import isolation_forest_flags
         flagged = isolation_forest_flags(df, cols)
-        j = _with_bounds(flagged, cols)
+        j = _with_bounds(flagged, cols, False)
         mask = F.col("is_anomaly")
     else:
-        j = _with_bounds(df, cols)
+        j = _with_bounds(df, cols, method != "zscore")
         mask = zscore_mask(cols) if method == "zscore" else iqr_mask(cols)
     zs = [F.when(_usable_std(c), F.coalesce(_z(c), F.lit(0.0))) for c in cols]
     best = F.greatest(*zs) if len(zs) > 1 else zs[0]
     driver = F.lit(None).cast("string")
     for c, z in reversed(list(zip(cols, zs))):
         driver = F.when(z == best, F.lit(c)).otherwise(driver)
-    base = [c for c in df.columns if c != "is_anomaly"]
+    base = named(c for c in df.columns if c != "is_anomaly")
     return j.select(*base, mask.alias("is_anomaly"), driver.alias("driver"), rnd(best, 2).alias("z_score"))
 
 

@@ -64,14 +64,12 @@ def kde(df: DataFrame, col: str, points: int = 200) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """H4: (column, n, min, q1, median, mean, q3, max, lower_fence, upper_fence, n_outside)."""
-    from tablelens.operators.describe import numeric_summary
-    vc, t = numeric_summary(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    t = t.withColumn("lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
+    from tablelens.functions.summary import column_table
+    from tablelens.operators.describe import outside, tukey
+    r = column_table(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                     lambda x, own: {"n_outside": outside(x, *tukey(own, "q1", "q3"))})
+    r = r.withColumn("lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("uf", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    out = (vc.join(F.broadcast(t.select("column", "lf", "uf")), "column")
-             .groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lf")) | (F.col("value") > F.col("uf")),
-                                                 F.col("cnt")).otherwise(0)).alias("n_outside")))
-    r = t.join(out, "column")
     return r.select("column", F.col("n").cast("long"), rnd("min").alias("min"), rnd("q1").alias("q1"),
                     rnd("median").alias("median"), rnd("mean").alias("mean"), rnd("q3").alias("q3"),
                     rnd("max").alias("max"), rnd("lf").alias("lower_fence"), rnd("uf").alias("upper_fence"),

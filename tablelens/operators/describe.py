@@ -1,8 +1,7 @@
 """Univariate and distribution descriptives (A5-A10).
 
-Numbers are melted to ``(column, value)`` so one shuffle serves every column;
-moments come from partial aggregates, quantiles and modes from the distinct
-value table via the skew-safe helpers in :mod:`tablelens.functions.stats`.
+Moments and quantiles come from partial aggregates over the rows (:mod:`tablelens.functions.summary`); only
+modes and ECDF points need the distinct values.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import (
-    exact_quantiles, materialize, melt, modes, quantile_wide, ranked_values,
-    rnd, top_k, value_counts, weighted_moments,
-)
+from tablelens.functions.columns import col
+from tablelens.functions.stats import melt, modes, ranked_values, rnd, top_k, value_counts
+from tablelens.functions.summary import column_numbers, column_table
 
 
 def numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -24,25 +22,22 @@ def numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def numeric_value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, cnt): the only pass over the source rows. Materialised, so
-    moments, quantiles, modes and outlier counts all read this (usually far
-    smaller) table instead of rescanning the data."""
-    return materialize(value_counts(numeric_long(df, cols), ["column"]))
+def outside(x, lo: float, hi: float):
+    """How many values lie outside the fences."""
+    return F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> tuple:
-    """(distinct-value table, per-column stats with the named quantiles)."""
-    vc = numeric_value_table(df, cols)
-    q = quantile_wide(vc, ["column"], "value", probs, vc)
-    return vc, weighted_moments(vc, ["column"]).join(q, "column")
+def tukey(own: dict, lower: str, upper: str, k: float = 1.5) -> tuple[float, float]:
+    """The fences of a column's numbers: k interquartile ranges beyond the quartiles."""
+    iqr = own[upper] - own[lower]
+    return own[lower] - k * iqr, own[upper] + k * iqr
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, median, mode, std, variance, min, max, q25/q50/q75, skewness
     (population), kurtosis (excess, population) and iqr per column; 4 dp."""
-    vc, st = numeric_summary(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    out = st.join(modes(vc, ["column"], vc=vc), "column")
+    st = column_table(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = st.join(modes(numeric_long(df, cols), ["column"]), "column")
     return out.select(
         "column", F.col("n").alias("count"), rnd("mean").alias("mean"),
         rnd("q50").alias("median"), rnd("mode").alias("mode"), rnd("std").alias("std"),
@@ -54,15 +49,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distribution table: percentiles, range, 1.5*IQR outlier count, shape, tails."""
-    vc, st = numeric_summary(df, cols, {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
-    fences = st.select("column", (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("_lo"),
-                       (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("_hi"))
-    # outliers counted on the distinct-value table (cnt-weighted)
-    outl = (vc.join(F.broadcast(fences), "column")
-              .groupBy("column")
-              .agg(F.sum(F.when((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")),
-                                F.col("cnt")).otherwise(0)).alias("outlier_count")))
-    t = st.join(outl, "column")
+    t = column_table(df, cols, {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95},
+                     lambda x, own: {"outlier_count": outside(x, *tukey(own, "p25", "p75"))})
     skew, kurt = F.col("skewness"), F.col("kurtosis")
     return t.select(
         "column", F.col("n").alias("count"), rnd("mean").alias("mean"),
@@ -98,7 +86,7 @@ def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (one aggregate over all columns, one row per column)."""
     aggs, rows = [F.count(F.lit(1)).alias("_n")], []
     for i, c in enumerate(cols):
-        s_ = F.col(c).cast("string")
+        s_ = col(c).cast("string")
         words = F.when(s_.isNotNull(), F.size(F.split(s_, r"\s+")))
         aggs += [F.count(s_).alias(f"c{i}"), F.avg(F.length(s_)).alias(f"al{i}"), F.max(F.length(s_)).alias(f"ml{i}"),
                  F.avg(words).alias(f"aw{i}"), F.max(words).alias(f"mw{i}")]
@@ -150,4 +138,6 @@ def univariate_report(df: DataFrame, types: dict) -> dict:
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of numeric columns: (column, prob, q)."""
-    return exact_quantiles(numeric_long(df, cols), ["column"], "value", probs)
+    numbers = column_numbers(df, cols, {str(i): p for i, p in enumerate(probs)})
+    rows = [(c, float(p), float(own[str(i)])) for c, own in numbers.items() for i, p in enumerate(probs)]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, q double")

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.stats import exact_quantiles, melt, quantile_wide
+from tablelens.functions.stats import melt
+from tablelens.functions.summary import column_numbers
 
 TREE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, "
                "leaf boolean")
@@ -110,7 +111,7 @@ def isolation_forest_scores(df: DataFrame, cols, n_trees: int = 100, sample_size
     feature varies."""
     cols = list(cols)
     long = melt(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    med = {r["column"]: r["m"] for r in quantile_wide(long, ["column"], "value", {"m": 0.5}).collect()}
+    med = {c: own["m"] for c, own in column_numbers(df, cols, {"m": 0.5}).items()}
     sd = {r["column"]: r["s"] for r in long.groupBy("column").agg(F.stddev_samp("value").alias("s")).collect()}
     feats = [c for c in cols if sd.get(c) is not None and sd[c] > 0]
     if not feats:
@@ -163,7 +164,6 @@ def isolation_forest_flags(df: DataFrame, cols, contamination: float = 0.02, n_t
                                                         F.lit(None).cast("double").alias("if_score"))
     from tablelens.functions.stats import materialize
     s = materialize(s)  # scores are used twice: threshold and flags
-    q = exact_quantiles(s.select(F.lit(0).alias("_k"), F.col("if_score").alias("v")), ["_k"], "v",
-                        [1.0 - contamination]).select(F.col("q").alias("_thr"))
-    from tablelens.functions.stats import attach
-    return attach(s, q).withColumn("is_anomaly", F.col("if_score") > F.col("_thr")).drop("_thr")
+    numbers = column_numbers(s, ["if_score"], {"threshold": 1.0 - contamination})
+    limit = numbers["if_score"]["threshold"] if numbers else None
+    return s.withColumn("is_anomaly", F.col("if_score") > F.lit(limit))

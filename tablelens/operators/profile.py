@@ -57,8 +57,8 @@ def profile_columns(df: DataFrame) -> DataFrame:
     nums = [f.name for f in df.schema.fields if physical_kind(f.dataType) in ("int", "float")]
     if not nums:
         return sch.select("*", *[F.lit(None).cast("double").alias(k) for k in ("min", "max", "mean", "median", "std")])
-    from tablelens.operators.describe import numeric_summary
-    _, st = numeric_summary(df, nums, {"median": 0.5})
+    from tablelens.functions.summary import column_table
+    st = column_table(df, nums, {"median": 0.5})
     return sch.join(st, "column", "left").select(
         "column", "dtype", "semantic_type", "cardinality", "missing", "missing_pct", "unique",
         rnd("min").alias("min"), rnd("max").alias("max"), rnd("mean").alias("mean"),

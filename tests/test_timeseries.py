@@ -20,7 +20,7 @@ def test_weekly_buckets_start_monday(small_df):
 def test_decompose_needs_two_periods(small_df):
     s = TS.build_time_series(small_df, "sold_at", "amount", "D")
     d = TS.decompose(s, freq="D").toPandas()
-    assert len(d) == 84 and d["trend"].isna().sum() == 6
+    assert len(d) == 84 and d["trend"].isna().sum() == 0
     assert abs(d.groupby(np.arange(84) % 7)["seasonal"].first().sum()) < 1e-3
 
 
@@ -34,6 +34,32 @@ def test_decompose_of_huge_values(spark):
     assert trend([1.0] * 7 + [float("inf")] + [1.0] * 8) == [1.0] + [float("inf")] * 7 + [1.0] * 2
 
 
+def _made(spark, values, keys=None):
+    rows = [(k, i, v) for k in keys or ["a"] for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "k string, i int, value double").selectExpr(
+        "k", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(i) as bucket", "value", "1L as n_records")
+
+
+def test_decompose_carries_a_line_to_the_edges(spark):
+    y = [3.0 * i + (i % 4) for i in range(24)]
+    d = TS.decompose(_made(spark, y, ["a", "b"]), period=4, keys=["k"]).toPandas().sort_values(["k", "bucket"])
+    assert len(d) == 48
+    own = d[d.k == "a"]
+    assert np.allclose(own.trend, [3.0 * i + 1.5 for i in range(24)], atol=1e-4) and np.allclose(own.resid, 0, atol=1e-4)
+
+
+def test_rolling_mean_keeps_ones_after_a_huge_value(spark):
+    got = TS.rolling_mean(_made(spark, [1e17, 1.0, 1.0, 1.0, float("inf"), 2.0, 2.0, 2.0]), 3).orderBy("bucket").toPandas()
+    assert got.rolling_mean.tolist()[3] == 1.0 and got.rolling_mean.tolist()[7] == 2.0
+
+
+def test_pairs_equal_single_series(small_df):
+    both = TS.all_series(small_df, ["sold_at"], ["amount", "pieces"], "W")
+    one = TS.build_time_series(small_df, "sold_at", "pieces", "W")
+    assert sorted(both.where("metric = 'pieces'").select("bucket", "value", "n_records").collect()) == sorted(one.collect())
+    assert TS.trend(both, ["metric"]).count() == 2 and TS.rolling_mean(both, keys=["metric"]).count() == both.count()
+
+
 def test_moving_sum_keeps_small_digits(spark):
     from pyspark.sql import Window
 
