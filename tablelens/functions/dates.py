@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
+
 # Formats tried after Spark's ISO parsing, month-first before
 # day-first, grouped by the shape of the string.
 NUMERIC_FORMATS = [
@@ -21,7 +23,7 @@ NAMED_SHAPE = r"^(\d{1,2}\s+)?[A-Za-z]{3,9}\.?\s+(\d{1,2},?\s+)?\d{4}"
 
 def parse_timestamp(c) -> Column:
     """First successful parse of the trimmed string; null when nothing fits."""
-    s = F.trim(F.col(c) if isinstance(c, str) else c)
+    s = F.trim(col(c) if isinstance(c, str) else c)
     numeric = F.when(s.rlike(NUMERIC_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in NUMERIC_FORMATS]))
     named = F.when(s.rlike(NAMED_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in NAMED_FORMATS]))
     iso = F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s))

@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import col
@@ -59,12 +59,13 @@ def _around(position: float, n: int) -> tuple[float, float]:
     return p - slack, p + slack
 
 
-def _counted(x: DataFrame, wanted: Sequence[_Wanted]) -> None:
-    """Count each bracket; one that misses its statistic becomes the whole column."""
-    row = x.agg(*[f for k, w in enumerate(wanted) for f in (
+def _counted(x: DataFrame, wanted: Sequence[_Wanted], more: Sequence[Column] = ()) -> Row:
+    """Count the values below and inside each bracket; what ``more`` aggregates comes from the same scan."""
+    row = x.agg(*more, *[f for k, w in enumerate(wanted) for f in (
         F.count_if(F.col(f"x{w.at}") < F.lit(w.lo)).alias(f"b{k}"), F.count_if(_within(w)).alias(f"i{k}"))]).first()
     for k, w in enumerate(wanted):
         w.below, w.inside = row[f"b{k}"], row[f"i{k}"]
+    return row
 
 
 def _narrowed(x: DataFrame, wanted: list[_Wanted]) -> None:
@@ -107,9 +108,10 @@ def _picked(x: DataFrame, wanted: Sequence[_Wanted]) -> dict[int, tuple[float, f
     return out
 
 
-def column_numbers(df: DataFrame, cols: Sequence[str], probs: dict[str, float] | None = None) -> dict[str, dict[str, float]]:
+def column_numbers(df: DataFrame, cols: Sequence[str], probs: dict[str, float] | None = None, shape: bool = False) -> dict[str, dict[str, float]]:
     """For each column with a number: n, mean, min, max and the named quantiles (linear interpolation at p * (n - 1)),
-    on the driver. One scan without quantiles; three with them, and two for every round of narrowing.
+    on the driver; with ``shape`` also m2, m3 and m4, the sums of powers of the distances from the mean. One scan; a second
+    one with quantiles or shape, a third one with quantiles, and two for every round of narrowing.
 
     Values that do not parse, nulls and NaN are left out; the source must give the same rows on every scan."""
     cols, probs = list(cols), dict(probs or {})
@@ -128,12 +130,16 @@ def column_numbers(df: DataFrame, cols: Sequence[str], probs: dict[str, float] |
         for j, p in enumerate(probs.values()) if c in out else ():
             n = out[c]["n"]
             wanted.append(_Wanted(i, p, math.floor(p * (n - 1)), math.ceil(p * (n - 1)), row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]))
-    if not wanted:
+    powers = [m for i, c in enumerate(cols) if shape and c in out for m in _powers(F.col(f"x{i}"), out[c]["mean"], i)]
+    if not wanted and not powers:
         return out
-    _counted(x, wanted)
-    missed = [w for w in wanted if not (w.below <= w.below_n and w.above_n < w.below + w.inside)]
-    for w in missed:  # a sketch of few values may sit one place off
-        w.lo, w.hi, w.below, w.inside = out[cols[w.at]]["min"], out[cols[w.at]]["max"], 0, out[cols[w.at]]["n"]
+    row = _counted(x, wanted, powers)
+    for i, c in enumerate(cols):
+        if shape and c in out:
+            out[c] |= {m: row[f"{m}_{i}"] for m in ("m2", "m3", "m4")}
+    for w in wanted:
+        if not (w.below <= w.below_n and w.above_n < w.below + w.inside):  # a sketch of few values may sit one place off
+            w.lo, w.hi, w.below, w.inside = out[cols[w.at]]["min"], out[cols[w.at]]["max"], 0, out[cols[w.at]]["n"]
     _narrowed(x, wanted)
     picked = _picked(x, wanted)
     names = list(probs)
@@ -145,39 +151,44 @@ def column_numbers(df: DataFrame, cols: Sequence[str], probs: dict[str, float] |
     return out
 
 
-def moments(x: Column, mean: float) -> list[Column]:
-    """Sums of the second to fourth powers of the distance from ``mean``, named m2, m3, m4."""
+def _powers(x: Column, mean: float, i: int) -> list[Column]:
     d = x - F.lit(mean)
-    return [F.sum(d * d).alias("m2"), F.sum(d * d * d).alias("m3"), F.sum(d * d * d * d).alias("m4")]
+    return [F.sum(d * d).alias(f"m2_{i}"), F.sum(d * d * d).alias(f"m3_{i}"), F.sum(d * d * d * d).alias(f"m4_{i}")]
+
+
+TABLE = ("mean", "min", "max", "var_samp", "var_pop", "std", "std_pop", "skewness", "kurtosis")
+
+
+def _shape(own: dict) -> dict[str, float | None]:
+    """Variance, deviation, skewness and excess kurtosis from a column's sums of powers."""
+    n, m2, m3, m4 = own["n"], own["m2"], own["m3"], own["m4"]
+    sample = m2 / (n - 1) if n > 1 else None
+    varies = m2 != 0 and m2 == m2 and abs(m2) != math.inf
+    undefined = None if m2 == 0 else math.nan
+    return {"var_samp": sample, "var_pop": m2 / n, "std": None if sample is None else math.sqrt(sample), "std_pop": math.sqrt(m2 / n),
+            "skewness": math.sqrt(n) * m3 / m2 ** 1.5 if varies and m2 ** 1.5 else undefined,
+            "kurtosis": n * m4 / (m2 * m2) - 3 if varies and m2 * m2 else undefined}
 
 
 def column_table(df: DataFrame, cols: Sequence[str], probs: dict[str, float] | None = None,
                  more: Callable[[Column, dict], dict[str, Column]] | None = None) -> DataFrame:
     """One row per column with a number: n, mean, min, max, var_samp, var_pop, std (n-1), std_pop, skewness (population), kurtosis (excess,
-    population), the named quantiles, and what ``more`` (value, the column's numbers) aggregates in the same scan.
+    population), the named quantiles, and what ``more`` (value, the column's numbers) counts in one more scan.
     Skewness and kurtosis are null for a constant column, the sample variance for a single value."""
-    numbers = column_numbers(df, cols, probs)
-    x = _values(df, list(cols))
-    aggs, rows = [], []
+    numbers = column_numbers(df, cols, probs, shape=True)
+    names = [*TABLE, *(probs or {})]
+    rows = []
+    for c, own in numbers.items():
+        own |= _shape(own)
+        rows.append((c, int(own["n"]), *[None if own[k] is None else float(own[k]) for k in names]))
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["column string", "n long", *[f"{k} double" for k in names]]))
+    if not more:
+        return table
+    x, aggs, structs, extra = _values(df, list(cols)), [], [], list(more(F.lit(0.0), dict.fromkeys(["n", *names], 0.0)))
     for i, c in enumerate(cols):
-        if c not in numbers:
-            continue
-        own, v = numbers[c], F.col(f"x{i}")
-        extra = more(v, own) if more else {}
-        aggs += [m.alias(f"{name}_{i}") for m, name in zip(moments(v, own["mean"]), ("m2", "m3", "m4"))]
-        aggs += [e.alias(f"{name}_{i}") for name, e in extra.items()]
-        n, m2, m3, m4 = F.lit(own["n"]), *(F.col(f"{m}_{i}") for m in ("m2", "m3", "m4"))
-        several, varies = n > 1, m2 != 0
-        rows.append(F.struct(
-            F.lit(c).alias("column"), n.cast("long").alias("n"), *[F.lit(float(own[k])).alias(k) for k in ("mean", "min", "max")],
-            F.when(several, m2 / F.nullif(n - 1, F.lit(0))).alias("var_samp"), (m2 / n).alias("var_pop"),
-            F.when(several, F.sqrt(m2 / F.nullif(n - 1, F.lit(0)))).alias("std"), F.sqrt(m2 / n).alias("std_pop"),
-            F.when(varies, F.sqrt(n) * m3 / F.nullif(F.pow(m2, 1.5), F.lit(0.0))).alias("skewness"),
-            F.when(varies, n * m4 / F.nullif(m2 * m2, F.lit(0.0)) - 3).alias("kurtosis"),
-            *[F.lit(float(own[p])).alias(p) for p in probs or {}], *[F.col(f"{name}_{i}").alias(name) for name in extra]))
-    if not rows:
-        doubles = ["mean", "min", "max", "var_samp", "var_pop", "std", "std_pop", "skewness", "kurtosis", *(probs or {})]
-        extra = list(more(F.lit(0.0), dict.fromkeys(["n", "mean", "min", "max", *(probs or {})], 0.0))) if more else []
-        names = [("column", "string"), ("n", "long"), *[(d, "double") for d in doubles], *[(e, "long") for e in extra]]
-        return df.sparkSession.createDataFrame([], ", ".join(f"{a} {t}" for a, t in names))
-    return x.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        if c in numbers:
+            aggs += [e.alias(f"{name}_{i}") for name, e in more(F.col(f"x{i}"), numbers[c]).items()]
+            structs.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").cast("long").alias(name) for name in extra]))
+    if not structs:
+        return table.select("*", *[F.lit(0).cast("long").alias(name) for name in extra])
+    return table.join(x.agg(*aggs).select(F.explode(F.array(*structs)).alias("r")).select("r.*"), "column")

@@ -3,9 +3,11 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
+
 
 def _c(x):
-    return F.col(x) if isinstance(x, str) else x
+    return col(x) if isinstance(x, str) else x
 
 
 def pytrim(c) -> Column:

@@ -8,12 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
+
 from tablelens.functions.stats import attach, melt, ranked_values, rnd, value_counts
 from tablelens.operators.groups import label
 
 
 def _x(c):
-    v = F.col(c).try_cast("double")
+    v = col(c).try_cast("double")
     return F.when(~F.isnan(v), v)
 
 

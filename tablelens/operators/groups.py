@@ -13,18 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col as named
+
 from tablelens.functions.stats import attach, exact_mean, exact_quantiles, melt, rnd, row_numbers, top_k
 
 NULL_LABEL = "(null)"
 
 
 def label(c) -> "F.Column":
-    col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(col.cast("string"), F.lit(NULL_LABEL))
+    value = named(c) if isinstance(c, str) else c
+    return F.coalesce(value.cast("string"), F.lit(NULL_LABEL))
 
 
 def _num(c: str):
-    return F.expr(f"try_cast(`{c}` as double)")
+    return named(c).try_cast("double")
 
 
 def composition(df: DataFrame, cat: str, value_col: str | None = None, top_n: int = 15) -> DataFrame:
@@ -62,7 +64,7 @@ def composition_report(df: DataFrame, cats: Sequence[str], value_col: str | None
     """Every categorical column in one pass: (column, metric, category, value,
     share_pct, rank); metric is ``count`` or the value column's name."""
     ids = [value_col] if value_col else []
-    long = melt(df.select(*cats, *ids), cats, "string", "column", "category", ids=ids)
+    long = melt(df, cats, "string", "column", "category", ids=ids)
     long = long.withColumn("category", label("category"))
     aggs = [F.count(F.lit(1)).cast("double").alias("count")]
     if value_col:
@@ -88,7 +90,7 @@ def composition_insights(df: DataFrame, cats: Sequence[str], top_n: int = 5) ->
     """Top categories (share of all rows, null as a category) of each
     categorical column: (column, category, pct, rank)."""
     cats = list(cats)
-    long = melt(df.select(*cats), cats, "string", "column", "category")
+    long = melt(df, cats, "string", "column", "category")
     g = long.groupBy("column", label("category").alias("category")).agg(F.count(F.lit(1)).alias("cnt"))
     n = g.groupBy("column").agg(F.sum("cnt").alias("_n"))
     top = top_k(g, ["column"], [F.col("cnt").desc(), F.col("category")], top_n, "rank")
@@ -138,10 +140,11 @@ def comparison_report(df: DataFrame, groups: Sequence[str], values: Sequence[str
     n_groups, is_top, is_bottom); rows limited to the top ``top_n`` plus the true
     bottom ``bottom`` (SURVEY D10)."""
     groups, values = list(groups), list(values)
-    cols = [label(g).alias(g) for g in groups] + [_num(v).alias(v) for v in values]
-    sub = df.select(*cols)
-    gs = sub.groupingSets([[g] for g in groups], *groups).agg(
-        F.grouping_id().alias("_gid"), *[F.avg(v).alias(v) for v in values])
+    # plain names inside, whatever the columns are called
+    gs_, vs_ = [f"g{i}" for i in range(len(groups))], [f"v{i}" for i in range(len(values))]
+    sub = df.select(*[label(g).alias(k) for k, g in zip(gs_, groups)], *[_num(v).alias(k) for k, v in zip(vs_, values)])
+    gs = sub.groupingSets([[g] for g in gs_], *gs_).agg(
+        F.grouping_id().alias("_gid"), *[F.avg(v).alias(v) for v in vs_])
     # grouping_id bit i (from the right) is 1 when groups[-1-i] is aggregated away
     n = len(groups)
     gcol = F.lit(None).cast("string")
@@ -149,10 +152,12 @@ def comparison_report(df: DataFrame, groups: Sequence[str], values: Sequence[str
     for i, g in enumerate(groups):
         mask = ((1 << n) - 1) ^ (1 << (n - 1 - i))
         gname = F.when(F.col("_gid") == mask, F.lit(g)).otherwise(gname)
-        gcol = F.when(F.col("_gid") == mask, F.col(g)).otherwise(gcol)
-    wide = gs.select(gname.alias("group_col"), gcol.alias("group"), *values)
-    long = wide.unpivot(["group_col", "group"], values, "value_col", "value").filter(
+        gcol = F.when(F.col("_gid") == mask, F.col(gs_[i])).otherwise(gcol)
+    wide = gs.select(gname.alias("group_col"), gcol.alias("group"), *vs_)
+    long = wide.unpivot(["group_col", "group"], vs_, "value_col", "value").filter(
         F.col("value").isNotNull() & ~F.isnan("value"))
+    name_of = F.create_map(*[F.lit(x) for pair in zip(vs_, values) for x in pair])
+    long = long.withColumn("value_col", name_of[F.col("value_col")])
     keys = ["group_col", "value_col"]
     stats = long.groupBy(*keys).agg(F.avg("value").alias("_tot"), F.count(F.lit(1)).alias("n_groups"))
     ranked = row_numbers(long, keys, [F.col("value").desc(), F.col("group")], "rank").join(stats, keys)
@@ -175,7 +180,7 @@ def comparison_insights(df: DataFrame, groups: Sequence[str], value: str, top_n:
 def daily_mean(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Daily mean of ``value`` with every day between first and last present
     (empty days have null mean and 0 rows): (day, value, n_records)."""
-    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
+    day = F.date_trunc("day", named(ts)).cast("timestamp_ntz")
     g = (df.select(day.alias("day"), _num(value).alias("v"))
            .filter(F.col("day").isNotNull())
            .groupBy("day").agg(exact_mean(F.col("v")).alias("value"), F.count("v").alias("n_records")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col, cols
+from tablelens.functions.distinct import DIGEST, digest, distinct_counts
 from tablelens.functions.stats import attach, rnd
 from tablelens.functions.text import pytrim, title_case
 from tablelens.functions.types import CATEGORICAL, NUMERIC_GROUP
@@ -12,11 +14,10 @@ from tablelens.operators.schema import detect_schema, is_missing, physical_kind,
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: (rows, distinct_rows, duplicates). Rows are compared on every
-    column with nulls equal (pandas ``duplicated``); a group-by on all columns,
-    partially aggregated, so even one hot duplicate costs one row per task."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    return g.agg(F.sum("_c").cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("distinct_rows")) \
+    """One row: (rows, distinct_rows, duplicates). Rows are compared on every column with nulls equal (pandas ``duplicated``),
+    by their 128-bit digests: only digests are shuffled, and a hot duplicate costs one row per task."""
+    g = df.select(*digest(cols(df))).groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("_c"))
+    return g.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("distinct_rows")) \
             .select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"))
 
 
@@ -78,12 +79,12 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
     CATEGORICAL columns of repeats after trim/lower/title (SURVEY D5);
     emptiness = share of columns with at most one distinct value."""
     types = types if types is not None else schema_types(df)
-    cols = df.columns
-    n_cols = len(cols)
+    names = df.columns
+    n_cols = len(names)
     kinds = {f.name: physical_kind(f.dataType) for f in df.schema.fields}
-    aggs, daggs = [F.count(F.lit(1)).alias("_n")], []
+    aggs, spelled = [F.count(F.lit(1)).alias("_n")], {}
     nonnull_total, invalid, empties, cons = [], [], [], []
-    for i, c in enumerate(cols):
+    for i, c in enumerate(names):
         miss = is_missing(df, c)
         aggs.append(F.count_if(miss).alias(f"m{i}"))
         nonnull_total.append(F.col(f"nn{i}"))
@@ -91,16 +92,17 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
         aggs.append(single_valued(df, c).alias(f"e{i}"))
         empties.append(F.when(F.col(f"e{i}"), 1).otherwise(0))
         if types.get(c) in NUMERIC_GROUP and kinds[c] not in ("int", "float"):
-            aggs.append(F.count_if(F.expr(f"try_cast(`{c}` as double)").isNull()).alias(f"iv{i}"))
+            aggs.append(F.count_if(col(c).try_cast("double").isNull()).alias(f"iv{i}"))
             invalid.append(F.col(f"iv{i}"))
         if types.get(c) == CATEGORICAL:
-            norm = title_case(F.lower(pytrim(F.col(c).cast("string"))))
-            daggs.append(F.count_distinct(norm).alias(f"cd{i}"))
+            norm = title_case(F.lower(pytrim(col(c).cast("string"))))
+            spelled[f"cd{i}"] = norm
             cons.append(F.when(F.col(f"nn{i}") > 0,
                                (F.col(f"nn{i}") - F.col(f"cd{i}")) / F.col(f"nn{i}")))
     one = df.agg(*aggs)
-    if daggs:  # distinct counts apart, so the other aggregates are not expanded
-        one = attach(one, df.agg(*daggs))
+    if spelled:
+        found = distinct_counts(df, spelled)
+        one = attach(one, found.agg(*[F.max(F.when(F.col("name") == k, F.col("distinct"))).alias(k) for k in spelled]))
     n = F.col("_n")
     miss_rate = sum((F.col(f"m{i}") / n for i in range(n_cols)), F.lit(0.0)) / n_cols
     dup = duplicate_rows(df).select(F.col("duplicates").alias("_dups"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
+
 from tablelens.functions.stats import ranked_values, rnd, safe_corr, value_counts
 from tablelens.operators.groups import label
 
@@ -23,7 +25,7 @@ def _pairs(cols):
 
 def _numbers(df: DataFrame, cols) -> DataFrame:
     """The columns as doubles, null where they hold no number."""
-    return df.select(*[F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c)
+    return df.select(*[F.when(~F.isnan(col(c).try_cast("double")), col(c).try_cast("double")).alias(c)
                        for c in cols])
 
 
@@ -32,7 +34,7 @@ def _matrix(df: DataFrame, cols, fn, digits=4, sides=None) -> DataFrame:
     pairs = _pairs(list(cols))
     sides = [(sides or {}).get(p, p) for p in pairs]
     sub = _numbers(df, list(dict.fromkeys(c for side in sides for c in side)))
-    one = sub.agg(*[fn(F.col(x), F.col(y)).alias(f"p{i}") for i, (x, y) in enumerate(sides)])
+    one = sub.agg(*[fn(col(x), col(y)).alias(f"p{i}") for i, (x, y) in enumerate(sides)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("v")))
@@ -59,14 +61,14 @@ def complete_sides(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]
     A column is ranked once for all partners without gaps. Beside a partner that has nulls, it is ranked over
     the rows where the partner has a value, as a column of its own: at most two more per pair with a gap."""
     num = _numbers(df, cols)
-    gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    ranked, sides = {c: F.col(c) for c in cols}, {}
+    gaps = num.agg(*[F.count_if(col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    ranked, sides = {c: col(c) for c in cols}, {}
 
     def beside(c, partner):
         if c == partner or not gaps[partner]:
             return c
         name = f"{c} | {partner}"
-        ranked[name] = F.when(F.col(partner).isNotNull(), F.col(c))
+        ranked[name] = F.when(col(partner).isNotNull(), col(c))
         return name
 
     for a, b in _pairs(list(cols)):
@@ -87,8 +89,8 @@ def rank_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     counts), then are joined back and pivoted per row."""
     cols = list(cols)
     rid = df.select(F.monotonically_increasing_id().alias("_rid"),
-                    *[F.col(c).try_cast("double").alias(c) for c in cols])
-    long = rid.unpivot(["_rid"], cols, "column", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+                    *[col(c).try_cast("double").alias(c) for c in cols])
+    long = rid.unpivot(["_rid"], [col(c) for c in cols], "column", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = value_counts(long, ["column"])
     rk = ranked_values(vc, ["column"], "value").select(
         "column", "value", (F.col("_start") + (F.col("cnt") + 1) / 2.0).alias("rank"))

@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tablelens.functions.columns import col
+from tablelens.functions.distinct import distinct_counts
 from pyspark.sql import types as T
 
 from tablelens.functions.dates import parse_timestamp
@@ -50,8 +53,8 @@ def is_missing(df: DataFrame, c: str):
     """Null, or NaN in a floating column (pandas ``isna``)."""
     dt = df.schema[c].dataType
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return F.col(c).isNull() | F.isnan(F.col(c))
-    return F.col(c).isNull()
+        return col(c).isNull() | F.isnan(col(c))
+    return col(c).isNull()
 
 
 def single_valued(df: DataFrame, c: str):
@@ -59,56 +62,47 @@ def single_valued(df: DataFrame, c: str):
     non-missing value. For orderable types this is ``min = max`` (a plain
     partial aggregate); ``count_distinct`` would copy every row once per
     distinct column."""
-    present = F.when(~is_missing(df, c), F.col(c))
+    present = F.when(~is_missing(df, c), col(c))
     if physical_kind(df.schema[c].dataType) in ("int", "float", "string", "bool", "datetime"):
         return F.min(present).isNull() | (F.min(present) == F.max(present))
     return F.count_distinct(present) <= 1
 
 
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
-    """(column, dtype, kind, n_rows, missing, distinct, vmin, vmax, date_ok,
-    num_err, bool_bad) - one aggregate over ``df``, exploded per column."""
-    aggs, daggs, structs = [F.count(F.lit(1)).alias("_n")], [], []
+    """(column, dtype, kind, n_rows, missing, distinct, vmin, vmax, date_ok, num_err, bool_bad), exploded per column from
+    one aggregate over ``df``; distinct values are counted by digest, or estimated with ``approx``."""
+    aggs, structs, values = [F.count(F.lit(1)).alias("_n")], [], {}
     for i, f in enumerate(df.schema.fields):
         c, kind = f.name, physical_kind(f.dataType)
-        col = F.col(c)
+        value = col(c)
         miss = is_missing(df, c)
-        present = col.isNotNull() & ~miss
-        if approx:
-            aggs.append(F.approx_count_distinct(F.when(present, col)).alias(f"d{i}"))
-        else:
-            daggs.append(F.count_distinct(F.when(present, col)).alias(f"d{i}"))
+        present = value.isNotNull() & ~miss
+        values[str(i)] = F.when(present, value)
         aggs.append(F.count_if(miss).alias(f"m{i}"))
         if kind in ("int", "float"):
-            aggs += [F.min(F.when(present, col)).cast("double").alias(f"lo{i}"),
-                     F.max(F.when(present, col)).cast("double").alias(f"hi{i}")]
+            aggs += [F.min(F.when(present, value)).cast("double").alias(f"lo{i}"),
+                     F.max(F.when(present, value)).cast("double").alias(f"hi{i}")]
         else:
             aggs += [F.lit(None).cast("double").alias(f"lo{i}"), F.lit(None).cast("double").alias(f"hi{i}")]
         if kind == "string":
-            norm = F.lower(pytrim(col))
-            aggs += [F.count_if(col.isNotNull() & parse_timestamp(col).isNotNull()).alias(f"dt{i}"),
-                     F.count_if(col.isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(f"ne{i}"),
-                     F.count_if(col.isNotNull() & ~norm.isin(*BOOL_WORDS)).alias(f"bb{i}")]
+            norm = F.lower(pytrim(value))
+            aggs += [F.count_if(value.isNotNull() & parse_timestamp(value).isNotNull()).alias(f"dt{i}"),
+                     F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"ne{i}"),
+                     F.count_if(value.isNotNull() & ~norm.isin(*BOOL_WORDS)).alias(f"bb{i}")]
         elif kind == "int":
             aggs += [F.lit(0).cast("long").alias(f"dt{i}"), F.lit(0).cast("long").alias(f"ne{i}"),
-                     F.count_if(col.isNotNull() & ~col.isin(0, 1)).alias(f"bb{i}")]
+                     F.count_if(value.isNotNull() & ~value.isin(0, 1)).alias(f"bb{i}")]
         else:
             aggs += [F.lit(0).cast("long").alias(f"dt{i}"), F.lit(0).cast("long").alias(f"ne{i}"),
-                     F.count_if(col.isNotNull()).alias(f"bb{i}")]
+                     F.count_if(value.isNotNull()).alias(f"bb{i}")]
         structs.append(F.struct(
             F.lit(i).alias("pos"), F.lit(c).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.lit(kind).alias("kind"), F.col(f"m{i}").cast("long").alias("missing"),
-            F.col(f"d{i}").cast("long").alias("distinct"), F.col(f"lo{i}").alias("vmin"),
+            F.lit(kind).alias("kind"), F.col(f"m{i}").cast("long").alias("missing"), F.col(f"lo{i}").alias("vmin"),
             F.col(f"hi{i}").alias("vmax"), F.col(f"dt{i}").cast("long").alias("date_ok"),
             F.col(f"ne{i}").cast("long").alias("num_err"), F.col(f"bb{i}").cast("long").alias("bool_bad")))
-    one = df.agg(*aggs)
-    if daggs:
-        # exact distinct counts in their own aggregate: mixed with the others,
-        # Spark's distinct rewrite would evaluate the parses on expanded rows
-        from tablelens.functions.stats import attach
-        one = attach(one, df.agg(*daggs))
-    return one.select(F.col("_n").alias("n_rows"), F.explode(F.array(*structs)).alias("s")).select(
-        "n_rows", "s.*")
+    distinct = distinct_counts(df, values, exact=not approx).select(F.col("name").cast("int").alias("pos"), "distinct")
+    rows = df.agg(*aggs).select(F.col("_n").alias("n_rows"), F.explode(F.array(*structs)).alias("s")).select("n_rows", "s.*")
+    return rows.join(F.broadcast(distinct), "pos")  # one row a column
 
 
 def _semantic_type():
