@@ -110,32 +110,49 @@ UNION ALL SELECT 'schema', semantic_type, CAST(count(*) AS VARCHAR) FROM sch GRO
 """)(_summary)
 
 
-def _auto(s, d):
-    return auto.auto_eda(table(s, d, "orders"), freq="M")
-
-
-def _findings(s, d):
-    return _auto(s, d)["findings"]
-
-
-def _sections(s, d):
-    r = _auto(s, d)
-    prof = r["profile"]
-    header = prof.select(F.format_string("This dataset contains %s records and %s columns.", "rows", "columns")
-                         .alias("summary"))
-    md = report.findings_markdown(header, r["findings"], r["quality"].select("issues"))
-    return report.parse_sections(md, "doc", "text")
-
-
-register("findings")(_findings)
-register("sections")(_sections)
-register("auto_eda")(lambda s, d: _auto(s, d)["status"])
-
-
-def _bundle(s, d):
-    r = _auto(s, d)
-    keep = ["profile", "quality", "plan", "findings", "composition_insights", "trend"]
-    return report.report_bundle({k: r[k] for k in keep if k in r})
-
-
-register("report_bundle")(_bundle)
+def _analysis(s, d):
+    return auto.Analysis(table(s, d, "orders"), freq="M")
+
+
+def _executed(name):
+    return lambda s, d: _analysis(s, d).table(name)
+
+
+def _status(s, d):
+    a = _analysis(s, d)
+    a.run()
+    return a.status()
+
+
+register("auto_eda")(_status)
+# one query for each kind of result; the others are the operators' own queries on the same frame
+for _name in ("findings", "insights", "report_text", "bundle", "anomaly_rows"):
+    register({"bundle": "report_bundle", "anomaly_rows": "auto_anomaly_rows"}.get(_name, _name))(_executed(_name))
+register("sections")(lambda s, d: report.parse_sections(_analysis(s, d).table("report_text"), "doc", "text"))
+
+# the cleaned orders are the orders: no gaps, no repeated rows, clean strings
+_CATS, _NUMS = ("o_orderstatus", "o_orderpriority"), ("o_custkey", "o_totalprice")
+_SERIES = "(" + " UNION ALL ".join(
+    f"SELECT 'o_orderdate' AS date_col, '{v}' AS metric, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS bucket, "
+    f"CAST(sum(CAST({v} AS DECIMAL(38,6))) AS DOUBLE) AS value FROM orders GROUP BY 3" for v in _NUMS) + ")"
+register("auto_trend", f"""
+WITH ix AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) - 1 AS idx FROM {_SERIES}),
+r AS (SELECT date_col, metric, regr_slope(value, idx) AS slope, regr_r2(value, idx) AS r2, count(*) AS n FROM ix GROUP BY ALL)
+SELECT date_col, metric, CASE WHEN n < 3 THEN 'insufficient' WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS direction,
+       CASE WHEN n >= 3 THEN round(slope, 4) END AS slope, CASE WHEN n >= 3 THEN round(r2, 4) END AS r2 FROM r
+""")(_executed("trend"))
+register("auto_rolling_mean", f"""
+WITH ix AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) - 1 AS idx, count(*) OVER (PARTITION BY metric) AS n FROM {_SERIES}),
+w AS (SELECT *, greatest(2, least(7, n // 4)) AS w FROM ix)
+SELECT a.date_col, a.metric, a.bucket, a.value, round(avg(b.value), 4) AS rolling_mean
+FROM w a JOIN w b ON a.metric = b.metric AND b.idx <= a.idx AND b.idx > a.idx - a.w GROUP BY ALL
+""")(_executed("rolling_mean"))
+register("auto_univariate_categorical", f"""
+WITH m AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM orders" for c in _CATS)}),
+vc AS (SELECT col, value, count(*) AS cnt FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank, sum(cnt) OVER (PARTITION BY col) AS nn FROM vc)
+SELECT col AS "column", value, CAST(cnt AS BIGINT) AS count, round(100.0 * cnt / nn, 2) AS pct, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
+""")(_executed("univariate_categorical"))
+register("auto_cleaned", "SELECT * FROM orders")(_executed("cleaned"))
+register("auto_anomaly_notes", "SELECT 'isolation_forest' AS method, 'contamination' AS parameter, 0.02::DOUBLE AS value FROM orders LIMIT 1")(
+    _executed("anomaly_notes"))

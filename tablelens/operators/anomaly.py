@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import col
 from tablelens.functions.columns import cols as named
 from tablelens.functions.stats import rnd
-from tablelens.functions.summary import number
+from tablelens.functions.summary import column_numbers, number
 from tablelens.operators.outliers import column_bounds
 
 
@@ -80,6 +80,18 @@ def anomaly_table(df: DataFrame, cols: Sequence[str], method: str = "zscore") ->
     return flag_anomalies(df, cols, method).filter(F.col("is_anomaly")).drop("is_anomaly")
 
 
+def method_notes(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFrame:
+    """N4's notes: (method, parameter, value) of the rule that :func:`flag_anomalies` applies to these columns. The
+    isolation forest needs a column that varies; without one the z-score rule stands in."""
+    forest = method in ("isolation_forest", "auto")
+    if forest and not any((own["m2"] or 0) > 0 for own in column_numbers(df, cols, shape=True).values()):
+        method = "zscore (no column varies)"
+    elif forest:
+        method = "isolation_forest"
+    parameter, value = {"isolation_forest": ("contamination", 0.02), "iqr": ("k", 1.5)}.get(method, ("threshold", 3.0))
+    return df.sparkSession.createDataFrame([(method, parameter, value)], "method string, parameter string, value double")
+
+
 def anomaly_report(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFrame:
     """Per column IQR outlier count/pct (IQR 0 -> 0), plus an ``ALL_ROWS`` row
     with the rows flagged by ``method`` and their share of all rows."""

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import cols
 from tablelens.functions.stats import attach
 
-PAD = "Additional structure present; see detailed sections."
+PAD = "No further finding; the result tables hold the details."
 SECTION_ORDER = ["composition", "distribution", "comparison", "time", "relationship", "sentiment"]
 
 
@@ -73,46 +74,52 @@ def summary_metrics(profile: DataFrame, quality: DataFrame, schema_summary: Data
     return out
 
 
+def first_pair(t: DataFrame, date_col: str, metric: str) -> DataFrame:
+    """The row of one (date column, metric) pair."""
+    return t.filter((F.col("date_col") == date_col) & (F.col("metric") == metric))
+
+
+def _sentence(section: str, rows: DataFrame, text: Column) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), text.alias("text"))
+
+
 def finding_composition(insights: DataFrame) -> DataFrame:
     """From composition insights: the largest category of the first column."""
     first = insights.filter(F.col("rank") == 1).orderBy("column").limit(1)
-    return first.select(F.lit("composition").alias("section"), F.format_string(
-        "The largest group in '%s' is '%s' at %s%% of records.", "column", "category", _num("pct")).alias("text"))
+    return _sentence("composition", first, F.format_string("%s: most rows (%s%%) are '%s'.", "column", _num("pct"), "category"))
 
 
 def finding_distribution(dist: DataFrame, first_col: str) -> DataFrame:
+    """Shape of one numeric column."""
     d = dist.filter(F.col("column") == first_col)
-    txt = F.when(F.col("shape") != "symmetric", F.format_string(
-        "'%s' is %s with skewness %s and %s%% outliers.", "column", "shape", _num("skewness"), _num("outlier_pct"))
-    ).otherwise(F.format_string("'%s' is roughly symmetric (skew %s) with std %s.", "column", _num("skewness"),
-                                _num("std")))
-    return d.select(F.lit("distribution").alias("section"), txt.alias("text"))
+    return _sentence("distribution", d, F.format_string(
+        "%s: %s, skewness %s, standard deviation %s, %s%% beyond the fences.", "column", "shape", _num("skewness"), _num("std"), _num("outlier_pct")))
 
 
 def finding_comparison(ins: DataFrame, metric: str) -> DataFrame:
-    top = ins.filter((F.col("rank") == 1) & (F.col("kind") == "top")).orderBy("group_col").limit(1)
-    return top.select(F.lit("comparison").alias("section"), F.format_string(
-        "'%s' group '%s' has the highest %s at %s.", "group_col", "group", F.lit(metric), _num("value")).alias("text"))
+    """The group with the largest mean of ``metric``, of the first categorical column."""
+    own = ins.filter(F.col("metric") == metric) if "metric" in ins.columns else ins
+    top = own.filter((F.col("rank") == 1) & (F.col("kind") == "top")).orderBy("group_col").limit(1)
+    return _sentence("comparison", top, F.format_string(
+        "%s: '%s' leads by mean %s (%s).", "group_col", "group", F.lit(metric), _num("value")))
 
 
 def finding_time(growth: DataFrame, trend: DataFrame, value_col: str) -> DataFrame:
+    """Change of one series from its first to its last bucket."""
     g = attach(growth, trend.select("direction")).filter(F.col("overall_growth_pct").isNotNull())
-    return g.select(F.lit("time").alias("section"), F.format_string(
-        "'%s' grew by %s%% over the period (%s trend).", F.lit(value_col), _num("overall_growth_pct"),
-        "direction").alias("text"))
+    return _sentence("time", g, F.format_string(
+        "%s: %s%% from the first to the last period, trend %s.", F.lit(value_col), _num("overall_growth_pct"), "direction"))
 
 
 def finding_relationship(strongest: DataFrame) -> DataFrame:
     s = strongest.filter(F.col("rank") == 1)
-    return s.select(F.lit("relationship").alias("section"), F.format_string(
-        "Strongest relationship: '%s' and '%s' (r = %s).", "a", "b", _num("corr")).alias("text"))
+    return _sentence("relationship", s, F.format_string("%s and %s move together most (correlation %s).", "a", "b", _num("corr")))
 
 
 def finding_sentiment(summary: DataFrame) -> DataFrame:
     s = summary.orderBy("column").limit(1)
-    return s.select(F.lit("sentiment").alias("section"), F.format_string(
-        "Sentiment is %s%% positive, %s%% negative (avg compound %s).", _num("positive_pct"), _num("negative_pct"),
-        _num("avg_compound")).alias("text"))
+    return _sentence("sentiment", s, F.format_string("%s: %s%% positive and %s%% negative texts, mean valence %s.", "column",
+                                                     _num("positive_pct"), _num("negative_pct"), _num("avg_compound")))
 
 
 def findings(parts: list[DataFrame], spark) -> DataFrame:
@@ -129,18 +136,73 @@ def findings(parts: list[DataFrame], spark) -> DataFrame:
         "rank", "section", "text")
 
 
-def findings_markdown(header: DataFrame, found: DataFrame, issues: DataFrame) -> DataFrame:
-    """K6 text: executive summary, numbered findings and data-quality lines as
-    one markdown document (doc, text)."""
-    f = found.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))),
-                                           lambda s: F.concat(s["rank"].cast("string"), F.lit(". "), s["text"])),
-                               "\n").alias("f"))
-    r = attach(attach(header, f), issues)
-    text = F.concat(F.lit("## Executive Summary\n"), F.col("summary"), F.lit("\n\n## Top 5 Findings\n"), F.col("f"),
-                    F.lit("\n\n## Data Quality\n"),
-                    F.when(F.col("issues") == "", F.lit("- No major data quality issues detected."))
-                     .otherwise(F.concat(F.lit("- "), F.regexp_replace("issues", "; ", "\n- "))), F.lit("\n"))
-    return r.select(F.lit("report").alias("doc"), text.alias("text"))
+# The sections of the written report, in order.
+SECTIONS = ["Executive Summary", "Top 5 Findings", "Data Quality", "Trends", "Risks", "Opportunities", "Recommendations",
+            "Further Questions"]
+LINES = {
+    "Opportunities": ["Split the tables by further categories to find groups that do well."],
+    "Recommendations": ["Look first at the group that leads the comparison.", "Mend what the data quality section lists before modelling.",
+                        "Have trends and correlations confirmed by someone who knows the data."],
+    "Further Questions": ["Why does the leading group lead?", "Which of the unusual rows are events, and which are errors?",
+                          "Do the findings hold for newer data?"],
+}
+NOTHING = {"Data Quality": "Nothing stands out.", "Trends": "The table has no series to follow.", "Risks": "The checks found no risk."}
+
+
+def _lines(section: str, rows: DataFrame, text: Column, rank=None, group: int = 0) -> DataFrame:
+    """(section number, group, order, text) of one or more lines of a section."""
+    return rows.select(F.lit(SECTIONS.index(section)).alias("s"), F.lit(group).alias("g"), (F.lit(0) if rank is None else rank).cast("string").alias("o"),
+                       text.alias("text")).filter(F.col("text").isNotNull())
+
+
+def insight_lines(profile: DataFrame, quality: DataFrame, found: DataFrame, trend: DataFrame | None = None, anomalies: DataFrame | None = None,
+                  composition: DataFrame | None = None, comparison: DataFrame | None = None) -> DataFrame:
+    """K3: (position, section, text): every line of the eight sections, from executed result tables. A section
+    without a line of its own says so."""
+    spark = profile.sparkSession
+    issue = quality.select(F.posexplode(F.split("issues", "; ")).alias("i", "issue")).filter(F.col("issue") != "")
+    parts = [
+        _lines("Executive Summary", attach(profile, quality.select("score", "grade")), F.format_string(
+            "%s rows in %s columns, data quality %s of 100 (grade %s).", _int("rows"), _int("columns"), _num("score"), "grade")),
+        _lines("Top 5 Findings", found, F.concat(_int("rank"), F.lit(". "), F.col("text")), F.col("rank")),
+        _lines("Data Quality", issue, F.col("issue"), F.col("i")),
+        _lines("Risks", issue.filter(F.col("issue").startswith("missing")), F.format_string("Results may be biased (%s).", "issue")),
+    ]
+    if trend is not None:
+        parts.append(_lines("Trends", trend, F.format_string("%s by %s: %s, r2 %s.", "metric", "date_col", "direction", F.coalesce(_num("r2"), F.lit("unknown"))),
+                            F.concat_ws(" ", "date_col", "metric")))
+    if anomalies is not None:
+        rows = anomalies.filter((F.col("column") == "ALL_ROWS") & (F.col("anomaly_count") > 0))
+        parts.append(_lines("Risks", rows, F.format_string("%s unusual rows (%s%%): events or errors.", _int("anomaly_count"), _num("anomaly_pct")), group=1))
+    if composition is not None:
+        first = composition.filter(F.col("rank") == 1)
+        parts.append(_lines("Opportunities", first, F.format_string("%s is concentrated in '%s' (%s%%).", "column", "category", _num("pct")), F.col("column")))
+    if comparison is not None:
+        top = comparison.filter((F.col("rank") == 1) & (F.col("kind") == "top"))
+        parts.append(_lines("Opportunities", top, F.format_string("%s '%s' has the highest mean %s (%s).", "group_col", "group", "metric", _num("value")),
+                            F.concat_ws(" ", "group_col", "metric"), 1))
+    fixed = [(SECTIONS.index(k), 8, str(i), t) for k, ts in LINES.items() for i, t in enumerate(ts)]
+    fixed += [(SECTIONS.index(k), 9, "", t) for k, t in NOTHING.items()]
+    lines = spark.createDataFrame(fixed, "s int, g int, o string, text string")
+    for p in parts:
+        lines = lines.unionByName(p)
+    from pyspark.sql import Window
+    # one line for each column or pair of columns of the frame
+    others = F.count_if(F.col("g") < 9).over(Window.partitionBy("s"))
+    kept = lines.withColumn("n", others).filter((F.col("g") < 9) | (F.col("n") == 0))
+    names = F.array(*[F.lit(x) for x in SECTIONS])
+    return kept.select(F.row_number().over(Window.orderBy("s", "g", "o", "text")).cast("long").alias("position"), names[F.col("s")].alias("section"), "text")
+
+
+def markdown(lines: DataFrame) -> DataFrame:
+    """K6: (doc, text): the lines of :func:`insight_lines` as one document with a heading for each section."""
+    by_section = lines.groupBy("section").agg(
+        F.min("position").alias("p"), F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("l"))
+    bullet = F.when(F.col("section").isin("Executive Summary", "Top 5 Findings"), F.lit("")).otherwise(F.lit("- "))
+    body = by_section.select("p", F.concat(F.lit("## "), F.col("section"), F.lit("\n"),
+                                           F.array_join(F.transform("l", lambda x: F.concat(bullet, x)), "\n"), F.lit("\n")).alias("t"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]), "\n")
+    return body.agg(F.lit("report").alias("doc"), text.alias("text"))
 
 
 def parse_sections(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
@@ -157,25 +219,10 @@ def parse_sections(df: DataFrame, doc_col: str, text_col: str) -> DataFrame:
                         F.array_join(F.transform(body_lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("body"))
 
 
-# A bundled table is folded into one JSON value in one task, so its size is
-# bounded explicitly; larger tables belong in the distributed JSON sink.
-MAX_BUNDLE_ROWS = 100_000
-
-
 def report_bundle(results: dict) -> DataFrame:
-    """K6: one row per result table: (name, json) with the table's rows as a
-    JSON array. Result tables are small by construction (one row per column,
-    step or finding). At most ``MAX_BUNDLE_ROWS + 1`` rows reach the aggregate,
-    and a larger table fails the query instead of being truncated."""
-    parts = []
-    for name, t in results.items():
-        capped = t.limit(MAX_BUNDLE_ROWS + 1)
-        agg = capped.agg(F.count(F.lit(1)).alias("_n"),
-                         F.to_json(F.collect_list(F.struct(*t.columns))).alias("json"))
-        too_big = F.raise_error(F.lit(f"result table '{name}' has more than {MAX_BUNDLE_ROWS} rows; "
-                                      "write it with sources.sinks.export_results instead"))
-        parts.append(agg.select(F.lit(name).alias("name"),
-                                F.when(F.col("_n") > MAX_BUNDLE_ROWS, too_big).otherwise(F.col("json")).alias("json")))
+    """K6: all result tables in one: (name, json), one JSON object per result row. Nothing is folded, so a
+    table of any size stays distributed."""
+    parts = [t.select(F.lit(name).alias("name"), F.to_json(F.struct(*cols(t))).alias("json")) for name, t in results.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -76,15 +76,54 @@ def test_parse_sections(spark):
     assert s == {"One": "a\nb\n", "Two": "c\n"}
 
 
-def test_report_bundle_refuses_an_oversized_table(spark, monkeypatch):
-    import pytest
-    from tablelens.plans import report
-    monkeypatch.setattr(report, "MAX_BUNDLE_ROWS", 5)
-    small = spark.range(3).withColumnRenamed("id", "x")
-    row = report.report_bundle({"small": small}).first()
-    assert row["name"] == "small" and row["json"] == '[{"x":0},{"x":1},{"x":2}]'
-    with pytest.raises(Exception, match="more than 5 rows"):
-        report.report_bundle({"big": spark.range(6)}).collect()
+def test_report_bundle_has_every_row(spark):
+    small, wide = spark.range(3).withColumnRenamed("id", "x"), spark.createDataFrame([("a", None)], "`p.q` string, r int")
+    rows = sorted((r["name"], r["json"]) for r in report.report_bundle({"small": small, "wide": wide}).collect())
+    assert rows == [("small", '{"x":0}'), ("small", '{"x":1}'), ("small", '{"x":2}'), ("wide", '{"p.q":"a"}')]
+
+
+def test_analysis_status_comes_from_execution(small_df, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablelens.plans import auto
+
+    def late(a):  # fails when it runs, not when it is planned
+        return a.table("cleaned").select(F.raise_error(F.lit("broken " + "x" * 400)).cast("int").alias("n"))
+
+    for name, build in (("growth", late), ("chart_rules", lambda a: a.table("growth"))):
+        monkeypatch.setitem(auto.STEPS, name, auto.Step(name, auto.STEPS[name].tool, build))
+    a = auto.Analysis(small_df, freq="W")
+    got = a.run()
+    status = {r["step"]: r for r in a.status().collect()}
+    assert status["growth"]["status"] == "error" and "x" * 400 in status["growth"]["message"]
+    assert status["chart_rules"]["status"] == "skipped" and status["univariate_text"]["status"] == "not applicable"
+    assert "growth" not in got and status["trend"]["status"] == "ok"
+    for name, t in got.items():
+        if name != "status":
+            assert (status[name]["rows"], status[name]["columns"]) == (t.count(), len(t.columns)), name
+    assert status["rolling_mean"]["rows"] == 2 * status["time_series"]["rows"] / 2
+    assert {r["metric"] for r in got["trend"].collect()} == {"amount", "pieces"}
+    assert status["trend"]["missing"] == 0 and status["bundle"]["rows"] > 100
+
+
+def test_only_the_steps_that_are_needed_run(small_df):
+    from tablelens.plans import auto
+    a = auto.Analysis(small_df)
+    assert a.table("missing").count() == len(small_df.columns)
+    assert [r["step"] for r in a.status().collect()] == ["cleaned", "missing"]
+
+
+def test_written_sections(small_df, spark):
+    from tablelens.plans import auto
+    a = auto.Analysis(small_df, freq="W")
+    lines = a.table("insights").collect()
+    assert list(dict.fromkeys(r["section"] for r in lines)) == report.SECTIONS
+    parsed = report.parse_sections(a.table("report_text"), "doc", "text").collect()
+    assert [r["section"] for r in sorted(parsed, key=lambda r: r["pos"])] == report.SECTIONS
+    empty = spark.createDataFrame([("a",), ("b",)], "c string")
+    bare = auto.Analysis(empty)
+    said = {(r["section"], r["text"]) for r in bare.table("insights").collect()}
+    assert ("Trends", report.NOTHING["Trends"]) in said and ("Risks", report.NOTHING["Risks"]) in said
 
 
 def test_quoted_fields_round_trip(spark, tmp_path):
