@@ -31,7 +31,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(scores: DataFrame, by: int, held: int, *more: str) -> DataFrame:
-    return scores.select("doc_id", (remainder(F.col("doc_id"), by) == held).alias("held_out"), "score",
+    return scores.select("doc_id", F.coalesce(remainder(F.col("doc_id"), by) == held, F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), *more)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.sample import labelled_sample, sigmoid
+from tablelens.llm.sample import beside, labelled, sigmoid
 
 # Words that name groups of people, by kind; members of one kind are swapped for each other.
 IDENTITY = {
@@ -51,14 +51,30 @@ def choose(bags: list[set[bytes]], y: np.ndarray, features: int, least: int, evi
     return [w for _, w in sorted(strong)[:features]]
 
 
-def fit(sample: list[tuple[str, int]], features: int, least: int, evidence: float, ridge: float, fairness: float,
-        identity: dict[str, list[str]], rounds: int = 300) -> dict:
+def reduced(text: str | None, terms: set[bytes]) -> tuple[set[bytes], list[set[bytes]]]:
+    """What is learned from a whole text: its words, and the identity terms of each sentence that holds one."""
+    sentences = (text or "").replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
+    return words(text), [present for s in sentences if (present := words(s) & terms)]
+
+
+def terms_of(identity: dict[str, list[str]]) -> set[bytes]:
+    return {w.encode() for kind in identity.values() for w in kind}
+
+
+def fit(sample: list[tuple[str, int]], *settings) -> dict:
+    """:func:`fit_reduced` from texts."""
+    terms = terms_of(settings[5])
+    return fit_reduced([(*reduced(t, terms), y) for t, y in sample], *settings)
+
+
+def fit_reduced(sample: list[tuple[set[bytes], list[set[bytes]], int]], features: int, least: int, evidence: float, ridge: float,
+                fairness: float, identity: dict[str, list[str]], rounds: int = 300) -> dict:
     """Word weights and intercept. Loss: mean log loss + ridge + fairness * mean squared score change between
     a sentence and its copies with an identity term swapped for the others of its kind."""
-    y = np.array([k for _, k in sample], float)
+    y = np.array([k for *_, k in sample], float)
     if len(set(y.tolist())) < 2:
         return {"weights": {}, "offset": math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), "terms": []}
-    bags = [words(t) for t, _ in sample]
+    bags = [bag for bag, _, _ in sample]
     kinds = [[w.encode() for w in kind] for kind in identity.values()]
     terms = {w for kind in kinds for w in kind}
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(choose(bags, y, features, least, evidence) + sorted(terms & set().union(*bags))))}
@@ -67,9 +83,8 @@ def fit(sample: list[tuple[str, int]], features: int, least: int, evidence: floa
     cols = np.concatenate([*at, np.empty(0, np.int64)])
     # swapped sentences: the score changes by the difference of two words' weights
     swaps = Counter()
-    for (text, _) in sample:
-        for sentence in (text or "").replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
-            present = words(sentence) & terms
+    for _, sentences, _ in sample:
+        for present in sentences:
             for kind in kinds:
                 for old in present & set(kind):
                     for new in kind:
@@ -102,24 +117,38 @@ def logit(model: dict, text: str | None) -> float:
     return model["offset"] + math.fsum(weights[w] for w in words(text) & weights.keys())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, max_chars: int = 20_000,
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, settings: tuple, label: str, id_col: str, text_col: str) -> dict:
+    """The model of a bounded labelled sample. Tasks reduce the whole drawn texts to what is learned from them."""
+    terms = terms_of(settings[5])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [reduced(t, terms) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array([sorted(w) for w, _ in got], pa.list_(pa.binary())),
+                 pa.array([[sorted(p) for p in s] for _, s in got], pa.list_(pa.list_(pa.binary()))), b.column("y")], ["doc_id", "words", "sentences", "y"])
+
+    drawn = labelled(docs, labels, label, learn, per_class, id_col, text_col).select("doc_id", "text", "y")
+    rows = drawn.mapInArrow(reduce, "doc_id long, words array<binary>, sentences array<array<binary>>, y int").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return fit_reduced([({bytes(w) for w in r.words}, [{bytes(w) for w in p} for p in r.sentences], r.y) for r in rows], *settings)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000,
                    features: int = 600, least: int = 3, evidence: float = 10.0, ridge: float = 2e-3, fairness: float = 1.0,
                    identity: dict[str, list[str]] = IDENTITY, label: str = "toxic",
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row; the score estimates the probability of label 1 at even odds.
+                   id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """(doc_id, score) of every row; the score estimates the probability of label 1 at even odds. With ``carry``, all columns of ``docs`` as
+    they are and the score under that name.
 
-    Fitted on at most ``per_class`` rows of each class (``max_chars`` of each) among those where
-    ``learn`` holds; every whole text is scored. Empty and null texts get the intercept's score. With
-    labels of one class only, the score is that class's smoothed share. Repeated rows are scored each;
+    Fitted on at most ``per_class`` documents of each class among those where ``learn`` holds, on their whole texts;
+    every whole text is scored. Empty and null texts get the intercept's score. With
+    labels of one class only, the score is that class's smoothed share. Repeated rows and equal texts are scored each and alike;
     a null id stays null; other columns are not read.
     """
-    sample = labelled_sample(docs, labels, label, learn, per_class, max_chars, id_col, text_col)
-    model = fit(sample, features, least, evidence, ridge, fairness, identity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = np.array([logit(model, t) for t in batch.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(z))], ["doc_id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, score double")
+    model = learned(docs, labels, learn, per_class, (features, least, evidence, ridge, fairness, identity), label, id_col, text_col)
+    score = lambda texts: [sigmoid(np.array([logit(model, t) for t in texts], float))]
+    if carry:
+        return beside(docs, [pa.field(carry, pa.float64())], score, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return beside(rows, [pa.field("score", pa.float64())], score).select("doc_id", "score")

@@ -44,6 +44,20 @@ def test_classifiers(docs, labels):
         assert run(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_classifiers_learn_from_the_end_of_long_texts(spark):
+    """What tells the classes apart stands behind 300,000 characters; nulls and repeats score like empty and equal texts."""
+    start = "word " * 60_000
+    rows = [(i, start + f"{'vile scum' if i % 2 else 'kind friend'} {i}") for i in range(40)] + [(90, None), (91, ""), (92, "x y"), (92, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = score_toxicity(docs, labels, F.col("doc_id") < 30, per_class=100, evidence=1.0).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert all((by[i] > 0.5) == bool(i % 2) for i in range(30, 40))
+    assert by[90] == by[91] and len([r for r in got if r.doc_id == 92]) == 2
+    q = score_quality(docs, labels, F.col("doc_id") < 30, per_class=100, carry="s").collect()
+    assert [r.doc_id for r in q if r.text is None] == [90] and len({r.s for r in q if r.doc_id == 92}) == 1
+
+
 def test_identity_swaps_reduce_false_positives():
     sample = [(f"you muslim are awful {i}", 1) for i in range(30)] + [(f"my muslim neighbour is kind {i}", 0) for i in range(6)] \
         + [(f"a christian neighbour is kind {i}", 0) for i in range(24)]

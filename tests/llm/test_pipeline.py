@@ -61,3 +61,23 @@ def test_stages(spark, tmp_path):
         by[r.sequence_id] += r.length
     assert max(by.values()) <= 1024 and {r.doc_id for r in after} == {r.doc_id for r in before}
     assert len(seen) == 5
+
+
+def test_odd_rows_are_decided_one_by_one(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, "other text " * 30), (2, base + " end"), (None, base), (None, "quite another " * 30), (3, None), (-7, "minus seven " * 20)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row0 string")
+    kept = P.deduplication(spark, docs, SF).collect()
+    texts = sorted(r.text or "" for r in kept)
+    assert len(kept) == 5 and sum(t.startswith("w0") for t in texts) == 1 and kept[0]._row0 == "x"
+    assert P.quality(spark, docs.limit(0), SF).count() == 0 and P.deduplication(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_without_an_id_go_by_their_own_score(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    both = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    for stage in (P.quality, P.toxicity):
+        kept = stage(spark, both, SF).collect()
+        assert sorted(r.text for r in kept if r.doc_id is None) == sorted(r.text for r in kept if r.doc_id is not None)
+        assert 0 < len(kept) < 2 * docs.count()
