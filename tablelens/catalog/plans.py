@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablelens.catalog.base import register, table
-from tablelens.catalog.clean import _quality_sql
+from tablelens.catalog.clean import TITLE, _quality_sql
 from tablelens.catalog.fixtures import DIRTY_EVENTS_SQL, dirty_events
 from tablelens.catalog.profile import DIRTY_EVENTS_F, ORDERS_F, profile_sql, schema_sql
 from tablelens.operators import profile as P
@@ -130,7 +130,7 @@ for _name in ("findings", "insights", "report_text", "bundle", "anomaly_rows"):
     register({"bundle": "report_bundle", "anomaly_rows": "auto_anomaly_rows"}.get(_name, _name))(_executed(_name))
 register("sections")(lambda s, d: report.parse_sections(_analysis(s, d).table("report_text"), "doc", "text"))
 
-# the cleaned orders are the orders: no gaps, no repeated rows, clean strings
+# the cleaned orders have the rows of the orders: no gaps, no repeated rows
 _CATS, _NUMS = ("o_orderstatus", "o_orderpriority"), ("o_custkey", "o_totalprice")
 _SERIES = "(" + " UNION ALL ".join(
     f"SELECT 'o_orderdate' AS date_col, '{v}' AS metric, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS bucket, "
@@ -147,12 +147,15 @@ w AS (SELECT *, greatest(2, least(7, n // 4)) AS w FROM ix)
 SELECT a.date_col, a.metric, a.bucket, a.value, round(avg(b.value), 4) AS rolling_mean
 FROM w a JOIN w b ON a.metric = b.metric AND b.idx <= a.idx AND b.idx > a.idx - a.w GROUP BY ALL
 """)(_executed("rolling_mean"))
+# cleaning writes category names in title case
+_CLEANED = "(SELECT o_orderkey, o_custkey, {0} AS o_orderstatus, o_totalprice, o_orderdate, {1} AS o_orderpriority FROM orders)".format(
+    *[TITLE.format(x=c) for c in _CATS])
 register("auto_univariate_categorical", f"""
-WITH m AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM orders" for c in _CATS)}),
+WITH m AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM {_CLEANED}" for c in _CATS)}),
 vc AS (SELECT col, value, count(*) AS cnt FROM m GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank, sum(cnt) OVER (PARTITION BY col) AS nn FROM vc)
 SELECT col AS "column", value, CAST(cnt AS BIGINT) AS count, round(100.0 * cnt / nn, 2) AS pct, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
 """)(_executed("univariate_categorical"))
-register("auto_cleaned", "SELECT * FROM orders")(_executed("cleaned"))
+register("auto_cleaned", f"SELECT * FROM {_CLEANED}")(_executed("cleaned"))
 register("auto_anomaly_notes", "SELECT 'isolation_forest' AS method, 'contamination' AS parameter, 0.02::DOUBLE AS value FROM orders LIMIT 1")(
     _executed("anomaly_notes"))

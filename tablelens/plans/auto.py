@@ -9,8 +9,10 @@ recorded as skipped; the others go on (SURVEY D11).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from threading import RLock
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -63,6 +65,7 @@ class Analysis:
         self._cleaning = (numeric_strategy, categorical_strategy, drop_duplicates, normalize)
         self._tables: dict[str, DataFrame] = {}
         self._records: dict[str, tuple] = {}
+        self._locks = {name: RLock() for name in STEPS}
 
     # -- what steps read ---------------------------------------------------------------------------
 
@@ -100,8 +103,9 @@ class Analysis:
 
     def table(self, name: str) -> DataFrame:
         """The executed table of a step; raises :class:`Skipped` where it has none."""
-        if name not in self._records:
-            self._run(STEPS[name])
+        with self._locks[name]:  # steps only wait for steps that they read
+            if name not in self._records:
+                self._run(STEPS[name])
         if name not in self._tables:
             raise Skipped(f"'{name}' has no table: {self._records[name][-1]}")
         return self._tables[name]
@@ -132,10 +136,14 @@ class Analysis:
         got = seen.get
         return df.sparkSession.read.schema(df.schema).parquet(path), got["rows"], got["missing"]
 
-    def run(self) -> dict[str, DataFrame]:
-        """Every applicable result table, and ``status``."""
-        for name in STEPS:
-            self.if_any(name)
+    def run(self, at_once: int = 8) -> dict[str, DataFrame]:
+        """Every applicable result table, and ``status``. Up to ``at_once`` steps run side by side: most result tables are
+        small, so one step's jobs leave most of the cluster idle."""
+        if self.if_any("cleaned") is not None:
+            self.if_any("cleaned_schema")
+            _ = self.types
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(self.if_any, STEPS))
         return self._tables | {"status": self.status()}
 
     def status(self) -> DataFrame:
