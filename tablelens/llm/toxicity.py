@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.llm.common import stored
 from tablelens.llm.sample import beside, labelled, sigmoid
 
 # Words that name groups of people, by kind; members of one kind are swapped for each other.
@@ -68,7 +69,16 @@ def fit(sample: list[tuple[str, int]], *settings) -> dict:
 
 
 def fit_reduced(sample: list[tuple[set[bytes], list[set[bytes]], int]], features: int, least: int, evidence: float, ridge: float,
-                fairness: float, identity: dict[str, list[str]], rounds: int = 300) -> dict:
+                fairness: float, identity: dict[str, list[str]]) -> dict:
+    """:func:`fit_chosen` with the words chosen here."""
+    bags = [bag for bag, _, _ in sample]
+    y = np.array([k for *_, k in sample], float)
+    chosen = choose(bags, y, features, least, evidence) if len(set(y.tolist())) == 2 else []
+    return fit_chosen(sample, chosen + sorted(terms_of(identity) & set().union(*bags)), ridge, fairness, identity)
+
+
+def fit_chosen(sample: list[tuple[set[bytes], list[set[bytes]], int]], chosen: list[bytes], ridge: float,
+               fairness: float, identity: dict[str, list[str]], rounds: int = 300) -> dict:
     """Word weights and intercept. Loss: mean log loss + ridge + fairness * mean squared score change between
     a sentence and its copies with an identity term swapped for the others of its kind."""
     y = np.array([k for *_, k in sample], float)
@@ -77,7 +87,7 @@ def fit_reduced(sample: list[tuple[set[bytes], list[set[bytes]], int]], features
     bags = [bag for bag, _, _ in sample]
     kinds = [[w.encode() for w in kind] for kind in identity.values()]
     terms = {w for kind in kinds for w in kind}
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(choose(bags, y, features, least, evidence) + sorted(terms & set().union(*bags))))}
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(chosen))}
     at = [np.array(sorted(vocabulary[w] for w in bag if w in vocabulary), np.int64) for bag in bags]
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols = np.concatenate([*at, np.empty(0, np.int64)])
@@ -118,20 +128,45 @@ def logit(model: dict, text: str | None) -> float:
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, settings: tuple, label: str, id_col: str, text_col: str) -> dict:
-    """The model of a bounded labelled sample. Tasks reduce the whole drawn texts to what is learned from them."""
-    terms = terms_of(settings[5])
+    """The model of a bounded labelled sample, learned from whole texts in two passes over it.
+
+    The first counts the texts of each class that hold a word, and keeps the ``features`` words that :func:`choose` would. The second
+    reduces each text to the kept words and to the identity terms of its sentences, as numbers; only these reach the driver."""
+    features, least, evidence, ridge, fairness, identity = settings
+    terms = terms_of(identity)
+    drawn = stored(labelled(docs, labels, label, learn, per_class, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y"),
+                   "labelled")
+    n, pos = (int(v or 0) for v in drawn.agg(F.count("y"), F.sum("y")).first())
+    if pos in (0, n):
+        return fit_chosen([(set(), [], 1)] * pos + [(set(), [], 0)] * (n - pos), [], ridge, fairness, identity)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                own = sorted(words(t))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([y] * len(own), pa.int32())], ["word", "y"])
+
+    counts = stored(drawn.mapInArrow(spell, "word binary, y int").groupBy("word").agg(F.count("y").alias("m"), F.sum("y").alias("a")), "words")
+    e = F.col("m") * F.lit(pos) / F.lit(n)
+    power = (F.col("a") - e) * (F.col("a") - e) / (e * (1 - F.col("m") / F.lit(n + 1)) + 1e-9)
+    strong = counts.where(F.col("m") >= least).withColumn("p", power).where(F.col("p") >= evidence).orderBy(F.desc("p"), "word").limit(features)
+    chosen = [bytes(r.word) for r in strong.select("word", "p").collect()]
+    present = {bytes(r.word) for r in counts.where(F.col("word").isin([bytearray(t) for t in sorted(terms)])).select("word").collect()}
+    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(chosen + sorted(present)))}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int32())
         for b in batches:
             got = [reduced(t, terms) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array([sorted(w) for w, _ in got], pa.list_(pa.binary())),
-                 pa.array([[sorted(p) for p in s] for _, s in got], pa.list_(pa.list_(pa.binary()))), b.column("y")], ["doc_id", "words", "sentences", "y"])
+                [b.column("doc_id"), pa.array([sorted(vocabulary[w] for w in own if w in vocabulary) for own, _ in got], lists),
+                 pa.array([[sorted(vocabulary[w] for w in p) for p in s] for _, s in got], pa.list_(lists)), b.column("y")],
+                ["doc_id", "words", "sentences", "y"])
 
-    drawn = labelled(docs, labels, label, learn, per_class, id_col, text_col).select("doc_id", "text", "y")
-    rows = drawn.mapInArrow(reduce, "doc_id long, words array<binary>, sentences array<array<binary>>, y int").collect()
+    rows = drawn.mapInArrow(reduce, "doc_id long, words array<int>, sentences array<array<int>>, y int").collect()
     rows.sort(key=lambda r: r.doc_id)
-    return fit_reduced([({bytes(w) for w in r.words}, [{bytes(w) for w in p} for p in r.sentences], r.y) for r in rows], *settings)
+    name = list(vocabulary)
+    return fit_chosen([({name[k] for k in r.words}, [{name[k] for k in p} for p in r.sentences], r.y) for r in rows], name, ridge, fairness, identity)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000,

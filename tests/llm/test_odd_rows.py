@@ -58,6 +58,18 @@ def test_classifiers_learn_from_the_end_of_long_texts(spark):
     assert [r.doc_id for r in q if r.text is None] == [90] and len({r.s for r in q if r.doc_id == 92}) == 1
 
 
+def test_counting_in_tasks_gives_the_model_of_the_texts(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(40)] + ["women", "gay", "black"]
+    rows = [(i, ". ".join(" ".join(rng.choice(vocabulary, 6)) for _ in range(3)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    settings = (20, 3, 1.0, 2e-3, 1.0, T.IDENTITY)
+    got = T.learned(docs, docs.select("doc_id", F.col("y").alias("toxic")), F.lit(True), 1000, settings, "toxic", "doc_id", "text")
+    want = T.fit([(t, y) for _, t, y in rows], *settings)
+    assert got["terms"] == want["terms"] and got["weights"].keys() == want["weights"].keys()
+    assert all(abs(got["weights"][w] - want["weights"][w]) < 1e-6 for w in want["weights"])
+
+
 def test_identity_swaps_reduce_false_positives():
     sample = [(f"you muslim are awful {i}", 1) for i in range(30)] + [(f"my muslim neighbour is kind {i}", 0) for i in range(6)] \
         + [(f"a christian neighbour is kind {i}", 0) for i in range(24)]
