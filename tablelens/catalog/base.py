@@ -56,3 +56,9 @@ def qcont(sorted_list: str, n: str, p: float) -> str:
     return (f"(CASE WHEN {lo} = {hi} THEN {sorted_list}[CAST({lo} AS BIGINT) + 1] "
             f"ELSE ({hi} - {pos}) * {sorted_list}[CAST({lo} AS BIGINT) + 1] "
             f"+ ({pos} - {lo}) * {sorted_list}[CAST({hi} AS BIGINT) + 1] END)")
+
+
+def digest_sql(cols, seed: int | None = None) -> str:
+    """md5 of a row's text as ``sources.sampling.row_digest`` makes it (doubles between 1e-3 and 1e7 print alike in both engines)."""
+    texts = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in cols)
+    return f"md5({'' if seed is None else chr(39) + str(seed) + '|' + chr(39) + ' || '}{texts})"

@@ -1,6 +1,6 @@
 """Chart-data queries."""
 
-from tablelens.catalog.base import register, sround, table
+from tablelens.catalog.base import digest_sql, register, sround, table
 from tablelens.catalog.timeseries import M, orders_series
 from tablelens.operators import chartdata as H
 
@@ -33,6 +33,17 @@ c AS (SELECT i, lo + i * ((hi - lo) / 199) AS x, n, h,
 SELECT CAST(i AS BIGINT) AS i, round(x, 6) AS x, round(s / (n * h * sqrt(2 * pi())), 8) AS density FROM c
 """)(lambda s, d: H.kde(table(s, d, "lineitem"), "l_quantity"))
 
+register("kde_price", """
+WITH v AS (SELECT l_extendedprice AS value, count(*) AS cnt FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+st AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n,
+              stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h FROM lineitem WHERE l_extendedprice IS NOT NULL),
+g AS (SELECT unnest(range(0, 200)) AS i),
+c AS (SELECT i, lo + i * ((hi - lo) / 199) AS x, n, h,
+             sum(cnt * exp(-0.5 * pow(((lo + i * ((hi - lo) / 199)) - value) / h, 2))) AS s
+      FROM g, st, v GROUP BY i, lo, hi, n, h)
+SELECT CAST(i AS BIGINT) AS i, round(x, 6) AS x, round(s / (n * h * sqrt(2 * pi())), 8) AS density FROM c
+""")(lambda s, d: H.kde(table(s, d, "lineitem"), "l_extendedprice"))
+
 _parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM lineitem" for c in LI)
 register("box_stats", f"""
 WITH m AS ({_parts}),
@@ -54,6 +65,13 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(regr_slope(l_extendedprice, l_quanti
 FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
 """)(lambda s, d: H.ols_line(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
+register("scatter_points", f"""
+WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM p),
+s AS (SELECT x, y FROM p ORDER BY {digest_sql(['x', 'y'], 42)} LIMIT 2000)
+SELECT x, y, {sround('slope * x + intercept', 2)} AS fit FROM s, l
+""")(lambda s, d: H.scatter_points(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"))
+
 register("frequency_bar", """
 WITH g AS (SELECT coalesce(CAST(p_type AS VARCHAR), '(null)') AS category, count(*) AS c FROM part GROUP BY 1)
 SELECT category, CAST(c AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY c DESC, category) AS BIGINT) AS rank FROM g

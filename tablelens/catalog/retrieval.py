@@ -1,8 +1,10 @@
 """Chunking, TF-IDF and retrieval queries (V1-V7)."""
 
+from pyspark.sql import functions as F
+
 from tablelens.catalog.base import register, table
 from tablelens.functions import lexicon as L
-from tablelens.functions.stats import rnd
+from tablelens.functions.stats import materialize, rnd
 from tablelens.operators import retrieval as V
 
 SEP = "chr(57344)"
@@ -135,3 +137,43 @@ def _svd(s, d):
 
 
 register("svd_embed")(_svd)
+
+
+def _svd_topk(s, d):
+    """Benchmark items in the space of the documents, and the 5 documents nearest to each."""
+    from tablelens.operators.svd import fit_components, fold_in
+    docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
+    tf = V.term_counts(docs, "doc_id", "text")
+    idf = V.fit_idf(docs, "doc_id", "text", tf=tf)
+    weights = materialize(V.transform_tfidf(docs, "doc_id", "text", idf, tf))
+    components = fit_components(weights, "doc_id")
+    items = fold_in(V.transform_tfidf(bench, "item_id", "text", idf), "item_id", components)
+    return V.dense_topk(fold_in(weights, "doc_id", components), "doc_id", "vector", items, "item_id", "vector", 5)
+
+
+register("svd_topk")(_svd_topk)
+
+
+def _index_roundtrip(s, d):
+    """An index founded on the English documents, the others added later, reopened and searched."""
+    from tablelens.sources import index_store, sinks
+    docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    base = sinks.scratch_dir(s, "index")
+    index_store.create(base, docs.where(english), "doc_id", "text")
+    index_store.add(s, base, docs.where(~english))
+    index = index_store.load(s, base)
+    qtf = V.term_counts(bench, "item_id", "text")
+    items = V.transform_tfidf(bench, "item_id", "text", index.vocabulary, qtf)
+    return V.search(index.weights, "chunk_key", items, "item_id", 3, query_rows=qtf.count())
+
+
+register("index_roundtrip", f"""WITH {chunks_sql('documents', 'doc_id', 'text')},
+chk AS (SELECT ch.doc_id || '_' || chunk_id AS chunk_key, lang, ch.text FROM ch JOIN documents USING (doc_id)),
+en AS (SELECT chunk_key, text FROM chk WHERE lang = 'en'),
+{tfidf_sql('en', 'chunk_key', 'text', 'e_')},
+{tfidf_sql('chk', 'chunk_key', 'text', 'd_', idf_from='e_idf')},
+{tfidf_sql('benchmark', 'item_id', 'text', 'q_', idf_from='e_idf')},
+{_search_sql('item_id', 'chunk_key', 'q_w', 'd_w', 3)}
+SELECT * FROM hits
+""")(_index_roundtrip)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablelens.catalog.base import register, table
+from tablelens.catalog.base import digest_sql, register, table
 from tablelens.sources import readers, sampling, sinks
 
 
@@ -23,6 +23,27 @@ def _parquet_roundtrip(s, d):
 
 
 register("parquet_roundtrip", "SELECT * FROM lineitem")(_parquet_roundtrip)
-register("sample_exact")(lambda s, d: sampling.sample_exact(table(s, d, "orders"), 0.1))
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+register("sample_exact", f"""
+SELECT * FROM orders ORDER BY {digest_sql(ORDERS, 42)}
+LIMIT (SELECT CAST(round_even(0.1 * count(*), 0) AS BIGINT) FROM orders)
+""")(lambda s, d: sampling.sample_exact(table(s, d, "orders"), 0.1))
 register("sample_fraction")(lambda s, d: sampling.sample_fraction(table(s, d, "orders"), 0.25))
-register("fingerprint")(lambda s, d: sampling.fingerprint(table(s, d, "orders")))
+_SAMPLED = f"CAST('0x' || substr({digest_sql(['{k}'], 42)}, 1, 13) AS BIGINT) < 0.25 * 4503599627370496"
+register("sample_by_key", f"""
+SELECT l.* FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey WHERE {_SAMPLED.format(k='o_orderkey')}
+""")(lambda s, d: _sample_by_key(s, d))
+
+
+def _sample_by_key(s, d):
+    li, orders = table(s, d, "lineitem"), table(s, d, "orders")
+    kept = sampling.sample_by_key(orders, ["o_orderkey"], 0.25).select(F.col("o_orderkey").alias("l_orderkey"))
+    return sampling.sample_by_key(li, ["l_orderkey"], 0.25).join(kept, "l_orderkey").select(*li.columns)
+
+
+register("fingerprint", f"""
+WITH h AS (SELECT {digest_sql(ORDERS)} AS d FROM orders)
+SELECT count(*) AS rows, bit_xor(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS xor_hash,
+       CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_hash FROM h
+""")(lambda s, d: sampling.fingerprint(table(s, d, "orders")))

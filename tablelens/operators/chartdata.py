@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import col
 
-from tablelens.functions.stats import attach, melt, ranked_values, rnd, value_counts
+from tablelens.functions.stats import attach, materialize, melt, ranked_values, rnd, value_counts
 from tablelens.operators.groups import label
 
 
@@ -44,24 +44,43 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
     return attach(cum, n).select("value", rnd(F.col("_end") / F.col("_n"), 6).alias("ecdf"))
 
 
+TERMS = 12  # of the series around a box's centre; with boxes of half a bandwidth it is cut off below 3e-12 of the kernel's peak
+REACH = 9.0  # bandwidths; the kernel is below 3e-18 of its peak beyond
+
+
 def kde(df: DataFrame, col: str, points: int = 200) -> DataFrame:
     """H3: Gaussian KDE on ``points`` grid points between min and max, Scott
-    bandwidth h = std * n^(-1/5): (i, x, density). Works on the distinct-value
-    table, so each distinct value contributes once, weighted by its count."""
-    long = melt(df, [col]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    vc = value_counts(long, ["column"])
-    st = long.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd"),
-                  F.count(F.lit(1)).alias("n"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2))
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    j = attach(vc, st).select("value", "cnt", "lo", "n", "h", step.alias("step"),
-                              F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    g = F.col("lo") + F.col("i") * F.col("step")
-    contrib = F.col("cnt") * F.exp(-0.5 * F.pow((g - F.col("value")) / F.col("h"), 2))
-    d = j.groupBy("i").agg(F.sum(contrib).alias("s"), F.first(g).alias("x"), F.first("n").alias("n"),
-                           F.first("h").alias("h"))
-    return d.select(F.col("i").cast("long"), rnd("x", 6).alias("x"),
-                    rnd(F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi)), 8).alias("density"))
+    bandwidth h = std * n^(-1/5): (i, x, density).
+
+    Values are summed once into boxes of h / 2: a box keeps the power sums of its values' distances s
+    from its centre, in bandwidths, and gives the kernel sum at t bandwidths from the centre as
+    exp(-t^2 / 2) * sum over p of He_p(t) * sum(s^p) / p!, He_p the Hermite polynomials. A box only meets the
+    grid points within ``REACH``, so no value is copied per grid point. Missing and non-finite values take no part; the
+    density is null where all values are equal."""
+    x = df.select(_x(col).alias("x")).filter(F.abs("x") < float("inf"))
+    st = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
+    st = st.select("lo", "n", F.expr("nullif(sd * pow(nullif(n, 0), -0.2D), 0D)").alias("h"),
+                   ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"))
+    st = materialize(st.where("n > 0"))  # one row
+    boxed = attach(x, st).withColumn("box", F.floor((F.col("x") - F.col("lo")) / (F.col("h") / 2))).where("box is not null")
+    s = (F.col("x") - F.col("lo")) / F.col("h") - (F.col("box") + 0.5) / 2
+    sums = boxed.select("box", s.alias("s")).groupBy("box").agg(
+        F.array(*[F.sum(F.pow("s", F.lit(float(p)))) / float(math.factorial(p)) for p in range(TERMS)]).alias("sums"))
+    met = attach(sums, st).withColumn("at", (F.col("box") + 0.5) / 2)  # bandwidths from the minimum
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - REACH) * F.col("h") / F.col("step")))
+    last = F.least(F.lit(points - 1), F.floor((F.col("at") + REACH) * F.col("h") / F.col("step")))
+    met = met.withColumn("first", first.cast("int")).withColumn("last", last.cast("int")).where("first <= last") \
+        .select("sums", "at", "h", "step", F.explode(F.sequence("first", "last")).alias("i")) \
+        .withColumn("t", F.col("i") * F.col("step") / F.col("h") - F.col("at"))
+    series = F.aggregate("sums", F.struct(F.lit(0.0).alias("before"), F.lit(1.0).alias("he"), F.lit(0.0).alias("p"), F.lit(0.0).alias("total")),
+                         lambda a, m: F.struct(a["he"].alias("before"), (F.col("t") * a["he"] - a["p"] * a["before"]).alias("he"),
+                                               (a["p"] + 1.0).alias("p"), (a["total"] + a["he"] * m).alias("total")),
+                         lambda a: a["total"])
+    d = met.groupBy("i").agg(F.sum(F.exp(-0.5 * F.col("t") * F.col("t")) * series).alias("k"))
+    grid = st.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).join(d, "i", "left")
+    density = F.coalesce("k", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    return grid.select(F.col("i").cast("long"), rnd(F.col("lo") + F.col("i") * F.col("step"), 6).alias("x"),
+                       rnd(F.when(F.col("h").isNotNull(), density), 8).alias("density"))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -86,6 +105,17 @@ def ols_line(df: DataFrame, x: str, y: str) -> DataFrame:
                  rnd(F.regr_intercept("y", "x"), 6).alias("intercept"), rnd(F.regr_r2("y", "x"), 6).alias("r2"))
 
 
+def scatter_points(df: DataFrame, x: str, y: str, n: int = 2000, seed: int = 42) -> DataFrame:
+    """H5: the points that a scatter chart draws, with the height of the least-squares line at each: (x, y, fit).
+
+    The ``n`` points of smallest digest among the rows where both are numeric (all, if fewer); the line is
+    fitted to all rows. A line that does not exist (fewer than two different x) leaves ``fit`` null."""
+    from tablelens.sources.sampling import sample_rows
+    s = df.select(_x(x).alias("x"), _x(y).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    line = s.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return attach(sample_rows(s, n, seed), line).select("x", "y", rnd(F.col("slope") * F.col("x") + F.col("intercept"), 2).alias("fit"))
+
+
 def frequency_bar(df: DataFrame, col: str) -> DataFrame:
     """H6: value frequencies, highest first: (category, count, rank). The rank is
     a cumulative count over the (distinct) categories, range-partitioned."""

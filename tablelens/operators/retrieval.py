@@ -203,12 +203,17 @@ def build_context(hits: DataFrame, query_id: str, chunks: DataFrame, chunk_key:
         query_id, F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
+def keyed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120) -> DataFrame:
+    """The chunks of documents with ``chunk_key`` = "<id>_<chunk_id>"."""
+    return chunk_documents(docs, id_col, text_col, size, overlap).withColumn(
+        "chunk_key", F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_id").cast("string")))
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120,
                 max_features: int = 5000):
     """V7: chunk -> fit idf on chunks -> chunk vectors. Returns (chunks, idf, index)
     where chunk rows carry ``chunk_key`` = "<id>_<chunk_id>"."""
-    ch = chunk_documents(docs, id_col, text_col, size, overlap).withColumn(
-        "chunk_key", F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_id").cast("string")))
+    ch = keyed_chunks(docs, id_col, text_col, size, overlap)
     tf = term_counts(ch, "chunk_key", "text")
     idf = fit_idf(ch, "chunk_key", "text", max_features, tf)
     return ch, idf, transform_tfidf(ch, "chunk_key", "text", idf, tf)

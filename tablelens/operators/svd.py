@@ -3,7 +3,7 @@
 The right singular vectors live in term space, whose size is capped by the
 vocabulary (``max_features``). Each iteration computes Z = W^T (W M) for a
 small d x l matrix M: documents are scanned once, every partition multiplies
-its own rows with numpy (Arrow batches) and emits one partial row per term it
+blocks of its own rows with numpy (Arrow batches) and emits one partial row per term it
 touched, and the partials are summed by term and position in running sums.
 Only d x l matrices reach the driver, where they are orthonormalised.
 The embedding of a document is its row times the top-k right singular
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tablelens.functions.stats import materialize
 
 
+BLOCK = 128  # documents multiplied at once
+
+
 def _rows(weights: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
     """(id, idx array<int>, w array<double>): one sparse row per document (its
     terms only, bounded by the vocabulary), materialised for the repeated passes."""
@@ -41,16 +44,16 @@ def _gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
         mat = bc.value
         acc = np.zeros((d, l))
         for b in batches:
-            lens = b["idx"].map(len).to_numpy()
-            if lens.sum() == 0:
-                continue
-            cols = np.concatenate(b["idx"].to_numpy()).astype(np.int64)
-            w = np.concatenate(b["w"].to_numpy()).astype(float)
-            row = np.repeat(np.arange(len(b)), lens)
-            wm = w[:, None] * mat[cols]
-            y = np.stack([np.bincount(row, weights=wm[:, j], minlength=len(b)) for j in range(l)], axis=1)
-            wy = w[:, None] * y[row]
-            acc += np.stack([np.bincount(cols, weights=wy[:, j], minlength=d) for j in range(l)], axis=1)
+            for at in range(0, len(b), BLOCK):
+                # a block of documents as a small dense matrix over the terms it holds
+                own = b.iloc[at:at + BLOCK]
+                lens = own["idx"].map(len).to_numpy()
+                if lens.sum() == 0:
+                    continue
+                terms, place = np.unique(np.concatenate(own["idx"].to_numpy()), return_inverse=True)
+                a = np.zeros((len(own), len(terms)))
+                a[np.repeat(np.arange(len(own)), lens), place] = np.concatenate(own["w"].to_numpy())
+                acc[terms] += a.T @ (a @ mat[terms])
         nz = np.nonzero(np.any(acc != 0, axis=1))[0]
         yield pd.DataFrame({"t": nz.astype(np.int32), "v": list(acc[nz])})
 
@@ -64,41 +67,58 @@ def _gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
     return z
 
 
-def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 10, n_iter: int = 3,
-              seed: int = 42, docs: DataFrame | None = None) -> DataFrame:
-    """(id, vector array<double>): k-dimensional L2-normalised embeddings of a
-    sparse (id, term, weight) table. With ``docs`` given, each of its ids has a
-    row; one without weights has the zero vector."""
-    spark = weights.sparkSession
-    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())  # <= max_features
-    d = len(terms)
+def _basis(rows: DataFrame, d: int, l: int, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(q, q^T W^T W q): an orthonormal d x l basis after ``n_iter`` rounds of subspace iteration."""
+    q = np.random.RandomState(seed).standard_normal((d, l))
+    for _ in range(n_iter):
+        q, _ = np.linalg.qr(_gram_times(rows, q))
+    return q, q.T @ _gram_times(rows, q)
+
+
+def _vocabulary(weights: DataFrame) -> tuple[DataFrame, int]:
+    """(term, t) with the terms numbered in their order, and their number (at most ``max_features``)."""
+    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
+    return weights.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, t int"), len(terms)
+
+
+def fit_components(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 10, n_iter: int = 3, seed: int = 42) -> DataFrame:
+    """(term, vector array<double>): each term's row of the top-k right singular vectors of a sparse (id, term, weight) table.
+
+    k is at most the number of terms less one (and at least 1); a table without rows has no components. One row a
+    term, written once, so that texts that come later are placed in the same space (:func:`fold_in`)."""
+    vocab, d = _vocabulary(weights)
+    if not d:
+        return weights.sparkSession.createDataFrame([], "term string, vector array<double>")
     k = max(1, min(k, d - 1))
-    l = min(k + oversample, d)
-    vocab = spark.createDataFrame(list(zip(terms, range(d))), "term string, t int")
+    q, gram = _basis(_rows(weights, id_col, vocab), d, min(k + oversample, d), n_iter, seed)
+    evals, evecs = np.linalg.eigh(gram)  # W^T W restricted to span(q)
+    v = q @ evecs[:, np.argsort(evals)[::-1][:k]]
+    table = weights.sparkSession.createDataFrame(pd.DataFrame({"t": np.arange(d), "vector": list(v)}), "t int, vector array<double>")
+    return materialize(vocab.join(table, "t").select("term", "vector"))
+
+
+def fold_in(weights: DataFrame, id_col: str, components: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """V4: (id, vector array<double>): the rows of a sparse table times the components (U * Sigma), L2-normalised.
+
+    Terms that the components do not have are left out. With ``docs`` given, each of its ids has a row; one
+    without a known term has the zero vector. The components (at most ``max_features`` x k numbers) are sent to every task."""
+    spark = weights.sparkSession
+    table = components.orderBy("term").toPandas()
+    k = len(table["vector"].iloc[0]) if len(table) else 1
+    bc = spark.sparkContext.broadcast(np.stack(table["vector"]) if len(table) else np.zeros((0, k)))
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(table["term"])], "term string, t int")
     rows = _rows(weights, id_col, vocab)
-    v = np.zeros((d, k))
-    if d:
-        q = np.random.RandomState(seed).standard_normal((d, l))
-        for _ in range(n_iter):
-            q, _ = np.linalg.qr(_gram_times(rows, q))
-        z = _gram_times(rows, q)
-        evals, evecs = np.linalg.eigh(q.T @ z)  # W^T W restricted to span(q)
-        order = np.argsort(evals)[::-1][:k]
-        v = q @ evecs[:, order]  # d x k right singular vectors
-    bc = spark.sparkContext.broadcast(v)
 
     def embed(batches):
-        vv = bc.value
+        v = bc.value
         for b in batches:
             out = []
             for idx, w in zip(b["idx"], b["w"]):
-                e = np.asarray(w, dtype=float) @ vv[np.asarray(idx, dtype=np.int64)] if len(idx) else np.zeros(k)
-                n = np.linalg.norm(e)
-                out.append((e / (n + 1e-9)).tolist())
+                e = np.asarray(w, dtype=float) @ v[np.asarray(idx, dtype=np.int64)]
+                out.append((e / (np.linalg.norm(e) + 1e-9)).tolist())
             yield pd.DataFrame({id_col: b[id_col], "vector": out})
 
-    id_type = dict(rows.dtypes)[id_col]
-    found = rows.mapInPandas(embed, f"{id_col} {id_type}, vector array<double>")
+    found = rows.mapInPandas(embed, f"{id_col} {dict(rows.dtypes)[id_col]}, vector array<double>")
     if docs is None:
         return found
     # only ids move; a null id is one like any other
@@ -107,17 +127,15 @@ def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 1
     return found.unionByName(other.select(id_col, F.array_repeat(F.lit(0.0), k).alias("vector")))
 
 
+def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 10, n_iter: int = 3,
+              seed: int = 42, docs: DataFrame | None = None) -> DataFrame:
+    """V3: components fitted on a sparse (id, term, weight) table and its own rows placed in their space."""
+    return fold_in(weights, id_col, fit_components(weights, id_col, k, oversample, n_iter, seed), docs)
+
+
 def singular_values(weights: DataFrame, id_col: str, k: int, oversample: int = 10, n_iter: int = 3,
                     seed: int = 42) -> np.ndarray:
     """Top-k singular values (small array, for checks)."""
-    spark = weights.sparkSession
-    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
-    d = len(terms)
-    l = min(k + oversample, d)
-    vocab = spark.createDataFrame(list(zip(terms, range(d))), "term string, t int")
-    rows = _rows(weights, id_col, vocab)
-    q = np.random.RandomState(seed).standard_normal((d, l))
-    for _ in range(n_iter):
-        q, _ = np.linalg.qr(_gram_times(rows, q))
-    evals = np.linalg.eigvalsh(q.T @ _gram_times(rows, q))
-    return np.sqrt(np.clip(np.sort(evals)[::-1][:k], 0, None))
+    vocab, d = _vocabulary(weights)
+    _, gram = _basis(_rows(weights, id_col, vocab), d, min(k + oversample, d), n_iter, seed)
+    return np.sqrt(np.clip(np.sort(np.linalg.eigvalsh(gram))[::-1][:k], 0, None))

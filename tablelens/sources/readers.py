@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.sources.quoted_csv import CORRUPT, read_quoted_csv
+
 # Accepted file types and the delimiter per type.
 ALLOWED_EXTENSIONS = (".csv", ".tsv", ".parquet")
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
@@ -61,15 +63,17 @@ def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, i
                  encoding: str | None = None, validate: bool = True, multi_line: bool = True) -> DataFrame:
     """Csv / tsv (header row, delimiter by extension unless given, encoding
     detected) or parquet; column names trimmed; empty input refused. Quotes inside a
-    quoted field are doubled. Fields may hold line breaks; where none does,
-    ``multi_line=False`` lets Spark split large files."""
+    quoted field are doubled. Fields may hold line breaks: UTF-8 files are then joined to records split by
+    split (``quoted_csv``), other encodings are read one file a task. ``multi_line=False`` takes every line for a record."""
     ext = validate_extension(path)
     if ext == ".parquet":
         df = spark.read.parquet(path)
     else:
         enc = encoding or detect_encoding(spark, path)
-        df = (spark.read.option("header", True).option("inferSchema", infer_schema)
-                   .option("sep", delimiter or DELIMITERS[ext]).option("encoding", enc)
+        sep = delimiter or DELIMITERS[ext]
+        df = read_quoted_csv(spark, path, sep, infer_schema).drop(CORRUPT) if multi_line and enc == "UTF-8" else \
+            (spark.read.option("header", True).option("inferSchema", infer_schema)
+                   .option("sep", sep).option("encoding", enc)
                    .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
                    .option("mode", "PERMISSIVE").csv(path))
     df = clean_names(df)
@@ -77,20 +81,11 @@ def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, i
 
 
 def read_documents(spark: SparkSession, folder: str, extensions=(".md", ".txt")) -> DataFrame:
-    """Every ``.md`` then ``.txt`` file of a folder as one row:
-    (source = file stem, file_name, content, kind)."""
-    parts = []
-    for i, ext in enumerate(extensions):
-        try:
-            d = (spark.read.option("pathGlobFilter", f"*{ext}").text(folder, wholetext=True)
-                      .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content")))
-        except Exception:  # noqa: BLE001 - no file of this type
-            continue
-        parts.append(d.withColumn("kind", F.lit(i)))
-    if not parts:
-        return spark.createDataFrame([], "source string, file_name string, content string, kind int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    return out.select(stem.alias("source"), "file_name", "content", "kind")
+    """Every ``.md`` then ``.txt`` file of a folder as one row: (source = file stem, file_name, content, kind). A folder
+    without such files gives no rows; one that cannot be read raises Spark's error."""
+    glob = "*{" + ",".join(extensions) + "}"
+    d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.coalesce(*[F.when(name.endswith(e), F.lit(i)) for i, e in enumerate(extensions)])
+    return d.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source"), F.col("_metadata.file_name").alias("file_name"),
+                    F.decode("content", "UTF-8").alias("content"), kind.alias("kind"))
