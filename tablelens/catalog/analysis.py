@@ -1,6 +1,8 @@
 """Outlier, relationship and anomaly queries."""
 
-from tablelens.catalog.base import qcont, register, sround, table
+from pyspark.sql import functions as F
+
+from tablelens.catalog.base import ORACLE, qcont, register, sround, table
 from tablelens.catalog.fixtures import SPIKY_EVENTS_SQL, spiky_events
 from tablelens.operators import anomaly as N
 from tablelens.operators import outliers as O
@@ -82,6 +84,12 @@ r2 AS (SELECT r1.* FROM r1, b2 WHERE n < 4 OR user_id IS NULL OR NOT (user_id <
 SELECT * FROM r2
 """)(lambda s, d: O.apply_outlier_strategy(spiky_events(s, d), ["value", "user_id"], "remove")[0])
 
+register("outlier_keep", f"""
+WITH r AS ({_report_sql(SE, ["value", "user_id"], "zscore")})
+SELECT "column", 'keep_outliers' AS operation, outlier_count AS rows_affected, 'outliers preserved (user choice)' AS reason FROM r WHERE outlier_count > 0
+""")(lambda s, d: s.createDataFrame(O.apply_outlier_strategy(spiky_events(s, d), ["value", "user_id"], "keep", "zscore")[1],
+                                    '`column` string, operation string, rows_affected long, reason string'))
+
 register("winsorize", f"""
 WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {SE})
 SELECT event_id, ts, user_id, event_type,
@@ -117,6 +125,20 @@ register("spearman", f"SELECT a, b, round(v, 4) AS value FROM ({_pairs_sql(_RANK
 register("covariance", f"SELECT a, b, round(v, 4) + 0.0 AS value FROM ({_pairs_sql('lineitem', LI, lambda a, b: f'covar_samp({a}, {b})')})")(
     lambda s, d: R.covariance_matrix(table(s, d, "lineitem"), LI))
 
+_SECTIONS = ("pearson", "spearman", "covariance")
+
+
+def _relationships(s, d):
+    report = R.relationship_report(table(s, d, "lineitem").select(*LI), {c: "NUMERIC" for c in LI})
+    out = None
+    for name in _SECTIONS:
+        t = report[name].select(F.lit(name).alias("section"), "a", "b", "value")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+register("relationship_report", "\nUNION ALL ".join(f"SELECT '{n}' AS section, a, b, value FROM ({ORACLE[n]})" for n in _SECTIONS))(_relationships)
+
 _pos = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(LI))
 register("strongest_pairs", f"""
 WITH m AS (SELECT a, b, v AS value, CASE a {_pos} END AS pa, CASE b {_pos} END AS pb

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tablelens.catalog.base import digest_sql, register, table
+from tablelens.catalog import analysis, plans  # noqa: F401 - their SQL is repeated here
+from tablelens.catalog.base import ORACLE, QUERIES, digest_sql, register, table
+from tablelens.operators.relate import correlation_matrix
 from tablelens.sources import readers, sampling, sinks
 
 
@@ -47,3 +49,24 @@ WITH h AS (SELECT {digest_sql(ORDERS)} AS d FROM orders)
 SELECT count(*) AS rows, bit_xor(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS xor_hash,
        CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_hash FROM h
 """)(lambda s, d: sampling.fingerprint(table(s, d, "orders")))
+
+
+def _results_roundtrip(s, d):
+    """Two result tables exported as JSON, read back with their schemas."""
+    li = table(s, d, "lineitem")
+    results = {n: correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], n) for n in ("pearson", "spearman")}
+    paths = sinks.export_results(results, sinks.scratch_dir(s, "results"))
+    read = {n: s.read.schema(t.schema).json(paths[n]).select(F.lit(n).alias("result"), "a", "b", "value") for n, t in results.items()}
+    return read["pearson"].unionByName(read["spearman"])
+
+
+register("results_roundtrip", "\nUNION ALL ".join(
+    f"SELECT '{n}' AS result, a, b, value FROM ({ORACLE[n]})" for n in ("pearson", "spearman")))(_results_roundtrip)
+
+
+def _summary_roundtrip(s, d):
+    path = sinks.export_summary(QUERIES["summary_metrics"](s, d), sinks.scratch_dir(s, "summary"))
+    return readers.load_dataset(s, path, infer_schema=False)
+
+
+register("summary_roundtrip", ORACLE["summary_metrics"])(_summary_roundtrip)

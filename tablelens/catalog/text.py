@@ -96,3 +96,8 @@ register("sentiment_by_lang", _by_sql("documents", "text", "lang"))(
     lambda s, d: X.sentiment_by(table(s, d, "documents"), "text", "lang"))
 register("sentiment_by_type", _by_sql(REVIEW_EVENTS_SQL, "review", "event_type"))(
     lambda s, d: X.sentiment_by(review_events(s, d), "review", "event_type"))
+
+_DAYS = f"(SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM {REVIEW_EVENTS_SQL})"
+register("sentiment_over_time", f"""
+SELECT CAST("group" AS TIMESTAMP) AS bucket, n, avg_compound, positive_pct, negative_pct FROM ({_by_sql(_DAYS, "review", "day")})
+""")(lambda s, d: X.sentiment_over_time(review_events(s, d), "review", "ts", "D"))

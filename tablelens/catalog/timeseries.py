@@ -113,8 +113,47 @@ def _keyed(s, d):
     return TS.build_time_series(table(s, d, "orders"), "o_orderdate", "o_totalprice", "M", keys=["o_orderpriority"])
 
 
-register("forecast_holt")(lambda s, d: FC.holt_fit(_keyed(s, d), ["o_orderpriority"]))
-register("forecast_arima")(lambda s, d: FC.arima_fit(_keyed(s, d), ["o_orderpriority"]))
+def _values(xs):
+    return ", ".join(f"({x}::DOUBLE)" for x in xs)
+
+
+_KEYED = _series_sql("month").replace("SELECT ", "SELECT o_orderpriority, ", 1).replace("GROUP BY 1", "GROUP BY ALL")
+_LISTS = f"k AS (SELECT o_orderpriority, list(value ORDER BY bucket) AS ys FROM ({_KEYED}) GROUP BY 1)"
+_AHEAD = "acc.l + phi * acc.b"  # the one-step forecast
+_LEVEL = f"(alpha * y + (1 - alpha) * ({_AHEAD}))"
+register("forecast_holt", f"""
+WITH {_LISTS},
+g AS (SELECT * FROM k, (VALUES {_values(FC.HOLT_ALPHA)}) a(alpha), (VALUES {_values(FC.HOLT_BETA)}) b(beta),
+             (VALUES {_values(FC.HOLT_PHI)}) p(phi) WHERE len(ys) >= 5),
+f AS (SELECT o_orderpriority, alpha, beta, phi, list_reduce(list_transform(ys[3:], lambda v: {{'l': v, 'b': 0.0::DOUBLE, 'sse': 0.0::DOUBLE}}),
+        lambda acc, v: {{'l': {_LEVEL.replace(' y ', ' v.l ')},
+                         'b': beta * ({_LEVEL.replace(' y ', ' v.l ')} - acc.l) + (1 - beta) * phi * acc.b,
+                         'sse': acc.sse + (v.l - ({_AHEAD})) * (v.l - ({_AHEAD}))}},
+        {{'l': ys[2], 'b': ys[2] - ys[1], 'sse': 0.0::DOUBLE}}) AS s FROM g),
+m AS (SELECT o_orderpriority, arg_min({{'alpha': alpha, 'beta': beta, 'phi': phi, 's': s}}, s.sse) AS m FROM f GROUP BY 1)
+SELECT o_orderpriority, 'exponential_smoothing' AS method, step,
+       {sround('m.s.l + (SELECT sum(pow(m.phi, i)) FROM range(1, step + 1) r(i)) * m.s.b')} AS value,
+       m.alpha AS alpha, m.beta AS beta, m.phi AS phi, {sround('m.s.sse')} AS sse
+FROM m, range(1, 6) h(step)
+""")(lambda s, d: FC.holt_fit(_keyed(s, d), ["o_orderpriority"]))
+
+_ERROR = "(v.dp - c - ar * acc.dp - ma * acc.e)"
+register("forecast_arima", f"""
+WITH {_LISTS},
+d AS (SELECT *, list_transform(range(2, len(ys) + 1), lambda i: ys[i] - ys[i - 1]) AS d FROM k WHERE len(ys) >= 12),
+g AS (SELECT *, list_reduce(d, lambda a, x: a + x, 0.0::DOUBLE) / len(d) * (1 - ar) AS c
+      FROM d, (VALUES {_values(FC.ARIMA_GRID)}) a(ar), (VALUES {_values(FC.ARIMA_GRID)}) b(ma)),
+f AS (SELECT o_orderpriority, ys, c, ar, ma, list_reduce(list_transform(d[2:], lambda x: {{'dp': x, 'e': 0.0::DOUBLE, 'sse': 0.0::DOUBLE}}),
+        lambda acc, v: {{'dp': v.dp, 'e': {_ERROR}, 'sse': acc.sse + {_ERROR} * {_ERROR}}},
+        {{'dp': d[1], 'e': 0.0::DOUBLE, 'sse': 0.0::DOUBLE}}) AS s FROM g),
+m AS (SELECT o_orderpriority, arg_min({{'ys': ys, 'c': c, 'ar': ar, 'ma': ma, 's': s}}, s.sse) AS m FROM f GROUP BY 1),
+p AS (SELECT o_orderpriority, m, list_reduce(list_transform(range(1, 6), lambda i: {{'y': 0.0::DOUBLE, 'dp': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'path': []::DOUBLE[]}}),
+        lambda acc, v: {{'y': acc.y + m.c + m.ar * acc.dp + m.ma * acc.e, 'dp': m.c + m.ar * acc.dp + m.ma * acc.e, 'e': 0.0::DOUBLE,
+                         'path': list_append(acc.path, acc.y + m.c + m.ar * acc.dp + m.ma * acc.e)}},
+        {{'y': m.ys[-1], 'dp': m.s.dp, 'e': m.s.e, 'path': []::DOUBLE[]}}).path AS path FROM m)
+SELECT o_orderpriority, 'arima' AS method, step, {sround('path[step]')} AS value, m.ar AS phi, m.ma AS theta, {sround('m.s.sse')} AS sse
+FROM p, range(1, 6) h(step)
+""")(lambda s, d: FC.arima_fit(_keyed(s, d), ["o_orderpriority"]))
 
 
 _SPIKE = "CASE WHEN month(bucket) = 3 THEN CAST('infinity' AS DOUBLE) ELSE value END"

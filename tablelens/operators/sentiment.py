@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import col
 from tablelens.functions import lexicon as L
 from tablelens.functions.stats import melt, rnd, top_k
 from tablelens.operators.groups import label
@@ -118,3 +119,13 @@ def sentiment_by(df: DataFrame, text: str, by: str) -> DataFrame:
     return g.select("group", F.col("n").cast("long"), rnd("avg").alias("avg_compound"),
                     rnd(100.0 * F.col("p") / F.col("n"), 2).alias("positive_pct"),
                     rnd(100.0 * F.col("q") / F.col("n"), 2).alias("negative_pct"))
+
+
+def sentiment_over_time(df: DataFrame, text: str, date_col: str, freq: str = "D") -> DataFrame:
+    """X6 over time: (bucket, n, avg_compound, positive_pct, negative_pct) per calendar bucket. Rows without a time are left
+    out, as are blank texts; empty buckets are not filled."""
+    from tablelens.operators.timeseries import FREQ_UNIT, _time
+    own = df.select(F.date_trunc(FREQ_UNIT.get(freq, "day"), _time(df, date_col)).cast("timestamp_ntz").alias("bucket"),
+                    col(text).alias("text")).filter(F.col("bucket").isNotNull())
+    return sentiment_by(own, "text", "bucket").select(F.col("group").cast("timestamp_ntz").alias("bucket"), "n", "avg_compound",
+                                                      "positive_pct", "negative_pct")
