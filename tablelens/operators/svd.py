@@ -93,7 +93,7 @@ def fit_components(weights: DataFrame, id_col: str, k: int = 200, oversample: in
     q, gram = _basis(_rows(weights, id_col, vocab), d, min(k + oversample, d), n_iter, seed)
     evals, evecs = np.linalg.eigh(gram)  # W^T W restricted to span(q)
     v = q @ evecs[:, np.argsort(evals)[::-1][:k]]
-    table = weights.sparkSession.createDataFrame(pd.DataFrame({"t": np.arange(d), "vector": list(v)}), "t int, vector array<double>")
+    table = weights.sparkSession.createDataFrame(list(enumerate(v.tolist())), "t int, vector array<double>")
     return materialize(vocab.join(table, "t").select("term", "vector"))
 
 
