@@ -131,9 +131,8 @@ def _rag(s, d):
 
 
 def _svd(s, d):
-    from tablelens.operators.svd import svd_embed
-    docs = table(s, d, "documents")
-    return svd_embed(V.tfidf(docs, "doc_id", "text"), "doc_id", k=200, docs=docs)
+    from tablelens.operators.svd import embed_texts
+    return embed_texts(table(s, d, "documents"), "doc_id", "text", k=200)
 
 
 register("svd_embed")(_svd)

@@ -77,6 +77,17 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _term_counts(df, id_col, text_col)
 
 
+def row_term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, terms array<string>, counts array<int>): each row's distinct terms and how often they occur, counted
+    inside the row (its sorted terms are cut where they change), so nothing is shuffled. A null or empty text has empty
+    arrays; rows that share an id stay rows."""
+    t = F.array_sort(F.filter(terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: ~x.isin(*L.STOP_WORDS)))
+    cut = df.select(id_col, t.alias("t")).select(id_col, "t", F.expr(
+        "if(size(t) = 0, cast(array() as array<int>), filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] <> get(t, i - 1)))").alias("at"))
+    return cut.select(id_col, F.expr("transform(at, i -> t[i])").alias("terms"),
+                      F.expr("transform(at, (i, j) -> coalesce(get(at, j + 1), size(t)) - i)").alias("counts"))
+
+
 def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int | None = 5000,
             tf: DataFrame | None = None) -> DataFrame:
     """V2 vocabulary: the ``max_features`` most frequent terms (corpus count, ties

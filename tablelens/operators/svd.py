@@ -50,7 +50,7 @@ def _gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
                 lens = own["idx"].map(len).to_numpy()
                 if lens.sum() == 0:
                     continue
-                terms, place = np.unique(np.concatenate(own["idx"].to_numpy()), return_inverse=True)
+                terms, place = np.unique(np.concatenate(own["idx"].to_numpy()).astype(np.int64), return_inverse=True)
                 a = np.zeros((len(own), len(terms)))
                 a[np.repeat(np.arange(len(own)), lens), place] = np.concatenate(own["w"].to_numpy())
                 acc[terms] += a.T @ (a @ mat[terms])
@@ -75,6 +75,14 @@ def _basis(rows: DataFrame, d: int, l: int, n_iter: int, seed: int) -> tuple[np.
     return q, q.T @ _gram_times(rows, q)
 
 
+def _right_vectors(rows: DataFrame, d: int, k: int, oversample: int, n_iter: int, seed: int) -> np.ndarray:
+    """The d x k top right singular vectors, k at most d - 1 (and at least 1)."""
+    k = max(1, min(k, d - 1))
+    q, gram = _basis(rows, d, min(k + oversample, d), n_iter, seed)
+    evals, evecs = np.linalg.eigh(gram)  # W^T W restricted to span(q)
+    return q @ evecs[:, np.argsort(evals)[::-1][:k]]
+
+
 def _vocabulary(weights: DataFrame) -> tuple[DataFrame, int]:
     """(term, t) with the terms numbered in their order, and their number (at most ``max_features``)."""
     terms = sorted(r["term"] for r in weights.select("term").distinct().collect())
@@ -89,14 +97,26 @@ def fit_components(weights: DataFrame, id_col: str, k: int = 200, oversample: in
     vocab, d = _vocabulary(weights)
     if not d:
         return weights.sparkSession.createDataFrame([], "term string, vector array<double>")
-    k = max(1, min(k, d - 1))
-    q, gram = _basis(_rows(weights, id_col, vocab), d, min(k + oversample, d), n_iter, seed)
-    evals, evecs = np.linalg.eigh(gram)  # W^T W restricted to span(q)
-    v = q @ evecs[:, np.argsort(evals)[::-1][:k]]
+    v = _right_vectors(_rows(weights, id_col, vocab), d, k, oversample, n_iter, seed)
     table = weights.sparkSession.createDataFrame(list(enumerate(v.tolist())), "t int, vector array<double>")
     return materialize(vocab.join(table, "t").select("term", "vector"))
 
 
+def _project(rows: DataFrame, id_col: str, v: np.ndarray) -> DataFrame:
+    """(id, vector): the sparse rows times ``v``, L2-normalised; zero for a row without terms."""
+    bc = rows.sparkSession.sparkContext.broadcast(v)
+
+    def embed(batches):
+        for b in batches:
+            out = []
+            for idx, w in zip(b["idx"], b["w"]):
+                e = np.asarray(w, dtype=float) @ bc.value[np.asarray(idx, dtype=np.int64)]
+                out.append((e / (np.linalg.norm(e) + 1e-9)).tolist())
+            yield pd.DataFrame({id_col: b[id_col], "vector": out})
+
+    return rows.mapInPandas(embed, f"{id_col} {dict(rows.dtypes)[id_col]}, vector array<double>")
+
+
 def fold_in(weights: DataFrame, id_col: str, components: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """V4: (id, vector array<double>): the rows of a sparse table times the components (U * Sigma), L2-normalised.
 
@@ -105,20 +125,9 @@ def fold_in(weights: DataFrame, id_col: str, components: DataFrame, docs: DataFr
     spark = weights.sparkSession
     table = components.orderBy("term").toPandas()
     k = len(table["vector"].iloc[0]) if len(table) else 1
-    bc = spark.sparkContext.broadcast(np.stack(table["vector"]) if len(table) else np.zeros((0, k)))
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(table["term"])], "term string, t int")
     rows = _rows(weights, id_col, vocab)
-
-    def embed(batches):
-        v = bc.value
-        for b in batches:
-            out = []
-            for idx, w in zip(b["idx"], b["w"]):
-                e = np.asarray(w, dtype=float) @ v[np.asarray(idx, dtype=np.int64)]
-                out.append((e / (np.linalg.norm(e) + 1e-9)).tolist())
-            yield pd.DataFrame({id_col: b[id_col], "vector": out})
-
-    found = rows.mapInPandas(embed, f"{id_col} {dict(rows.dtypes)[id_col]}, vector array<double>")
+    found = _project(rows, id_col, np.stack(table["vector"]) if len(table) else np.zeros((0, k)))
     if docs is None:
         return found
     # only ids move; a null id is one like any other
@@ -133,6 +142,35 @@ def svd_embed(weights: DataFrame, id_col: str, k: int = 200, oversample: int = 1
     return fold_in(weights, id_col, fit_components(weights, id_col, k, oversample, n_iter, seed), docs)
 
 
+def embed_texts(docs: DataFrame, id_col: str, text_col: str, k: int = 200, max_features: int = 5000,
+                oversample: int = 10, n_iter: int = 3, seed: int = 42) -> DataFrame:
+    """V2 and V3 in one go: (id, vector array<double>) of every row's text, in the SVD space of its TF-IDF weights.
+
+    Terms are counted inside the rows, and a row stays a row all the way, so only the counts of the vocabulary are
+    shuffled. The vocabulary (at most ``max_features`` terms) is sent to every task. Null and empty texts and those
+    without a known term have the zero vector; rows that share an id each have a vector; an empty table gives no rows."""
+    from tablelens.operators.retrieval import fit_idf, row_term_counts
+    counted = materialize(row_term_counts(docs, id_col, text_col))
+    tf = counted.select(id_col, F.explode(F.arrays_zip("terms", "counts")).alias("e")).select(id_col, F.col("e.terms").alias("term"), F.col("e.counts").alias("tf"))
+    idf = {r["term"]: r["idf"] for r in fit_idf(counted, id_col, text_col, max_features, tf).orderBy("term").collect()}
+    place = docs.sparkSession.sparkContext.broadcast({t: (i, w) for i, (t, w) in enumerate(idf.items())})
+
+    def weigh(batches):
+        for b in batches:
+            idx, weights = [], []
+            for names, counts in zip(b["terms"], b["counts"]):
+                known = [(*place.value[t], n) for t, n in zip(names, counts) if t in place.value]
+                w = np.array([weight * n for _, weight, n in known], float)
+                idx.append([i for i, *_ in known])
+                weights.append((w / (np.sqrt((w * w).sum()) or 1.0)).tolist())
+            yield pd.DataFrame({id_col: b[id_col], "idx": idx, "w": weights})
+
+    rows = materialize(counted.mapInPandas(weigh, f"{id_col} {dict(counted.dtypes)[id_col]}, idx array<int>, w array<double>"))
+    if not idf:
+        return rows.select(id_col, F.array(F.lit(0.0)).alias("vector"))
+    return _project(rows, id_col, _right_vectors(rows, len(idf), k, oversample, n_iter, seed))
+
+
 def singular_values(weights: DataFrame, id_col: str, k: int, oversample: int = 10, n_iter: int = 3,
                     seed: int = 42) -> np.ndarray:
     """Top-k singular values (small array, for checks)."""

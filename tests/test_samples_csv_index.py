@@ -134,3 +134,19 @@ def test_fold_in(spark):
     assert np.abs(found @ found.T - place @ place.T).max() < 1e-6  # the same up to signs
     assert not got[10].any() and len(got) == 11
     assert svd.fit_components(table(w).limit(0), "id").count() == 0
+
+
+def test_texts_to_vectors_without_a_weights_table(spark):
+    words = ["oak", "elm", "fir", "ash", "yew", "pine", "palm"]
+    texts = [(i, " ".join(words[(i * j + j // 2) % 7] for j in range(3 + i % 5))) for i in range(40)] + [(40, ""), (41, None), (41, "oak oak elm")]
+    docs = spark.createDataFrame(texts, "id int, body string")
+    counts = {(r["id"], tuple(r["terms"])): r["counts"] for r in retrieval.row_term_counts(docs, "id", "body").collect()}
+    assert counts[(41, ("elm", "oak"))] == [1, 2] and counts[(40, ())] == counts[(41, ())] == []
+    own = docs.where("id < 40")
+    vectors = lambda t: np.stack([r["vector"] for r in t.orderBy("id").collect()])
+    a = vectors(svd.embed_texts(own, "id", "body", k=3, oversample=4, n_iter=6))
+    b = vectors(svd.svd_embed(retrieval.tfidf(own, "id", "body"), "id", k=3, oversample=4, n_iter=6))
+    assert np.abs(a @ a.T - b @ b.T).max() < 1e-6
+    rows = svd.embed_texts(docs, "id", "body", k=3).where("id >= 40").collect()
+    assert sorted((r["id"], any(r["vector"])) for r in rows) == [(40, False), (41, False), (41, True)]
+    assert svd.embed_texts(docs.limit(0), "id", "body").collect() == []
