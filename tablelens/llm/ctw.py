@@ -4,8 +4,9 @@ A text is its lower-cased words joined by single spaces and closed by a line fee
 binary decisions; each decision has a context tree over the ``DEPTH`` bytes before it, with a
 Krichevsky-Trofimov estimate at every depth, and the weighting mixes all depths.
 
-The corpus is cut into blocks of bounded size. A block sends, for each shard of contexts, its distinct
-n-grams (context and byte) with their training counts as one packed row. A shard holds all contexts
+The corpus is cut into blocks of bounded size. A block is handled by its distinct units (a word, the byte that
+ends it and the ``DEPTH`` bytes before it): bytes are looked at once per unit, not once per place. A block sends,
+for each shard of contexts, its distinct n-grams (context and byte) with their training counts as one packed row. A shard holds all contexts
 that share their last two bytes, so the trees below depth 2 live in one shard; of the two depths above,
 at most 256 x 255 sums reach the driver. A shard then answers every block's n-grams with
 their log-probability, and the block adds them up per document.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import chunks, grouped, stored
 from tablelens.session import scratch_path
 
-DEPTH = 5  # bytes of context; with the byte itself an n-gram has 48 bits
+DEPTH = 7  # bytes of context; with the byte itself an n-gram has 64 bits, which is the most
 BLOCK = 4 << 20  # bytes of text in a block
 MERGED = 2_000_000  # n-grams held before they are merged
 END = b"\n"
@@ -63,14 +65,28 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every byte of the texts, and the number of bytes of each text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    x = np.frombuffer(b"".join(END * DEPTH + t for t in texts), np.uint8)
+def units(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Every word of the texts with the byte that ends it, behind the ``DEPTH`` bytes before it, and their number in each
+    text. A text's end follows its last word; without words it is a unit by itself."""
+    joined = b"".join(END * DEPTH + t for t in texts)
+    x = np.frombuffer(joined, np.uint8)
+    first = np.cumsum([0] + [len(t) + DEPTH for t in texts])[:-1] + DEPTH  # the first byte of each text
+    stops = np.flatnonzero((x == 32) | (x == END[0])) + 1
+    begins = np.concatenate(([0], stops[:-1]))
+    text = np.searchsorted(first - DEPTH, stops, "left") - 1
+    inside = stops > first[text]  # padding is ends, too
+    pairs = zip((begins[inside] - DEPTH).tolist(), stops[inside].tolist())
+    return [joined[a:b] for a, b in pairs], np.bincount(text[inside], minlength=len(texts))
+
+
+def ngrams(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of every byte of the units behind their first ``DEPTH``, and the number of these bytes of each unit."""
+    sizes = np.array([len(u) for u in own], np.int64) - DEPTH
+    x = np.frombuffer(b"".join(own), np.uint8)
     g = np.zeros(len(x) - DEPTH, np.uint64)
     for k in range(DEPTH + 1):
         g = (g << U(8)) | x[k:len(x) - DEPTH + k]
-    inside = np.ones(len(g), bool)  # not the bytes of the next text's padding
+    inside = np.ones(len(g), bool)  # not the bytes before the next unit
     starts = np.cumsum(sizes + DEPTH)[:-1] - DEPTH
     for k in range(DEPTH):
         inside[starts + k] = False
@@ -153,20 +169,18 @@ class Trees:
     def log10(self, grams: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 probability of each n-gram's byte after its context."""
         out = np.zeros(len(grams))
-        walks = [list(decisions(grams, depth)) for depth, *_ in self.levels]
-        for b in range(8):
-            bit = walks[0][b][1].astype(np.int64)
+        for steps in zip(*(decisions(grams, depth) for depth, *_ in self.levels)):
+            bit = steps[0][1].astype(np.int64)
             p = np.full(len(grams), 0.5)
-            for (depth, keys, n, n1, ratio), walk in zip(self.levels, walks):
+            for (_, keys, n, n1, ratio), (node, _) in zip(self.levels, steps):
                 if not len(keys):
                     continue
-                node = walk[b][0]
                 at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
                 seen = keys[at] == node
                 kt = (np.where(bit == 1, n1[at], n[at] - n1[at]) + 0.5) / (n[at] + 1)
                 mixed = kt if ratio is None else ratio[at] * kt + (1 - ratio[at]) * p
                 p = np.where(seen, mixed, 0.5)
-            node = (walks[-1][b][0] & U(0xFFFF)).astype(np.int64)
+            node = (steps[-1][0] & U(0xFFFF)).astype(np.int64)
             out += np.log10(top[0][bit, node] + top[1][node] * p)
         return out
 
@@ -211,31 +225,31 @@ def cut(batches: Iterator[pa.RecordBatch], shards: int, word_shards: int, block_
     for rows in chunks(batches, "text", block_bytes):
         ids, held, texts = (rows.column(c) for c in ("doc_id", "held_out", "text"))
         held = np.asarray(held.to_pylist(), bool)
-        split = [tokens(t) for t in texts.to_pylist()]
-        flat = [b" ".join(w) + END for w in split]
+        flat = [b" ".join(tokens(t)) + END for t in texts.to_pylist()]
         block, k = base + k, k + 1
         sink = pa.BufferOutputStream()
         plain = pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(flat, pa.large_binary())], ["doc_id", "held_out", "text"])
         with pa.ipc.new_stream(sink, plain.schema) as out:
             out.write_batch(plain)
-        grams, sizes = ngrams(flat)
-        marked, n = np.unique((grams << U(1)) | np.repeat(held, sizes).astype(np.uint64), return_counts=True)
-        grams = marked >> U(1)
+        every, per = units(flat)
+        counted = Counter(compress(every, np.repeat(~held, per).tolist()))
+        distinct = list(set(every))
+        learned = [counted[u] for u in distinct]
+        grams, sizes = ngrams(distinct)
+        order = np.argsort(grams)
+        grams = grams[order]
         first = np.flatnonzero(np.diff(grams, prepend=grams[0] + U(1)))
-        counts = np.add.reduceat(np.where(marked & U(1), 0, n), first)
+        counts = np.add.reduceat(np.repeat(np.array(learned, np.int64), sizes)[order], first)
         grams, shard = grams[first], shard_of(grams[first], shards)
         made = [("blocks", 0, block, squeeze(sink.getvalue().to_pybytes()), b"")]
         for s in np.unique(shard).tolist():
             made.append(("grams", s, block, pack(grams[shard == s]), pack(counts[shard == s])))
-        learned: Counter = Counter()
-        for w, h in zip(split, held):
-            if not h:
-                learned.update(w)
-                learned[END] += 1
-        every = set().union(*split)
-        every.add(END)
-        for s, own in by_shard(every, word_shards).items():
-            made.append(("words", s, block, squeeze(b" ".join(own)), pack(np.array([learned[w] for w in own]))))
+        words: Counter = Counter({END: int((~held).sum())})
+        for u, n in zip(distinct, learned):
+            words[u[DEPTH:-1]] += n
+        del words[b""]  # the unit of a text without words
+        for s, own in by_shard(set(words), word_shards).items():
+            made.append(("words", s, block, squeeze(b" ".join(own)), pack(np.array([words[w] for w in own]))))
         yield batch(names, kinds, made)
 
 
@@ -267,7 +281,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         .select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    shards = max(4, min(blocks, 256))
+    shards = max(4, min(blocks, math.isqrt(256 * blocks)))  # a block has a row a shard: both grow with the root
     word_shards = max(4, blocks)
     salts = -(-blocks // spread)  # a shard's rows are handled in this many parts, and its model is sent to each
     path = scratch_path(spark, "ctw")
@@ -353,35 +367,31 @@ def finish(rows, shards: int, word_shards: int, total: int, distinct: int) -> It
     with pa.ipc.open_stream(expand(items)) as source:
         docs = source.read_all()
     texts = docs.column("text").to_pylist()
-    grams, sizes = ngrams(texts)
-    every = np.unique(grams)
+    flat, per = units(texts)
+    places: dict[bytes, int] = {}
+    at = np.array([places.setdefault(u, len(places)) for u in flat], np.int64)
+    own_words = [u[DEPTH:-1] for u in places]
+    grams, sizes = ngrams(list(places))
+    every, gram_at = np.unique(grams, return_inverse=True)
     shard, p = shard_of(every, shards), np.zeros(len(every), np.float32)
-    split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
-    words = by_shard(set().union(*split) | {END}, word_shards)
+    words = by_shard(set(own_words) - {b""} | {END}, word_shards)
     base, unseen = {}, math.log10(1 / (total + distinct + 1))
     for _, s, kind, items in rows:
         if kind == 1:
             p[shard == s] = np.frombuffer(expand(items), np.float32)
         else:
             base.update((w, math.log10((c + 1) / (total + distinct + 1)) if c else None) for w, c in zip(words[s], unpack(items).tolist()))
-    position = np.empty(len(grams), np.float64)
-    for at in range(0, len(grams), 65536):  # sorting n-gram and place together is cheaper than an index sort
-        own = grams[at:at + 65536]
-        both = np.sort((own << U(16)) | np.arange(len(own), dtype=np.uint64))
-        key = both >> U(16)
-        new = np.diff(key, prepend=key[0] + U(1)) != 0
-        values = p[np.searchsorted(every, key[new])]
-        position[at + (both & U(0xFFFF)).astype(np.int64)] = np.repeat(values, np.diff(np.append(np.flatnonzero(new), len(key))))
-    sums = np.add.reduceat(position, np.cumsum(sizes) - sizes)
-    n_known, score_base = [], []
-    for w in split:
-        values = [base[x] for x in w]
-        values.append(base[END])
-        missing = values.count(None)
-        n_known.append(len(values) - missing)
-        score_base.append(math.fsum(v for v in values if v is not None) + missing * unseen)
-    n = pa.array([len(w) + 1 for w in split], pa.int64())
+    ends = base[END]
+    base[b""] = 0.0
+    # of each unit, then of each text: log-probability, word base, known words, words, bytes
+    known = np.array([base[w] is not None and w != b"" for w in own_words])
+    units_ = [np.add.reduceat(p[gram_at].astype(np.float64), np.cumsum(sizes) - sizes),
+              np.array([unseen if base[w] is None else base[w] for w in own_words]), known.astype(np.int64),
+              np.array([w != b"" for w in own_words]).astype(np.int64), sizes]
+    sums, score_base, n_known, n_words, n_bytes = (np.add.reduceat(v[at], np.cumsum(per) - per) for v in units_)
+    score_base = score_base + (unseen if ends is None else ends)
+    n_known = n_known + (ends is not None)
     yield pa.RecordBatch.from_arrays([
-        docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), n, pa.array(n_known, pa.int64()),
-        pa.array([total] * len(split), pa.int64()), pa.array(score_base, pa.float64()), pa.array(sums), pa.array(sizes)],
+        docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(n_words + 1), pa.array(n_known),
+        pa.array([total] * len(texts), pa.int64()), pa.array(score_base, pa.float64()), pa.array(sums), pa.array(n_bytes)],
         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
