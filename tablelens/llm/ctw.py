@@ -4,9 +4,8 @@ A text is its lower-cased words joined by single spaces and closed by a line fee
 binary decisions; each decision has a context tree over the ``DEPTH`` bytes before it, with a
 Krichevsky-Trofimov estimate at every depth, and the weighting mixes all depths.
 
-The corpus is cut into blocks of bounded size. A block is handled by its distinct units (a word, the byte that
-ends it and the ``DEPTH`` bytes before it): bytes are looked at once per unit, not once per place. A block sends,
-for each shard of contexts, its distinct n-grams (context and byte) with their training counts as one packed row. A shard holds all contexts
+The corpus is cut into blocks of bounded size. A block sends, for each shard of contexts, its distinct
+n-grams (context and byte) with their training counts as one packed row. A shard holds all contexts
 that share their last two bytes, so the trees below depth 2 live in one shard; of the two depths above,
 at most 256 x 255 sums reach the driver. A shard then answers every block's n-grams with
 their log-probability, and the block adds them up per document.
@@ -17,7 +16,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import chunks, grouped, stored
 from tablelens.session import scratch_path
 
-DEPTH = 7  # bytes of context; with the byte itself an n-gram has 64 bits, which is the most
+DEPTH = 6  # bytes of context; with the byte itself an n-gram has 56 bits, and 8 number the texts it is sorted with
 BLOCK = 4 << 20  # bytes of text in a block
 MERGED = 2_000_000  # n-grams held before they are merged
 END = b"\n"
@@ -41,14 +39,46 @@ SENT = "shard int, block long, items binary, counts binary"
 # -- packed arrays ---------------------------------------------------------------------------------
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as differences, byte planes apart, compressed."""
-    flat = np.diff(values.astype(np.uint64), prepend=U(0))
-    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted integers: of each, how many leading bytes it shares with the one before, and its other bytes, by place."""
+    own = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+    differs = np.ones(own.shape, bool)
+    differs[1:] = own[1:] != own[:-1]
+    shared = differs.argmax(axis=1).astype(np.uint8)  # none differs: 0, which sends all bytes
+    return len(shared).to_bytes(8, "little") + squeeze(shared.tobytes() + b"".join(own[shared <= k, k].tobytes() for k in range(8)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    raw, n = np.frombuffer(expand(data[8:]), np.uint8), int.from_bytes(data[:8], "little")
+    shared, at = raw[:n], n
+    out, place = np.empty((n, 8), np.uint8), np.arange(n)
+    for k in range(8):
+        sent = shared <= k
+        many = int(sent.sum())
+        column = np.zeros(n, np.uint8)
+        column[sent] = raw[at:at + many]
+        out[:, k] = column[np.maximum.accumulate(np.where(sent, place, 0))]
+        at += many
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Integers, byte planes apart."""
+    return squeeze(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def pack_logs(values: np.ndarray) -> bytes:
+    """Logarithms as 24 bits of a float (15 of its fraction), rounded: within a relative 2e-5 each, without a direction."""
+    bits = (values.astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+    return squeeze(bits.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes())
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(3, -1).astype(np.uint32)
+    return ((planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)) << np.uint32(8)).view(np.float32)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -65,28 +95,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def units(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Every word of the texts with the byte that ends it, behind the ``DEPTH`` bytes before it, and their number in each
-    text. A text's end follows its last word; without words it is a unit by itself."""
+def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of every byte of the texts, and the number of bytes of each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
     joined = b"".join(END * DEPTH + t for t in texts)
-    x = np.frombuffer(joined, np.uint8)
-    first = np.cumsum([0] + [len(t) + DEPTH for t in texts])[:-1] + DEPTH  # the first byte of each text
-    stops = np.flatnonzero((x == 32) | (x == END[0])) + 1
-    begins = np.concatenate(([0], stops[:-1]))
-    text = np.searchsorted(first - DEPTH, stops, "left") - 1
-    inside = stops > first[text]  # padding is ends, too
-    pairs = zip((begins[inside] - DEPTH).tolist(), stops[inside].tolist())
-    return [joined[a:b] for a, b in pairs], np.bincount(text[inside], minlength=len(texts))
-
-
-def ngrams(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every byte of the units behind their first ``DEPTH``, and the number of these bytes of each unit."""
-    sizes = np.array([len(u) for u in own], np.int64) - DEPTH
-    x = np.frombuffer(b"".join(own), np.uint8)
-    g = np.zeros(len(x) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        g = (g << U(8)) | x[k:len(x) - DEPTH + k]
-    inside = np.ones(len(g), bool)  # not the bytes before the next unit
+    n = len(joined) - DEPTH
+    # eight bytes from every place on, of which the first DEPTH + 1 are the n-gram
+    g = np.ndarray((n,), ">u8", joined + bytes(8), 0, (1,)).astype(np.uint64) >> U(56 - 8 * DEPTH)
+    inside = np.ones(n, bool)  # not the bytes of the next text's padding
     starts = np.cumsum(sizes + DEPTH)[:-1] - DEPTH
     for k in range(DEPTH):
         inside[starts + k] = False
@@ -225,31 +241,31 @@ def cut(batches: Iterator[pa.RecordBatch], shards: int, word_shards: int, block_
     for rows in chunks(batches, "text", block_bytes):
         ids, held, texts = (rows.column(c) for c in ("doc_id", "held_out", "text"))
         held = np.asarray(held.to_pylist(), bool)
-        flat = [b" ".join(tokens(t)) + END for t in texts.to_pylist()]
+        split = [tokens(t) for t in texts.to_pylist()]
+        flat = [b" ".join(w) + END for w in split]
         block, k = base + k, k + 1
         sink = pa.BufferOutputStream()
         plain = pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(flat, pa.large_binary())], ["doc_id", "held_out", "text"])
         with pa.ipc.new_stream(sink, plain.schema) as out:
             out.write_batch(plain)
-        every, per = units(flat)
-        counted = Counter(compress(every, np.repeat(~held, per).tolist()))
-        distinct = list(set(every))
-        learned = [counted[u] for u in distinct]
-        grams, sizes = ngrams(distinct)
-        order = np.argsort(grams)
-        grams = grams[order]
+        grams, sizes = ngrams(flat)
+        marked, n = np.unique((grams << U(1)) | np.repeat(held, sizes).astype(np.uint64), return_counts=True)
+        grams = marked >> U(1)
         first = np.flatnonzero(np.diff(grams, prepend=grams[0] + U(1)))
-        counts = np.add.reduceat(np.repeat(np.array(learned, np.int64), sizes)[order], first)
+        counts = np.add.reduceat(np.where(marked & U(1), 0, n), first)
         grams, shard = grams[first], shard_of(grams[first], shards)
         made = [("blocks", 0, block, squeeze(sink.getvalue().to_pybytes()), b"")]
         for s in np.unique(shard).tolist():
-            made.append(("grams", s, block, pack(grams[shard == s]), pack(counts[shard == s])))
-        words: Counter = Counter({END: int((~held).sum())})
-        for u, n in zip(distinct, learned):
-            words[u[DEPTH:-1]] += n
-        del words[b""]  # the unit of a text without words
-        for s, own in by_shard(set(words), word_shards).items():
-            made.append(("words", s, block, squeeze(b" ".join(own)), pack(np.array([words[w] for w in own]))))
+            made.append(("grams", s, block, pack(grams[shard == s]), pack_counts(counts[shard == s])))
+        learned: Counter = Counter()
+        for w, h in zip(split, held):
+            if not h:
+                learned.update(w)
+                learned[END] += 1
+        every = set().union(*split)
+        every.add(END)
+        for s, own in by_shard(every, word_shards).items():
+            made.append(("words", s, block, squeeze(b" ".join(own)), pack_counts(np.array([learned[w] for w in own]))))
         yield batch(names, kinds, made)
 
 
@@ -257,7 +273,7 @@ def learn(key, rows) -> Iterator[pa.RecordBatch]:
     """The training counts of a shard's n-grams, merged."""
     held, size, shard = [], 0, key[0] if isinstance(key, tuple) else key
     for *_, items, counts in rows:
-        grams, n = unpack(items), unpack(counts)
+        grams, n = unpack(items), unpack_counts(counts)
         held.append((grams[n > 0], n[n > 0]))
         size += len(held[-1][0])
         if size > MERGED:
@@ -265,7 +281,7 @@ def learn(key, rows) -> Iterator[pa.RecordBatch]:
             size = 0
     grams, n = merge(held)
     yield batch(["shard", "block", "items", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()],
-                [(shard, -1, pack(grams), pack(n))])
+                [(shard, -1, pack(grams), pack_counts(n))])
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text",
@@ -298,7 +314,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     # answers to the blocks
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = copies.select("salt", "shard", "block", "items", "counts").unionByName(salted)
+    asked = copies.select("salt", "shard", "block", "items", "counts").unionByName(salted.withColumn("counts", F.lit(b"")))
     answers = grouped(asked, lambda key, own: answer(key, own, upper_levels), "block long, shard int, kind int, items binary", "salt", "shard", order=("block",))
     known = stored(grouped(read("words"), count_words, "block long, shard int, kind int, items binary, total long, known long", "shard"), "ctw-words")
     total, distinct = known.where("block < 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
@@ -317,7 +333,7 @@ def size_of(spark, path: str, kind: str) -> bool:
 def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for items, counts in zip(b.column("items").to_pylist(), b.column("counts").to_pylist()):
-            trees = Trees(unpack(items), unpack(counts))
+            trees = Trees(unpack(items), unpack_counts(counts))
             yield pa.RecordBatch.from_arrays([pa.array(trees.above.astype(np.int64)), *map(pa.array, trees.sums)], ["node", "n", "n1", "split"])
 
 
@@ -325,14 +341,14 @@ def answer(key, rows, top) -> Iterator[pa.RecordBatch]:
     """The log-probabilities of the n-grams of each block; the shard's model (block -1) comes first."""
     _, shard = key
     _, _, _, items, counts = next(rows)
-    trees = Trees(unpack(items), unpack(counts))
+    trees = Trees(unpack(items), unpack_counts(counts))
     waiting, size = [], 0
 
     def flush():
         every = np.unique(np.concatenate([g for _, g in waiting]))
         p = trees.log10(every, top).astype(np.float32)
         return batch(["block", "shard", "kind", "items"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()],
-                     [(block, shard, 1, squeeze(p[np.searchsorted(every, g)].tobytes())) for block, g in waiting])
+                     [(block, shard, 1, pack_logs(p[np.searchsorted(every, g)])) for block, g in waiting])
 
     for _, _, block, items, _ in rows:
         waiting.append((block, unpack(items)))
@@ -349,7 +365,7 @@ def count_words(shard: int, rows) -> Iterator[pa.RecordBatch]:
     asked, counts = [], Counter()
     for _, block, items, n in rows:
         words = expand(items).split(b" ")
-        for w, c in zip(words, unpack(n).tolist()):
+        for w, c in zip(words, unpack_counts(n).tolist()):
             if c:
                 counts[w] += c
         asked.append((block, items))
@@ -358,7 +374,7 @@ def count_words(shard: int, rows) -> Iterator[pa.RecordBatch]:
     yield batch(names, kinds, [(-1, shard, 2, b"", sum(counts.values()), len(counts))])
     for block, items in asked:
         n = np.array([counts[w] for w in expand(items).split(b" ")], np.uint64)
-        yield batch(names, kinds, [(block, shard, 2, pack(n), 0, 0)])
+        yield batch(names, kinds, [(block, shard, 2, pack_counts(n), 0, 0)])
 
 
 def finish(rows, shards: int, word_shards: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
@@ -367,31 +383,38 @@ def finish(rows, shards: int, word_shards: int, total: int, distinct: int) -> It
     with pa.ipc.open_stream(expand(items)) as source:
         docs = source.read_all()
     texts = docs.column("text").to_pylist()
-    flat, per = units(texts)
-    places: dict[bytes, int] = {}
-    at = np.array([places.setdefault(u, len(places)) for u in flat], np.int64)
-    own_words = [u[DEPTH:-1] for u in places]
-    grams, sizes = ngrams(list(places))
-    every, gram_at = np.unique(grams, return_inverse=True)
+    grams, sizes = ngrams(texts)
+    split = [t[:-1].split(b" ") if len(t) > 1 else [] for t in texts]
+    words = by_shard(set().union(*split) | {END}, word_shards)
+    # n-grams are sorted with the number of their text in the bits they leave free, so many texts at once
+    free, sums, starts = 64 - 8 * (DEPTH + 1), np.zeros(len(texts)), np.append(0, np.cumsum(sizes))
+    parts = []
+    for a in range(0, len(texts), 1 << free):
+        own = sizes[a:a + (1 << free)]
+        both = np.sort((grams[starts[a]:starts[a + len(own)]] << U(free)) | np.repeat(np.arange(len(own), dtype=np.uint64), own))
+        new = np.flatnonzero(np.diff(both >> U(free), prepend=~both[0] >> U(free)))
+        parts.append((a, both[new] >> U(free), np.diff(np.append(new, len(both))), (both & U((1 << free) - 1)).astype(np.uint16)))
+    del grams
+    every = np.unique(np.concatenate([g for _, g, *_ in parts]))
     shard, p = shard_of(every, shards), np.zeros(len(every), np.float32)
-    words = by_shard(set(own_words) - {b""} | {END}, word_shards)
     base, unseen = {}, math.log10(1 / (total + distinct + 1))
     for _, s, kind, items in rows:
         if kind == 1:
-            p[shard == s] = np.frombuffer(expand(items), np.float32)
+            p[shard == s] = unpack_logs(items)
         else:
-            base.update((w, math.log10((c + 1) / (total + distinct + 1)) if c else None) for w, c in zip(words[s], unpack(items).tolist()))
-    ends = base[END]
-    base[b""] = 0.0
-    # of each unit, then of each text: log-probability, word base, known words, words, bytes
-    known = np.array([base[w] is not None and w != b"" for w in own_words])
-    units_ = [np.add.reduceat(p[gram_at].astype(np.float64), np.cumsum(sizes) - sizes),
-              np.array([unseen if base[w] is None else base[w] for w in own_words]), known.astype(np.int64),
-              np.array([w != b"" for w in own_words]).astype(np.int64), sizes]
-    sums, score_base, n_known, n_words, n_bytes = (np.add.reduceat(v[at], np.cumsum(per) - per) for v in units_)
-    score_base = score_base + (unseen if ends is None else ends)
-    n_known = n_known + (ends is not None)
+            base.update((w, math.log10((c + 1) / (total + distinct + 1)) if c else None) for w, c in zip(words[s], unpack_counts(items).tolist()))
+    for a, g, places, text in parts:
+        own = np.bincount(text, np.repeat(p[np.searchsorted(every, g)].astype(float), places))
+        sums[a:a + len(own)] = own
+    n_known, score_base = [], []
+    for w in split:
+        values = [base[x] for x in w]
+        values.append(base[END])
+        missing = values.count(None)
+        n_known.append(len(values) - missing)
+        score_base.append(math.fsum(v for v in values if v is not None) + missing * unseen)
+    n = pa.array([len(w) + 1 for w in split], pa.int64())
     yield pa.RecordBatch.from_arrays([
-        docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(n_words + 1), pa.array(n_known),
-        pa.array([total] * len(texts), pa.int64()), pa.array(score_base, pa.float64()), pa.array(sums), pa.array(n_bytes)],
+        docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), n, pa.array(n_known, pa.int64()),
+        pa.array([total] * len(split), pa.int64()), pa.array(score_base, pa.float64()), pa.array(sums), pa.array(sizes)],
         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])

@@ -94,3 +94,20 @@ def test_word_base_and_gain(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ctw.score(df, F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 10000])
+def test_packed_arrays(n):
+    rng = np.random.default_rng(n)
+    whole = np.sort(rng.integers(0, 2 ** 63, n).astype(np.uint64) >> np.uint64(20))
+    assert (ctw.unpack(ctw.pack(whole)) == whole).all() and (ctw.unpack_counts(ctw.pack_counts(whole[::-1])) == whole[::-1]).all()
+    logs = -9 * rng.random(n)
+    assert np.allclose(ctw.unpack_logs(ctw.pack_logs(logs)), logs, rtol=2.1e-5, atol=0)
+
+
+def test_more_texts_than_are_sorted_at_once(spark):
+    docs = [(i, f"cat {i % 3} mat") for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in ctw.score(df, F.lit(False)).collect()}
+    want = dict(zip(range(601), brute(docs, [False] * 601)))
+    assert len(rows) == 601 and all(abs(rows[i] - want[i]) < 2e-3 for i in rows)
