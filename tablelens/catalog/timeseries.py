@@ -1,6 +1,7 @@
 """Time-series and forecast queries (TS1-TS16, G9 lives in groups)."""
 
 from tablelens.catalog.base import register, sround, table
+from tablelens.operators import fitted
 from tablelens.operators import forecast as FC
 from tablelens.operators import timeseries as TS
 
@@ -155,6 +156,9 @@ SELECT o_orderpriority, 'arima' AS method, step, {sround('path[step]')} AS value
 FROM p, range(1, 6) h(step)
 """)(lambda s, d: FC.arima_fit(_keyed(s, d), ["o_orderpriority"]))
 
+register("forecast_holt_fitted")(lambda s, d: fitted.holt_fitted(_keyed(s, d), ["o_orderpriority"]))
+register("forecast_arima_exact")(lambda s, d: fitted.arima_exact(_keyed(s, d), ["o_orderpriority"]))
+
 
 _SPIKE = "CASE WHEN month(bucket) = 3 THEN CAST('infinity' AS DOUBLE) ELSE value END"
 
