@@ -58,7 +58,7 @@ def brute(docs, held):
         own = (n[bit] + .5) / (sum(n) + 1)
         if d == ctw.DEPTH:
             return own
-        ratio = 1 / (1 + math.exp(split(*key) - kt(key)))
+        ratio = 1 / (1 + math.exp(min(700.0, split(*key) - kt(key))))  # beyond, 0 in doubles either way
         return ratio * own + (1 - ratio) * predict(context, node, bit, d + 1)
 
     return [sum(math.log10(predict(*step)) for step in walk(t)) for t in texts]
@@ -106,8 +106,8 @@ def test_packed_arrays(n):
 
 
 def test_more_texts_than_are_sorted_at_once(spark):
-    docs = [(i, f"cat {i % 3} mat") for i in range(600)] + [(600, None)]
+    docs = [(i, f"cat {i % 3} mat") for i in range(300)] + [(300, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = {r.doc_id: r.score for r in ctw.score(df, F.lit(False)).collect()}
-    want = dict(zip(range(601), brute(docs, [False] * 601)))
-    assert len(rows) == 601 and all(abs(rows[i] - want[i]) < 2e-3 for i in rows)
+    want = dict(zip(range(301), brute(docs, [False] * 301)))
+    assert len(rows) == 301 and all(abs(rows[i] - want[i]) < 2e-3 for i in rows)
