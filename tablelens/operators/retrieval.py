@@ -9,12 +9,16 @@ oversize sentences cut with overlap). The TF-IDF index is a sparse long table
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import lexicon as L
 from tablelens.functions.stats import attach, materialize, rnd, top_k
 from tablelens.functions.text import pytrim
+from tablelens.operators.termrows import count_in_rows, dense_scores, exploded, sparse_scores, split_repeated, weigh
 
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -77,22 +81,39 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _term_counts(df, id_col, text_col)
 
 
-def row_term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms array<string>, counts array<int>): each row's distinct terms and how often they occur, counted
-    inside the row (its sorted terms are cut where they change), so nothing is shuffled. A null or empty text has empty
-    arrays; rows that share an id stay rows."""
-    t = F.array_sort(F.filter(terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: ~x.isin(*L.STOP_WORDS)))
-    cut = df.select(id_col, t.alias("t")).select(id_col, "t", F.expr(
-        "if(size(t) = 0, cast(array() as array<int>), filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] <> get(t, i - 1)))").alias("at"))
-    return cut.select(id_col, F.expr("transform(at, i -> t[i])").alias("terms"),
-                      F.expr("transform(at, (i, j) -> coalesce(get(at, j + 1), size(t)) - i)").alias("counts"))
+def row_term_counts(df: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> DataFrame:
+    """(id, keep..., terms array<string>, counts array<int>): each row's distinct terms and how often they occur, counted
+    inside the row, so nothing is shuffled. A null or empty text has empty arrays; rows that share an id stay rows."""
+    names = [id_col, *keep]
+    return count_in_rows(df.select(*names, terms(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")), L.STOP_WORDS, names)
+
+
+@dataclass
+class TermRows:
+    """Term counts by id: a row for each id that occurs once, (id, term, tf) for the ids of several rows."""
+
+    alone: DataFrame  # (id, keep..., terms, counts)
+    shared: DataFrame | None
+    id_col: str
+
+    def long(self) -> DataFrame:
+        t = exploded(self.alone, [self.id_col], "counts", "tf").withColumn("tf", F.col("tf").cast("long"))
+        return t if self.shared is None else t.unionByName(self.shared)
+
+
+def term_rows(df: DataFrame, id_col: str, text_col: str, keep: tuple = ()) -> TermRows:
+    """The counts of :func:`term_counts`, written once. Only the terms of ids that occur in several rows are shuffled."""
+    alone, more = split_repeated(materialize(row_term_counts(df, id_col, text_col, keep)), id_col)
+    shared = None if more is None else materialize(exploded(more, [id_col], "counts", "tf").groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
+    return TermRows(alone, shared, id_col)
 
 
 def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int | None = 5000,
-            tf: DataFrame | None = None) -> DataFrame:
+            tf: DataFrame | TermRows | None = None) -> DataFrame:
     """V2 vocabulary: the ``max_features`` most frequent terms (corpus count, ties
     by term; ``None``: every term) with smooth idf ``ln((1+n)/(1+df)) + 1``: (term, idf)."""
-    tf = tf if tf is not None else _term_counts(df, id_col, text_col)
+    tf = tf if tf is not None else term_rows(df, id_col, text_col)
+    tf = tf.long() if isinstance(tf, TermRows) else tf
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     vocab = dfreq if max_features is None else dfreq.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
@@ -102,26 +123,53 @@ def fit_idf(df: DataFrame, id_col: str, text_col: str, max_features: int | None
     return materialize(idf)
 
 
-def transform_tfidf(df: DataFrame, id_col: str, text_col: str, idf: DataFrame,
-                    tf: DataFrame | None = None) -> DataFrame:
-    """L2-normalised tf*idf rows of ``df`` over a fitted vocabulary:
-    (id, term, weight). ``idf`` is a written table, so
-    Spark knows its size and broadcasts it where it is small."""
-    tf = tf if tf is not None else _term_counts(df, id_col, text_col)
+# Vocabularies up to this many terms are sent to the tasks; larger ones are joined.
+MAX_TASK_TERMS = 200_000
+
+
+def _joined_weights(tf: DataFrame, id_col: str, idf: DataFrame) -> DataFrame:
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     # one window per item (at most max_features terms each) instead of a join back
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def weight_rows(tf: TermRows, idf: DataFrame) -> DataFrame:
+    """(id, terms array<string>, weights array<double>): the L2-normalised tf*idf rows over a fitted vocabulary, known terms
+    only. A vocabulary within ``MAX_TASK_TERMS`` is sent to the tasks; the counts then stay in their rows."""
+    id_col = tf.id_col
+    gathered = lambda long: long.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("_e")) \
+        .select(id_col, F.col("_e.term").alias("terms"), F.col("_e.weight").alias("weights"))
+    if idf.count() > MAX_TASK_TERMS:
+        return gathered(_joined_weights(tf.long(), id_col, idf))
+    known = idf.orderBy("term").toArrow()
+    rows = weigh(tf.alone, known.column("term").combine_chunks(), known.column("idf").to_numpy())
+    return rows if tf.shared is None else rows.unionByName(gathered(_joined_weights(tf.shared, id_col, idf)), allowMissingColumns=True)
+
+
+def transform_tfidf(df: DataFrame, id_col: str, text_col: str, idf: DataFrame,
+                    tf: DataFrame | TermRows | None = None) -> DataFrame:
+    """L2-normalised tf*idf rows of ``df`` over a fitted vocabulary:
+    (id, term, weight). ``idf`` is a written table, so
+    Spark knows its size and broadcasts it where it is small."""
+    if isinstance(tf, DataFrame):
+        return _joined_weights(tf, id_col, idf)
+    tf = tf if tf is not None else term_rows(df, id_col, text_col)
+    if idf.count() > MAX_TASK_TERMS:
+        return _joined_weights(tf.long(), id_col, idf)
+    return exploded(weight_rows(tf, idf), [id_col], "weights", "weight")
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000) -> DataFrame:
     """V2: fitted and applied on the same corpus (tokenised once)."""
-    tf = term_counts(df, id_col, text_col)
+    tf = term_rows(df, id_col, text_col)
     return transform_tfidf(df, id_col, text_col, fit_idf(df, id_col, text_col, max_features, tf), tf)
 
 
 # Query-side term rows up to this count are broadcast to the index partitions.
 MAX_BROADCAST_QUERY_TERMS = 2_000_000
+# Against rows of terms, queries are sent to the tasks in batches of about this many term rows.
+MAX_TASK_QUERY_TERMS = 200_000
 
 
 def search(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, k: int = 5,
@@ -136,18 +184,43 @@ def search(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, k
     are summed on the index's own id partitioning. Beyond the limit the join
     shuffles on term and AQE's skew handling splits hot terms. ``query_rows``
     is an upper bound of the query side's rows when the caller has a cheap one
-    (e.g. the query texts' own term counts, before the vocabulary join)."""
-    q = queries.select(F.col(query_id), F.col("term"), F.col("weight").alias("qw"))
-    d = index.select(F.col(index_id), F.col("term"), F.col("weight").alias("dw"))
-    if (query_rows if query_rows is not None else q.count()) <= MAX_BROADCAST_QUERY_TERMS:
-        q = F.broadcast(q)
-    s = d.join(q, "term").groupBy(query_id, index_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
+    (e.g. the query texts' own term counts, before the vocabulary join).
+
+    An index of rows (index_id, terms, weights) is scored in its rows (``termrows.sparse_scores``): no score of a pair is
+    shuffled but those that can be among a query's best of a task. Ids of several rows are summed by the joins."""
+    if "weights" in index.columns:
+        alone, shared = split_repeated(index.select(index_id, "terms", "weights"), index_id)
+        s = _batched(queries.select(query_id, "term", F.col("weight").alias("qw")), query_id, MAX_TASK_QUERY_TERMS,
+                     lambda batch: sparse_scores(alone, index_id, batch, query_id, k))
+        if shared is not None:
+            s = s.unionByName(_summed(exploded(shared, [index_id], "weights", "weight"), index_id, queries, query_id, query_rows))
+    else:
+        s = _summed(index, index_id, queries, query_id, query_rows)
     # scores are ranked at 1e-6 resolution so exact copies tie and break by id
     s = s.filter(F.col("score") > 0).withColumn("score", rnd("score", 6))
     r = top_k(s, [query_id], [F.col("score").desc(), F.col(index_id)], k, "rank")
     return r.select(query_id, index_id, "score", F.col("rank").cast("long"))
 
 
+def _batched(queries: DataFrame, query_id: str, most: int, scores) -> DataFrame:
+    """The union of ``scores`` over batches of about ``most`` query rows, whole queries each. Where one batch is not enough,
+    each batch's scores are written before the next one passes through the driver."""
+    queries = materialize(queries)
+    batches = max(1, -(-queries.count() // most))
+    if batches == 1:
+        return scores(queries)
+    own = F.pmod(F.xxhash64(query_id), F.lit(batches))
+    return reduce(DataFrame.unionByName, [materialize(scores(queries.where(own == b))) for b in range(batches)])
+
+
+def _summed(index: DataFrame, index_id: str, queries: DataFrame, query_id: str, query_rows: int | None) -> DataFrame:
+    q = queries.select(F.col(query_id), F.col("term"), F.col("weight").alias("qw"))
+    d = index.select(F.col(index_id), F.col("term"), F.col("weight").alias("dw"))
+    if (query_rows if query_rows is not None else q.count()) <= MAX_BROADCAST_QUERY_TERMS:
+        q = F.broadcast(q)
+    return d.join(q, "term").groupBy(query_id, index_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
+
+
 def _dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                        lambda acc, x: acc + x)
@@ -164,24 +237,12 @@ def dense_topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame
                k: int = 5) -> DataFrame:
     """V5 dense: top ``k`` vectors by cosine for each query vector.
 
-    Query vectors are packed into one-row batches of about ``MAX_DENSE_QUERIES``
-    (hash-assigned; only their count reaches the driver) and each batch row is
-    broadcast to the vector partitions, so the vector table is scanned once per
-    batch, never shuffled and never joined with itself."""
-    n = queries.count()
-    nb = max(1, -(-n // MAX_DENSE_QUERIES))
-    packed = (queries.select(F.pmod(F.xxhash64(qid), F.lit(nb)).alias("_b"),
-                             F.struct(F.col(qid).alias("q"), F.col(qvec).cast("array<double>").alias("v")).alias("s"))
-                     .groupBy("_b").agg(F.collect_list("s").alias("_qs")))
-    parts = []
-    for b in range(nb):
-        batch = packed.filter(F.col("_b") == b).drop("_b")
-        scored = attach(vectors.select(id_col, vec_col), batch).select(id_col, F.explode(F.transform(
-            "_qs", lambda s: F.struct(s["q"].alias(qid), cosine(s["v"], F.col(vec_col)).alias("score")))).alias("x"))
-        parts.append(scored.select(id_col, "x.*"))
-    s = parts[0]
-    for p in parts[1:]:
-        s = s.unionByName(p)
+    Query vectors are sent to the vector partitions in batches of about ``MAX_DENSE_QUERIES`` (hash-assigned), so the
+    vector table is scanned once per batch, never shuffled and never joined with itself. Cosines are taken in Arrow
+    batches; of each task only the scores that can be among a query's best are shuffled."""
+    v = vectors.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col))
+    q = queries.select(qid, F.col(qvec).cast("array<double>").alias(qvec))
+    s = _batched(q, qid, MAX_DENSE_QUERIES, lambda batch: dense_scores(v, id_col, vec_col, batch, qid, qvec, k))
     s = s.filter(F.col("score") > 0).withColumn("score", rnd("score", 6))
     r = top_k(s, [qid], [F.col("score").desc(), F.col(id_col)], k, "rank")
     return r.select(qid, id_col, "score", F.col("rank").cast("long"))
@@ -202,8 +263,10 @@ def build_context(hits: DataFrame, query_id: str, chunks: DataFrame, chunk_key:
                   queries: DataFrame | None = None) -> DataFrame:
     """V6: per query, ``[i] (source) text`` of its hits in rank order joined by
     blank lines (at most k pieces per query). With ``queries`` given, each of
-    them has a row; one without hits carries ``NO_CONTEXT``."""
-    j = hits.join(chunks, chunk_key)
+    them has a row; one without hits carries ``NO_CONTEXT``. The hits are written, and broadcast where they are
+    few, so the chunks are scanned once and not shuffled."""
+    hits = materialize(hits)
+    j = chunks.join(F.broadcast(hits) if hits.count() <= MAX_BROADCAST_QUERY_TERMS else hits, chunk_key)
     piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.col(source).cast("string"),
                      F.lit(") "), pytrim(F.col("text")))
     g = j.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", piece.alias("p")))).alias("_p"))
@@ -223,8 +286,8 @@ def keyed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 900, o
 def build_index(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120,
                 max_features: int = 5000):
     """V7: chunk -> fit idf on chunks -> chunk vectors. Returns (chunks, idf, index)
-    where chunk rows carry ``chunk_key`` = "<id>_<chunk_id>"."""
-    ch = keyed_chunks(docs, id_col, text_col, size, overlap)
-    tf = term_counts(ch, "chunk_key", "text")
+    where chunk rows carry ``chunk_key`` = "<id>_<chunk_id>"; the index has one row of terms and weights a key."""
+    ch = materialize(keyed_chunks(docs, id_col, text_col, size, overlap))
+    tf = term_rows(ch, "chunk_key", "text")
     idf = fit_idf(ch, "chunk_key", "text", max_features, tf)
-    return ch, idf, transform_tfidf(ch, "chunk_key", "text", idf, tf)
+    return ch, idf, weight_rows(tf, idf)
