@@ -142,9 +142,9 @@ def _svd_topk(s, d):
     """Benchmark items in the space of the documents, and the 5 documents nearest to each."""
     from tablelens.operators.svd import fit_components, fold_in
     docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
-    tf = V.term_counts(docs, "doc_id", "text")
+    tf = V.term_rows(docs, "doc_id", "text")
     idf = V.fit_idf(docs, "doc_id", "text", tf=tf)
-    weights = materialize(V.transform_tfidf(docs, "doc_id", "text", idf, tf))
+    weights = materialize(V.weight_rows(tf, idf).where(F.size("terms") > 0))
     components = fit_components(weights, "doc_id")
     items = fold_in(V.transform_tfidf(bench, "item_id", "text", idf), "item_id", components)
     return V.dense_topk(fold_in(weights, "doc_id", components), "doc_id", "vector", items, "item_id", "vector", 5)
