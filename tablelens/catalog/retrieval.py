@@ -82,11 +82,10 @@ SELECT * FROM hits
 
 def _tfidf_topk(s, d):
     docs, bench = table(s, d, "documents"), table(s, d, "benchmark")
-    tf = V.term_counts(docs, "doc_id", "text")
+    tf = V.term_rows(docs, "doc_id", "text")
     idf = V.fit_idf(docs, "doc_id", "text", tf=tf)
-    qtf = V.term_counts(bench, "item_id", "text")
-    return V.search(V.transform_tfidf(docs, "doc_id", "text", idf, tf), "doc_id",
-                    V.transform_tfidf(bench, "item_id", "text", idf, qtf), "item_id", 5, query_rows=qtf.count())
+    items = V.transform_tfidf(bench, "item_id", "text", idf)
+    return V.search(V.weight_rows(tf, idf), "doc_id", items, "item_id", 5)
 
 
 register("cosine_topk", """
