@@ -160,9 +160,8 @@ def _index_roundtrip(s, d):
     index_store.create(base, docs.where(english), "doc_id", "text")
     index_store.add(s, base, docs.where(~english))
     index = index_store.load(s, base)
-    qtf = V.term_counts(bench, "item_id", "text")
-    items = V.transform_tfidf(bench, "item_id", "text", index.vocabulary, qtf)
-    return V.search(index.weights, "chunk_key", items, "item_id", 3, query_rows=qtf.count())
+    items = V.transform_tfidf(bench, "item_id", "text", index.vocabulary)
+    return V.search(index.rows, "chunk_key", items, "item_id", 3)
 
 
 register("index_roundtrip", f"""WITH {chunks_sql('documents', 'doc_id', 'text')},

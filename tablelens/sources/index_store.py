@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.functions.stats import materialize
 from tablelens.operators import retrieval as V
+from tablelens.operators.termrows import MAX_BROADCAST_IDS, exploded
 
 MANIFEST = "version int, batch int, folder string, id_col string, text_col string, size int, overlap int"
 
@@ -24,7 +26,12 @@ class Index:
     id_col: str
     vocabulary: DataFrame  # (term, idf)
     chunks: DataFrame  # (id, chunk_id, text, n_chars, chunk_key)
-    weights: DataFrame  # (chunk_key, term, weight)
+    rows: DataFrame  # (chunk_key, terms, weights)
+
+    @property
+    def weights(self) -> DataFrame:
+        """(chunk_key, term, weight)"""
+        return exploded(self.rows, ["chunk_key"], "weights", "weight")
 
 
 def _manifest(spark: SparkSession, base: str) -> DataFrame:
@@ -41,9 +48,12 @@ def _write_batch(base: str, docs: DataFrame, id_col: str, chunks: DataFrame, voc
     chunks.write.parquet(f"{folder}/chunks")
     docs.select(id_col).distinct().write.parquet(f"{folder}/ids")
     written = docs.sparkSession.read.parquet(f"{folder}/chunks")
-    # sorted by term, so that a scan for a query's terms skips row groups
-    V.transform_tfidf(written, "chunk_key", "text", vocabulary).join(written.select("chunk_key", id_col), "chunk_key") \
-        .sortWithinPartitions("term").write.parquet(f"{folder}/weights")
+    # one row of terms and weights a chunk, with its document's id; only keys of several chunks (a repeated or null id) meet their ids by a join
+    tf = V.term_rows(written, "chunk_key", "text", (id_col,))
+    rows = V.weight_rows(tf, vocabulary)
+    if tf.shared is not None or id_col not in rows.columns:
+        rows = rows.drop(id_col).join(written.select("chunk_key", id_col), "chunk_key")
+    rows.where(F.size("terms") > 0).select("chunk_key", id_col, "terms", "weights").write.parquet(f"{folder}/weights")
     return folder
 
 
@@ -51,7 +61,7 @@ def create(base: str, docs: DataFrame, id_col: str, text_col: str, size: int = 9
            max_features: int | None = 5000) -> int:
     """Version 0: the vocabulary and the first batch. An index that exists already is an error."""
     spark, base = docs.sparkSession, base.rstrip("/")
-    chunks = V.keyed_chunks(docs, id_col, text_col, size, overlap)
+    chunks = materialize(V.keyed_chunks(docs, id_col, text_col, size, overlap))
     V.fit_idf(chunks, "chunk_key", "text", max_features).write.mode("error").parquet(f"{base}/vocabulary")
     folder = _write_batch(base, docs, id_col, chunks, spark.read.parquet(f"{base}/vocabulary"))
     _commit(spark, base, 0, [(0, folder, id_col, text_col, size, overlap)])
@@ -87,10 +97,13 @@ def load(spark: SparkSession, base: str, version: int | None = None) -> Index:
     id_col, later, parts = own[0]["id_col"], None, []
     for r in reversed(own):
         tables = [spark.read.parquet(f"{r['folder']}/{name}") for name in ("chunks", "weights")]
+        ids = spark.read.parquet(f"{r['folder']}/ids")
         if later is not None:
-            tables = [t.join(later, id_col, "left_anti") for t in tables]
+            replaced = materialize(ids.join(later, id_col, "left_semi"))  # usually few, and then sent to every task
+            n = replaced.count()
+            gone = F.broadcast(replaced) if n <= MAX_BROADCAST_IDS else replaced
+            tables = [t.join(gone, id_col, "left_anti") for t in tables] if n else tables
         parts.append(tables)
-        ids = spark.read.parquet(f"{r['folder']}/ids")
         later = ids if later is None else later.unionByName(ids)
     chunks, weights = parts[0]
     for c, w in parts[1:]:
