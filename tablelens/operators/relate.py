@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import col
 
-from tablelens.functions.stats import ranked_values, rnd, safe_corr, value_counts
+from tablelens.functions.stats import materialize, ranked_values, rnd, safe_corr
 from tablelens.operators.groups import label
 
 
@@ -50,30 +50,30 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     null where a side is constant; ``digits=None`` leaves the values unrounded."""
     cols = list(cols)
     if method == "spearman":
-        wide, sides = complete_sides(df, cols)
-        return _matrix(rank_columns(wide, wide.columns), cols, safe_corr, digits, sides)
+        num, ranked, sides = complete_sides(df, cols)
+        return _matrix(_ranks(num, ranked), cols, safe_corr, digits, sides)
     return _matrix(df, cols, safe_corr, digits)
 
 
-def complete_sides(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
-    """The columns that a rank correlation ranks, and the two that stand for each pair.
+def complete_sides(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict, dict]:
+    """The columns as numbers, what a rank correlation ranks of them, and the two ranks that stand for each pair.
 
     A column is ranked once for all partners without gaps. Beside a partner that has nulls, it is ranked over
     the rows where the partner has a value, as a column of its own: at most two more per pair with a gap."""
     num = _numbers(df, cols)
     gaps = num.agg(*[F.count_if(col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    ranked, sides = {c: col(c) for c in cols}, {}
+    ranked, sides = {c: (c, None) for c in cols}, {}
 
     def beside(c, partner):
         if c == partner or not gaps[partner]:
             return c
         name = f"{c} | {partner}"
-        ranked[name] = F.when(col(partner).isNotNull(), col(c))
+        ranked[name] = (c, partner)
         return name
 
     for a, b in _pairs(list(cols)):
         sides[a, b] = beside(a, b), beside(b, a)
-    return num.select(*[x.alias(name) for name, x in ranked.items()]), sides
+    return num, ranked, sides
 
 
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -84,18 +84,58 @@ def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def rank_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Average ranks (ties share the mean rank) of each column, one row per input
-    row. Ranks come from the distinct-value table (range-partitioned cumulative
-    counts), then are joined back and pivoted per row."""
-    cols = list(cols)
-    rid = df.select(F.monotonically_increasing_id().alias("_rid"),
-                    *[col(c).try_cast("double").alias(c) for c in cols])
-    long = rid.unpivot(["_rid"], [col(c) for c in cols], "column", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    vc = value_counts(long, ["column"])
-    rk = ranked_values(vc, ["column"], "value").select(
-        "column", "value", (F.col("_start") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    j = long.join(rk, ["column", "value"])
-    return j.groupBy("_rid").pivot("column", cols).agg(F.first("rank")).drop("_rid")
+    """Average ranks (ties share the mean rank) of each column, one row per input row."""
+    return _ranks(_numbers(df, cols), {c: (c, None) for c in cols})
+
+
+# Distinct values up to this number are sent to the tasks; of larger columns, only values in more than HOT rows.
+MAX_SENT_VALUES, HOT = 200_000, 50_000
+
+
+def _ranks(num: DataFrame, ranked: dict) -> DataFrame:
+    """Average ranks under the names in ``ranked``: name -> (column of ``num``, partner or None: the column is ranked over the
+    rows where the partner has a value).
+
+    Ranks come from the distinct-value table of each column (counted once for all its partners, range-partitioned
+    cumulative counts) and are joined to the rows column by column. A column with few distinct values is joined without a shuffle; of one with many, the rows are
+    shuffled once on its value, but those with a value that many rows hold are joined without a shuffle, so no task gets them all."""
+    sources = list(dict.fromkeys(c for c, _ in ranked.values()))
+    partners = list(dict.fromkeys(p for _, p in ranked.values() if p is not None))
+    # one row per (row, column) only inside the map side of this count
+    flags = [col(p).isNotNull().alias(f"_p{i}") for i, p in enumerate(partners)]
+    long = num.select(*[col(c) for c in sources], *flags).unpivot([f"_p{i}" for i in range(len(partners))], [col(c) for c in sources], "column", "value")
+    counts = materialize(long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.count_if(F.col(f"_p{i}")).alias(f"_p{i}") for i in range(len(partners))]))
+    of = {None: "cnt"} | {p: f"_p{i}" for i, p in enumerate(partners)}
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(c).alias("column"), F.col(of[p]).alias("cnt")) for name, (c, p) in ranked.items()]
+    each = counts.select(F.col("column").alias("_c"), "value", F.explode(F.array(*wanted)).alias("w")) \
+        .where((F.col("_c") == F.col("w.column")) & (F.col("w.cnt") > 0)).select("w.name", "value", "w.cnt")
+    found = materialize(ranked_values(each, ["name"], "value").select("name", "value", (F.col("_start") + (F.col("cnt") + 1) / 2.0).alias("rank")))
+    distinct = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, place = num, {n: i for i, n in enumerate(ranked)}
+    for c in sorted(sources, key=lambda c: -distinct.get(c, 0)):  # shuffled ones first, while the rows are short
+        names = [n for n, (source, _) in ranked.items() if source == c]
+        table = found.where(F.col("name").isin(*names)).groupBy("value").agg(
+            *[F.max(F.when(F.col("name") == n, F.col("rank"))).alias(f"_r{place[n]}") for n in names])
+        out = _with_ranks(out, c, counts, table, distinct.get(c, 0))
+    return out.select(*[(F.col(f"_r{i}") if p is None else F.when(col(p).isNotNull(), F.col(f"_r{i}"))).alias(n)
+                        for i, (n, (_, p)) in enumerate(ranked.items())])
+
+
+def _with_ranks(rows: DataFrame, c: str, counts: DataFrame, table: DataFrame, distinct: int) -> DataFrame:
+    """``rows`` with the rank columns of ``table`` (value, ranks) by the value of column ``c``; null beside a null."""
+    table = table.withColumnRenamed("value", "_v")
+    new = [n for n in table.columns if n != "_v"]
+    if distinct <= MAX_SENT_VALUES:
+        return rows.join(F.broadcast(table), col(c) == F.col("_v"), "left").drop("_v")
+    hot = materialize(counts.where((F.col("column") == c) & (F.col("cnt") > HOT)).select(F.col("value").alias("_v")))  # at most rows / HOT values
+    few = F.broadcast(table.join(F.broadcast(hot), "_v"))
+    sent = rows.join(few.select("_v", F.lit(True).alias("_hot"), *[F.col(n).alias(f"{n}h") for n in new]), col(c) == F.col("_v"), "left").drop("_v")
+    # rows that have their ranks, or need none, are dealt by their number and meet no value
+    apart = F.col("_hot").isNotNull() | col(c).isNull()
+    dealt = sent.withColumn("_deal", F.when(apart, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_003))).otherwise(F.lit(0).cast("long")))
+    met = dealt.join(table.withColumn("_zero", F.lit(0).cast("long")), (F.col("_deal") == F.col("_zero")) & (col(c) == F.col("_v")), "left")
+    return met.select(*[col(n) for n in rows.columns], *[F.coalesce(f"{n}h", n).alias(n) for n in new])
 
 
 def strongest_pairs(matrix: DataFrame, cols: Sequence[str], top_n: int = 10) -> DataFrame:
