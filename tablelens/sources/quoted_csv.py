@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import col, quoted
+from tablelens.functions.stats import materialize
 
 CORRUPT = "_corrupt_record"
 # The types that a column may be inferred to, narrowest first.
@@ -38,6 +41,28 @@ def open_splits(lines: DataFrame) -> DataFrame:
     return odd.select("file", "block", F.coalesce(before, F.lit(0)).alias("before")).where("before % 2 = 1").select("file", "block")
 
 
+def _single_lines(batch: pa.RecordBatch, at, first: bool):
+    """(pieces, split of the last line, whether its first record is still to come) of lines that are a record each; None where
+    a quoted field goes on beyond a line. ``at`` and ``first`` belong to the line before."""
+    file, block, line, opened = batch.columns
+    odd = pc.bit_wise_and(pc.count_substring(line, '"'), 1)
+    if not len(line) or pc.any(opened).as_py() or pc.max(odd).as_py():
+        return None
+    file, block = file.to_numpy(), block.to_numpy()
+    some = pc.not_equal(pc.utf8_trim(line, "\r"), "").to_numpy(zero_copy_only=False)
+    firsts = np.zeros(len(line), bool)
+    starts = np.concatenate([[0], 1 + np.nonzero((np.diff(file) != 0) | (np.diff(block) != 0))[0]])
+    for lo, hi in zip(starts, [*starts[1:], len(line)]):
+        if (file[lo], block[lo]) != at:
+            at, first = (file[lo], block[lo]), block[lo] == 0
+        records = np.nonzero(some[lo:hi])[0]
+        if first and len(records):
+            firsts[lo + records[0]], first = True, False
+    keep = pa.array(some)
+    columns = [pa.array(file), pa.array(block), pa.array(np.full(len(line), WHOLE), pa.int32()), pa.array(firsts), line.cast(pa.string())]
+    return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["file", "block", "part", "first", "record"]), at, bool(first)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of consecutive splits to records and the pieces at the splits' ends; ``first`` marks a file's first record.
 
@@ -55,6 +80,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = False
 
     for batch in batches:
+        plain = None if held else _single_lines(batch, at, first)
+        if plain is not None:
+            pieces, at, first = plain
+            kind = WHOLE
+            yield pieces
+            continue
         out = []
         for file, block, line, opened in zip(*(c.to_pylist() for c in batch.columns)):
             if (file, block) != at:
@@ -80,6 +111,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     starts = F.broadcast(open_splits(lines).withColumn("opened", F.lit(True)))  # 17 bytes for each such split
     pieces = lines.join(starts, ["file", "block"], "left").select("file", "block", "line", F.coalesce("opened", F.lit(False)).alias("opened")) \
         .mapInArrow(_pieces, PIECE)
+    pieces = materialize(pieces)  # read for the whole records and for the joined ones, of each pass over the table
     # a TAIL is continued by the HEADs of the next splits; all pieces up to the next TAIL are one record
     ends = pieces.where(F.col("part") != WHOLE)
     number = F.count_if(F.col("part") == TAIL).over(Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0))
@@ -99,9 +131,14 @@ def _reads_as(c: Column, t: str) -> Column:
     """Whether a text is a value of the type; looser casts (times without a day, ``yes`` as true) do not count."""
     if t == "boolean":
         return F.lower(c).isin("true", "false")
-    shape = {"double": r"[0-9.]$|(?i)^[-+]?(nan|inf|infinity)$", "timestamp": r"^\d{4}-\d{2}-\d{2}"}.get(t)
-    fits = c.try_cast(t).isNotNull()
-    return fits if shape is None else fits & c.rlike(shape)
+    # a failed try_cast costs an exception; texts that hold what no value of the type has are not cast
+    if t in ("int", "bigint"):
+        n = c.try_cast("bigint")
+        fits = n.isNotNull() if t == "bigint" else n.between(-(1 << 31), (1 << 31) - 1)
+        return F.when(~c.rlike("[A-Za-z:/.]|[0-9]-"), F.coalesce(fits, F.lit(False))).otherwise(F.lit(False))
+    shape = {"double": r"[0-9.]$|(?i)^[-+]?(nan|inf|infinity)$", "timestamp": r"^\d{4}-\d{2}-\d{2}"}[t]
+    able = c.rlike(shape) & ~c.rlike("[0-9][-:/]") if t == "double" else c.rlike(shape)
+    return F.when(able, c.try_cast(t).isNotNull()).otherwise(F.lit(False))
 
 
 def _narrowest(names: list[str], rows: DataFrame) -> dict[str, str]:
@@ -123,6 +160,7 @@ def read_quoted_csv(spark: SparkSession, path: str, sep: str = ",", infer_schema
     rows = records(spark, path).where(~F.col("first")).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
     if not infer_schema:
         return rows
+    rows = materialize(rows)  # parsed once for the types and for the table
     types = _narrowest(names, rows)
     return rows.select(*[col(n).cast(types[n]).alias(n) for n in names], col(CORRUPT))
 

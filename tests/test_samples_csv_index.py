@@ -150,3 +150,34 @@ def test_texts_to_vectors_without_a_weights_table(spark):
     rows = svd.embed_texts(docs, "id", "body", k=3).where("id >= 40").collect()
     assert sorted((r["id"], any(r["vector"])) for r in rows) == [(40, False), (41, False), (41, True)]
     assert svd.embed_texts(docs.limit(0), "id", "body").collect() == []
+
+
+def test_lines_without_open_quotes_are_taken_as_they_are(spark, tmp_path):
+    import pyarrow as pa
+    lines = [(1, 0, "\r"), (1, 0, "a,b"), (1, 0, '"x, y",2'), (1, 0, ""), (2, 0, "a,b"), (2, 0, "3,4\r"), (2, 90, "5,6")]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows), [False] * len(rows)], (
+        pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["file", "block", "line", "opened"])
+    want = [(1, 0, 0, True, "a,b"), (1, 0, 0, False, '"x, y",2'), (2, 0, 0, True, "a,b"), (2, 0, 0, False, "3,4\r"), (2, 90, 0, False, "5,6")]
+    rows = lambda out: [tuple(r.values()) for b in out for r in b.to_pylist()]
+    for cut in range(1, len(lines)):  # the state goes on between batches
+        assert rows(quoted_csv._pieces(iter([batch(lines[:cut]), batch(lines[cut:])]))) == want, cut
+    mixed = [(3, 0, "h"), (3, 0, '"open'), (3, 0, 'shut"'), (3, 0, "9")]
+    assert rows(quoted_csv._pieces(iter([batch(mixed[:2]), batch(mixed[2:]), batch(lines)])))[:3] == [(3, 0, 0, True, "h"), (3, 0, 0, False, '"open\nshut"'), (3, 0, 0, False, "9")]
+    assert quoted_csv._single_lines(batch(lines), None, False) is not None  # before: every line went through a loop, four times
+    (tmp_path / "p.csv").write_text("a,b\n1,2\n3,4\n")
+    plan = quoted_csv.records(spark, str(tmp_path / "p.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_types_are_told_without_failing_casts(spark):
+    texts = ["12.7", "12.", " 12 ", "-5", "2147483648", "-2147483649", "9223372036854775808", "1e5", "-1.5e+3", "0x1p3", "NaN", "-inf", "12d", "1-2",
+             "1995-01-02", "1995-01-02 03:04:05", "", "abc", "1-URGENT", "true", "FALSE", "1/2", "1,5"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    shape = {"double": r"[0-9.]$|(?i)^[-+]?(nan|inf|infinity)$", "timestamp": r"^\d{4}-\d{2}-\d{2}"}
+    for t in ("int", "bigint", "double", "timestamp"):
+        cast = F.col("v").try_cast(t).isNotNull() & F.col("v").rlike(shape.get(t, ""))
+        got = df.select("v", cast, quoted_csv._reads_as(F.col("v"), t)).collect()
+        assert [r[0] for r in got if r[1]] == [r[0] for r in got if r[2]], t
+    # before: each of these was cast, and the failure's exception took most of the time
+    plan = df.select(quoted_csv._reads_as(F.col("v"), "int").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
