@@ -44,19 +44,17 @@ def pack(values: np.ndarray) -> bytes:
     differs = np.ones(own.shape, bool)
     differs[1:] = own[1:] != own[:-1]
     shared = differs.argmax(axis=1).astype(np.uint8)  # none differs: 0, which sends all bytes
-    return len(shared).to_bytes(8, "little") + squeeze(shared.tobytes() + b"".join(own[shared <= k, k].tobytes() for k in range(8)))
+    return len(shared).to_bytes(8, "little") + squeeze(shared.tobytes() + b"".join(own[shared <= k, k].tobytes() for k in range(8)), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw, n = np.frombuffer(expand(data[8:]), np.uint8), int.from_bytes(data[:8], "little")
     shared, at = raw[:n], n
-    out, place = np.empty((n, 8), np.uint8), np.arange(n)
+    out = np.empty((n, 8), np.uint8)
     for k in range(8):
-        sent = shared <= k
-        many = int(sent.sum())
-        column = np.zeros(n, np.uint8)
-        column[sent] = raw[at:at + many]
-        out[:, k] = column[np.maximum.accumulate(np.where(sent, place, 0))]
+        upto = np.cumsum(shared <= k, dtype=np.int32)  # how many were sent; the first one always is
+        many = int(upto[-1]) if n else 0
+        out[:, k] = raw[at:at + many][upto - 1]
         at += many
     return out.view(">u8").ravel().astype(np.uint64)
 
@@ -81,8 +79,8 @@ def unpack_logs(data: bytes) -> np.ndarray:
     return ((planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)) << np.uint32(8)).view(np.float32)
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -114,6 +112,23 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((((grams >> U(8)) & U(0xFFFF)) * U(0x9E3779B97F4A7C15)) >> U(40)).astype(np.int64) % shards
 
 
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """The different values in order. ``np.unique`` hashes them before it sorts, which takes several times as long."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def in_shards(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of each shard that occurs, its places in order: one sort, however many shards there are."""
+    order = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+    for s, (a, b) in enumerate(zip([0, *ends], ends)):
+        if a < b:
+            yield s, order[a:b]
+
+
 def by_shard(words: set[bytes], shards: int) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
     for w in sorted(words):
@@ -254,9 +269,9 @@ def cut(batches: Iterator[pa.RecordBatch], shards: int, word_shards: int, block_
         first = np.flatnonzero(np.diff(grams, prepend=grams[0] + U(1)))
         counts = np.add.reduceat(np.where(marked & U(1), 0, n), first)
         grams, shard = grams[first], shard_of(grams[first], shards)
-        made = [("blocks", 0, block, squeeze(sink.getvalue().to_pybytes()), b"")]
-        for s in np.unique(shard).tolist():
-            made.append(("grams", s, block, pack(grams[shard == s]), pack_counts(counts[shard == s])))
+        made = [("blocks", 0, block, squeeze(sink.getvalue().to_pybytes(), 3), b"")]
+        for s, own in in_shards(shard, shards):
+            made.append(("grams", s, block, pack(grams[own]), pack_counts(counts[own])))
         learned: Counter = Counter()
         for w, h in zip(split, held):
             if not h:
@@ -265,7 +280,7 @@ def cut(batches: Iterator[pa.RecordBatch], shards: int, word_shards: int, block_
         every = set().union(*split)
         every.add(END)
         for s, own in by_shard(every, word_shards).items():
-            made.append(("words", s, block, squeeze(b" ".join(own)), pack_counts(np.array([learned[w] for w in own]))))
+            made.append(("words", s, block, squeeze(b" ".join(own), 3), pack_counts(np.array([learned[w] for w in own]))))
         yield batch(names, kinds, made)
 
 
@@ -345,7 +360,7 @@ def answer(key, rows, top) -> Iterator[pa.RecordBatch]:
     waiting, size = [], 0
 
     def flush():
-        every = np.unique(np.concatenate([g for _, g in waiting]))
+        every = sorted_set(np.concatenate([g for _, g in waiting]))
         p = trees.log10(every, top).astype(np.float32)
         return batch(["block", "shard", "kind", "items"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()],
                      [(block, shard, 1, pack_logs(p[np.searchsorted(every, g)])) for block, g in waiting])
@@ -395,12 +410,12 @@ def finish(rows, shards: int, word_shards: int, total: int, distinct: int) -> It
         new = np.flatnonzero(np.diff(both >> U(free), prepend=~both[0] >> U(free)))
         parts.append((a, both[new] >> U(free), np.diff(np.append(new, len(both))), (both & U((1 << free) - 1)).astype(np.uint16)))
     del grams
-    every = np.unique(np.concatenate([g for _, g, *_ in parts]))
-    shard, p = shard_of(every, shards), np.zeros(len(every), np.float32)
+    every = sorted_set(np.concatenate([g for _, g, *_ in parts]))
+    within, p = dict(in_shards(shard_of(every, shards), shards)), np.zeros(len(every), np.float32)
     base, unseen = {}, math.log10(1 / (total + distinct + 1))
     for _, s, kind, items in rows:
         if kind == 1:
-            p[shard == s] = unpack_logs(items)
+            p[within[s]] = unpack_logs(items)
         else:
             base.update((w, math.log10((c + 1) / (total + distinct + 1)) if c else None) for w, c in zip(words[s], unpack_counts(items).tolist()))
     for a, g, places, text in parts:

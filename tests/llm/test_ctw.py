@@ -111,3 +111,10 @@ def test_more_texts_than_are_sorted_at_once(spark):
     rows = {r.doc_id: r.score for r in ctw.score(df, F.lit(False)).collect()}
     want = dict(zip(range(301), brute(docs, [False] * 301)))
     assert len(rows) == 301 and all(abs(rows[i] - want[i]) < 2e-3 for i in rows)
+
+
+def test_places_by_shard_need_no_pass_a_shard():
+    shard = np.random.default_rng(4).integers(0, 700, 3000)
+    got = dict(ctw.in_shards(shard, 900))
+    assert list(got) == sorted(set(shard.tolist())) and all((own == np.flatnonzero(shard == s)).all() for s, own in got.items())
+    assert dict(ctw.in_shards(shard[:0], 900)) == {} and (ctw.sorted_set(shard) == np.unique(shard)).all() and not len(ctw.sorted_set(shard[:0]))
