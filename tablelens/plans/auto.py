@@ -8,7 +8,7 @@ recorded as skipped; the others go on (SURVEY D11).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import cols as all_columns
+from tablelens.functions.stats import materialize
 from tablelens.functions.types import categorical_cols, datetime_cols, numeric_cols, text_cols
 from tablelens.operators import (
     anomaly, clean, describe, groups, outliers, profile, relate, schema, sentiment, timeseries,
@@ -69,18 +70,28 @@ class Analysis:
 
     # -- what steps read ---------------------------------------------------------------------------
 
+    @cached_property
+    def raw_schema(self) -> DataFrame:
+        """The detected columns of the frame, executed once: the step and the types read the same rows."""
+        return materialize(schema.detect_schema(self.df))
+
     @cached_property
     def raw_types(self) -> dict:
-        return schema.schema_types(self.df)
+        return schema.types_of(self.raw_schema)
 
     @cached_property
     def cleaned(self) -> clean.CleanResult:
         return clean.clean_dataset(self.df, self.raw_types, *self._cleaning)
 
+    @cached_property
+    def clean_schema(self) -> DataFrame:
+        """:attr:`raw_schema` of the cleaned frame."""
+        return materialize(schema.detect_schema(self.cleaned.df))
+
     @cached_property
     def types(self) -> dict:
         """Semantic types of the cleaned frame."""
-        return schema.schema_types(self.cleaned.df)
+        return schema.types_of(self.clean_schema)
 
     def _kind(self, names: list[str], what: str, least: int = 1) -> list[str]:
         if len(names) < least:
@@ -139,13 +150,17 @@ class Analysis:
     def run(self, at_once: int = 8) -> dict[str, DataFrame]:
         """Every applicable result table, and ``status``. Up to ``at_once`` steps run side by side: most result tables are
         small, so one step's jobs leave most of the cluster idle."""
-        if self.if_any("cleaned") is not None:
-            self.if_any("cleaned_schema")
-            _ = self.types
-        with ThreadPoolExecutor(at_once) as pool:
-            list(pool.map(self.if_any, STEPS))
+        self.side_by_side(STEPS, at_once)
         return self._tables | {"status": self.status()}
 
+    def side_by_side(self, names: Iterable[str], at_once: int = 8) -> dict[str, DataFrame | None]:
+        """:meth:`if_any` of each of the steps, up to ``at_once`` at a time."""
+        names = list(names)
+        if self.if_any("cleaned") is not None and self.if_any("cleaned_schema") is not None:
+            _ = self.types  # made before the steps that read them at once
+        with ThreadPoolExecutor(at_once) as pool:
+            return dict(zip(names, pool.map(self.if_any, names)))
+
     def status(self) -> DataFrame:
         """(position, step, tool, status, rows, columns, missing, message) of the steps that were asked for so far."""
         rows = [(i + 1, name, *self._records[name]) for i, name in enumerate(STEPS) if name in self._records]
@@ -170,7 +185,7 @@ def profile_table(a: Analysis) -> DataFrame:
 
 @step("detect_data_types", "schema")
 def schema_table(a: Analysis) -> DataFrame:
-    return schema.detect_schema(a.df)
+    return a.raw_schema
 
 
 @step("assess_quality")
@@ -195,7 +210,8 @@ def clean_summary(a: Analysis) -> DataFrame:
 
 @step("clean_dataset")
 def cleaned_schema(a: Analysis) -> DataFrame:
-    return schema.detect_schema(a.table("cleaned"))
+    a.table("cleaned")  # without it there is nothing to detect
+    return a.clean_schema
 
 
 @step("clean_dataset")
@@ -397,4 +413,4 @@ def summary_metrics(a: Analysis) -> DataFrame:
 def bundle(a: Analysis) -> DataFrame:
     """All result tables but the rows of the frame itself, as one table of JSON rows."""
     names = [n for n in STEPS if n not in ("bundle", "cleaned")]
-    return report.report_bundle({n: t for n in names if (t := a.if_any(n)) is not None})
+    return report.report_bundle({n: t for n, t in a.side_by_side(names).items() if t is not None})

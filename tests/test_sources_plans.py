@@ -113,6 +113,19 @@ def test_only_the_steps_that_are_needed_run(small_df):
     assert [r["step"] for r in a.status().collect()] == ["cleaned", "missing"]
 
 
+def test_types_are_detected_once_and_the_bundle_runs_its_steps_at_once(small_df, monkeypatch):
+    import threading
+
+    from tablelens.operators import schema
+    from tablelens.plans import auto
+    calls, threads, detect, run = [], set(), schema.detect_schema, auto.Analysis._run
+    monkeypatch.setattr(schema, "detect_schema", lambda *a: calls.append(1) or detect(*a))
+    monkeypatch.setattr(auto.Analysis, "_run", lambda self, s: threads.add(threading.get_ident()) or run(self, s))
+    a = auto.Analysis(small_df, freq="W")
+    assert a.table("bundle").count() > 100
+    assert len(calls) == 2 and len(threads) > 2  # the frame and the cleaned frame; the caller's thread and others
+
+
 def test_written_sections(small_df, spark):
     from tablelens.plans import auto
     a = auto.Analysis(small_df, freq="W")
