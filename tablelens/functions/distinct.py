@@ -35,9 +35,10 @@ def distinct_counts(df: DataFrame, values: dict[str, Column], exact: bool = True
         one = df.agg(*[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values.values())])
         rows = [F.struct(F.lit(n).alias("name"), F.col(f"d{i}").alias("distinct")) for i, n in enumerate(names)]
         return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    listed = F.filter(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), *digest([v]))) for i, v in enumerate(values.values())]),
-                      lambda s: s.isNotNull())
-    seen = df.select(F.explode(listed).alias("s")).groupBy("s.i", *[f"s.{h}" for h in DIGEST]).agg(F.lit(1).alias("one"))
+    taken = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])  # each value is made once
+    # no higher-order function on the rows: Spark would leave generated code for it
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").isNotNull().alias("has"), *digest([F.col(f"v{i}")])) for i in range(len(names))])
+    seen = taken.select(F.explode(listed).alias("s")).where("s.has").groupBy("s.i", *[f"s.{h}" for h in DIGEST]).agg(F.lit(1).alias("one"))
     counts = seen.groupBy("i").agg(F.count("one").alias("distinct"))
     every = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
     return every.join(counts, "i", "left").select("name", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -94,9 +95,10 @@ def _picked(x: DataFrame, wanted: Sequence[_Wanted]) -> dict[int, tuple[float, f
     open_ = [k for k in range(len(wanted)) if k not in out]
     if not open_:
         return out
-    inside = F.filter(F.array(*[F.when(_within(wanted[k]), F.struct(F.lit(k).alias("k"), F.col(f"x{wanted[k].at}").alias("v"))) for k in open_]),
-                      lambda s: s.isNotNull())
-    counts = x.select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    inside = F.array(*[F.struct(F.lit(k).alias("k"), F.when(_within(wanted[k]), F.col(f"x{wanted[k].at}")).alias("v")) for k in open_])
+    # few rows have a value inside, and only theirs are listed
+    some = x.where(reduce(lambda a, b: a | b, [_within(wanted[k]) for k in open_]))
+    counts = some.select(F.explode(inside).alias("s")).where("s.v IS NOT NULL").groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
     # a bracket's distinct values: at most NARROW, or few that repeat
     end = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
     number_of = lambda f: F.element_at(F.create_map(*[F.lit(z) for k in open_ for z in (k, f(wanted[k]) - wanted[k].below)]), F.col("k"))

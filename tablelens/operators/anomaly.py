@@ -14,9 +14,9 @@ from tablelens.functions.summary import column_numbers, number
 from tablelens.operators.outliers import column_bounds
 
 
-def _wide_bounds(df: DataFrame, cols, quartiles: bool = True) -> DataFrame:
+def _wide_bounds(df: DataFrame, cols, quartiles: bool = True, bounds: DataFrame | None = None) -> DataFrame:
     """One row: mean/std_pop/q1/q3 of every column (k x 4 values)."""
-    b = column_bounds(df, cols, quartiles)
+    b = bounds if bounds is not None else column_bounds(df, cols, quartiles)
     aggs = []
     for c in cols:
         for k in ("mean", "std_pop", "q1", "q3"):
@@ -32,9 +32,9 @@ def _usable_std(c):
     return col(f"{c}__std_pop").isNotNull() & (col(f"{c}__std_pop") > 0)
 
 
-def _with_bounds(df, cols, quartiles=True):
+def _with_bounds(df, cols, quartiles=True, bounds=None):
     from tablelens.functions.stats import attach
-    return attach(df, _wide_bounds(df, cols, quartiles))
+    return attach(df, _wide_bounds(df, cols, quartiles, bounds))
 
 
 def zscore_mask(cols, threshold: float = 3.0):
@@ -53,18 +53,19 @@ def iqr_mask(cols, k: float = 1.5):
     return F.greatest(*conds) if len(conds) > 1 else conds[0]
 
 
-def flag_anomalies(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFrame:
+def flag_anomalies(df: DataFrame, cols: Sequence[str], method: str = "zscore", bounds: DataFrame | None = None) -> DataFrame:
     """df + ``is_anomaly`` (zscore or iqr rule), ``driver`` (column with the
     largest |z|, first on ties) and ``z_score`` (its |z|, 2 dp). Method
-    ``isolation_forest``/``auto`` uses :mod:`tablelens.operators.iforest`."""
+    ``isolation_forest``/``auto`` uses :mod:`tablelens.operators.iforest`. ``bounds``: the columns'
+    :func:`column_bounds`, where they are known."""
     cols = list(cols)
     if method in ("isolation_forest", "auto"):
         from tablelens.operators.iforest import isolation_forest_flags
         flagged = isolation_forest_flags(df, cols)
-        j = _with_bounds(flagged, cols, False)
+        j = _with_bounds(flagged, cols, False, bounds)
         mask = F.col("is_anomaly")
     else:
-        j = _with_bounds(df, cols, method != "zscore")
+        j = _with_bounds(df, cols, method != "zscore", bounds)
         mask = zscore_mask(cols) if method == "zscore" else iqr_mask(cols)
     zs = [F.when(_usable_std(c), F.coalesce(_z(c), F.lit(0.0))) for c in cols]
     best = F.greatest(*zs) if len(zs) > 1 else zs[0]
@@ -96,14 +97,15 @@ def anomaly_report(df: DataFrame, cols: Sequence[str], method: str = "zscore") -
     """Per column IQR outlier count/pct (IQR 0 -> 0), plus an ``ALL_ROWS`` row
     with the rows flagged by ``method`` and their share of all rows."""
     from tablelens.operators.outliers import outlier_report
-    b = column_bounds(df, cols).select("column", "iqr")
-    per = outlier_report(df, cols, "iqr").join(b, "column").select(
+    known = column_bounds(df, cols)  # one set of scans for the report and the flags
+    b = known.select("column", "iqr")
+    per = outlier_report(df, cols, "iqr", known).join(b, "column").select(
         "column",
         F.when(F.col("iqr") == 0, F.lit(0)).otherwise(F.col("outlier_count")).cast("long").alias("anomaly_count"),
         F.when(F.col("iqr") == 0, F.lit(0.0)).otherwise(
             rnd(100.0 * F.col("outlier_count") / F.col("total_numeric"), 2)).alias("anomaly_pct"),
         F.lit("iqr").alias("method"))
-    tot = flag_anomalies(df, cols, method).agg(
+    tot = flag_anomalies(df, cols, method, known).agg(
         F.count_if("is_anomaly").cast("long").alias("anomaly_count"),
         rnd(100.0 * F.count_if("is_anomaly") / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("anomaly_pct"))
     tot = tot.select(F.lit("ALL_ROWS").alias("column"), "anomaly_count", "anomaly_pct", F.lit(method).alias("method"))

@@ -82,27 +82,29 @@ def _build(features, sample_size, seed):
 
 
 def _prepared(trees: pd.DataFrame) -> list:
-    """Per tree: its node columns in node order, and what each node's size adds to a path."""
+    """Per tree: each node's feature, threshold and next nodes (right, then left; a leaf's is itself), the path length that ends
+    in it, its size's part included, and the depth of the deepest."""
     out = []
     for _, tree in trees.sort_values("node").groupby("tree"):
-        columns = [tree[c].to_numpy() for c in ("feature", "threshold", "left", "right", "leaf")]
-        out.append((*columns, np.array([c_factor(s) for s in tree["size"]])))
+        feature, threshold, left, right, leaf = (tree[c].to_numpy() for c in ("feature", "threshold", "left", "right", "leaf"))
+        own = np.arange(len(tree))
+        kids = np.column_stack([np.where(leaf, own, right), np.where(leaf, own, left)]).astype(np.intp).ravel()
+        depth = np.zeros(len(tree))
+        for node in own[~leaf]:  # a node's number is smaller than those below it
+            depth[[left[node], right[node]]] = depth[node] + 1
+        path = depth + np.array([c_factor(s) for s in tree["size"]])
+        out.append((np.where(leaf, 0, feature).astype(np.intp), threshold, kids, path, int(depth.max())))
     return out
 
 
 def _path_lengths(x: np.ndarray, tree: tuple) -> np.ndarray:
-    feat, thr, left, right, leaf, adj = tree
-    node = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x), dtype=float)
-    active = ~leaf[node]
-    while active.any():
-        i = np.where(active)[0]
-        n = node[i]
-        go_left = x[i, feat[n]] < thr[n]
-        node[i] = np.where(go_left, left[n], right[n])
-        depth[i] += 1
-        active = ~leaf[node]
-    return depth + adj[node]
+    feature, threshold, kids, path, deepest = tree
+    values, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    node = np.zeros(len(x), dtype=np.intp)
+    for _ in range(deepest):
+        go_left = values.take(row + feature.take(node)) < threshold.take(node)
+        node = kids.take(2 * node + go_left)
+    return path.take(node)
 
 
 def isolation_forest_scores(df: DataFrame, cols, n_trees: int = 100, sample_size: int = 256,
@@ -122,13 +124,11 @@ def isolation_forest_scores(df: DataFrame, cols, n_trees: int = 100, sample_size
     x = df.select(*df.columns, *[fx[c].alias(n) for c, n in zip(feats, names)])
     n = x.count()
     p = min(1.0, 2.0 * sample_size / max(n, 1))
-    picks = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), F.xxhash64("_row", t, F.lit(seed)).alias("_h"))),
-        lambda s: (s["_h"] / F.lit(2.0 ** 64) + 0.5) < p)
+    # a row beside every tree, in generated code; only what is drawn leaves the task
     # the forest is drawn and collected once: no other job has to see the same row numbers
     numbered = x.select(*names, F.monotonically_increasing_id().alias("_row"))
-    sample = numbered.select(*names, F.explode(picks).alias("s")).select(*names, "s.tree", "s._h")
+    drawn = numbered.select(*names, "_row", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    sample = drawn.select(*names, "tree", F.xxhash64("_row", "tree", F.lit(seed)).alias("_h")).where(F.col("_h") / F.lit(2.0 ** 64) + 0.5 < p)
     forest = sample.groupBy("tree").applyInPandas(_build(names, sample_size, seed), TREE_SCHEMA)
     trees = forest.toPandas()
     if trees["tree"].nunique() < n_trees:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import col, cols
-from tablelens.functions.distinct import DIGEST, digest, distinct_counts
-from tablelens.functions.stats import attach, rnd
+from tablelens.functions.distinct import DIGEST, digest
+from tablelens.functions.stats import attach, melt, rnd, value_counts
 from tablelens.functions.text import pytrim, title_case
 from tablelens.functions.types import CATEGORICAL, NUMERIC_GROUP
 from tablelens.operators.schema import detect_schema, is_missing, physical_kind, schema_types, single_valued
@@ -95,14 +95,17 @@ def assess_quality(df: DataFrame, types: dict | None = None) -> DataFrame:
             aggs.append(F.count_if(col(c).try_cast("double").isNull()).alias(f"iv{i}"))
             invalid.append(F.col(f"iv{i}"))
         if types.get(c) == CATEGORICAL:
-            norm = title_case(F.lower(pytrim(col(c).cast("string"))))
-            spelled[f"cd{i}"] = norm
+            spelled[f"cd{i}"] = col(c).cast("string")
             cons.append(F.when(F.col(f"nn{i}") > 0,
                                (F.col(f"nn{i}") - F.col(f"cd{i}")) / F.col(f"nn{i}")))
     one = df.agg(*aggs)
     if spelled:
-        found = distinct_counts(df, spelled)
-        one = attach(one, found.agg(*[F.max(F.when(F.col("name") == k, F.col("distinct"))).alias(k) for k in spelled]))
+        # spelled alike: each different value is brought to its form once, not once a row
+        # (the counts are read to the end, or Spark would drop the first group-by as one that the second repeats)
+        different = value_counts(melt(df.select(*[v.alias(k) for k, v in spelled.items()]), list(spelled), "string"), ["column"])
+        norm = title_case(F.lower(pytrim("value")))
+        found = different.groupBy("column", norm.alias("norm")).agg(F.sum("cnt").alias("cnt"))
+        one = attach(one, found.agg(*[F.count_if((F.col("column") == k) & (F.col("cnt") > 0)).alias(k) for k in spelled]))
     n = F.col("_n")
     miss_rate = sum((F.col(f"m{i}") / n for i in range(n_cols)), F.lit(0.0)) / n_cols
     dup = duplicate_rows(df).select(F.col("duplicates").alias("_dups"))

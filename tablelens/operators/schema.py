@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions.dates import parse_timestamp
 from tablelens.functions.stats import rnd
-from tablelens.functions.text import pytrim
+from tablelens.functions.text import parsed_double, pytrim
 from tablelens.functions.types import (
     BOOLEAN, CATEGORICAL, CURRENCY, DATETIME, ID, NUMERIC, PERCENTAGE, TEXT, UNKNOWN,
 )
@@ -87,7 +87,7 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         if kind == "string":
             norm = F.lower(pytrim(value))
             aggs += [F.count_if(value.isNotNull() & parse_timestamp(value).isNotNull()).alias(f"dt{i}"),
-                     F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"ne{i}"),
+                     F.count_if(value.isNotNull() & parsed_double(value).isNull()).alias(f"ne{i}"),
                      F.count_if(value.isNotNull() & ~norm.isin(*BOOL_WORDS)).alias(f"bb{i}")]
         elif kind == "int":
             aggs += [F.lit(0).cast("long").alias(f"dt{i}"), F.lit(0).cast("long").alias(f"ne{i}"),
@@ -145,7 +145,12 @@ def detect_schema(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def schema_types(df: DataFrame, approx: bool = False) -> dict:
     """{column: semantic type} in column order (collects one row per column)."""
-    rows = detect_schema(df, approx).select("pos", "column", "semantic_type").collect()
+    return types_of(detect_schema(df, approx))
+
+
+def types_of(detected: DataFrame) -> dict:
+    """:func:`schema_types` from the rows of :func:`detect_schema`."""
+    rows = detected.select("pos", "column", "semantic_type").collect()
     return {r["column"]: r["semantic_type"] for r in sorted(rows, key=lambda r: r["pos"])}
 
 

@@ -119,3 +119,21 @@ def test_forest_draws_repeated_rows_apart(spark):
     scores = {r[0]: r[1] for r in top}
     assert len(scores) == 99 and max(scores, key=scores.get) == 1000.0
     assert min(scores.values()) < 0.6
+
+
+def test_forest_paths_are_those_of_a_walk():
+    import numpy as np
+    import pandas as pd
+
+    from tablelens.operators import iforest
+    rng = np.random.RandomState(3)
+    x = rng.rand(200, 3)
+    nodes = pd.DataFrame(iforest._grow(x[:64], rng, 6), columns=["feature", "threshold", "left", "right", "size", "leaf"])
+    nodes = nodes.assign(tree=0, node=range(len(nodes)))
+
+    def walk(row, at=0, depth=0):
+        n = nodes.iloc[at]
+        return depth + iforest.c_factor(n["size"]) if n.leaf else walk(row, n.left if row[n.feature] < n.threshold else n.right, depth + 1)
+
+    (tree,) = iforest._prepared(nodes)
+    assert len(tree) == 5 and iforest._path_lengths(x, tree).tolist() == [walk(r) for r in x]

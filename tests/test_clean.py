@@ -90,3 +90,11 @@ def test_mode_tie_goes_to_the_smallest_typed_value(spark):
     out, log = C.fill_missing(df, {"k": "ID", "code": "CATEGORICAL", "flag": "BOOLEAN"})
     assert out.orderBy("k").collect()[2][1:] == (9, False)
     assert [e[3] for e in log] == ["imputed with mode '9'", "imputed with mode 'false'"]
+
+
+def test_only_what_looks_like_a_number_is_cast(spark):
+    from tablelens.functions.text import parsed_double
+    rows = ["1", " -2.5e3 ", "+.5", "7.", "1d", "2F", "0x1.8p3", "NaN", "-inf", "+Infinity", "\t3\n", "4-NOT", "O", "", "-", "e5", "1,2", "1_0", "inf1", None]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select(parsed_double("s").alias("a"), F.col("s").try_cast("double").alias("b")).collect()
+    assert [str(r.a) for r in got] == [str(r.b) for r in got]
+    assert sum(r.a is not None for r in got) == 11
